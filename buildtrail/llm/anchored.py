@@ -65,8 +65,7 @@ def byte_runs(buf: np.ndarray, offs: np.ndarray, window: int, k: int) -> Runs:
     n = len(buf) - k + 1
     if n <= 0:
         return unit_runs(np.zeros(0, np.uint64), np.zeros(len(offs), np.int64), window, k)
-    at = np.arange(n)
-    return unit_runs(tn.span_hash(tn.prefix_sums(buf), at, at + k), offs, window, k)
+    return unit_runs(tn.rolling_hash(buf, k), offs, window, k)
 
 
 def word_runs(hashes: np.ndarray, offs: np.ndarray, window: int, k: int) -> Runs:
@@ -143,3 +142,21 @@ def repeated_runs(texts: DataFrame, runs: Callable[[np.ndarray, np.ndarray], Run
 
     sent = texts.select("k", "text").mapInArrow(send, "shard int, rows binary")
     return sent.groupBy("shard").applyInArrow(meet, "k long, ord int")
+
+
+def candidates(whole: DataFrame, texts: DataFrame, later: DataFrame, runs: Callable[[np.ndarray, np.ndarray], Runs]) -> DataFrame:
+    """(k, rank, text, ords) of the texts with a repeated run, without those that ``later`` (k, rank) names.
+
+    whole: ``texts`` dealt by k; every join here is by k alone, so that the texts are dealt once.
+    """
+    some = repeated_runs(texts, runs).select("k", "ord", F.lit(None).cast("long").alias("later"))
+    skip = later.select("k", F.lit(None).cast("int").alias("ord"), F.col("rank").alias("later"))
+    flags = some.unionByName(skip).groupBy("k").agg(F.collect_list("ord").alias("ords"), F.collect_set("later").alias("later")).filter("size(ords) > 0")
+    return whole.join(flags, "k").filter("not array_contains(later, rank)").select("k", "rank", "text", "ords")
+
+
+def with_spans(whole: DataFrame, spans: DataFrame) -> DataFrame:
+    """(id, text, starts, lens): each text with its rows of spans (k, rank, start, len)."""
+    by = spans.groupBy("k").agg(F.collect_list(F.struct("rank", "start", "len")).alias("spans"))
+    own = F.filter("spans", lambda x: x["rank"] == F.col("rank"))
+    return whole.join(by, "k", "left").withColumn("own", own).select("id", "text", F.col("own.start").alias("starts"), F.col("own.len").alias("lens"))

@@ -17,8 +17,8 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.xxhash64(ident, text).alias("k"), F.coalesce(ident, F.lit(LAST)).alias("rank"), ident.alias("id"), text.alias("text"))
 
 
-def later_copies(texts: DataFrame) -> DataFrame:
-    """Of ``keyed`` rows: (k, rank, first) for each text that also stands in a row of smaller rank."""
+def copies(texts: DataFrame) -> DataFrame:
+    """Of ``keyed`` rows: (k, rank, first) for each text that stands in several rows; first: the least rank."""
     by = texts.select("k", "rank", F.unhex(F.sha2("text", 256)).alias("h"))
-    first = by.groupBy("h").agg(F.min("rank").alias("first"), F.max("rank").alias("last")).filter("first < last")
-    return by.join(first, "h").filter("rank > first").select("k", "rank", "first").distinct()
+    first = by.groupBy("h").agg(F.min("rank").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    return by.join(first, "h").select("k", "rank", "first").distinct()

@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from buildtrail.llm import substring_dedup
+from buildtrail.llm import substring_dedup, suffix_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_suffix_dedup": suffix_dedup.query,
         "op10_fm_substring_dedup": substring_dedup.query,
     }
 

@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from buildtrail.llm import textnp as tn
-from buildtrail.llm.anchored import pack, repeated_runs, unpack, word_runs
-from buildtrail.llm.keys import keyed, later_copies
+from buildtrail.llm.anchored import candidates, pack, unpack, with_spans, word_runs
+from buildtrail.llm.keys import copies, keyed
 from buildtrail.ship import ship, shuffle_partitions
 
 GRAM = 4
@@ -151,10 +151,9 @@ def _removed(docs: DataFrame, id_col: str, text_col: str, window: int, digest: b
         _, _, h, wo = tn.words(buf, offs)
         return word_runs(h, wo, window, gram)
 
-    copies = later_copies(texts)
-    flagged = repeated_runs(texts, runs).groupBy("k").agg(F.collect_list("ord").alias("ords"))
+    later = copies(texts).filter("rank > first")
     whole = texts.repartition(shuffle_partitions(spark), "k")
-    some = whole.join(flagged, "k").join(copies, ["k", "rank"], "left_anti").select("k", "rank", "text", "ords")
+    some = candidates(whole, texts, later, runs)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,9 +208,8 @@ def _removed(docs: DataFrame, id_col: str, text_col: str, window: int, digest: b
         return pa.table({"k": k[occ], "rank": rank[occ], "start": (first[occ] + j).astype(np.int32), "len": (count + window - 1).astype(np.int32)})
 
     spans = some.mapInArrow(send, "shard int, heads binary, body binary").groupBy("shard").applyInArrow(match, "k long, rank long, start int, len int")
-    copied = copies.select("k", "rank", F.lit(0).alias("start"), F.lit(-1).alias("len"))
-    spans = spans.unionByName(copied).groupBy("k", "rank").agg(F.collect_list("start").alias("starts"), F.collect_list("len").alias("lens"))
-    joined = whole.join(spans, ["k", "rank"], "left").select("id", "text", "starts", "lens")
+    copied = later.select("k", "rank", F.lit(0).alias("start"), F.lit(-1).alias("len"))
+    joined = with_spans(whole, spans.unionByName(copied))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

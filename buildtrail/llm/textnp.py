@@ -75,6 +75,14 @@ def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
 
 
+def rolling_hash(buf: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of the k bytes from each position."""
+    sums = prefix_sums(buf)
+    _, down = _powers(len(sums))
+    n = len(buf) - k + 1
+    return mix((sums[k:] - sums[:n]) * down[:n])
+
+
 def word_spans(buf: np.ndarray, offs: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the maximal runs of bytes that aren't in ``space``; none crosses a text."""
     solid = ~space[buf]
