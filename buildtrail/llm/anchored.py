@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from buildtrail.llm import textnp as tn
+from buildtrail.llm.keys import ident
 from buildtrail.ship import ship, shuffle_partitions
 
 NONE = np.uint32(0xFFFFFFFF)
@@ -159,4 +160,4 @@ def with_spans(whole: DataFrame, spans: DataFrame) -> DataFrame:
     """(id, text, starts, lens): each text with its rows of spans (k, rank, start, len)."""
     by = spans.groupBy("k").agg(F.collect_list(F.struct("rank", "start", "len")).alias("spans"))
     own = F.filter("spans", lambda x: x["rank"] == F.col("rank"))
-    return whole.join(by, "k", "left").withColumn("own", own).select("id", "text", F.col("own.start").alias("starts"), F.col("own.len").alias("lens"))
+    return whole.join(by, "k", "left").withColumn("own", own).select(ident().alias("id"), "text", F.col("own.start").alias("starts"), F.col("own.len").alias("lens"))

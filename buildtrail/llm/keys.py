@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LAST = (1 << 63) - 1
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(k, rank, id, text): rank is the id, the largest long for null; text is "" for null.
+    """(k, rank, text): rank is the id, the largest long for null; text is "" for null.
 
     k is a hash of id and text: only fully repeated rows share (k, rank), and they get equal results.
     """
-    ident, text = F.col(id_col).cast("long"), F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.xxhash64(ident, text).alias("k"), F.coalesce(ident, F.lit(LAST)).alias("rank"), ident.alias("id"), text.alias("text"))
+    number, text = F.col(id_col).cast("long"), F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return docs.select(F.xxhash64(number, text).alias("k"), F.coalesce(number, F.lit(LAST)).alias("rank"), text.alias("text"))
+
+
+def ident() -> Column:
+    """The id of a ``rank``."""
+    return F.when(F.col("rank") != LAST, F.col("rank"))
 
 
 def copies(texts: DataFrame) -> DataFrame:
