@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from buildtrail.llm import packing, substring_dedup, suffix_dedup
+from buildtrail.llm import packing, substring_dedup, suffix_dedup, vector_search
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_suffix_dedup": suffix_dedup.query,
+        "op7_additive_quantisation": vector_search.query,
         "op9_nnls_packing": packing.query,
         "op10_fm_substring_dedup": substring_dedup.query,
     }
