@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from buildtrail.llm import jaccard_join, packing, substring_dedup, suffix_dedup, vector_search
+from buildtrail.llm import jaccard_join, packing, substring_dedup, suffix_dedup, toxicity, vector_search
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_suffix_dedup": suffix_dedup.query,
+        "op5_toxic_segments": toxicity.query,
         "op7_additive_quantisation": vector_search.query,
         "op8_jaccard_join": jaccard_join.query,
         "op9_nnls_packing": packing.query,
