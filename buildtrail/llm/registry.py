@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from buildtrail.llm import jaccard_join, packing, substring_dedup, suffix_dedup, toxicity, vector_search
+from buildtrail.llm import jaccard_join, line_dedup, packing, substring_dedup, suffix_dedup, toxicity, vector_search
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_suffix_dedup": suffix_dedup.query,
         "op5_toxic_segments": toxicity.query,
+        "op6_line_dedup": line_dedup.query,
         "op7_additive_quantisation": vector_search.query,
         "op8_jaccard_join": jaccard_join.query,
         "op9_nnls_packing": packing.query,
@@ -21,4 +22,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op6_line_dedup": line_dedup.SQL,
+    }
