@@ -9,8 +9,8 @@ A document is the set of its word n-grams (lower-cased A-Z). Two link at a Jacca
    sets must share one within their prefixes.
 3. Candidate pairs are compared in fragments of the order, each counting its partial overlap, and the
    partial overlaps are summed per pair. To find classes it isn't needed to compare all pairs of a
-   large group: sets meet two members of each prefix n-gram's group first, and then only pairs that are
-   still in different classes are compared, each of them.
+   large group: sets meet the most central members of their prefix n-grams' groups first, and then only
+   pairs that are still in different classes, each of them that a bound from part counts leaves open.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from buildtrail.llm.keys import ident, keyed
 from buildtrail.llm.session import checkpointed
 from buildtrail.ship import ship, shuffle_partitions
 
-FRAGMENTS = 4
+FRAGMENTS, PARTS, STARS, BLOCK = 4, 256, 3, 2000
 BROADCAST_ROWS = 500_000  # 24 bytes each
 
 
@@ -146,7 +146,10 @@ def _shared(texts: DataFrame, n: int) -> DataFrame:
 
 
 def _tokens(texts: DataFrame, n: int) -> DataFrame:
-    """(node struct<rank,k>, n, f, part array<long>): the sets in fragments of the n-gram order."""
+    """(node struct<rank,k>, n, f, part array<long>, counts): the sets in fragments of the n-gram order.
+
+    counts (with fragment 0 alone) has how many n-grams fall in each of PARTS parts, 255 at most.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,9 +160,12 @@ def _tokens(texts: DataFrame, n: int) -> DataFrame:
                 cut = np.searchsorted(doc * FRAGMENTS + (h >> np.uint64(62)).astype(np.int64), np.arange((j - i) * FRAGMENTS + 1))
                 at = pa.array(np.repeat(np.arange(j - i), FRAGMENTS))
                 part = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(h.view(np.int64)))
-                yield pa.RecordBatch.from_pydict({"k": batch.column(0).slice(i, j - i).take(at), "rank": batch.column(1).slice(i, j - i).take(at), "n": pa.array(np.repeat(np.diff(ho), FRAGMENTS), pa.int64()), "f": pa.array(np.tile(np.arange(FRAGMENTS), j - i), pa.int32()), "part": part})
+                place = doc * PARTS + (h % np.uint64(PARTS)).astype(np.int64)
+                counts = np.minimum(np.bincount(place, minlength=(j - i) * PARTS), 255).astype(np.uint8).reshape(j - i, PARTS)
+                counted = [x for row in counts for x in (row.tobytes(), *[None] * (FRAGMENTS - 1))]
+                yield pa.RecordBatch.from_pydict({"k": batch.column(0).slice(i, j - i).take(at), "rank": batch.column(1).slice(i, j - i).take(at), "n": pa.array(np.repeat(np.diff(ho), FRAGMENTS), pa.int64()), "f": pa.array(np.tile(np.arange(FRAGMENTS), j - i), pa.int32()), "part": part, "counts": pa.array(counted, pa.binary())})
 
-    return texts.mapInArrow(run, "k long, rank long, n long, f int, part array<long>").select(F.struct("rank", "k").alias("node"), "n", "f", "part")
+    return texts.mapInArrow(run, "k long, rank long, n long, f int, part array<long>, counts binary").select(F.struct("rank", "k").alias("node"), "n", "f", "part", "counts")
 
 
 def least_overlap(n: Column, percent: int) -> Column:
@@ -177,6 +183,66 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return total.filter(F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * percent)
 
 
+def _pair(x: Column, y: Column) -> Column:
+    """{a, b, na, nb} of two {node, n}, the lesser node first."""
+    low, high = F.least(x, y), F.greatest(x, y)
+    return F.struct(low["node"].alias("a"), high["node"].alias("b"), low["n"].alias("na"), high["n"].alias("nb"))
+
+
+def _stars(prefix: DataFrame, percent: int) -> DataFrame:
+    """A few likely pairs for each set: with the sets in the middle of most of its n-grams' groups."""
+    own = F.struct("central", "node", "n")
+    best = prefix.groupBy("gram").agg(F.max(own).alias("one"), F.count("*").alias("many")).filter("many > 1")
+    met = prefix.join(best.select("gram", "one"), "gram").filter(F.col("node") != F.col("one.node"))
+    met = met.filter(F.least("n", "one.n") * 100 >= F.greatest("n", "one.n") * percent)
+    met = met.groupBy("node", "n", "one").agg(F.count("*").alias("times"))
+    order = Window.partitionBy("node").orderBy(F.desc("times"), F.desc("one"))
+    met = met.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= STARS)
+    pair = _pair(F.struct("node", "n"), F.struct(F.col("one.node").alias("node"), F.col("one.n").alias("n")))
+    return met.select(pair.alias("p")).select("p.*").distinct()
+
+
+def _across(prefix: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All pairs of different classes that share a prefix n-gram, but for those that can't link.
+
+    Sets of a n-gram's group meet block by block. The counts of two sets by part differ by no more in sum than the
+    sets themselves do, so pairs whose counts differ by more than a link allows are left out at once.
+    """
+    placed = prefix.drop("central").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    many = placed.groupBy("gram").agg(F.count("*").alias("many"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
+    mixed = placed.join(many.select("gram", "many"), "gram").join(sets.filter("f = 0").select("node", "counts"), "node")
+    blocks = F.ceil(F.col("many") / BLOCK).cast("int")
+    mixed = mixed.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    mixed = mixed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = mixed.select("gram", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node.rank", "node.k", "n", F.col("root.rank").alias("root_rank"), F.col("root.k").alias("root_k"), "counts")
+
+    def meet(table: pa.Table) -> pa.Table:
+        table = table.sort_by("gram")
+        col = {c: table.column(c).to_numpy() for c in ("gram", "i", "j", "own", "rank", "k", "n", "root_rank", "root_k")}
+        counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), np.uint8).reshape(table.num_rows, -1).astype(np.int16)
+        _, root = np.unique(np.rec.fromarrays([col["root_rank"], col["root_k"]]), return_inverse=True)
+        first, second = col["own"] == col["i"], col["own"] == col["j"]
+        end = np.searchsorted(col["gram"], col["gram"], "right")
+        start = np.searchsorted(col["gram"], col["gram"])
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for x in np.flatnonzero(first):
+            low = x + 1 if second[x] else start[x]
+            y = np.arange(low, end[x])
+            y = y[second[low : end[x]] & (root[low : end[x]] != root[x])]
+            if len(y):
+                y = y[np.abs(counts[y] - counts[x]).sum(1) * (100 + percent) <= (col["n"][y] + col["n"][x]) * (100 - percent)]
+                a.append(np.full(len(y), x))
+                b.append(y)
+        a, b = np.concatenate(a), np.concatenate(b)
+        return pa.table({f"{c}_{s}": col[c][v] for s, v in (("a", a), ("b", b)) for c in ("rank", "k", "n")})
+
+    schema = ", ".join(f"{c}_{s} long" for s in "ab" for c in ("rank", "k", "n"))
+    buckets = 4 * shuffle_partitions(prefix.sparkSession)
+    met = rows.groupBy(F.pmod("gram", F.lit(buckets)).alias("bucket"), "i", "j").applyInArrow(meet, schema)
+    side = lambda s: F.struct(F.struct(F.col(f"rank_{s}").alias("rank"), F.col(f"k_{s}").alias("k")).alias("node"), F.col(f"n_{s}").alias("n"))
+    return met.select(_pair(side("a"), side("b")).alias("p")).select("p.*").distinct()
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 75) -> DataFrame:
     """(k, rank, n, root): each row's set size and the least (rank, k) reachable by links; a text without words is alone.
 
@@ -193,38 +259,15 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     sets = checkpointed(_tokens(texts.join(F.broadcast(able) if small else able, ["k", "rank"], "left_semi").dropDuplicates(["k", "rank"]), n))
 
     posts = sets.select("node", "n", F.explode("part").alias("gram"))
-    by_gram = Window.partitionBy("gram")
-    posts = posts.withColumn("df", F.count("*").over(by_gram)).filter("df > 1")
     by_node = Window.partitionBy("node")
-    posts = posts.withColumn("common", F.count("*").over(by_node)).withColumn("nth", F.row_number().over(by_node.orderBy("df", "gram")))
+    posts = posts.withColumn("df", F.count("*").over(Window.partitionBy("gram"))).filter("df > 1")
+    posts = posts.withColumn("common", F.count("*").over(by_node)).withColumn("central", F.avg("df").over(by_node)).withColumn("nth", F.row_number().over(by_node.orderBy("df", "gram")))
     prefix = posts.filter(F.col("n") - F.col("common") + F.col("nth") <= F.col("n") - least_overlap(F.col("n"), percent) + 1)
-    prefix = checkpointed(prefix.select("gram", "node", "n"))
-
-    fits = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (F.col("a") != F.col("b"))
-
-    def pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-        """left (gram, node, n) and right of the same grams -> distinct (a, b, na, nb), a < b."""
-        a = F.struct(F.col("node").alias("node"), F.col("n").alias("n"))
-        x = left.select("gram", a.alias("x"))
-        y = right.select("gram", a.alias("y"))
-        met = x.join(y, "gram").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-        return met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).filter(fits).distinct()
-
-    own = F.struct("node", "n")
-    middle = prefix.groupBy("gram").agg(F.min(own).alias("first"), F.min_by(own, F.xxhash64("node", F.lit(1))).alias("other"), F.count("*").alias("many")).filter("many > 1")
-    stars = middle.select("gram", F.explode(F.array("first", "other")).alias("c")).select("gram", "c.node", "c.n")
-    tried = checkpointed(pairs(prefix, stars))
-    links = checkpointed(_linked(tried, sets, percent).select(F.col("a").alias("u"), F.col("b").alias("v")))
-    found = connected_components(links)
+    prefix = checkpointed(prefix.select("gram", "node", "n", "central"))
 
-    placed = prefix.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    many = placed.groupBy("gram", "root").agg(F.count("*").alias("m")).groupBy("gram").agg(F.max_by("root", F.struct("m", "root")).alias("main"), F.count("*").alias("roots")).filter("roots > 1")
-    mixed = placed.join(many.select("gram", "main"), "gram")
-    minor = mixed.filter("root <> main").select("gram", F.struct("node", "n").alias("x"), F.col("root").alias("rx"))
-    anyone = mixed.select("gram", F.struct("node", "n").alias("y"), F.col("root").alias("ry"))
-    low, high = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
-    met = minor.join(anyone, (minor["gram"] == anyone["gram"]) & (F.col("rx") != F.col("ry")) & (low * 100 >= high * percent)).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-    rest = met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
+    links = checkpointed(_linked(_stars(prefix, percent), sets, percent).select(F.col("a").alias("u"), F.col("b").alias("v")))
+    found = connected_components(links)
+    rest = _across(prefix, found, sets, percent)
     more = _linked(rest, sets, percent).select(F.col("a").alias("u"), F.col("b").alias("v"))
     roots = connected_components(links.unionByName(more))
 
