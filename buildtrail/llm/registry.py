@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from buildtrail.llm import chat_format, html_extract, jaccard_join, line_dedup, packing, substring_dedup, suffix_dedup, toxicity, vector_search
+from buildtrail.llm import chat_format, decontaminate, html_extract, jaccard_join, line_dedup, packing, substring_dedup, suffix_dedup, toxicity, vector_search
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_block_html": html_extract.query,
         "op2_suffix_dedup": suffix_dedup.query,
+        "op3_latent_decontamination": decontaminate.query,
         "op4_chat_examples": chat_format.query,
         "op5_toxic_segments": toxicity.query,
         "op6_line_dedup": line_dedup.query,

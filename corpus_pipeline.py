@@ -1,12 +1,80 @@
-"""The corpus pipeline: STAGES in order, each written as Parquet and read again by the next."""
+"""The corpus pipeline: STAGES in order, each written as Parquet and read again by the next.
+
+Toxic documents go; repeated lines go, and documents of which no line is left; of each class of near
+duplicates the smallest id stays; documents with a benchmark passage go; the rest is packed.
+"""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from buildtrail.llm import decontaminate, jaccard_join, line_dedup, packing, toxicity
+
+ORACLE_SQL = None  # packing and the learnt stages have no SQL; tests hold the stages against brute force
+
+
+def _matching(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """Rows of docs with (left_semi) or without (left_anti) a row of keys (k, rank), whatever docs' columns are called."""
+    work = "_" * (1 + max(len(c) for c in docs.columns))
+    number, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))
+    wide = docs.withColumn(work + "k", F.xxhash64(number, text)).withColumn(work + "rank", F.coalesce(number, F.lit((1 << 63) - 1)))
+    named = keys.select(F.col("k").alias(work + "k"), F.col("rank").alias(work + "rank"))
+    return wide.join(named, [work + "k", work + "rank"], how).select(*docs.columns)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose score is at least one half go."""
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = toxicity.score(docs, model)
+    return scored.filter("score < 0.5").select(*docs.columns)
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated lines go, and with them documents that had lines and have none left; n_chars is counted anew."""
+    kept = line_dedup.dedup_lines(docs).filter("n_removed = 0 or trim(text) <> ''")
+    changed = kept.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return changed.select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest id stays of each class; repeated rows stay once."""
+    classes = jaccard_join.classes(docs)
+    others = classes.filter((F.col("root.k") != F.col("k")) | (F.col("root.rank") != F.col("rank"))).select("k", "rank")
+    return _matching(docs, others, "left_anti").dropDuplicates(["doc_id", "text"])
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a passage of the benchmark go."""
+    found = decontaminate.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _matching(docs, found.select("k", "rank").distinct(), "left_anti")
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each packed piece."""
+    return packing.pack_documents(docs, packing.default_tokenizer())
+
 
-STAGES: list = []
-ORACLE_SQL = None
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_lines),
+    ("ngram_jaccard_join", drop_near_copies),
+    ("benchmark_decontamination", drop_leaks),
+    ("packing", pack),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Apply STAGES to the documents table; results between stages go to the shared checkpoint folder."""
+    context = spark.sparkContext
+    shared = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir() or tempfile.mkdtemp(prefix="buildtrail-pipeline-")
+    base = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (name, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{base}/{i}-{name}")
+        docs = spark.read.parquet(f"{base}/{i}-{name}")
+    return docs
