@@ -38,14 +38,14 @@ def split_parts(items: list[tuple[int, str | None]]) -> list[Part]:
     out = []
     for item, text in items:
         buf = np.frombuffer((text or "").encode(), np.uint8)
-        _, _, h, _ = tn.words(tn.lower_ascii(buf), np.array([0, len(buf)]), SEPARATOR)
+        _, _, h, _ = tn.words(tn.lower(buf), np.array([0, len(buf)]), SEPARATOR)
         n = max(1, -(-len(h) // PART))
         out += [Part(item, p) for p in np.array_split(h, n) if len(p) >= LEAST_WORDS]
     return out
 
 
 def doc_words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    _, _, h, wo = tn.words(tn.lower_ascii(buf), offs, SEPARATOR)
+    _, _, h, wo = tn.words(tn.lower(buf), offs, SEPARATOR)
     return h, wo
 
 

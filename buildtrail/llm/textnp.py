@@ -130,6 +130,16 @@ def lower_ascii(buf: np.ndarray) -> np.ndarray:
     return np.where((buf >= 65) & (buf <= 90), buf + np.uint8(32), buf)
 
 
+def lower(buf: np.ndarray) -> np.ndarray:
+    """Lower case of ASCII and of the accented letters of the first two-byte block, in UTF-8."""
+    out = lower_ascii(buf)
+    at = np.flatnonzero((out[1:] >= 0x80) & (out[1:] <= 0x9E) & (out[1:] != 0x97) & (out[:-1] == 0xC3)) + 1
+    if len(at):
+        out = out.copy()
+        out[at] += np.uint8(32)
+    return out
+
+
 def _least(keys: np.ndarray, w: int) -> np.ndarray:
     """Minimum of every w neighbours, by doubling."""
     have, out = 1, keys

@@ -35,19 +35,9 @@ def fold(id_col: str) -> Column:
     return F.crc32(F.col(id_col).cast("string")) % 5
 
 
-def lower(buf: np.ndarray) -> np.ndarray:
-    """Lower case of ASCII and of the accented letters of the first two-byte block."""
-    out = tn.lower_ascii(buf)
-    at = np.flatnonzero((out[1:] >= 0x80) & (out[1:] <= 0x9E) & (out[1:] != 0x97) & (out[:-1] == 0xC3)) + 1
-    if len(at):
-        out = out.copy()
-        out[at] += np.uint8(32)
-    return out
-
-
 def tokens(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends, texts' offsets; then, for distinct tokens: features (tokens x kinds, 0 for none), and each token's place among them."""
-    small = lower(buf)
+    small = tn.lower(buf)
     starts, ends, h, wo = tn.words(small, offs, SEPARATOR)
     unique, first, of = np.unique(h, return_index=True, return_inverse=True)
     features = np.zeros((len(unique), 1 + len(PREFIXES)), np.uint64)
