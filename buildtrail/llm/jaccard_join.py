@@ -10,7 +10,7 @@ A document is the set of its word n-grams (lower-cased A-Z). Two link at a Jacca
 3. Candidate pairs are compared in fragments of the order, each counting its partial overlap, and the
    partial overlaps are summed per pair. To find classes it isn't needed to compare all pairs of a
    large group: sets meet the most central members of their prefix n-grams' groups first, and then only
-   pairs that are still in different classes, each of them that a bound from part counts leaves open.
+   pairs that are still in different classes, each of them that a bound from parities leaves open.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from buildtrail.llm.keys import ident, keyed
 from buildtrail.llm.session import checkpointed
 from buildtrail.ship import ship, shuffle_partitions
 
-FRAGMENTS, PARTS, STARS, BLOCK = 4, 256, 3, 2000
+FRAGMENTS, PARITIES, STARS, BLOCK = 4, 4096, 3, 2000
 BROADCAST_ROWS = 500_000  # 24 bytes each
 
 
@@ -146,9 +146,9 @@ def _shared(texts: DataFrame, n: int) -> DataFrame:
 
 
 def _tokens(texts: DataFrame, n: int) -> DataFrame:
-    """(node struct<rank,k>, n, f, part array<long>, counts): the sets in fragments of the n-gram order.
+    """(node struct<rank,k>, n, f, part array<long>, parity): the sets in fragments of the n-gram order.
 
-    counts (with fragment 0 alone) has how many n-grams fall in each of PARTS parts, 255 at most.
+    parity (with fragment 0 alone) has a bit for each of PARITIES parts: whether an odd number of n-grams fall in it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,12 +160,13 @@ def _tokens(texts: DataFrame, n: int) -> DataFrame:
                 cut = np.searchsorted(doc * FRAGMENTS + (h >> np.uint64(62)).astype(np.int64), np.arange((j - i) * FRAGMENTS + 1))
                 at = pa.array(np.repeat(np.arange(j - i), FRAGMENTS))
                 part = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(h.view(np.int64)))
-                place = doc * PARTS + (h % np.uint64(PARTS)).astype(np.int64)
-                counts = np.minimum(np.bincount(place, minlength=(j - i) * PARTS), 255).astype(np.uint8).reshape(j - i, PARTS)
-                counted = [x for row in counts for x in (row.tobytes(), *[None] * (FRAGMENTS - 1))]
-                yield pa.RecordBatch.from_pydict({"k": batch.column(0).slice(i, j - i).take(at), "rank": batch.column(1).slice(i, j - i).take(at), "n": pa.array(np.repeat(np.diff(ho), FRAGMENTS), pa.int64()), "f": pa.array(np.tile(np.arange(FRAGMENTS), j - i), pa.int32()), "part": part, "counts": pa.array(counted, pa.binary())})
+                times = np.zeros((j - i, PARITIES), np.uint8)
+                np.add.at(times, (doc, (h % np.uint64(PARITIES)).astype(np.int64)), 1)
+                bits = np.packbits(times & 1, axis=1)
+                odd = [x for row in bits for x in (row.tobytes(), *[None] * (FRAGMENTS - 1))]
+                yield pa.RecordBatch.from_pydict({"k": batch.column(0).slice(i, j - i).take(at), "rank": batch.column(1).slice(i, j - i).take(at), "n": pa.array(np.repeat(np.diff(ho), FRAGMENTS), pa.int64()), "f": pa.array(np.tile(np.arange(FRAGMENTS), j - i), pa.int32()), "part": part, "parity": pa.array(odd, pa.binary())})
 
-    return texts.mapInArrow(run, "k long, rank long, n long, f int, part array<long>, counts binary").select(F.struct("rank", "k").alias("node"), "n", "f", "part", "counts")
+    return texts.mapInArrow(run, "k long, rank long, n long, f int, part array<long>, parity binary").select(F.struct("rank", "k").alias("node"), "n", "f", "part", "parity")
 
 
 def least_overlap(n: Column, percent: int) -> Column:
@@ -205,21 +206,21 @@ def _stars(prefix: DataFrame, percent: int) -> DataFrame:
 def _across(prefix: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """All pairs of different classes that share a prefix n-gram, but for those that can't link.
 
-    Sets of a n-gram's group meet block by block. The counts of two sets by part differ by no more in sum than the
-    sets themselves do, so pairs whose counts differ by more than a link allows are left out at once.
+    Sets of an n-gram's group meet block by block. A part's parity differs between two sets only if they differ in it, so
+    pairs with more differing parities than a link's sets can have different n-grams are left out at once.
     """
     placed = prefix.drop("central").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     many = placed.groupBy("gram").agg(F.count("*").alias("many"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
-    mixed = placed.join(many.select("gram", "many"), "gram").join(sets.filter("f = 0").select("node", "counts"), "node")
+    mixed = placed.join(many.select("gram", "many"), "gram").join(sets.filter("f = 0").select("node", "parity"), "node")
     blocks = F.ceil(F.col("many") / BLOCK).cast("int")
     mixed = mixed.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     mixed = mixed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = mixed.select("gram", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node.rank", "node.k", "n", F.col("root.rank").alias("root_rank"), F.col("root.k").alias("root_k"), "counts")
+    rows = mixed.select("gram", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node.rank", "node.k", "n", F.col("root.rank").alias("root_rank"), F.col("root.k").alias("root_k"), "parity")
 
     def meet(table: pa.Table) -> pa.Table:
         table = table.sort_by("gram")
         col = {c: table.column(c).to_numpy() for c in ("gram", "i", "j", "own", "rank", "k", "n", "root_rank", "root_k")}
-        counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), np.uint8).reshape(table.num_rows, -1).astype(np.int16)
+        parity = np.frombuffer(b"".join(table.column("parity").to_pylist()), np.uint64).reshape(table.num_rows, -1)
         _, root = np.unique(np.rec.fromarrays([col["root_rank"], col["root_k"]]), return_inverse=True)
         first, second = col["own"] == col["i"], col["own"] == col["j"]
         end = np.searchsorted(col["gram"], col["gram"], "right")
@@ -230,7 +231,7 @@ def _across(prefix: DataFrame, found: DataFrame, sets: DataFrame, percent: int)
             y = np.arange(low, end[x])
             y = y[second[low : end[x]] & (root[low : end[x]] != root[x])]
             if len(y):
-                y = y[np.abs(counts[y] - counts[x]).sum(1) * (100 + percent) <= (col["n"][y] + col["n"][x]) * (100 - percent)]
+                y = y[np.bitwise_count(parity[y] ^ parity[x]).sum(1, dtype=np.int64) * (100 + percent) <= (col["n"][y] + col["n"][x]) * (100 - percent)]
                 a.append(np.full(len(y), x))
                 b.append(y)
         a, b = np.concatenate(a), np.concatenate(b)
