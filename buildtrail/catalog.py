@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from buildtrail.plans import telemetry
+from buildtrail.plans import fleet, graph, telemetry
 
-MODULES = [telemetry]
+MODULES = [telemetry, graph, fleet]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
