@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from buildtrail.plans import fleet, graph, telemetry
+from buildtrail.plans import fleet, graph, store, telemetry, windows
 
-MODULES = [telemetry, graph, fleet]
+MODULES = [telemetry, graph, fleet, store, windows]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -71,7 +71,7 @@ def human_bytes(c: Column | str) -> Column:
     n = col(c).cast("long")
     out = F.concat(n.cast("string"), F.lit(" B"))
     for power, letter in enumerate("KMGTPE", 1):
-        out = F.when(n >= 1 << (10 * power), F.concat(F.format_string("%.1f", n / float(1 << (10 * power))), F.lit(f" {letter}iB"))).otherwise(out)
+        out = F.when(n >= 1 << (10 * power), F.concat(F.format_string("%.1f", F.bround(n / float(1 << (10 * power)), 1)), F.lit(f" {letter}iB"))).otherwise(out)
     return out
 
 
@@ -109,9 +109,7 @@ def clean_path(c: Column | str) -> Column:
     """The shortest equal path, by elements: no empty or "." element, ".." takes one off."""
     parts = F.filter(F.split(col(c), "/"), lambda x: ~x.isin("", "."))
     rooted = col(c).startswith("/")
-    last = lambda a: F.element_at(a, -1)
     step = lambda a, x: F.when((x == "..") & (F.size(a) > 0) & (F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit("")) != ".."), F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).when((x == "..") & rooted, a).otherwise(F.concat(a, F.array(x)))
-    del last
     body = F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")
     return F.when(rooted, F.concat(F.lit("/"), body)).when(body == "", F.lit(".")).otherwise(body)
 
