@@ -163,3 +163,34 @@ def definition_key(*fields: str) -> Column:
 def backoff_ms(consecutive: Column | str, base_ms: int = 1000) -> Column:
     """base 2^(n-1), 30 times base at most."""
     return F.least(F.lit(30 * base_ms), (F.lit(base_ms) * F.pow(F.lit(2.0), col(consecutive) - 1))).cast("long")
+
+
+def key_type(key: Column | str) -> Column:
+    """The type in the upper four bits of a hex key's first byte."""
+    return F.conv(F.substring(col(key), 1, 1), 16, 10).cast("int")
+
+
+def key_length(key: Column | str) -> Column:
+    """The logical length: as many bytes as the lower four bits of the first byte say, big-endian."""
+    n = F.conv(F.substring(col(key), 2, 1), 16, 10).cast("int")
+    return F.when(n <= 7, F.coalesce(F.conv(F.when(n > 0, col(key).substr(F.lit(3), 2 * n)).otherwise(F.lit("0")), 16, 10).cast("long"), F.lit(0)))
+
+
+def event_field(data: Column | str, name: str, kind: str) -> Column:
+    """A typed field of an event's JSON; NULL where it is absent or of another type."""
+    return F.get_json_object(col(data), f"$.{name}").try_cast(kind)
+
+
+def attempt_verdict(cls: Column | str, disposition: Column | str, exit_code: Column | str) -> Column:
+    """Class, disposition and a non-zero exit code as one line."""
+    return F.concat_ws(" ", col(cls), F.when(col(disposition) != "done", F.concat(F.lit("("), col(disposition), F.lit(")"))), F.when(col(exit_code) != 0, F.concat(F.lit("exit "), col(exit_code).cast("string"))))
+
+
+def label_node(label: Column | str, node: Column | str) -> Column:
+    """The label where there is one, with the short node name."""
+    return F.concat_ws(" ", F.when(F.coalesce(col(label), F.lit("")) != "", col(label)), F.concat(F.lit("["), short_node(node), F.lit("]")))
+
+
+def result_class(outcome: Column | str) -> Column:
+    """Class of an outcome word; unknown words are hard."""
+    return F.when(col(outcome).isin("ok", "done"), F.lit("ok")).when(col(outcome).isin("timeout", "lost", "busy"), F.lit("retryable")).when(col(outcome) == "cancelled", F.lit("cancelled")).when(col(outcome) == "draining", F.lit("control")).otherwise(F.lit("hard"))

@@ -74,3 +74,15 @@ def gate_refs(proposals: DataFrame) -> DataFrame:
     reason = F.when(F.coalesce("key", F.lit("")) == "", "empty key").when(~F.array_contains(allowed, F.substring_index("name", ":", 1)), "name not allowed")
     out = proposals.withColumn("reason", reason)
     return out.withColumn("accepted", F.bool_and(F.col("reason").isNull()).over(Window.partitionBy("batch")))
+
+
+def pullable_tags(refs: DataFrame, images: DataFrame) -> DataFrame:
+    """Distinct keys of build-from: refs and of images (k)."""
+    named = refs.filter(F.col("name").startswith("build-from:")).select(F.substring("name", len("build-from:") + 1, 1 << 20).alias("k"))
+    return named.unionByName(images.select("k")).filter("k <> ''").distinct()
+
+
+def list_requests(requests: DataFrame, limit: int = 0) -> DataFrame:
+    """Newest first, ties by id."""
+    out = requests.orderBy(F.desc("created"), "request")
+    return out.limit(limit) if limit else out

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from buildtrail.functions import scalars as x
 from buildtrail.operators import builds as b
+from buildtrail.operators import refs
 from buildtrail.plans import graph as g
 from buildtrail.plans import telemetry as t
 
@@ -36,6 +38,13 @@ QUERIES = {
     "flatten_tree": lambda s, d: b.flatten_tree(g.edges(s, d), g.nodes(s, d).filter("node < 3").select("node")).select("node", "depth", F.array_join(F.col("path").cast("array<string>"), "/").alias("path")),
     "deal_round_robin": lambda s, d: b.deal_round_robin(lines(s, d).select(F.col("l_suppkey").alias("round"), F.col("l_orderkey").alias("key")).distinct(), "key", 3),
     "split_undecodable": lambda s, d: b.split_undecodable(t.events(s, d).withColumn("raw", F.when(F.col("seq") % 5 == 0, F.concat(F.lit("x"), F.col("props"))).otherwise(F.col("props"))), "raw", "k long")[0].select("seq", "value.k"),
+    "key_parts": lambda s, d: s.read.parquet(f"{d}/part.parquet").select("p_partkey", F.concat(F.hex(F.col("p_size") % 16), F.lit("3"), F.lpad(F.hex("p_partkey"), 6, "0"), F.lit("ff")).alias("k")).select("p_partkey", x.key_type(F.lower("k")).alias("kind"), x.key_length(F.lower("k")).alias("length")),
+    "event_field": lambda s, d: t.events(s, d).select("seq", x.event_field("props", "k", "long").alias("k"), x.event_field("props", "none", "double").alias("none")),
+    "definition_key": lambda s, d: lines(s, d).select("l_partkey", "l_suppkey", F.when(F.col("l_linenumber") > 3, F.col("l_linenumber")).alias("opt")).withColumn("key", x.definition_key("l_suppkey", "l_partkey", "opt")).agg(F.countDistinct("key").alias("keys"), F.countDistinct("l_partkey", "l_suppkey", F.coalesce("opt", F.lit(0))).alias("definitions")),
+    "attempt_verdict": lambda s, d: t.trail(s, d).select("node", "gen", x.attempt_verdict("class", "disposition", F.col("gen") - 1).alias("verdict")),
+    "label_node": lambda s, d: s.read.parquet(f"{d}/part.parquet").select("p_partkey", x.label_node(F.when(F.col("p_size") > 9, F.col("p_name")), F.concat(F.lit("build_"), F.sha2("p_name", 256))).alias("label")),
+    "pullable_tags": lambda s, d: refs.pullable_tags(s.read.parquet(f"{d}/orders.parquet").select(F.concat(F.when(F.col("o_orderstatus") == "O", "build-from:").otherwise("x:"), F.col("o_custkey")).alias("name")), s.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").cast("string").alias("k"))),
+    "list_requests": lambda s, d: refs.list_requests(s.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("request"), F.col("o_orderdate").alias("created")), 50).select("request"),
     "diagnosis_json": lambda s, d: b.diagnosis_json(t.newest(s, d).filter("disposition <> 'done'"), ["gen", "class", "disposition"]),
 }
 
@@ -56,4 +65,11 @@ SQL = {
     "flatten_tree": f"WITH {g.BASE}, f AS (WITH RECURSIVE c AS (SELECT node, 0 AS depth, node::VARCHAR AS path FROM nd WHERE node < 3 UNION ALL SELECT ed.dep, depth + 1, path || '/' || ed.dep FROM c JOIN ed ON c.node = ed.node) SELECT * FROM c) SELECT node, depth, path FROM f",
     "deal_round_robin": "WITH w AS (SELECT DISTINCT l_suppkey AS round, l_orderkey AS key FROM lineitem) SELECT round, key, (row_number() OVER (PARTITION BY round ORDER BY key) - 1) % 3 AS channel FROM w",
     "split_undecodable": "SELECT event_id AS seq, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE event_id % 5 <> 0",
+    "key_parts": "SELECT p_partkey, p_size % 16 AS kind, p_partkey AS length FROM part",
+    "event_field": "SELECT event_id AS seq, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, NULL::DOUBLE AS none FROM events",
+    "definition_key": "SELECT count(DISTINCT (l_partkey, l_suppkey, CASE WHEN l_linenumber > 3 THEN l_linenumber ELSE 0 END)) AS keys, keys AS definitions FROM lineitem",
+    "attempt_verdict": f"WITH {t.TRAIL_SQL} SELECT node, gen, class || CASE WHEN disposition <> 'done' THEN ' (' || disposition || ')' ELSE '' END || CASE WHEN gen <> 1 THEN ' exit ' || (gen - 1) ELSE '' END AS verdict FROM walk",
+    "label_node": "SELECT p_partkey, CASE WHEN p_size > 9 THEN p_name || ' ' ELSE '' END || '[build:' || left(sha256(p_name), 8) || ']' AS label FROM part",
+    "pullable_tags": "SELECT o_custkey::VARCHAR AS k FROM orders WHERE o_orderstatus = 'O' UNION SELECT s_suppkey::VARCHAR FROM supplier",
+    "list_requests": "SELECT o_orderkey AS request FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 50",
 }
