@@ -262,7 +262,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     posts = sets.select("node", "n", F.explode("part").alias("gram"))
     by_node = Window.partitionBy("node")
     posts = posts.withColumn("df", F.count("*").over(Window.partitionBy("gram"))).filter("df > 1")
-    posts = posts.withColumn("common", F.count("*").over(by_node)).withColumn("central", F.avg("df").over(by_node)).withColumn("nth", F.row_number().over(by_node.orderBy("df", "gram")))
+    posts = posts.withColumn("common", F.count("*").over(by_node)).withColumn("central", F.sum("df").over(by_node) / F.col("n")).withColumn("nth", F.row_number().over(by_node.orderBy("df", "gram")))
     prefix = posts.filter(F.col("n") - F.col("common") + F.col("nth") <= F.col("n") - least_overlap(F.col("n"), percent) + 1)
     prefix = checkpointed(prefix.select("gram", "node", "n", "central"))
 
