@@ -169,7 +169,7 @@ def masks(words: list[int]) -> dict[int, int]:
     return out
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least_cosine: float = 0.3, least_lcs: float = 0.7, least_answer: float = 0.5) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least_cosine: float = 0.45, least_lcs: float = 0.7, least_answer: float = 0.5) -> DataFrame:
     """(k, rank, item, cosine, lcs): each document and benchmark item that has a part in it, with the best values.
 
     Null or empty texts leak nothing; items with a null id or of fewer than LEAST_WORDS words are left out; equal rows
@@ -244,7 +244,11 @@ def _search(texts: DataFrame, parts: list[Part], least_cosine: float, least_lcs:
                         start = int(wo[doc]) + (c - int(co[doc])) * STRIDE
                         item, w = parts[p]
                         near = h[max(int(wo[doc]), start - STRIDE // 2) : min(int(wo[doc + 1]), start + 2 * STRIDE + STRIDE // 2)].tolist()
-                        n = lcs_length(whole[p], len(w), near)
+                        # repeated words count each time they stand in the part, so this bounds the subsequence
+                        held = whole[p]
+                        if sum(held[x].bit_count() for x in set(near) if x in held) < least_lcs * len(w):
+                            continue
+                        n = lcs_length(held, len(w), near)
                         if n >= least_lcs * len(w) and lcs_length(answer_masks[p], len(answers[p]), near) >= least_answer * len(answers[p]):
                             out["k"].append(batch.column(0)[i + doc].as_py())
                             out["rank"].append(batch.column(1)[i + doc].as_py())
