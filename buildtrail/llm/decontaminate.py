@@ -1,7 +1,7 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Benchmark texts (in parts of at most ``PART`` words) and documents (in passages of 64 words, every 32) are TF-IDF
-vectors over the benchmark's vocabulary, with document frequencies counted over the whole corpus. A
+Benchmark texts (in parts of at most ``PART`` words) and documents (in passages of 64 words, every 32; of 32, 16 or 8
+words, every half, for parts of at most 24, 12 or 6) are TF-IDF vectors over the benchmark's vocabulary, with document frequencies counted over the whole corpus. A
 randomised SVD of all corpus passages and the benchmark's own gives a latent space: every task adds its passages'
 share of A'A Omega for one random Omega, and the shares are summed in two steps. Passages whose
 cosine with a benchmark part reaches ``least_cosine`` are compared word by word: the longest common
@@ -24,6 +24,7 @@ from buildtrail.ship import ship
 
 PART, STRIDE, LEAST_WORDS, RANK, EXTRA, STOP_SHARE = 48, 32, 5, 128, 16, 0.1
 BLOCK = 4000
+LEAST_STRIDE, ROWS = 4, 1024
 SEPARATOR = np.array([not (48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128) for b in range(256)])
 
 
@@ -169,7 +170,67 @@ def masks(words: list[int]) -> dict[int, int]:
     return out
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least_cosine: float = 0.45, least_lcs: float = 0.7, least_answer: float = 0.5) -> DataFrame:
+def stride_of(n: int) -> int:
+    """Half the words of the passages that a part of n words is compared with: no part is under 3/8 of its passage."""
+    stride = STRIDE
+    while stride > LEAST_STRIDE and n <= stride * 3 // 4:
+        stride //= 2
+    return stride
+
+
+def _places(vocabulary: np.ndarray, parts: list[tuple[int, list[int]]]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct terms of each part and how often each stands in it, filled up with the term after the last."""
+    places = np.full((len(parts), PART), len(vocabulary), np.int64)
+    times = np.zeros((len(parts), PART), np.uint8)
+    for p, (_, w) in enumerate(parts):
+        term, n = np.unique(lookup(vocabulary, np.array(w, np.uint64))[1], return_counts=True)
+        places[p, : len(term)], times[p, : len(term)] = term, n
+    return places, times
+
+
+def _candidates(sums: np.ndarray, co: np.ndarray, stride: int, vectors: np.ndarray, mine: np.ndarray, least_cosine: float, held: tuple[np.ndarray, np.ndarray, np.ndarray], terms: int, places: np.ndarray, times: np.ndarray, least: np.ndarray) -> Iterator[tuple[int, int, float]]:
+    """(first cell, part, cosine) of the passages of two cells that reach the cosine and, with half a cell on each side,
+    hold enough of the part's words: repeated words count each time they stand in the part, so this bounds the subsequence.
+
+    held: place in its text, text and term of each word of the vocabulary.
+    """
+    last = np.zeros(len(sums) + 1, bool)
+    last[co[1:] - 1] = True
+    passage = sums.copy()
+    passage[:-1] += np.where(last[: len(sums) - 1, None], 0, sums[1:])
+    size = np.linalg.norm(passage, axis=1)
+    place, doc, term = held
+    cells = co[doc + 1] - co[doc]
+    newest = (place + stride // 2) // stride  # a word is near this passage of its text and the two before
+    order = co[doc] + place // stride
+    width = int((times[mine] > 0).sum(1).max())
+    places, times = places[:, :width], times[:, :width]
+    for s in range(0, len(sums), ROWS):
+        e = min(s + ROWS, len(sums))
+        rows = s + np.flatnonzero(size[s:e] > 0)
+        if not len(rows):
+            continue
+        cosine = (passage[rows] / size[rows, None]) @ vectors[mine].T
+        a, b = np.nonzero(cosine >= least_cosine)
+        if not len(a):
+            continue
+        near = np.zeros((e - s, terms + 1), np.uint8)
+        low, high = np.searchsorted(order, [s - 2, e + 3])
+        for back in range(3):
+            at = newest[low:high] - back
+            cell = co[doc[low:high]] + at - s
+            fits = (at >= 0) & (at < cells[low:high]) & (cell >= 0) & (cell < e - s)
+            near[cell[fits], term[low:high][fits]] = 1
+        near = near.ravel()
+        for t in range(0, len(a), 1 << 14):
+            x, p = a[t : t + (1 << 14)], mine[b[t : t + (1 << 14)]]
+            there = near[((rows[x] - s) * (terms + 1))[:, None] + places[p]]
+            there *= times[p]
+            for y in np.flatnonzero(there.sum(1, dtype=np.int64) >= least[p]):
+                yield int(rows[x[y]]), int(p[y]), float(cosine[x[y], b[t + y]])
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least_cosine: float = 0.15, least_lcs: float = 0.7, least_answer: float = 0.5) -> DataFrame:
     """(k, rank, item, cosine, lcs): each document and benchmark item that has a part in it, with the best values.
 
     Null or empty texts leak nothing; items with a null id or of fewer than LEAST_WORDS words are left out; equal rows
@@ -219,42 +280,45 @@ def _search(texts: DataFrame, parts: list[Part], least_cosine: float, least_lcs:
         whole = [masks(w) for _, w in parts]
         answers = [w[-max(1, len(w) // 3) :] for _, w in parts]
         answer_masks = [masks(w) for w in answers]
+        least = np.array([least_lcs * len(w) for _, w in parts])
+        strides = np.array([stride_of(len(w)) for _, w in parts])
+        places, times = _places(words, parts)
         for batch in batches:
             out: dict[str, list] = {"k": [], "rank": [], "item": [], "cosine": [], "lcs": []}
             for i, j, h, wo in _texts(batch, 2):
-                cell, co = _cells(wo, STRIDE)
                 known, term = lookup(words, h)
+                if not len(known):
+                    continue
+                doc = np.searchsorted(wo, known, "right") - 1
                 keep = telling[term]
-                cell, term = cell[known][keep], term[keep]
-                sums = np.zeros((int(co[-1]) + 1, latent.shape[1]), np.float32)
-                for s in range(0, len(term), 1 << 15):  # bounded rows at a time
-                    part = cell[s : s + (1 << 15)]
-                    sums[part[0] : part[-1] + 1] += _sum_rows(latent[term[s : s + (1 << 15)]], part - part[0], int(part[-1] - part[0]) + 1)
-                last = np.zeros(int(co[-1]) + 1, bool)
-                last[co[1:] - 1] = True
-                passage = sums[:-1] + np.where(last[:-1, None], 0, sums[1:])
-                size = np.linalg.norm(passage, axis=1)
-                rows = np.flatnonzero(size > 0)
-                for s in range(0, len(rows), 4096):
-                    some = rows[s : s + 4096]
-                    cosine = (passage[some] / size[some, None]) @ vectors.T
-                    for a, p in np.argwhere(cosine >= least_cosine):
-                        c = int(some[a])
-                        doc = int(np.searchsorted(co, c, "right")) - 1
-                        start = int(wo[doc]) + (c - int(co[doc])) * STRIDE
-                        item, w = parts[p]
-                        near = h[max(int(wo[doc]), start - STRIDE // 2) : min(int(wo[doc + 1]), start + 2 * STRIDE + STRIDE // 2)].tolist()
-                        # repeated words count each time they stand in the part, so this bounds the subsequence
-                        held = whole[p]
-                        if sum(held[x].bit_count() for x in set(near) if x in held) < least_lcs * len(w):
-                            continue
-                        n = lcs_length(held, len(w), near)
-                        if n >= least_lcs * len(w) and lcs_length(answer_masks[p], len(answers[p]), near) >= least_answer * len(answers[p]):
-                            out["k"].append(batch.column(0)[i + doc].as_py())
-                            out["rank"].append(batch.column(1)[i + doc].as_py())
-                            out["item"].append(item)
-                            out["cosine"].append(float(cosine[a, p]))
-                            out["lcs"].append(n / len(w))
+                stride = int(strides.min())
+                cell, co = _cells(wo, stride)
+                sums = np.zeros((int(co[-1]), latent.shape[1]), np.float32)
+                at, some = cell[known][keep], term[keep]
+                for s in range(0, len(some), 1 << 15):  # bounded rows at a time
+                    part = at[s : s + (1 << 15)]
+                    sums[part[0] : part[-1] + 1] += _sum_rows(latent[some[s : s + (1 << 15)]], part - part[0], int(part[-1] - part[0]) + 1)
+                while True:
+                    mine = np.flatnonzero(strides == stride)
+                    if len(mine):
+                        for c, p, cosine in _candidates(sums, co, stride, vectors, mine, least_cosine, (known - wo[doc], doc, term), len(words), places, times, least):
+                            d = int(np.searchsorted(co, c, "right")) - 1
+                            start = int(wo[d]) + (c - int(co[d])) * stride
+                            item, w = parts[p]
+                            near = h[max(int(wo[d]), start - stride // 2) : min(int(wo[d + 1]), start + 2 * stride + stride // 2)].tolist()
+                            n = lcs_length(whole[p], len(w), near)
+                            if n >= least_lcs * len(w) and lcs_length(answer_masks[p], len(answers[p]), near) >= least_answer * len(answers[p]):
+                                out["k"].append(batch.column(0)[i + d].as_py())
+                                out["rank"].append(batch.column(1)[i + d].as_py())
+                                out["item"].append(item)
+                                out["cosine"].append(cosine)
+                                out["lcs"].append(n / len(w))
+                    if stride == STRIDE:
+                        break
+                    n = np.diff(co)
+                    pair = tn.spread(n) // 2
+                    stride, co = 2 * stride, np.concatenate([[0], np.cumsum(-(-n // 2))])
+                    sums = _sum_rows(sums, np.repeat(co[:-1], n) + pair, int(co[-1]))
             yield pa.RecordBatch.from_pydict({c: pa.array(v, pa.int64() if c in ("k", "rank", "item") else pa.float64()) for c, v in out.items()})
 
     return texts.mapInArrow(run, "k long, rank long, item long, cosine double, lcs double")

@@ -82,6 +82,23 @@ def test_decontamination(spark):
     assert decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string, item long"), spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+def test_decontamination_recall_in_the_same_vocabulary(spark):
+    r = np.random.default_rng(11)
+    words = [f"w{i}" for i in range(2000)]
+    items = [(i, list(r.choice(words, (6, 8, 12, 20, 40)[i % 5]))) for i in range(100)]
+    docs = []
+    for i in range(200):
+        w, item = list(r.choice(words, 400)), list(items[i % 100][1])
+        if i >= 100:  # a fifth of the words replaced, not of the answer
+            for x in r.choice(len(item) * 2 // 3, len(item) // 5, replace=False):
+                item[x] = words[int(r.integers(0, 2000))]
+        at = int(r.integers(0, 400))
+        docs.append((i, " ".join(w[:at] + item + w[at:])))
+    found = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string"))
+    got = {(x["rank"], x["item"]) for x in found.collect()}
+    assert {(i, i % 100) for i in range(200)} <= got
+
+
 def test_vector_recall_ties_and_odd_rows(spark):
     r = np.random.default_rng(5)
     x = r.normal(size=(1500, 16)).round(3)
