@@ -22,7 +22,7 @@ from buildtrail.llm import textnp as tn
 from buildtrail.llm.keys import ident, keyed
 from buildtrail.ship import ship
 
-PART, STRIDE, LEAST_WORDS, RANK, EXTRA, STOP_SHARE = 48, 32, 5, 128, 16, 0.1
+PART, STRIDE, LEAST_WORDS, RANK, EXTRA = 48, 32, 5, 128, 16
 BLOCK = 4000
 LEAST_STRIDE, ROWS = 4, 1024
 SEPARATOR = np.array([not (48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128) for b in range(256)])
@@ -121,7 +121,6 @@ def gram_sketch(texts: DataFrame, vocabulary: np.ndarray, idf: np.ndarray, width
                 cell, co = _cells(wo, 2 * STRIDE)
                 known, term = lookup(words, h)
                 cell = cell[known]
-                cell, term = cell[weight[term] > 0], term[weight[term] > 0]
                 if not len(term):
                     continue
                 name ^= int(h[0] & np.uint64(0xFFFF))
@@ -259,8 +258,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 def _search(texts: DataFrame, parts: list[Part], least_cosine: float, least_lcs: float, least_answer: float) -> DataFrame:
     vocabulary = np.unique(np.concatenate([p.words for p in parts]))
     df, cells = document_frequencies(texts, vocabulary)
-    idf = np.log1p(cells / (1.0 + df))
-    idf[df > max(STOP_SHARE * cells, 20)] = 0
+    idf = np.log1p(cells / (1.0 + df))  # above 0 for every term: an item that many documents hold keeps its vector
     places = [lookup(vocabulary, p.words)[1] for p in parts]
     rank = min(RANK, len(parts), len(vocabulary))
     width = min(len(vocabulary), rank + EXTRA)
@@ -273,10 +271,10 @@ def _search(texts: DataFrame, parts: list[Part], least_cosine: float, least_lcs:
     vectors = np.array([latent[at].sum(0) for at in places])
     norm = np.linalg.norm(vectors, axis=1, keepdims=True)
     vectors = np.where(norm > 0, vectors / np.maximum(norm, 1e-12), 0).astype(np.float32)
-    shared = texts.sparkSession.sparkContext.broadcast((vocabulary, latent, idf > 0, vectors, [(p.item, p.words.tolist()) for p in parts]))
+    shared = texts.sparkSession.sparkContext.broadcast((vocabulary, latent, vectors, [(p.item, p.words.tolist()) for p in parts]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, latent, telling, vectors, parts = shared.value
+        words, latent, vectors, parts = shared.value
         whole = [masks(w) for _, w in parts]
         answers = [w[-max(1, len(w) // 3) :] for _, w in parts]
         answer_masks = [masks(w) for w in answers]
@@ -290,14 +288,13 @@ def _search(texts: DataFrame, parts: list[Part], least_cosine: float, least_lcs:
                 if not len(known):
                     continue
                 doc = np.searchsorted(wo, known, "right") - 1
-                keep = telling[term]
                 stride = int(strides.min())
                 cell, co = _cells(wo, stride)
                 sums = np.zeros((int(co[-1]), latent.shape[1]), np.float32)
-                at, some = cell[known][keep], term[keep]
-                for s in range(0, len(some), 1 << 15):  # bounded rows at a time
+                at = cell[known]
+                for s in range(0, len(term), 1 << 15):  # bounded rows at a time
                     part = at[s : s + (1 << 15)]
-                    sums[part[0] : part[-1] + 1] += _sum_rows(latent[some[s : s + (1 << 15)]], part - part[0], int(part[-1] - part[0]) + 1)
+                    sums[part[0] : part[-1] + 1] += _sum_rows(latent[term[s : s + (1 << 15)]], part - part[0], int(part[-1] - part[0]) + 1)
                 while True:
                     mine = np.flatnonzero(strides == stride)
                     if len(mine):

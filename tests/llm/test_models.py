@@ -99,6 +99,18 @@ def test_decontamination_recall_in_the_same_vocabulary(spark):
     assert {(i, i % 100) for i in range(200)} <= got
 
 
+def test_decontamination_of_a_hot_item(spark):
+    r = np.random.default_rng(12)
+    words = [f"w{i}" for i in range(1500)]
+    items = [(i, list(r.choice(words, 30))) for i in range(20)]
+    docs = []
+    for i in range(300):
+        w, at = list(r.choice(words, 120)), int(r.integers(0, 120))
+        docs.append((i, " ".join(w[:at] + (items[0][1] if i % 3 == 0 else []) + w[at:])))
+    found = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string"))
+    assert {x["rank"] for x in found.filter("item = 0").collect()} == set(range(0, 300, 3))
+
+
 def test_vector_recall_ties_and_odd_rows(spark):
     r = np.random.default_rng(5)
     x = r.normal(size=(1500, 16)).round(3)
