@@ -10,7 +10,7 @@ subsequence must cover ``least_lcs`` of the part, and that of its last third, ta
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,7 +23,7 @@ from buildtrail.llm.keys import ident, keyed
 from buildtrail.ship import ship
 
 PART, STRIDE, LEAST_WORDS, RANK, EXTRA = 48, 32, 5, 128, 16
-BLOCK = 4000
+BLOCK = 1024  # parts
 LEAST_STRIDE, ROWS = 4, 1024
 SEPARATOR = np.array([not (48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128) for b in range(256)])
 
@@ -45,6 +45,23 @@ def split_parts(items: list[tuple[int, str | None]]) -> list[Part]:
     return out
 
 
+def blocks(items: Iterable[tuple[int, str | None]], size: int = BLOCK) -> Iterator[list[Part]]:
+    """The parts of all items in lists of at most ``size``."""
+    held: list[Part] = []
+    for item in items:
+        held += split_parts([item])
+        while len(held) >= size:
+            yield held[:size]
+            held = held[size:]
+    if held:
+        yield held
+
+
+def rank_of(parts: int) -> int:
+    """Dimensions of the latent space: at least one for each two parts."""
+    return min(parts, max(RANK, -(-parts // 2)))
+
+
 def doc_words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     _, _, h, wo = tn.words(tn.lower(buf), offs, SEPARATOR)
     return h, wo
@@ -240,16 +257,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     texts = keyed(docs, id_col, text_col)
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).cast("string").alias("text")).filter("item is not null").distinct()
     found: DataFrame | None = None
-    held: list[tuple[int, str | None]] = []
-    for row in [*items.orderBy("item", "text").toLocalIterator(), None]:
-        if row is not None:
-            held.append((row["item"], row["text"]))
-        if held and (row is None or len(held) >= BLOCK // 2):
-            parts = split_parts(held)
-            held = []
-            if parts:
-                block = _search(texts, parts, least_cosine, least_lcs, least_answer)
-                found = block if found is None else found.unionByName(block)
+    for parts in blocks((row["item"], row["text"]) for row in items.orderBy("item", "text").toLocalIterator()):
+        block = _search(texts, parts, least_cosine, least_lcs, least_answer)
+        found = block if found is None else found.unionByName(block)
     if found is None:
         return spark.createDataFrame([], "k long, rank long, item long, cosine double, lcs double")
     return found.groupBy("k", "rank", "item").agg(F.max("cosine").alias("cosine"), F.max("lcs").alias("lcs"))
@@ -260,7 +270,7 @@ def _search(texts: DataFrame, parts: list[Part], least_cosine: float, least_lcs:
     df, cells = document_frequencies(texts, vocabulary)
     idf = np.log1p(cells / (1.0 + df))  # above 0 for every term: an item that many documents hold keeps its vector
     places = [lookup(vocabulary, p.words)[1] for p in parts]
-    rank = min(RANK, len(parts), len(vocabulary))
+    rank = min(rank_of(len(parts)), len(vocabulary))
     width = min(len(vocabulary), rank + EXTRA)
     sketch = gram_sketch(texts, vocabulary, idf, width)
     omega = _omega(len(vocabulary), width).astype(float)

@@ -111,6 +111,13 @@ def test_decontamination_of_a_hot_item(spark):
     assert {x["rank"] for x in found.filter("item = 0").collect()} == set(range(0, 300, 3))
 
 
+def test_decontamination_space_grows_with_the_benchmark():
+    long = " ".join(f"w{i}" for i in range(48 * 2500))
+    got = list(decontaminate.blocks([(1, "a b c d e f"), (2, long), (3, None), (4, "g h i j k")]))
+    assert [len(b) for b in got] == [1024, 1024, 454] and [p.item for b in got for p in b] == [1] + [2] * 2500 + [4]
+    assert [decontaminate.rank_of(n) for n in (1, 100, 247, 747, 1024)] == [1, 100, 128, 374, 512]
+
+
 def test_vector_recall_ties_and_odd_rows(spark):
     r = np.random.default_rng(5)
     x = r.normal(size=(1500, 16)).round(3)
