@@ -58,7 +58,7 @@ def removed_lines(texts: DataFrame, near_chars: int = 16) -> DataFrame:
     place = F.struct("rank", "k", "no")
     firsts = lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("times"))
 
-    long = lines.filter(F.length("line") >= near_chars - 1).select("h1", "h2", "line")
+    long = lines.filter(F.length("line") >= near_chars).select("h1", "h2", "line")
     halves = checkpointed(_shared(_halves(long)).select("h1", "n", "low", "high").distinct())
     some = halves.select("h1").distinct()
     few = some.count() <= BROADCAST_ROWS
@@ -81,7 +81,7 @@ def removed_lines(texts: DataFrame, near_chars: int = 16) -> DataFrame:
     own = chosen.select("h1", "h2", "line")
     other = chosen.select(F.struct("h1", "h2").alias("who"), F.col("line").alias("lead_line"))
     near = earlier.join(own, ["h1", "h2"]).join(other, "who").filter(F.levenshtein("line", "lead_line", 1).between(0, 1))
-    near = near.filter((F.length("line") >= near_chars) & (F.length("lead_line") >= near_chars)).select("h1", "h2", F.lit(True).alias("near")).distinct()
+    near = near.select("h1", "h2", F.lit(True).alias("near")).distinct()
 
     gone = firsts.join(near, ["h1", "h2"], "left").filter("times > 1 or near").select("h1", "h2", "first", "near")
     return lines.select("k", "rank", "no", "h1", "h2").join(gone, ["h1", "h2"]).filter(F.col("near") | (place > F.col("first"))).select("k", "rank", "no")

@@ -93,6 +93,12 @@ def test_lines(spark, seed):
     assert out.count() == len(rows)
 
 
+def test_lines_under_the_bound_lead_no_group(spark):
+    rows = [(0, "Photo 1 of many\nPhoto 11 of many\nPhoto 21 of many")]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), near_chars=16).first()
+    assert (got["doc_id"], got["text"]) == brute.kept_lines(rows, 16)[0] == (0, "Photo 1 of many\nPhoto 11 of many")
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert suffix_dedup.remove_repeats(empty).count() == 0
