@@ -65,6 +65,11 @@ QUERIES = {
     "status_changes": lambda s, d: g.status_changes(s.read.parquet(f"{d}/orders.parquet"), "o_custkey", ["o_orderdate", "o_orderkey"], ["o_orderstatus"]).select("o_custkey", "o_orderkey", "o_orderstatus"),
     "incomplete_roots": lambda s, d: g.incomplete_roots(children(s, d), keys(s, d, "node % 7 <> 3"), keys(s, d, "node % 2 = 0")),
     "plan_transfer": lambda s, d: g.plan_transfer(children(s, d), keys(s, d, "true"), keys(s, d, "node % 11 = 5"), keys(s, d, "node < 3")),
+    # the same operators over all rows
+    "graph_roots_whole": lambda s, d: g.graph_roots(edges(s, d)),
+    "orphaned_by_cancel_whole": lambda s, d: g.orphaned_by_cancel(requests(s, d), edges(s, d)),
+    "incomplete_roots_whole": lambda s, d: g.incomplete_roots(children(s, d), keys(s, d, "phase <> 'cancelled'"), keys(s, d, "true")),
+    "plan_transfer_whole": lambda s, d: g.plan_transfer(children(s, d), keys(s, d, "true"), keys(s, d, "phase = 'done'"), keys(s, d, "phase = 'waiting'")),
 }
 
 BASE = """nd AS (SELECT p_partkey AS node, CASE WHEN p_size <= 10 THEN 'waiting' WHEN p_size <= 14 THEN 'queued' WHEN p_size <= 18 THEN 'running' WHEN p_size <= 20 THEN 'publishing' WHEN p_size <= 46 THEN 'done' WHEN p_size <= 48 THEN 'failed' ELSE 'cancelled' END AS phase, p_partkey % 5 AS consec_retry FROM part),
@@ -93,4 +98,8 @@ SQL = {
     "status_changes": "SELECT o_custkey, o_orderkey, o_orderstatus FROM (SELECT *, lag(o_orderstatus) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS p FROM orders) WHERE p IS NULL OR p <> o_orderstatus",
     "incomplete_roots": f"WITH {BASE} SELECT root, count(*) AS missing, min(node) AS example FROM cl WHERE root % 2 = 0 AND node % 7 = 3 GROUP BY root",
     "plan_transfer": f"WITH {BASE}, m AS (WITH RECURSIVE c AS (SELECT node AS key, 1 AS round FROM nd WHERE node < 3 AND node % 11 <> 5 UNION SELECT ed.dep, c.round + 1 FROM c JOIN ed ON c.key = ed.node WHERE ed.dep % 11 <> 5) SELECT * FROM c) SELECT key, min(round) AS round FROM m GROUP BY key",
+    "graph_roots_whole": f"WITH {BASE} SELECT DISTINCT node FROM (SELECT node FROM ed UNION SELECT dep FROM ed) WHERE node NOT IN (SELECT dep FROM ed)",
+    "orphaned_by_cancel_whole": f"WITH {BASE} SELECT node FROM mem JOIN rq USING (request) GROUP BY node HAVING bool_and(cancelled)",
+    "incomplete_roots_whole": f"WITH {BASE} SELECT root, count(*) AS missing, min(cl.node) AS example FROM cl JOIN nd ON nd.node = cl.node WHERE phase = 'cancelled' GROUP BY root",
+    "plan_transfer_whole": f"WITH {BASE}, m AS (WITH RECURSIVE c AS (SELECT node AS key, 1 AS round FROM nd WHERE phase = 'waiting' UNION SELECT ed.dep, c.round + 1 FROM c JOIN ed ON c.key = ed.node JOIN nd ON nd.node = ed.dep WHERE nd.phase <> 'done') SELECT * FROM c) SELECT key, min(round) AS round FROM m GROUP BY key",
 }
