@@ -88,13 +88,13 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the reply is read from each example's own text, through its mask
     said = unescape(F.substring("text", F.col("loss_start") + 1, F.col("loss_size")))
     loss = replies.select("conv_id", "example", said.alias("said"), F.length("text").alias("size")).groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("example", "said"))).alias("s"), F.sum("size").alias("example_chars"))
-    loss = loss.select("conv_id", F.array_join(F.transform("s", lambda x: x["said"]), "").alias("loss"), "example_chars")
+    loss = loss.select(F.col("conv_id").alias("of"), F.array_join(F.transform("s", lambda x: x["said"]), "").alias("loss"), "example_chars")
     back = read_turns(F.col("formatted"))
     digest = F.sha2(F.array_join(F.transform("back", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256)
     read = formatted.select("conv_id", back.alias("back"), F.length("formatted").cast("long").alias("formatted_chars"))
     read = read.select("conv_id", F.size("back").cast("long").alias("n_turns"), digest.alias("turns_sha256"), "formatted_chars")
     said = F.coalesce("loss", F.lit(""))
-    return read.join(loss, "conv_id", "left").select("conv_id", "n_turns", "turns_sha256", F.length(said).cast("long").alias("loss_chars"), F.sha2(said, 256).alias("loss_sha256"), "formatted_chars", F.coalesce("example_chars", F.lit(0)).cast("long").alias("example_chars"))
+    return read.join(loss, F.col("conv_id").eqNullSafe(F.col("of")), "left").select("conv_id", "n_turns", "turns_sha256", F.length(said).cast("long").alias("loss_chars"), F.sha2(said, 256).alias("loss_sha256"), "formatted_chars", F.coalesce("example_chars", F.lit(0)).cast("long").alias("example_chars"))
 
 
 SQL = r"""

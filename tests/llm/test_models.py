@@ -197,6 +197,13 @@ def test_chat_round_trip(spark):
     assert chat_format.examples(chat_format.conversations(df.limit(0))).count() == 0
 
 
+def test_chat_query_of_a_null_conversation(spark, tmp_path):
+    rows = [(None, 0, "user", "ab"), (None, 1, "assistant", "cde"), (1, 0, "assistant", "f")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r["conv_id"]: r["loss_chars"] for r in chat_format.query(spark, str(tmp_path)).collect()}
+    assert got[None] == 3 and got[1] == 1
+
+
 def test_html(spark):
     page = "<!DOCTYPE html><html><head><title>t</title></head><body><header><p>Site</p></header><nav><ul><li><a href='/'>Home</a></li></ul></nav><div class='cookie-notice'>Cookies</div><article><h1>Head &amp; line</h1><!-- c --><p>One\n  two <b>three<br>four</p><div class=\"ad\">Buy</div><p>Of.</p><script>var x = '<p>no</p>';</script><form><p>Mail</p></form><ul><li>item</ul><div id='comments'><p>Nice!</p></div></article><aside><p>More</p></aside><footer>&copy; us"
     df = spark.createDataFrame([(1, "u", page, 3, "old"), (2, "u", None, 3, "old"), (3, "u", "", 3, "old"), (3, "u", "", 3, "old"), (4, "u", "<p>" + "long text here " * 9 + "<div class=menu>x</div>", 3, "old")], "page_id long, url string, html string, n_chars int, text string")
