@@ -28,8 +28,10 @@ def _matching(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score is at least one half go."""
+    """Documents whose score is at least one half go; none where the labels gave the model nothing to tell texts by."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    if not len(model.features):
+        return docs
     scored = toxicity.score(docs, model)
     return scored.filter("score < 0.5").select(*docs.columns)
 

@@ -1,6 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from buildtrail.llm import chat_format, decontaminate, html_extract, packing, toxicity, vector_search
 
 TOXIC = ["idiot", "trash", "scum"]
@@ -41,6 +42,12 @@ def test_toxicity_without_labels(spark):
     assert toxicity.score(docs.limit(0), model).count() == 0
 
 
+def test_pipeline_without_labels_keeps_documents(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")
+    spark.createDataFrame([(1, None)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).count() == 2
+
+
 def test_maximal_segments_are_all_maximal():
     r = np.random.default_rng(2)
     for _ in range(50):
