@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,15 +11,20 @@ from buildtrail.functions.scalars import ACTIVE, phase_rank
 from buildtrail.lineage import checkpointed
 
 
-def closure(edges: DataFrame, roots: DataFrame, most: int = 1000) -> DataFrame:
-    """roots (root, node) -> (root, node): all that each root reaches, its own nodes included, each once. Ends on cycles too."""
+def closure(edges: DataFrame, roots: DataFrame, most: int | None = None) -> DataFrame:
+    """roots (root, node) -> (root, node): all that each root reaches, its own nodes included, each once. Ends on cycles too.
+
+    With ``most``, a closure that isn't done after so many rounds is an error.
+    """
     seen = checkpointed(roots.select("root", "node").distinct())
     front = seen
-    for _ in range(most):
+    for i in count(1):
         front = front.join(edges, "node").select("root", F.col("dep").alias("node")).distinct().join(seen, ["root", "node"], "left_anti")
         front = checkpointed(front)
         if front.isEmpty():
             break
+        if i == most:
+            raise RuntimeError(f"the closure isn't done after {most} rounds")
         seen = checkpointed(seen.unionByName(front))
     return seen
 
@@ -43,16 +50,18 @@ def ready_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.filter("phase = 'waiting'").join(state, "node", "left").filter(F.coalesce("ok", F.lit(True))).drop("ok")
 
 
-def find_cycles(edges: DataFrame, most: int = 1000) -> DataFrame:
+def find_cycles(edges: DataFrame, most: int | None = None) -> DataFrame:
     """(node): nodes on a cycle. Nodes without a way in or out are peeled off first, then a node is on a cycle if it reaches itself."""
     left = checkpointed(edges.select("node", "dep").distinct())
     size = left.count()
-    for _ in range(most):
+    for i in count(1):
         outs, ins = left.select(F.col("node").alias("dep")).distinct(), left.select(F.col("dep").alias("node")).distinct()
         left = checkpointed(left.join(outs, "dep", "left_semi").join(ins, "node", "left_semi").select("node", "dep"))
         now = left.count()
         if now == size:
             break
+        if i == most:
+            raise RuntimeError(f"nodes are still peeled off after {most} rounds")
         size = now
     starts = left.select(F.col("node").alias("root"), F.col("dep").alias("node")).distinct()
     return closure(left, starts).filter(F.col("root") == F.col("node")).select("node").distinct()
@@ -137,7 +146,7 @@ def incomplete_roots(children: DataFrame, objects: DataFrame, roots: DataFrame)
     return lost.groupBy("root").agg(F.count("*").alias("missing"), F.min("node").alias("example"))
 
 
-def plan_transfer(children: DataFrame, src: DataFrame, dst: DataFrame, roots: DataFrame, most: int = 1000) -> DataFrame:
+def plan_transfer(children: DataFrame, src: DataFrame, dst: DataFrame, roots: DataFrame, most: int | None = None) -> DataFrame:
     """(round, key): what moves in each round from src to dst: absent keys that a root reaches through keys that move, once each.
 
     dst's keys are taken as complete (their subtrees are cut off).
@@ -145,11 +154,13 @@ def plan_transfer(children: DataFrame, src: DataFrame, dst: DataFrame, roots: Da
     front = roots.select("key").distinct().join(dst.select("key"), "key", "left_anti").join(src.select("key"), "key", "left_semi")
     seen = checkpointed(front.withColumn("round", F.lit(1)))
     front = seen.select("key")
-    for i in range(2, most):
+    for i in count(2):
         front = front.join(children.select(F.col("parent").alias("key"), "child"), "key").select(F.col("child").alias("key")).distinct()
         front = front.join(dst.select("key"), "key", "left_anti").join(src.select("key"), "key", "left_semi").join(seen.select("key"), "key", "left_anti")
         front = checkpointed(front)
         if front.isEmpty():
             break
+        if i - 1 == most:
+            raise RuntimeError(f"the transfer isn't done after {most} rounds")
         seen = checkpointed(seen.unionByName(front.withColumn("round", F.lit(i))))
     return seen

@@ -2,9 +2,11 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from buildtrail.functions import scalars as x
+from buildtrail.llm import components
 from buildtrail.operators import fleet, graph, logs, refs, store, telemetry
 from buildtrail.streaming import operators as st
 
@@ -93,3 +95,20 @@ def test_streams_equal_their_batch_twins(spark, tmp_path):
         assert sorted(got) == sorted(rows(f(batch).filter(keep))), name
     st.run_available(st.stream_dedup(stream(), ["node", "seq"], "ts"), str(tmp_path / "dd"), str(tmp_path / "dd-ck"))
     assert spark.read.parquet(str(tmp_path / "dd")).count() == 201
+
+
+def test_iterations_end_whole_or_with_an_error(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(5)], "node long, dep long")
+    roots = spark.createDataFrame([(0, 0)], "root long, node long")
+    keys = spark.createDataFrame([(i,) for i in range(6)], "key long")
+    parents = edges.toDF("parent", "child")
+    runs = [
+        (lambda **k: graph.closure(edges, roots, **k).count(), 6),
+        (lambda **k: graph.plan_transfer(parents, keys, keys.limit(0), keys.filter("key = 0"), **k).count(), 6),
+        (lambda **k: graph.find_cycles(edges, **k).count(), 0),
+        (lambda **k: components.connected_components(edges.toDF("u", "v"), **k).count(), 6),
+    ]
+    for run, n in runs:
+        assert run() == n
+        with pytest.raises(RuntimeError):
+            run(most=1)
