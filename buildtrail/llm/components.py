@@ -14,19 +14,23 @@ def _print(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
+BROADCAST_EDGES = 100_000  # about 100 bytes each
+
+
 def connected_components(edges: DataFrame, most: int | None = None) -> DataFrame:
     """edges (u, v) of any ordered type -> (node, root), root the least node of the component; nodes without an edge have no row.
 
     A node's neighbours are never gathered: only their least is, and joined back.
     """
-    now = checkpointed(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    now = checkpointed(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())  # v < u: the lesser node of an edge
     mark = _print(now)
     for i in count(1):
+        near = F.broadcast if mark[0] <= BROADCAST_EDGES else lambda df: df
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(near(least), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
+        joined = large.join(near(least), "u")
         small = joined.select("u", F.col("m").alias("v")).unionByName(joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
         now = checkpointed(small)
         new = _print(now)

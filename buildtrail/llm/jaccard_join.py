@@ -9,8 +9,9 @@ A document is the set of its word n-grams (lower-cased A-Z). Two link at a Jacca
    sets must share one within their prefixes.
 3. Candidate pairs are compared in fragments of the order, each counting its partial overlap, and the
    partial overlaps are summed per pair. To find classes it isn't needed to compare all pairs of a
-   large group: sets meet the most central members of their prefix n-grams' groups first, and then only
-   pairs that are still in different classes, each of them that a bound from parities leaves open.
+   large group: in rounds, sets first meet the most central members of other classes in their prefix
+   n-grams' groups. When such rounds find little more, the pairs that are still in different classes are
+   joined, block by block, under bounds from positions and parities that no link exceeds.
 """
 
 from __future__ import annotations
@@ -24,12 +25,13 @@ from pyspark.sql import functions as F
 
 from buildtrail.llm import textnp as tn
 from buildtrail.llm.components import connected_components
-from buildtrail.llm.keys import ident, keyed
+from buildtrail.llm.keys import LAST, ident, keyed
 from buildtrail.llm.session import checkpointed
-from buildtrail.ship import ship, shuffle_partitions
+from buildtrail.ship import ship
 
-FRAGMENTS, PARITIES, STARS, BLOCK = 4, 4096, 3, 2000
-BROADCAST_ROWS = 500_000  # 24 bytes each
+FRAGMENTS, PARITIES, STARS, BLOCK = 4, 1024, 3, 2000
+HELD, FRAGMENT_SIZE = 1 << 19, 1 << 21  # n-grams that a task holds before it sends them; n-grams of a fragment
+BROADCAST_ROWS, BROADCAST_SETS = 500_000, 50_000  # 24 bytes a row; 200 bytes a set (its parity, or its class)
 
 
 def shingle_sets(buf: np.ndarray, offs: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -67,12 +69,13 @@ def _sets(texts: DataFrame, n: int) -> DataFrame:
     return texts.mapInArrow(run, "k long, rank long, n long, s1 long, s2 long")
 
 
-def _shared(texts: DataFrame, n: int) -> DataFrame:
+def _shared(texts: DataFrame, n: int, total: int) -> DataFrame:
     """(k, shared): how many n-grams of each text stand in another text, or a few more; texts without any have no row.
 
     A task sends an n-gram that several of its texts have only once, so frequent n-grams cost a fragment little.
+    total: n-grams of all texts, from which the number of fragments follows.
     """
-    fragments = max(32, shuffle_partitions(texts.sparkSession))
+    fragments = max(32, -(-total // FRAGMENT_SIZE))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -84,7 +87,7 @@ def _shared(texts: DataFrame, n: int) -> DataFrame:
                 h, ho = shingle_sets(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i], n)
                 held.append((h, np.repeat(np.arange(i, j), np.diff(ho))))
                 size += len(h)
-                if size > 1 << 21 or j == len(offs) - 1:
+                if size > HELD or j == len(offs) - 1:
                     yield from out(ks, np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]))
                     held, size = [], 0
 
@@ -146,7 +149,7 @@ def _shared(texts: DataFrame, n: int) -> DataFrame:
 
 
 def _tokens(texts: DataFrame, n: int) -> DataFrame:
-    """(node struct<rank,k>, n, f, part array<long>, parity): the sets in fragments of the n-gram order.
+    """(node struct<rank,k>, n, f, part array<long>, parity array<long>): the sets in fragments of the n-gram order.
 
     parity (with fragment 0 alone) has a bit for each of PARITIES parts: whether an odd number of n-grams fall in it.
     """
@@ -162,11 +165,23 @@ def _tokens(texts: DataFrame, n: int) -> DataFrame:
                 part = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(h.view(np.int64)))
                 times = np.zeros((j - i, PARITIES), np.uint8)
                 np.add.at(times, (doc, (h % np.uint64(PARITIES)).astype(np.int64)), 1)
-                bits = np.packbits(times & 1, axis=1)
-                odd = [x for row in bits for x in (row.tobytes(), *[None] * (FRAGMENTS - 1))]
-                yield pa.RecordBatch.from_pydict({"k": batch.column(0).slice(i, j - i).take(at), "rank": batch.column(1).slice(i, j - i).take(at), "n": pa.array(np.repeat(np.diff(ho), FRAGMENTS), pa.int64()), "f": pa.array(np.tile(np.arange(FRAGMENTS), j - i), pa.int32()), "part": part, "parity": pa.array(odd, pa.binary())})
-
-    return texts.mapInArrow(run, "k long, rank long, n long, f int, part array<long>, parity binary").select(F.struct("rank", "k").alias("node"), "n", "f", "part", "parity")
+                bits = np.packbits(times & 1, axis=1).view(np.int64)
+                has = np.tile(np.arange(FRAGMENTS) == 0, j - i)
+                stop = np.concatenate([[0], np.cumsum(has * bits.shape[1])])
+                parity = pa.ListArray.from_arrays(pa.array(stop, pa.int32()), pa.array(bits.ravel()))
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "k": batch.column(0).slice(i, j - i).take(at),
+                        "rank": batch.column(1).slice(i, j - i).take(at),
+                        "n": pa.array(np.repeat(np.diff(ho), FRAGMENTS), pa.int64()),
+                        "f": pa.array(np.tile(np.arange(FRAGMENTS), j - i), pa.int32()),
+                        "part": part,
+                        "parity": parity,
+                    }
+                )
+
+    rows = texts.mapInArrow(run, "k long, rank long, n long, f int, part array<long>, parity array<long>")
+    return rows.select(F.struct("rank", "k").alias("node"), "n", "f", "part", "parity")
 
 
 def least_overlap(n: Column, percent: int) -> Column:
@@ -176,72 +191,78 @@ def least_overlap(n: Column, percent: int) -> Column:
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b, na, nb) whose partial overlaps sum to enough."""
-    left = sets.select(F.col("node").alias("a"), "f", F.col("part").alias("pa"))
-    right = sets.select(F.col("node").alias("b"), "f", F.col("part").alias("pb"))
-    both = pairs.join(left, "a").join(right, ["b", "f"])
-    partial = both.select("a", "b", "na", "nb", F.size(F.array_intersect("pa", "pb")).alias("part"))
+    sides = pairs.select("*", F.explode(F.array("a", "b")).alias("node"))
+    parts = sides.join(sets.select("node", "f", "part"), "node").repartition(F.col("a"), F.col("b"))
+    met = parts.groupBy("a", "b", "na", "nb", "f").agg(F.max_by("part", "node").alias("x"), F.min_by("part", "node").alias("y"))
+    partial = met.select("a", "b", "na", "nb", F.size(F.array_intersect("x", "y")).alias("part"))
     total = partial.groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("both"))
     return total.filter(F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * percent)
 
 
-def _pair(x: Column, y: Column) -> Column:
-    """{a, b, na, nb} of two {node, n}, the lesser node first."""
-    low, high = F.least(x, y), F.greatest(x, y)
-    return F.struct(low["node"].alias("a"), high["node"].alias("b"), low["n"].alias("na"), high["n"].alias("nb"))
+def _may_link(na: Column, nb: Column, bound: Column, percent: int) -> Column:
+    """Whether sets of these sizes can link when they share at most ``bound`` n-grams."""
+    return bound * (100 + percent) >= (na + nb) * percent
+
+
+def _alike(na: Column, nb: Column, x: Column, y: Column, percent: int) -> Column:
+    """Whether two sets' parities leave a link open. A part's parity differs only if the sets differ in it."""
+    differ = F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda a, v: a + v)
+    return differ * (100 + percent) <= (na + nb) * (100 - percent)
+
+
+def _prefixes(posts: DataFrame, percent: int) -> DataFrame:
+    """posts (gram, node, n) -> the prefix n-grams, with common (how many n-grams another set has too), nth of them by rarity, and central."""
+    by_node = Window.partitionBy("node")
+    posts = posts.withColumn("df", F.count("*").over(Window.partitionBy("gram"))).filter("df > 1")
+    posts = posts.withColumn("common", F.count("*").over(by_node)).withColumn("central", F.sum("df").over(by_node) / F.col("n"))
+    posts = posts.withColumn("nth", F.row_number().over(by_node.orderBy("df", "gram")))
+    return posts.filter(F.col("nth") <= F.col("common") - least_overlap(F.col("n"), percent) + 1).drop("df")
+
+
+def _mixed(prefix: DataFrame, found: DataFrame | None) -> DataFrame:
+    """The rows of prefix whose n-gram sets of several classes have, with their class (root)."""
+    if found is None:
+        return prefix.withColumn("root", F.col("node"))
+    placed = prefix.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    many = placed.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("gram")
+    return placed.join(many, "gram")
 
 
 def _stars(prefix: DataFrame, percent: int) -> DataFrame:
-    """A few likely pairs for each set: with the sets in the middle of most of its n-grams' groups."""
-    own = F.struct("central", "node", "n")
-    best = prefix.groupBy("gram").agg(F.max(own).alias("one"), F.count("*").alias("many")).filter("many > 1")
-    met = prefix.join(best.select("gram", "one"), "gram").filter(F.col("node") != F.col("one.node"))
-    met = met.filter(F.least("n", "one.n") * 100 >= F.greatest("n", "one.n") * percent)
-    met = met.groupBy("node", "n", "one").agg(F.count("*").alias("times"))
-    order = Window.partitionBy("node").orderBy(F.desc("times"), F.desc("one"))
-    met = met.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= STARS)
-    pair = _pair(F.struct("node", "n"), F.struct(F.col("one.node").alias("node"), F.col("one.n").alias("n")))
-    return met.select(pair.alias("p")).select("p.*").distinct()
-
-
-def _across(prefix: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """All pairs of different classes that share a prefix n-gram, but for those that can't link.
-
-    Sets of an n-gram's group meet block by block. A part's parity differs between two sets only if they differ in it, so
-    pairs with more differing parities than a link's sets can have different n-grams are left out at once.
+    """A few likely pairs (a, b, na, nb) for each set: with the sets in the middle of most of its n-grams' groups.
+
+    Each n-gram offers its most central set and the most central one of any other class.
     """
-    placed = prefix.drop("central").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    many = placed.groupBy("gram").agg(F.count("*").alias("many"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
-    mixed = placed.join(many.select("gram", "many"), "gram").join(sets.filter("f = 0").select("node", "parity"), "node")
-    blocks = F.ceil(F.col("many") / BLOCK).cast("int")
-    mixed = mixed.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    mixed = mixed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = mixed.select("gram", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node.rank", "node.k", "n", F.col("root.rank").alias("root_rank"), F.col("root.k").alias("root_k"), "parity")
+    own = F.struct("central", "root", "node", "n", "common")
+    one = prefix.groupBy("gram").agg(F.max(own).alias("one"))
+    two = prefix.join(one, "gram").filter(F.col("root") != F.col("one.root")).groupBy("gram").agg(F.max(own).alias("two"), F.first("one").alias("one"))
+    met = prefix.join(two, "gram").withColumn("met", F.when(F.col("root") != F.col("one.root"), F.col("one")).otherwise(F.col("two")))
+    met = met.filter(_may_link(F.col("n"), F.col("met.n"), F.least("common", "met.common"), percent))
+    met = met.repartition(F.col("node")).groupBy("node", "n", "met").agg(F.count("*").alias("times"))
+    order = Window.partitionBy("node").orderBy(F.desc("times"), F.desc("met"))
+    met = met.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= STARS)
+    x, y = F.struct("node", "n"), F.struct(F.col("met.node").alias("node"), F.col("met.n").alias("n"))
+    low, high = F.least(x, y), F.greatest(x, y)
+    return met.select(low["node"].alias("a"), high["node"].alias("b"), low["n"].alias("na"), high["n"].alias("nb")).distinct()
 
-    def meet(table: pa.Table) -> pa.Table:
-        table = table.sort_by("gram")
-        col = {c: table.column(c).to_numpy() for c in ("gram", "i", "j", "own", "rank", "k", "n", "root_rank", "root_k")}
-        parity = np.frombuffer(b"".join(table.column("parity").to_pylist()), np.uint64).reshape(table.num_rows, -1)
-        _, root = np.unique(np.rec.fromarrays([col["root_rank"], col["root_k"]]), return_inverse=True)
-        first, second = col["own"] == col["i"], col["own"] == col["j"]
-        end = np.searchsorted(col["gram"], col["gram"], "right")
-        start = np.searchsorted(col["gram"], col["gram"])
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for x in np.flatnonzero(first):
-            low = x + 1 if second[x] else start[x]
-            y = np.arange(low, end[x])
-            y = y[second[low : end[x]] & (root[low : end[x]] != root[x])]
-            if len(y):
-                y = y[np.bitwise_count(parity[y] ^ parity[x]).sum(1, dtype=np.int64) * (100 + percent) <= (col["n"][y] + col["n"][x]) * (100 - percent)]
-                a.append(np.full(len(y), x))
-                b.append(y)
-        a, b = np.concatenate(a), np.concatenate(b)
-        return pa.table({f"{c}_{s}": col[c][v] for s, v in (("a", a), ("b", b)) for c in ("rank", "k", "n")})
-
-    schema = ", ".join(f"{c}_{s} long" for s in "ab" for c in ("rank", "k", "n"))
-    buckets = 4 * shuffle_partitions(prefix.sparkSession)
-    met = rows.groupBy(F.pmod("gram", F.lit(buckets)).alias("bucket"), "i", "j").applyInArrow(meet, schema)
-    side = lambda s: F.struct(F.struct(F.col(f"rank_{s}").alias("rank"), F.col(f"k_{s}").alias("k")).alias("node"), F.col(f"n_{s}").alias("n"))
-    return met.select(_pair(side("a"), side("b")).alias("p")).select("p.*").distinct()
+
+def _across(prefix: DataFrame, parities: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a, b, na, nb) of different classes that share a prefix n-gram, but for those that can't link.
+
+    Sets of an n-gram's group meet block by block; what comes out of the join has passed every bound.
+    """
+    size = prefix.groupBy("gram").agg(F.count("*").alias("many"))
+    rows = prefix.join(size, "gram").join(parities, "node").withColumn("blocks", F.ceil(F.col("many") / BLOCK).cast("int"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    kept = ["node", "n", "root", "common", "nth", "parity"]
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    left = rows.select("gram", F.col("own").alias("i"), other, *(F.col(c).alias(f"{c}_a") for c in kept)).withColumnRenamed("other", "j")
+    right = rows.select("gram", F.col("own").alias("j"), other, *(F.col(c).alias(f"{c}_b") for c in kept)).withColumnRenamed("other", "i")
+    na, nb = F.col("n_a"), F.col("n_b")
+    bound = F.least("nth_a", "nth_b") + F.least(F.col("common_a") - F.col("nth_a"), F.col("common_b") - F.col("nth_b"))
+    same = (left["gram"] == right["gram"]) & (left["i"] == right["i"]) & (left["j"] == right["j"])
+    open_ = (F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & _may_link(na, nb, bound, percent) & _alike(na, nb, F.col("parity_a"), F.col("parity_b"), percent)
+    return left.join(right, same & open_).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), na.alias("na"), nb.alias("nb")).distinct()
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 75) -> DataFrame:
@@ -253,29 +274,45 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     texts = keyed(docs, id_col, text_col)
     meta = checkpointed(_sets(texts, n))
     full = meta.filter("n > 0")
+    total = meta.agg(F.sum("n")).first()[0] or 0
     reps = full.groupBy("s1", "s2", "n").agg(F.min(F.struct("rank", "k")).alias("rep"))
-    able = _shared(texts, n).join(reps.select(F.col("rep.k").alias("k"), F.col("rep.rank").alias("rank"), "n"), "k").filter(F.col("shared") >= least_overlap(F.col("n"), percent)).select("k", "rank")
-    able = checkpointed(able)
+    able = _shared(texts, n, total).join(reps.select(F.col("rep.k").alias("k"), F.col("rep.rank").alias("rank"), "n"), "k")
+    able = checkpointed(able.filter(F.col("shared") >= least_overlap(F.col("n"), percent)).select("k", "rank"))
     small = able.count() <= BROADCAST_ROWS
     sets = checkpointed(_tokens(texts.join(F.broadcast(able) if small else able, ["k", "rank"], "left_semi").dropDuplicates(["k", "rank"]), n))
-
-    posts = sets.select("node", "n", F.explode("part").alias("gram"))
-    by_node = Window.partitionBy("node")
-    posts = posts.withColumn("df", F.count("*").over(Window.partitionBy("gram"))).filter("df > 1")
-    posts = posts.withColumn("common", F.count("*").over(by_node)).withColumn("central", F.sum("df").over(by_node) / F.col("n")).withColumn("nth", F.row_number().over(by_node.orderBy("df", "gram")))
-    prefix = posts.filter(F.col("n") - F.col("common") + F.col("nth") <= F.col("n") - least_overlap(F.col("n"), percent) + 1)
-    prefix = checkpointed(prefix.select("gram", "node", "n", "central"))
-
-    links = checkpointed(_linked(_stars(prefix, percent), sets, percent).select(F.col("a").alias("u"), F.col("b").alias("v")))
-    found = connected_components(links)
-    rest = _across(prefix, found, sets, percent)
-    more = _linked(rest, sets, percent).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    roots = connected_components(links.unionByName(more))
+    roots = connected_components(_links(sets, percent))
 
     of_rep = reps.join(roots, F.col("rep") == F.col("node"), "left").select("s1", "s2", "n", F.coalesce("root", "rep").alias("root"))
     return full.join(of_rep, ["s1", "s2", "n"]).select("k", "rank", "n", "root").unionByName(meta.filter("n = 0").select("k", "rank", "n", F.struct("rank", "k").alias("root")))
 
 
+def _links(sets: DataFrame, percent: int) -> DataFrame:
+    """(u, v): links that connect all sets which any links connect.
+
+    Rounds of stars go on while one adds a tenth to the links of all before; what they leave apart is compared across classes.
+    """
+    parities = sets.filter("f = 0").select("node", "parity")
+    few = parities.count() <= BROADCAST_SETS
+    near = F.broadcast if few else lambda df: df
+    parities = near(parities)
+    prefix = checkpointed(_prefixes(sets.select("node", "n", F.explode("part").alias("gram")), percent))
+    x = parities.select(F.col("node").alias("a"), F.col("parity").alias("pa"))
+    y = parities.select(F.col("node").alias("b"), F.col("parity").alias("pb"))
+    alike = _alike(F.col("na"), F.col("nb"), F.col("pa"), F.col("pb"), percent)
+    links, found, before = None, None, 0
+    while True:
+        likely = _stars(_mixed(prefix, found), percent).join(x, "a").join(y, "b").filter(alike).select("a", "b", "na", "nb")
+        more = _linked(likely, sets, percent).select(F.col("a").alias("u"), F.col("b").alias("v"))
+        links = checkpointed(more if links is None else links.unionByName(more))
+        total = links.count()
+        if total - before <= before / 10:
+            break
+        before, found = total, near(connected_components(links))
+    rest = _linked(_across(_mixed(prefix, found), parities, percent), sets, percent)
+    return links.unionByName(rest.select(F.col("a").alias("u"), F.col("b").alias("v")))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return found.select(ident().alias("doc_id"), F.col("n").alias("n_shingles"), F.col("root.rank").alias("component_id"))
+    root = F.when(F.col("root.rank") != LAST, F.col("root.rank"))
+    return found.select(ident().alias("doc_id"), F.col("n").alias("n_shingles"), root.alias("component_id"))

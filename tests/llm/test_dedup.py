@@ -73,6 +73,26 @@ def test_jaccard_classes(spark, seed):
     same(got, brute.jaccard_classes(rows))
 
 
+def test_jaccard_classes_of_a_large_group_of_near_copies(spark):
+    """Members differ from one text in one to six places, so links, chains of links and near misses all occur."""
+    r = random.Random(7)
+    base = [f"w{i}" for i in range(90)]
+    rows = []
+    for i in range(260):
+        w = list(base)
+        for _ in range(r.randint(0, 6)):
+            w[r.randrange(len(w))] = r.choice("xyz")
+        rows.append((i, " ".join(w + [f"tail{i % 9}"] * (i % 4))))
+    found = jaccard_join.classes(frame(spark, rows)).collect()
+    same([(r["rank"], r["n"], r["root"]["rank"]) for r in found], brute.jaccard_classes(rows))
+
+
+def test_jaccard_query_of_null_ids(spark, tmp_path):
+    spark.createDataFrame([(None, "a b c d e f g"), (4, "h i j"), (None, "h i j"), (5, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [tuple(r) for r in jaccard_join.query(spark, str(tmp_path)).collect()]
+    same(got, [(None, 3, None), (4, 1, 4), (None, 1, 4), (5, 0, 5)])
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_lines(spark, seed):
     r = random.Random(seed)
