@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from buildtrail.plans import builds, fleet, graph, store, telemetry, windows
+from buildtrail.plans import builds, fleet, graph, stages, store, telemetry, windows
 
-MODULES = [telemetry, graph, fleet, store, windows, builds]
+MODULES = [telemetry, graph, fleet, store, windows, builds, stages]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -8,7 +8,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Kinds of nodes, phases, size ladder (name, millicpu, GiB).
-KINDS = ("buildvalue", "buildfrom", "build", "eval", "fetch", "import", "pin", "resolve")
+KINDS = ("import", "buildfrom", "pluginresolve", "pin", "buildrun", "buildvalue")
+CHAIN = ("buildfrom", "pluginresolve", "pin", "buildrun")
+STAGES = {"buildfrom": "eval", "pluginresolve": "resolve", "pin": "pin", "buildrun": "build", "import": "fetch"}
 ACTIVE = ("queued", "running", "publishing")
 TERMINAL = ("done", "failed", "failed-upstream", "cancelled")
 PHASE_ORDER = ("failed", "failed-upstream", "running", "publishing", "queued", "waiting", "cancelled", "done")
@@ -63,7 +65,7 @@ def parse_mem(c: Column | str) -> Column:
     t = F.trim(col(c))
     number, unit = F.regexp_extract(t, r"^([+-]?\d+)\s*([KMGT]i?)?$", 1), F.regexp_extract(t, r"^([+-]?\d+)\s*([KMGT]i?)?$", 2)
     by = reduce(lambda out, x: F.when(unit == x[0], F.lit(x[1])).otherwise(out), MEMORY_UNITS, F.lit(1))
-    return F.when(number != "", number.try_cast("long") * by)
+    return F.when(number != "", F.try_multiply(number.try_cast("long"), by))
 
 
 def human_bytes(c: Column | str) -> Column:
@@ -126,8 +128,8 @@ def http_failure_class(status: Column | str, rate_left: Column | str) -> Column:
 
 
 def stage_name(kind: Column | str) -> Column:
-    names = {"eval": "eval", "resolve": "resolve", "pin": "pin", "build": "build", "buildfrom": "build", "fetch": "fetch", "import": "fetch"}
-    return reduce(lambda out, x: F.when(col(kind) == x[0], F.lit(x[1])).otherwise(out), names.items(), F.lit(None).cast("string"))
+    """The display name of a kind's stage, NULL for kinds without one."""
+    return reduce(lambda out, x: F.when(col(kind) == x[0], F.lit(x[1])).otherwise(out), STAGES.items(), F.lit(None).cast("string"))
 
 
 def ns_to_ts(ns: Column | str) -> Column:
@@ -194,3 +196,97 @@ def label_node(label: Column | str, node: Column | str) -> Column:
 def result_class(outcome: Column | str) -> Column:
     """Class of an outcome word; unknown words are hard."""
     return F.when(col(outcome).isin("ok", "done"), F.lit("ok")).when(col(outcome).isin("timeout", "lost", "busy"), F.lit("retryable")).when(col(outcome) == "cancelled", F.lit("cancelled")).when(col(outcome) == "draining", F.lit("control")).otherwise(F.lit("hard"))
+
+
+def format_bytes(c: Column | str) -> Column:
+    """Decimal units with one decimal."""
+    n = col(c).cast("long")
+    out = F.concat(n.cast("string"), F.lit(" B"))
+    for power, letter in enumerate("kMGTPE", 1):
+        unit = 10 ** (3 * power)
+        out = F.when(n >= unit, F.concat(F.format_string("%.1f", F.bround(n / float(unit), 1)), F.lit(f" {letter}B"))).otherwise(out)
+    return out
+
+
+def ns_to_rfc3339(ns: Column | str) -> Column:
+    """UTC text with nanoseconds, trailing zeros left out."""
+    n = col(ns).cast("long")
+    rest = F.regexp_replace(F.lpad(F.pmod(n, F.lit(10**9)).cast("string"), 9, "0"), "0+$", "")
+    whole = F.date_format(F.to_utc_timestamp(F.timestamp_seconds(F.floor(n / 10**9)), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss")
+    return F.concat(whole, F.when(rest != "", F.concat(F.lit("."), rest)).otherwise(""), F.lit("Z"))
+
+
+def trim_snapshot(head: Column | str, gap: Column | str, tail: Column | str, head_cap: int, tail_cap: int) -> Column:
+    """{head, gap, tail}: the head's first and the tail's last bytes; what is cut goes to the gap."""
+    h, t = col(head), col(tail)
+    keep_h, keep_t = F.least(F.octet_length(h), F.lit(head_cap)), F.least(F.octet_length(t), F.lit(tail_cap))
+    cut = F.octet_length(h) - keep_h + F.octet_length(t) - keep_t
+    return F.struct(h.substr(F.lit(1), keep_h).alias("head"), (col(gap) + cut).alias("gap"), t.substr(F.octet_length(t) - keep_t + 1, keep_t).alias("tail"))
+
+
+def valid_utf8(data: Column | str) -> Column:
+    """Bytes as text; what is no UTF-8 becomes the replacement character."""
+    return F.make_valid_utf8(col(data).cast("string"))
+
+
+def assemble_log(head: Column | str, gap: Column | str, tail: Column | str) -> Column:
+    """One text; a line says how many bytes are left out, where any are."""
+    line = F.when(col(gap) > 0, F.concat(F.lit("\n[... "), col(gap).cast("string"), F.lit(" bytes omitted ...]\n"))).otherwise("")
+    return F.concat(valid_utf8(head), line, valid_utf8(tail))
+
+
+def attempt_timing_text(queued_s: Column | str, ran_s: Column | str) -> Column:
+    """"queued 3s, ran 1m05s", with what is known."""
+    part = lambda word, c: F.when(col(c).isNotNull(), F.concat(F.lit(word + " "), human_age(c)))
+    return F.concat_ws(", ", part("queued", queued_s), part("ran", ran_s))
+
+
+def rusage_text(cpu_s: Column | str, rss: Column | str) -> Column:
+    """"cpu 3s, rss 1.0 MiB", with what is above 0."""
+    return F.concat_ws(", ", F.when(col(cpu_s) > 0, F.concat(F.lit("cpu "), human_age(cpu_s))), F.when(col(rss) > 0, F.concat(F.lit("rss "), human_bytes(rss))))
+
+
+def finish_outcome(cls: Column | str) -> Column:
+    """What a finish event says of a result's class."""
+    return F.when(col(cls) == "ok", "ok").when(col(cls) == "cancelled", "cancelled").otherwise("failed")
+
+
+def requests_of(data: Column | str) -> Column:
+    """The request ids of an event's JSON, none if it has no list of them."""
+    return F.coalesce(F.from_json(F.get_json_object(col(data), "$.requests"), "array<string>"), F.array().cast("array<string>"))
+
+
+def canonical_by_name(items: Column | str) -> Column:
+    """Structs with a field name, the first of each name, in order of name."""
+    x = col(items)
+    first = F.filter(x, lambda a, i: ~F.exists(F.slice(x, 1, i), lambda b: b["name"] == a["name"]))
+    return F.array_sort(first, lambda a, b: F.when(a["name"] < b["name"], -1).when(a["name"] > b["name"], 1).otherwise(0))
+
+
+def normalize_source_path(path: Column | str, directory: Column | str) -> Column:
+    """A source path under the root: "//x" is from the root, others from directory; NULL for absolute ones, the root and what escapes it."""
+    p = col(path)
+    joined = F.when(p.startswith("//"), F.substring(p, 3, 1 << 20)).otherwise(F.concat(col(directory), F.lit("/"), p))
+    clean = clean_path(F.regexp_replace(joined, "^/+", ""))
+    bad = (p.startswith("/") & ~p.startswith("//")) | (clean == ".") | (clean == "..") | clean.startswith("../")
+    return F.when(~bad, clean)
+
+
+def kp_tree_ref(key: Column | str) -> Column:
+    return F.concat(F.lit("kp-tree/"), col(key))
+
+
+def f_tree_ref(key: Column | str) -> Column:
+    return F.concat(F.lit("f-tree/"), col(key))
+
+
+def message_id(kind: str, node: Column | str, gen: Column | str) -> Column:
+    """The id by which replays of a job or result are known: job-<node>-<gen>."""
+    return F.concat(F.lit(f"{kind}-"), col(node), F.lit("-"), col(gen).cast("string"))
+
+
+def parse_message_id(c: Column | str) -> Column:
+    """{kind, node, gen} of a message id, NULL for other texts."""
+    pattern = r"^(job|result|failure)-(.+)-(\d+)$"
+    part = lambda i: F.regexp_extract(col(c), pattern, i)
+    return F.when(col(c).rlike(pattern), F.struct(part(1).alias("kind"), part(2).alias("node"), part(3).cast("long").alias("gen")))

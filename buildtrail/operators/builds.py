@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from buildtrail.functions.scalars import KINDS
+from buildtrail.functions.scalars import CHAIN, KINDS, STAGES
 from buildtrail.lineage import checkpointed
+from buildtrail.operators.refs import by_kind
 
 
 def validate_caches(caches: DataFrame, reserved: tuple[str, ...] = ("/proc", "/sys", "/dev")) -> DataFrame:
@@ -90,17 +94,28 @@ def memo_hits(builds: DataFrame) -> DataFrame:
     return builds.groupBy("kp").agg(F.countDistinct("f").alias("fs"), F.min("f").alias("first_f")).filter("fs > 1").withColumn("saved", F.col("fs") - 1)
 
 
-def flatten_tree(edges: DataFrame, roots: DataFrame, most_depth: int = 64) -> DataFrame:
-    """(path array, node, depth): a row for each path from a root; shared subtrees repeat, nodes already on the path are cut."""
-    level = checkpointed(roots.select(F.array("node").alias("path"), "node", F.lit(0).alias("depth")))
+def flatten_tree(edges: DataFrame, roots: DataFrame, most_depth: int = 64, labels: DataFrame | None = None) -> DataFrame:
+    """(path array, node, depth, place): a row for each path from a root; shared subtrees repeat, nodes already on the path are cut.
+
+    labels (node, label, closed) gives siblings their order (by label, then name; place holds the keys, so that ordering by place is the
+    order of reading) and keeps closed nodes, those done from a cache, from being expanded.
+    """
+    names = roots.select("node").union(edges.select("dep")).distinct() if labels is None else labels
+    has = set(names.columns)
+    label = F.coalesce("label", F.lit("")) if "label" in has else F.lit("")
+    closed = F.coalesce("closed", F.lit(False)) if "closed" in has else F.lit(False)
+    facts = names.select(F.col("node"), F.concat(label, F.lit(chr(1)), F.col("node").cast("string")).alias("rank"), closed.alias("closed"))
+    level = roots.join(facts, "node").select(F.array("node").alias("path"), "node", F.lit(0).alias("depth"), F.array("rank").alias("place"), "closed")
+    level = checkpointed(level)
     out = level
     for depth in range(1, most_depth + 1):
-        level = level.join(edges, "node").filter(~F.array_contains("path", F.col("dep"))).select(F.concat("path", F.array("dep")).alias("path"), F.col("dep").alias("node"), F.lit(depth).alias("depth"))
-        level = checkpointed(level)
+        grown = level.filter("not closed").drop("closed").join(edges, "node").filter(~F.array_contains("path", F.col("dep")))
+        level = grown.select(F.concat("path", F.array("dep")).alias("path"), F.col("dep").alias("node"), F.lit(depth).alias("depth"), "place").join(facts, "node")
+        level = checkpointed(level.select("path", "node", "depth", F.concat("place", F.array("rank")).alias("place"), "closed"))
         if level.isEmpty():
             break
         out = out.unionByName(level)
-    return out
+    return out.drop("closed")
 
 
 def deal_round_robin(wants: DataFrame, key: str, channels: int) -> DataFrame:
@@ -126,3 +141,74 @@ def diagnosis_json(attempts: DataFrame, fields: list[str]) -> DataFrame:
 
 def node_kind(c: Column) -> Column:
     return F.when(F.substring_index(c, "_", 1).isin(*KINDS), F.substring_index(c, "_", 1))
+
+
+def oversized_generated(pinned: DataFrame, cap: int = 1 << 20) -> DataFrame:
+    """pinned (key, generated map<string,binary>) whose inline files have more than cap bytes, with their sum."""
+    size = F.aggregate(F.map_values("generated"), F.lit(0).cast("long"), lambda a, x: a + F.coalesce(F.octet_length(x), F.lit(0)))
+    return pinned.select("key", F.coalesce(size, F.lit(0).cast("long")).alias("bytes")).filter(F.col("bytes") > cap)
+
+
+def fold_builds(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """A row for each buildvalue and import: (node, kind, label, phase, stage, elapsed_ms, runner, cached, log_node, error, children).
+
+    A buildvalue's stages are the nodes it depends on. The first stage that failed speaks for it; else its own failure or
+    cancellation; else the first running or publishing stage, then the first queued one; else it is done or waiting. Children are the
+    builds and imports that it or its stages depend on, by label, then name. nodes (node, kind, label, phase, elapsed_ms, runner, cached, error).
+    """
+    logical = F.col("kind").isin("buildvalue", "import")
+    place = F.coalesce(by_kind(F.col("kind"), {k: str(i) for i, k in enumerate(CHAIN)}).cast("int"), F.lit(len(CHAIN)))
+    facts = F.struct(place.alias("place"), by_kind(F.col("kind"), STAGES).alias("stage"), "phase", "elapsed_ms", "runner", "error", F.col("node").alias("log_node"), "cached")
+    pairs = edges.join(nodes.filter(logical).select("node"), "node", "left_semi")
+    stages = pairs.join(nodes.filter(~logical).select(F.col("node").alias("dep"), facts.alias("f")), "dep")
+    first = lambda *phases: F.min(F.when(F.col("f.phase").isin(*phases), F.col("f")))
+    chain = stages.groupBy("node").agg(first("failed").alias("bad"), first("running", "publishing").alias("run"), first("queued").alias("wait"), F.max(F.when(F.col("f.stage") == "build", F.col("f"))).alias("br"))
+    kids = nodes.filter(logical).select(F.col("node").alias("dep"), F.struct(F.coalesce("label", F.lit("")).alias("label"), F.col("node").alias("name")).alias("kid"))
+    below = stages.select("node", F.col("dep").alias("via")).join(edges.select(F.col("node").alias("via"), "dep"), "via").select("node", "dep")
+    children = pairs.unionByName(below).join(kids, "dep").groupBy("node").agg(F.transform(F.sort_array(F.collect_set("kid")), lambda k: k["name"]).alias("children"))
+    out = nodes.filter(logical).join(chain, "node", "left").join(children, "node", "left")
+    is_import, own_end = F.col("kind") == "import", F.col("phase").isin("failed", "cancelled", "failed-upstream")
+    bad, run, wait = F.col("bad").isNotNull(), F.col("run").isNotNull(), F.col("wait").isNotNull()
+    done = F.col("phase") == "done"
+
+    def pick(own: Column, failed: Column, ended: Column, running: Column, queued: Column, finished: Column, waiting: Column) -> Column:
+        return F.when(is_import, own).when(bad, failed).when(own_end, ended).when(run, running).when(wait, queued).when(done, finished).otherwise(waiting)
+
+    no = F.lit(None)
+    return out.select(
+        "node",
+        "kind",
+        "label",
+        pick(F.col("phase"), F.lit("failed"), F.col("phase"), F.col("run.phase"), F.lit("queued"), F.lit("done"), F.lit("waiting")).alias("phase"),
+        pick(F.lit(STAGES["import"]), F.col("bad.stage"), no, F.col("run.stage"), F.col("wait.stage"), no, no).alias("stage"),
+        pick(F.col("elapsed_ms"), F.col("bad.elapsed_ms"), no, F.col("run.elapsed_ms"), no, F.col("br.elapsed_ms"), no).alias("elapsed_ms"),
+        pick(F.col("runner"), F.col("bad.runner"), no, F.col("run.runner"), no, no, no).alias("runner"),
+        pick(F.col("cached"), F.lit(False), F.lit(False), F.lit(False), F.lit(False), F.col("cached") | F.coalesce("br.cached", F.lit(False)), F.lit(False)).alias("cached"),
+        pick(F.col("node"), F.col("bad.log_node"), F.col("br.log_node"), F.col("run.log_node"), F.col("br.log_node"), F.col("br.log_node"), F.col("br.log_node")).alias("log_node"),
+        pick(F.col("error"), F.col("bad.error"), F.col("error"), no, no, no, no).alias("error"),
+        F.coalesce("children", F.array().cast("array<string>")).alias("children"),
+    )
+
+
+def deal_weighted(wants: DataFrame, weights: list[int]) -> DataFrame:
+    """wants (round, key, size) with channel: in key order, each key goes where assigned bytes over weight are least, ties to the lower channel.
+
+    Weights under 1 count as 1. A round (of bounded size) is dealt as its rows stream by; only the channels' sums are kept.
+    """
+    weights = [max(1, w) for w in weights]
+    rows = wants.select("round", "key", F.col("size").cast("long").alias("size")).withColumn("channel", F.lit(0))
+    rows = rows.repartition(F.col("round")).sortWithinPartitions("round", "key")
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sums = None, [0] * len(weights)
+        for batch in batches:
+            channels = []
+            for r, size in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if r != now:
+                    now, sums = r, [0] * len(weights)
+                i = min(range(len(weights)), key=lambda c: (sums[c] / weights[c], c))  # noqa: B023
+                sums[i] += size or 0
+                channels.append(i)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(channels, pa.int32())], names=batch.schema.names)
+
+    return rows.mapInArrow(deal, rows.schema)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import count
 
 from pyspark.sql import DataFrame, Window
@@ -11,22 +12,26 @@ from buildtrail.functions.scalars import ACTIVE, phase_rank
 from buildtrail.lineage import checkpointed
 
 
+FRONTS = 16
+
+
 def closure(edges: DataFrame, roots: DataFrame, most: int | None = None) -> DataFrame:
     """roots (root, node) -> (root, node): all that each root reaches, its own nodes included, each once. Ends on cycles too.
 
-    With ``most``, a closure that isn't done after so many rounds is an error.
+    A round writes only what it found; found rows are written together once in ``FRONTS`` rounds. With ``most``, a
+    closure that isn't done after so many rounds is an error.
     """
-    seen = checkpointed(roots.select("root", "node").distinct())
-    front = seen
+    front = checkpointed(roots.select("root", "node").distinct())
+    seen = [front]
     for i in count(1):
-        front = front.join(edges, "node").select("root", F.col("dep").alias("node")).distinct().join(seen, ["root", "node"], "left_anti")
-        front = checkpointed(front)
+        front = front.join(edges, "node").select("root", F.col("dep").alias("node")).distinct()
+        front = checkpointed(front.join(reduce(DataFrame.unionByName, seen), ["root", "node"], "left_anti"))
         if front.isEmpty():
             break
         if i == most:
             raise RuntimeError(f"the closure isn't done after {most} rounds")
-        seen = checkpointed(seen.unionByName(front))
-    return seen
+        seen = [checkpointed(reduce(DataFrame.unionByName, [*seen, front]))] if len(seen) == FRONTS else [*seen, front]
+    return reduce(DataFrame.unionByName, seen)
 
 
 def failed_upstream(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -43,36 +48,74 @@ def request_nodes(requests: DataFrame, edges: DataFrame) -> DataFrame:
     return requests.select("request", F.col("target").alias("root")).join(closure(edges, targets), "root").select("request", "node")
 
 
-def ready_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Waiting nodes all of whose deps are done (or that have none)."""
+def ready_nodes(nodes: DataFrame, edges: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """Waiting nodes all of whose deps are done (or that have none).
+
+    A kind column of nodes leaves out buildvalue nodes, which are never placed; ``wanted`` (node) keeps those that a live request wants.
+    """
     done = nodes.select(F.col("node").alias("dep"), (F.col("phase") == "done").alias("ok"))
     state = edges.join(done, "dep", "left").groupBy("node").agg(F.bool_and(F.coalesce("ok", F.lit(False))).alias("ok"))
-    return nodes.filter("phase = 'waiting'").join(state, "node", "left").filter(F.coalesce("ok", F.lit(True))).drop("ok")
+    waiting = nodes.filter("phase = 'waiting'")
+    waiting = waiting.filter("kind <> 'buildvalue'") if "kind" in nodes.columns else waiting
+    waiting = waiting if wanted is None else waiting.join(wanted.select("node").distinct(), "node", "left_semi")
+    return waiting.join(state, "node", "left").filter(F.coalesce("ok", F.lit(True))).drop("ok")
 
 
-def find_cycles(edges: DataFrame, most: int | None = None) -> DataFrame:
-    """(node): nodes on a cycle. Nodes without a way in or out are peeled off first, then a node is on a cycle if it reaches itself."""
+def _core(edges: DataFrame) -> DataFrame:
+    """edges less the nodes without a way in or out, peeled off until none is left."""
     left = checkpointed(edges.select("node", "dep").distinct())
     size = left.count()
-    for i in count(1):
+    while True:
         outs, ins = left.select(F.col("node").alias("dep")).distinct(), left.select(F.col("dep").alias("node")).distinct()
         left = checkpointed(left.join(outs, "dep", "left_semi").join(ins, "node", "left_semi").select("node", "dep"))
         now = left.count()
         if now == size:
-            break
-        if i == most:
-            raise RuntimeError(f"nodes are still peeled off after {most} rounds")
+            return left
         size = now
-    starts = left.select(F.col("node").alias("root"), F.col("dep").alias("node")).distinct()
-    return closure(left, starts).filter(F.col("root") == F.col("node")).select("node").distinct()
 
 
-def graph_roots(edges: DataFrame) -> DataFrame:
-    """Nodes that no other node depends on; where there are none at all, the first by name."""
-    nodes = edges.select("node").union(edges.select("dep")).distinct()
-    roots = nodes.join(edges.filter("node <> dep").select(F.col("dep").alias("node")), "node", "left_anti")
+def find_cycles(edges: DataFrame) -> DataFrame:
+    """(node, component, next): the nodes on cycles; component is the least node that each can reach and be reached from.
+
+    Following next from any node leads by a shortest way to the component's least node, and from there round a cycle
+    back to it, so it is a chain that shows the cycle. Forward-backward colouring: the least label flows down the edges; a
+    label's own node and what reaches it within its colour form one component; these leave, and the rest is coloured anew.
+    """
+    left, out = _core(edges), None
+    while not left.isEmpty():
+        colour = checkpointed(left.select("node", F.col("node").alias("label")).distinct())
+        while True:
+            flow = left.join(colour, "node").groupBy(F.col("dep").alias("node")).agg(F.min("label").alias("new"))
+            step = checkpointed(colour.join(flow, "node", "left").select("node", F.least("label", "new").alias("label"), (F.col("new") < F.col("label")).alias("moved")))
+            colour = step.select("node", "label")
+            if step.filter("moved").isEmpty():
+                break
+        inside = left.join(colour, "node").join(colour.select(F.col("node").alias("dep"), F.col("label").alias("other")), "dep").filter("label = other").select("label", "node", "dep")
+        inside = checkpointed(inside)
+        front = colour.filter("node = label").select("label", "node").withColumn("far", F.lit(0)).withColumn("next", F.col("node"))
+        seen = front
+        while True:  # backwards from each label's node, within its colour
+            near = inside.join(front.select("label", F.col("node").alias("dep"), "far"), ["label", "dep"]).groupBy("label", "node").agg((F.min("far") + 1).alias("far"), F.min("dep").alias("next"))
+            front = checkpointed(near.join(seen, ["label", "node"], "left_anti"))
+            if front.isEmpty():
+                break
+            seen = checkpointed(seen.unionByName(front))
+        home = inside.join(seen.select("label", F.col("node").alias("dep"), "far"), ["label", "dep"]).filter("node = label").groupBy("label").agg(F.min_by("dep", F.struct("far", "dep")).alias("home"))
+        found = seen.join(home, "label").select("node", F.col("label").alias("component"), F.when(F.col("node") == F.col("label"), F.col("home")).otherwise(F.col("next")).alias("next"))
+        found = checkpointed(found)
+        out = found if out is None else out.unionByName(found)
+        done = colour.filter("node = label").select("node").unionByName(found.select("node")).distinct()
+        left = _core(left.join(done, "node", "left_anti").join(done.select(F.col("node").alias("dep")), "dep", "left_anti"))
+    return out if out is not None else edges.select("node", F.col("node").alias("component"), F.col("dep").alias("next")).limit(0)
+
+
+def graph_roots(edges: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """Nodes that no node depends on; where there are none at all, as on a pure cycle, the first by name. names (node) adds nodes without edges."""
+    nodes = edges.select("node").union(edges.select("dep"))
+    nodes = (nodes if names is None else nodes.union(names.select("node"))).distinct()
+    roots = nodes.join(edges.select(F.col("dep").alias("node")), "node", "left_anti")
     first = nodes.agg(F.min("node").alias("node")).join(roots.limit(1).agg(F.count("*").alias("n")), F.col("n") == 0).select("node")
-    return roots.unionByName(first)
+    return roots.unionByName(first.filter("node is not null"))
 
 
 def orphaned_by_cancel(requests: DataFrame, edges: DataFrame, cancelled: str = "cancelled") -> DataFrame:
@@ -89,16 +132,26 @@ def request_counts(membership: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def request_phase(requests: DataFrame, counts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(request, phase, terminal): cancelled, then target done, then any failed, then running."""
+    """(request, phase, terminal): cancelled, then the request's own failure (fail_reason), target done, any failed node, running."""
     target = nodes.select(F.col("node").alias("target"), F.col("phase").alias("__t"))
     joined = requests.join(counts, "request", "left").join(target, "target", "left")
-    phase = F.when(F.col("cancelled"), "cancelled").when(F.col("__t") == "done", "done").when(F.coalesce("failed", F.lit(0)) > 0, "failed").otherwise("running")
+    own = F.coalesce(F.col("fail_reason"), F.lit("")) != "" if "fail_reason" in requests.columns else F.lit(False)
+    phase = F.when(F.col("cancelled"), "cancelled").when(own, "failed").when(F.col("__t") == "done", "done").when(F.coalesce("failed", F.lit(0)) > 0, "failed").otherwise("running")
     return joined.select("request", phase.alias("phase")).withColumn("terminal", F.col("phase") != "running")
 
 
-def interest_tags(membership: DataFrame) -> DataFrame:
-    """(node, requests): how many requests want each node, and the first of them."""
-    return membership.groupBy("node").agg(F.countDistinct("request").alias("requests"), F.min("request").alias("first_request"))
+def interest_tags(membership: DataFrame, requests: DataFrame | None = None) -> DataFrame:
+    """(node, requests): the sorted ids of the live requests that want each node; requests (request, cancelled) tells which are live.
+
+    The ids of a node are its result; a caller for whom they may be too many counts ``membership`` instead.
+    """
+    live = membership if requests is None else membership.join(requests.filter(~F.col("cancelled")).select("request"), "request", "left_semi")
+    return live.groupBy("node").agg(F.sort_array(F.collect_set("request")).alias("requests"))
+
+
+def waiting_fs(shares: DataFrame) -> DataFrame:
+    """shares (f, kp) -> (kp, fs): the sorted f keys that wait on each shared run."""
+    return shares.groupBy("kp").agg(F.sort_array(F.collect_set("f")).alias("fs"))
 
 
 def root_failures(membership: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -117,8 +170,13 @@ def first_failing(membership: DataFrame, nodes: DataFrame, cap: int = 4) -> Data
 
 
 def problem_first(nodes: DataFrame) -> DataFrame:
-    """Phase groups with counts, in the order in which a reader wants them."""
-    return nodes.groupBy("phase").agg(F.count("*").alias("n"), F.min("node").alias("first_node")).withColumn("place", phase_rank("phase"))
+    """nodes with place (their phase's rank), nth (within the phase, by name) and in_phase (the group header's count), problems first.
+
+    Unknown phases come last, by name.
+    """
+    group = Window.partitionBy("phase")
+    out = nodes.withColumn("place", phase_rank("phase")).withColumn("nth", F.row_number().over(group.orderBy("node"))).withColumn("in_phase", F.count("*").over(group))
+    return out.orderBy("place", "phase", "node")
 
 
 def board_rows(membership: DataFrame, nodes: DataFrame, run_cap: int = 8, fail_cap: int = 4) -> DataFrame:
@@ -146,21 +204,41 @@ def incomplete_roots(children: DataFrame, objects: DataFrame, roots: DataFrame)
     return lost.groupBy("root").agg(F.count("*").alias("missing"), F.min("node").alias("example"))
 
 
+def complete_keys(children: DataFrame, store: DataFrame) -> DataFrame:
+    """The keys of store whose whole closure over children (parent, child) is in store: presence alone proves nothing about children."""
+    inner = children.join(store.select(F.col("key").alias("parent")), "parent", "left_semi")
+    lacking = inner.join(store.select(F.col("key").alias("child")), "child", "left_anti").select(F.col("parent").alias("node")).distinct()
+    up = inner.select(F.col("child").alias("node"), F.col("parent").alias("dep"))
+    broken = closure(up, lacking.select(F.lit(0).alias("root"), "node")).select(F.col("node").alias("key"))
+    return store.select("key").distinct().join(broken, "key", "left_anti")
+
+
 def plan_transfer(children: DataFrame, src: DataFrame, dst: DataFrame, roots: DataFrame, most: int | None = None) -> DataFrame:
-    """(round, key): what moves in each round from src to dst: absent keys that a root reaches through keys that move, once each.
+    """(round, key, present): what is asked for in each round: keys of src that dst lacks, or has but not completely, from the roots down.
 
-    dst's keys are taken as complete (their subtrees are cut off).
+    Complete subtrees of dst are cut off; the next round's keys are the children of this round's. present: dst has the key already.
     """
-    front = roots.select("key").distinct().join(dst.select("key"), "key", "left_anti").join(src.select("key"), "key", "left_semi")
-    seen = checkpointed(front.withColumn("round", F.lit(1)))
-    front = seen.select("key")
-    for i in count(2):
-        front = front.join(children.select(F.col("parent").alias("key"), "child"), "key").select(F.col("child").alias("key")).distinct()
-        front = front.join(dst.select("key"), "key", "left_anti").join(src.select("key"), "key", "left_semi").join(seen.select("key"), "key", "left_anti")
-        front = checkpointed(front)
+    whole = checkpointed(complete_keys(children, dst))
+    front = roots.select("key").distinct()
+    seen: DataFrame | None = None
+    for i in count(1):
+        front = front.join(whole, "key", "left_anti").join(src.select("key"), "key", "left_semi")
+        front = checkpointed(front if seen is None else front.join(seen.select("key"), "key", "left_anti"))
         if front.isEmpty():
             break
         if i - 1 == most:
             raise RuntimeError(f"the transfer isn't done after {most} rounds")
-        seen = checkpointed(seen.unionByName(front.withColumn("round", F.lit(i))))
-    return seen
+        now = front.withColumn("round", F.lit(i))
+        seen = now if seen is None else checkpointed(seen.unionByName(now))
+        front = front.join(children.select(F.col("parent").alias("key"), "child"), "key").select(F.col("child").alias("key")).distinct()
+    if seen is None:
+        seen = front.withColumn("round", F.lit(0))
+    have = dst.select("key").distinct().withColumn("present", F.lit(True))
+    return seen.join(have, "key", "left").withColumn("present", F.coalesce("present", F.lit(False)))
+
+
+def transfer_totals(plan: DataFrame, objects: DataFrame) -> DataFrame:
+    """One row: rounds, objects and bytes that a plan moves; objects (key, size)."""
+    new = plan.join(objects, "key", "left")
+    moved = ~F.col("present")
+    return new.agg(F.max("round").alias("rounds"), F.count_if(moved).alias("objects"), F.coalesce(F.sum(F.when(moved, F.col("size"))), F.lit(0)).alias("bytes"))

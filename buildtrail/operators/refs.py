@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from buildtrail.functions.scalars import cache_ref, is_canonical_hex_key, parse_cache_ref
+
 
 def current_refs(log: DataFrame) -> DataFrame:
     """Last write wins by (created, key); names whose last row is a delete are gone."""
@@ -48,15 +52,33 @@ def page_tags(tags: DataFrame, last: str, n: int) -> DataFrame:
     return page.withColumn("nth", F.row_number().over(w)).withColumn("more", F.count("*").over(Window.partitionBy()) > n).filter(F.col("nth") <= n)
 
 
-def done_nodes(nodes: DataFrame, refs: DataFrame) -> DataFrame:
-    """Nodes whose output ref (column out_name) exists."""
-    return nodes.join(refs.select(F.col("name").alias("out_name")), "out_name", "left_semi")
+# The ref that says a node of a kind is done, the refs that a kind may propose.
+OUTPUTS = {"import": "import-output", "buildfrom": "build-from", "pluginresolve": "build-plugin-resolved", "pin": "build-pinned", "buildrun": "build-output"}
+CARRIERS = ("buildfrom", "pluginresolve", "pin")
+
 
+def by_kind(kind: Column, values: dict[str, str]) -> Column:
+    return reduce(lambda out, x: F.when(kind == x[0], F.lit(x[1])).otherwise(out), values.items(), F.lit(None).cast("string"))
 
-def resolve_outputs(ks: DataFrame, refs: DataFrame) -> DataFrame:
-    """(k, f, output): build-from:k gives f, then build-output:f, or else build-output:k."""
-    ref = lambda prefix, key, out: refs.filter(F.col("name").startswith(prefix)).select(F.substring("name", len(prefix) + 1, 1 << 20).alias(key), F.col("key").alias(out))
-    hop = ks.join(ref("build-from:", "k", "f"), "k", "left").join(ref("build-output:", "f", "via"), "f", "left").join(ref("build-output:", "k", "own"), "k", "left")
+
+def named(refs: DataFrame, prefix: str, key: str, out: str) -> DataFrame:
+    """refs of a prefix as (key: what follows the colon, out: the ref's value)."""
+    return refs.filter(F.col("name").startswith(prefix + ":")).select(F.substring("name", len(prefix) + 2, 1 << 20).alias(key), F.col("key").alias(out))
+
+
+def done_nodes(nodes: DataFrame, refs: DataFrame) -> DataFrame:
+    """nodes (node, kind, key, ...) whose output ref exists; a buildvalue is done if build-from:key names an f and build-output:f exists."""
+    plain = nodes.withColumn("__out", F.concat(by_kind(F.col("kind"), OUTPUTS), F.lit(":"), F.col("key")))
+    one = plain.filter("kind <> 'buildvalue'").join(refs.select(F.col("name").alias("__out")), "__out", "left_semi")
+    two = nodes.filter("kind = 'buildvalue'").join(named(refs, "build-from", "key", "__f"), "key")
+    two = two.withColumn("__out", F.concat(F.lit("build-output:"), "__f")).join(refs.select(F.col("name").alias("__out")), "__out", "left_semi")
+    return one.select(*nodes.columns).unionByName(two.select(*nodes.columns))
+
+
+def resolve_outputs(ks: DataFrame, refs: DataFrame, deps: bool = False) -> DataFrame:
+    """(k, f, output): build-from:k gives f, then build-output:f (with deps: build-output-deps:f), or else that of k itself."""
+    kind = "build-output-deps" if deps else "build-output"
+    hop = ks.join(named(refs, "build-from", "k", "f"), "k", "left").join(named(refs, kind, "f", "via"), "f", "left").join(named(refs, kind, "k", "own"), "k", "left")
     return hop.select("k", "f", F.coalesce("via", "own").alias("output"))
 
 
@@ -65,21 +87,115 @@ def heal_carriers(wanted: DataFrame, refs: DataFrame) -> DataFrame:
     return wanted.join(refs.select("name"), "name", "left_anti")
 
 
-def gate_refs(proposals: DataFrame) -> DataFrame:
-    """Adds reason (NULL: allowed) and accepted to proposals (batch, kind, name, key): one bad ref rejects its whole batch.
+def seed_missing(artifacts: DataFrame, refs: DataFrame) -> DataFrame:
+    """artifacts (name, key, content) -> the refs (name, key) to put: each artifact and its marker, unless the marker of this very content is there.
 
-    eval may publish build-value:, resolve build-from:, build build-output: and build-deps:, fetch build-output:; a name's key mustn't be empty.
+    A marker's name holds the content's hash, so a changed blob is seeded again.
+    """
+    marked = artifacts.withColumn("__m", F.concat(F.lit("seeded:"), "name", F.lit(":"), F.substring(F.sha2("content", 256), 1, 16)))
+    new = marked.join(refs.select(F.col("name").alias("__m")), "__m", "left_anti")
+    pair = F.array(F.struct(F.col("name"), F.col("key")), F.struct(F.col("__m").alias("name"), F.col("key")))
+    return new.select(F.explode(pair).alias("r")).select("r.*")
+
+
+def gate_refs(proposals: DataFrame, caches: DataFrame) -> DataFrame:
+    """Adds reason (NULL: allowed) and accepted to proposals (batch, kind, node_key, platform, name, key): one bad ref rejects its whole batch.
+
+    A kind may publish its own output under its own node_key, a buildrun also its deps and declared caches (caches: build, id) on its
+    placement platform, the kinds before it build-from-tree:<f> whose value is f itself, a buildfrom only the f of its own batch's
+    build-from ref. A buildvalue may publish nothing.
+    """
+    p = proposals.withColumn("__id", parse_cache_ref("name")["id"]).withColumn("__plat", parse_cache_ref("name")["platform"])
+    declared = caches.select(F.col("build").alias("node_key"), F.col("id").alias("__id"), F.lit(True).alias("__declared")).distinct()
+    p = p.join(declared, ["node_key", "__id"], "left")
+    family, value = F.substring_index("name", ":", 1), F.substring("name", len("build-from-tree:") + 1, 1 << 20)
+    batch = Window.partitionBy("batch")
+    reported = F.max(F.when((F.col("kind") == "buildfrom") & (F.col("name") == F.concat(F.lit("build-from:"), "node_key")), F.col("key"))).over(batch)
+    cache = F.when(F.col("kind") != "buildrun", "not permitted").when(F.col("__id").isNull(), "malformed cache name")
+    cache = cache.when(F.col("__plat") != F.col("platform"), "other platform").when(F.col("__declared").isNull(), "cache not declared")
+    tree = F.when(~F.col("kind").isin(*CARRIERS), "not permitted").when(~is_canonical_hex_key(value), "no canonical key").when(value != F.col("key"), "value is not the name's key")
+    tree = tree.when((F.col("kind") == "buildfrom") & ~F.col("__f").eqNullSafe(value), "not this batch's build-from")
+    own = F.concat(by_kind(F.col("kind"), OUTPUTS), F.lit(":"), F.col("node_key"))
+    more = F.when(F.col("kind") == "buildrun", F.concat(F.lit("build-output-deps:"), F.col("node_key")))
+    other = F.when(~F.coalesce(F.col("name") == own, F.lit(False)) & ~F.coalesce(F.col("name") == more, F.lit(False)), "not permitted")
+    reason = F.when(family == "build-cache", cache).when(family == "build-from-tree", tree).otherwise(other)
+    out = p.withColumn("__f", reported).withColumn("reason", reason).drop("__id", "__plat", "__declared", "__f")
+    return out.withColumn("accepted", F.bool_and(F.col("reason").isNull()).over(batch))
+
+
+def pull_refs(nodes: DataFrame, inputs: DataFrame, caches: DataFrame, refs: DataFrame) -> DataFrame:
+    """(node, names, missing): the distinct ref names that each job must have before it runs, in order.
+
+    nodes (node, kind, key, platform, fetcher), inputs (node, ord, kind, key: the outputs that it reads), caches (node, id). A build input
+    is read through build-from:key; where that ref is missing, its name is in missing. Shells, seed fetchers and caches may be
+    absent and are named only where they exist.
+    """
+    kind = F.col("kind")
+    row = lambda df, ord_, name, optional=False: df.select("node", F.lit(ord_).cast("long").alias("ord") if isinstance(ord_, int) else ord_.alias("ord"), name.alias("name"), F.lit(optional).alias("optional"), F.lit(False).alias("lost"))
+    key = lambda prefix: F.concat(F.lit(prefix), F.col("key"))
+    shell = F.concat(F.lit("shell:"), F.col("platform"))
+    own = [
+        row(nodes.filter(kind == "import"), 0, shell, True),
+        row(nodes.filter((kind == "import") & F.col("fetcher").isNotNull()), 1, F.concat(F.lit("fetcher:"), "fetcher", F.lit(":"), "platform"), True),
+        row(nodes.filter(kind.isin("pluginresolve", "pin")), 0, key("f-tree/")),
+        row(nodes.filter(kind == "pin"), 1, key("build-plugin-resolved:")),
+        row(nodes.filter(kind == "buildrun"), 0, key("kp-tree/")),
+        row(nodes.filter(kind == "buildrun"), 1, key("build-pinned:")),
+        row(nodes.filter(kind.isin("pin", "buildrun")), 2, shell, True),
+        row(caches.join(nodes.filter(kind == "buildrun").select("node", "platform"), "node"), 1 << 40, cache_ref("id", "platform"), True),
+    ]
+    held = inputs.select("node", (F.col("ord") * 3 + 3).alias("ord"), F.col("kind").alias("what"), "key").join(nodes.select("node", "kind"), "node")
+    held = held.join(named(refs, "build-from", "key", "f"), "key", "left")
+    deps = kind.isin("buildfrom", "buildrun", "import")
+    names = F.when(F.col("what") == "import", F.array(key("import-output:"))).when(F.col("what") == "tree", F.array(key("build-from-tree:")))
+    names = names.when(F.col("f").isNull(), F.array(key("build-from:")))
+    names = names.when(deps, F.array(key("build-from:"), F.concat(F.lit("build-output:"), "f"), F.concat(F.lit("build-output-deps:"), "f"))).otherwise(F.array(key("build-from:"), F.concat(F.lit("build-output:"), "f")))
+    lost = (F.col("what") == "build") & F.col("f").isNull()
+    read = held.select("node", "ord", lost.alias("lost"), (kind == "import").alias("loose"), F.posexplode(names).alias("i", "name"))
+    read = read.select("node", (F.col("ord") + F.col("i")).alias("ord"), "name", (F.col("loose") & (F.col("i") == 2)).alias("optional"), "lost")
+    every = reduce(DataFrame.unionByName, [*own, read])
+    there = every.join(refs.select("name", F.lit(True).alias("there")), "name", "left").filter("not optional or there")
+    first = there.groupBy("node", "name").agg(F.min("ord").alias("ord"), F.bool_or("lost").alias("lost"))
+    listed = first.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("ord", "name", "lost"))).alias("r"))  # a job's refs
+    pick = lambda bad: F.transform(F.filter("r", lambda x: x["lost"] == bad), lambda x: x["name"])
+    return listed.select("node", pick(False).alias("names"), pick(True).alias("missing"))
+
+
+def resolve_images(ks: DataFrame, refs: DataFrame, trees: DataFrame, deps: DataFrame, defs: DataFrame, default_platform: str) -> DataFrame:
+    """ks (k) -> (k, f, artifact, deps, platform, shell, entrypoint, error): what an image of each build key is made of.
+
+    trees (root, path, content_key): the artifact is entry c of the output's tree, the entrypoint that tree's JOBS.entrypoint;
+    deps (root, key); defs (k, platform). A key without build-from is its own f. error: no output, or an output without an artifact.
+    """
+    hop = ks.join(named(refs, "build-from", "k", "f"), "k", "left").withColumn("f", F.coalesce("f", "k"))
+    hop = hop.join(named(refs, "build-output", "f", "root"), "f", "left").join(named(refs, "build-output-deps", "f", "deps_root"), "f", "left")
+    entry = lambda path, out: trees.filter(F.col("path") == path).select("root", F.col("content_key").alias(out))
+    hop = hop.join(entry("c", "artifact"), "root", "left")
+    hop = hop.join(entry("JOBS.entrypoint", "entrypoint").withColumnRenamed("root", "artifact"), "artifact", "left")
+    listed = deps.groupBy(F.col("root").alias("deps_root")).agg(F.sort_array(F.collect_set("key")).alias("deps"))
+    hop = hop.join(listed, "deps_root", "left").join(defs.select("k", "platform"), "k", "left").withColumn("platform", F.coalesce("platform", F.lit(default_platform)))
+    hop = hop.join(named(refs, "shell", "platform", "shell"), "platform", "left")
+    error = F.when(F.col("root").isNull(), "no output").when(F.col("artifact").isNull(), "no artifact")
+    return hop.select("k", "f", "artifact", F.coalesce("deps", F.array().cast("array<string>")).alias("deps"), "platform", "shell", "entrypoint", error.alias("error"))
+
+
+def apply_labels(nodes: DataFrame, edges: DataFrame, proposals: DataFrame) -> DataFrame:
+    """nodes (node, kind, label) with final labels.
+
+    proposals (node, ord, name, label): the first label on a build-pinned: proposal is the recipe's own name; it overrides that node's label
+    and those of the buildvalues that depend on it. Of several recipes of one buildvalue the least node's counts.
     """
-    allowed = F.when(F.col("kind") == "eval", F.array(F.lit("build-value"))).when(F.col("kind") == "resolve", F.array(F.lit("build-from"))).when(F.col("kind") == "build", F.array(F.lit("build-output"), F.lit("build-deps"))).when(F.col("kind") == "fetch", F.array(F.lit("build-output"))).otherwise(F.array().cast("array<string>"))
-    reason = F.when(F.coalesce("key", F.lit("")) == "", "empty key").when(~F.array_contains(allowed, F.substring_index("name", ":", 1)), "name not allowed")
-    out = proposals.withColumn("reason", reason)
-    return out.withColumn("accepted", F.bool_and(F.col("reason").isNull()).over(Window.partitionBy("batch")))
+    recipe = proposals.filter(F.col("name").startswith("build-pinned:") & (F.coalesce("label", F.lit("")) != "")).groupBy("node").agg(F.min_by("label", "ord").alias("__own"))
+    above = edges.join(recipe.select(F.col("node").alias("dep"), F.col("__own").alias("__dep")), "dep").groupBy("node").agg(F.min_by("__dep", "dep").alias("__below"))
+    out = nodes.join(recipe, "node", "left").join(above, "node", "left")
+    below = F.when(F.col("kind") == "buildvalue", F.col("__below"))
+    return out.withColumn("label", F.coalesce(below, "__own", "label")).drop("__own", "__below")
 
 
 def pullable_tags(refs: DataFrame, images: DataFrame) -> DataFrame:
-    """Distinct keys of build-from: refs and of images (k)."""
+    """Distinct keys of build-from: refs and of images (k) that have a key's form."""
     named = refs.filter(F.col("name").startswith("build-from:")).select(F.substring("name", len("build-from:") + 1, 1 << 20).alias("k"))
-    return named.unionByName(images.select("k")).filter("k <> ''").distinct()
+    return named.unionByName(images.select("k")).filter(is_canonical_hex_key("k")).distinct()
 
 
 def list_requests(requests: DataFrame, limit: int = 0) -> DataFrame:

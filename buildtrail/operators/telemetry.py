@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,28 +38,29 @@ def sequence_gaps(events: DataFrame) -> DataFrame:
     return before.filter(F.col("seq") > F.col("prev") + 1).select("emitter", "boot", (F.col("prev") + 1).alias("gap_from"), (F.col("seq") - 1).alias("gap_to"), (F.col("seq") - F.col("prev") - 1).alias("missing"))
 
 
-def progress_deltas(events: DataFrame, value: str) -> DataFrame:
-    """Cumulative readings as steps for each node; a falling reading starts anew."""
-    w = Window.partitionBy("node").orderBy("seq")
+def progress_deltas(events: DataFrame, value: str, by: tuple[str, ...] = ("node",)) -> DataFrame:
+    """Cumulative readings as steps for each ``by`` (a job and its phase, say); a falling reading starts anew."""
+    w = Window.partitionBy(*by).orderBy("seq")
     prev = F.lag(value).over(w)
     return events.withColumn("delta", F.when(prev.isNull() | (F.col(value) < prev), F.col(value)).otherwise(F.col(value) - prev))
 
 
-def phase_durations(events: DataFrame) -> DataFrame:
-    """Seconds that each node spends in each type until its next event; the last lasts 0."""
-    w = Window.partitionBy("node").orderBy("ts", "seq")
+def phase_durations(events: DataFrame, by: tuple[str, ...] = ("node",)) -> DataFrame:
+    """Microseconds that each ``by`` (node, or node and attempt) spends in each type until its next event; the last lasts 0."""
+    w = Window.partitionBy(*by).orderBy("ts", "seq")
     spans = events.withColumn("until", F.lead("ts").over(w))
     length = micros(F.coalesce("until", "ts")) - micros("ts")
-    return spans.groupBy("node", "type").agg(F.sum(length).alias("micros"), F.count("*").alias("times"))
+    return spans.groupBy(*by, "type").agg(F.sum(length).alias("micros"), F.count("*").alias("times"))
 
 
-def events_to_attempts(events: DataFrame) -> DataFrame:
-    """As-of join: attach each event to the latest exec.started of its node at or before it; none after a finish until the next start."""
-    w = Window.partitionBy("node").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0)
+def events_to_attempts(events: DataFrame, by: tuple[str, ...] = ("node",)) -> DataFrame:
+    """As-of join: attach each event to the latest exec.started of its ``by`` (node and runner) at or before it; none after a finish until the next start."""
+    w = Window.partitionBy(*by).orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0)
     started = F.last(F.when(F.col("type") == "exec.started", F.col("seq")), ignorenulls=True).over(w)
-    finished = F.last(F.when(F.col("type") == "exec.finished", F.col("seq")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    out = events.withColumn("attempt", started).withColumn("__done", finished)
-    return out.withColumn("attempt", F.when(F.col("attempt").isNotNull() & (F.col("__done").isNull() | (F.col("__done") < F.col("attempt"))), F.col("attempt"))).drop("__done")
+    over = F.max(F.when(F.col("type") == "exec.finished", F.struct("ts", "seq"))).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    begun = F.max(F.when(F.col("type") == "exec.started", F.struct("ts", "seq"))).over(w)
+    out = events.withColumn("attempt", started).withColumn("__done", over).withColumn("__begun", begun)
+    return out.withColumn("attempt", F.when(F.col("__done").isNull() | (F.col("__done") < F.col("__begun")), F.col("attempt"))).drop("__done", "__begun")
 
 
 def attempt_usage(events: DataFrame, cpu: str, memory: str) -> DataFrame:
@@ -71,15 +75,30 @@ def dedup_attempts(attempts: DataFrame, order: list[str]) -> DataFrame:
 
 
 def dedup_in_window(attempts: DataFrame, seconds: int, order: list[str]) -> DataFrame:
-    """Rows of (node, gen) that don't come within ``seconds`` after the row before them."""
-    w = Window.partitionBy("node", "gen").orderBy("arrival", *order)
-    prev = F.lag("arrival").over(w)
-    keep = prev.isNull() | (micros("arrival") - micros(prev) > seconds * 1_000_000)
-    return attempts.withColumn("__keep", keep).filter("__keep").drop("__keep")
+    """The rows of (node, gen) that are no repeat: the first, then each that comes more than ``seconds`` after the last row kept.
+
+    Whether a row stays depends on the last one kept, so a key's rows are passed in order, a batch at a time, with one number as state.
+    """
+    columns = attempts.columns
+    sorted_ = attempts.withColumn("__us", micros("arrival")).withColumn("__k", F.xxhash64("node", "gen"))
+    sorted_ = sorted_.repartition(F.col("node"), F.col("gen")).sortWithinPartitions("node", "gen", "arrival", *order)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, last = None, 0
+        for batch in batches:
+            stay = []
+            for k, at in zip(batch.column(batch.num_columns - 1).to_pylist(), batch.column(batch.num_columns - 2).to_pylist(), strict=True):
+                stays = k != key or at - last > seconds * 1_000_000
+                key, last = k, at if stays else last
+                stay.append(stays)
+            yield batch.filter(pa.array(stay, pa.bool_()))
+
+    return sorted_.mapInArrow(keep, sorted_.schema).select(*columns)
 
 
 def recordable_failures(attempts: DataFrame) -> DataFrame:
-    return attempts.filter(~F.col("class").isin("ok", "cancelled"))
+    """Attempts (class, disposition) that leave a failure record: all but good ones and cancelled ones that will be retried."""
+    return attempts.filter((F.col("class") != "ok") & ~((F.col("class") == "cancelled") & (F.col("disposition") == "retry")))
 
 
 def newest_attempts(attempts: DataFrame, n: int = 4) -> DataFrame:
@@ -123,17 +142,27 @@ def usage_rollup(attempts: DataFrame, dims: list[str], sums: list[str]) -> DataF
 
 
 def fence_stale(results: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Adds reason: NULL for results that may be applied, else why they are dropped."""
-    joined = results.join(nodes.select("node", F.col("gen").alias("__gen"), F.col("phase").alias("__phase")), "node", "left")
-    reason = F.when(F.col("__gen").isNull(), "unknown node").when(F.col("gen") != F.col("__gen"), "stale").when(~F.col("__phase").isin("queued", "running"), "not running")
-    return joined.withColumn("reason", reason).drop("__gen", "__phase")
+    """Adds reason: NULL for results that may be applied, else why they are dropped; nodes (node, gen, phase, last_gen: the last gen with a result).
+
+    Of several results of one gen the first (by arrival, where there is such a column) is applied.
+    """
+    now = nodes.select("node", F.col("gen").alias("__gen"), F.col("phase").alias("__phase"), (F.col("last_gen") if "last_gen" in nodes.columns else F.lit(None).cast("long")).alias("__last"))
+    joined = results.join(now, "node", "left")
+    w = Window.partitionBy("node", "gen").orderBy(*(["arrival"] if "arrival" in results.columns else ["class"]))
+    reason = F.when(F.col("__gen").isNull(), "unknown node").when(F.col("gen") != F.col("__gen"), "stale").when(F.col("gen") <= F.col("__last"), "handled")
+    reason = reason.when(~F.col("__phase").isin("queued", "running"), "not running").when(F.row_number().over(w) > 1, "handled")
+    return joined.withColumn("reason", reason).drop("__gen", "__phase", "__last")
 
 
-def attempts_join(jobs: DataFrame, results: DataFrame) -> DataFrame:
-    """One row for each (node, gen) that was enqueued or reported; ``state`` says which."""
+def attempts_join(jobs: DataFrame, results: DataFrame, failures: DataFrame | None = None) -> DataFrame:
+    """One row for each (node, gen) that was enqueued, reported or recorded as failed; ``state`` says which; failures (node, gen, disposition, backoff_ms)."""
     j, r = jobs.select("node", "gen", "enqueued"), results.select("node", "gen", "class", "reported")
+    out = j.join(r, ["node", "gen"], "full")
     state = F.when(F.col("class").isNull(), "no result").when(F.col("enqueued").isNull(), "no job").otherwise("both")
-    return j.join(r, ["node", "gen"], "full").withColumn("state", state)
+    if failures is None:
+        return out.withColumn("state", state)
+    f = failures.select("node", "gen", "disposition", "backoff_ms", F.lit(True).alias("recorded"))
+    return out.withColumn("state", state).join(f, ["node", "gen"], "full").withColumn("recorded", F.coalesce("recorded", F.lit(False)))
 
 
 def attempt_timing(attempts: DataFrame) -> DataFrame:
@@ -143,8 +172,20 @@ def attempt_timing(attempts: DataFrame) -> DataFrame:
     return attempts.withColumn("queued_us", F.when(F.col("started") > F.col("enqueued"), span("enqueued", "started"))).withColumn("ran_us", F.when(F.col("finished") > F.col("started"), span("started", "finished"))).withColumn("elapsed_us", F.greatest(F.lit(0), micros("finished") - micros(begin)))
 
 
-def apply_retention(failures: DataFrame, newest, days: int = 7, per_node: int = 8) -> DataFrame:
-    """Rows of the last ``days`` before newest (a timestamp column or literal), the last per_node of each node."""
+def apply_retention(failures: DataFrame, newest, days: int = 7, per_node: int = 8, max_bytes: int | None = None) -> DataFrame:
+    """Rows of the last ``days`` before newest (a timestamp column or literal), the last per_node of each node.
+
+    With max_bytes (of a column size), the oldest rows beyond that sum go too. The running sum is taken over days first, so no
+    window holds all rows: days that fit whole stay, and only the day that crosses the bound is summed row by row.
+    """
     w = Window.partitionBy("node").orderBy(F.desc("arrival"), F.desc("gen"))
     fresh = failures.filter(micros("arrival") > micros(newest) - days * 86_400_000_000)
-    return fresh.withColumn("__nth", F.row_number().over(w)).filter(F.col("__nth") <= per_node).drop("__nth")
+    kept = fresh.withColumn("__nth", F.row_number().over(w)).filter(F.col("__nth") <= per_node).drop("__nth")
+    if max_bytes is None:
+        return kept
+    dated = kept.withColumn("__day", F.floor(micros("arrival") / 86_400_000_000))
+    upto = Window.orderBy(F.desc("__day")).rowsBetween(Window.unboundedPreceding, -1)
+    by_day = dated.groupBy("__day").agg(F.sum("size").alias("__all")).withColumn("__newer", F.coalesce(F.sum("__all").over(upto), F.lit(0)))  # a row a day, ``days`` at most
+    placed = dated.join(F.broadcast(by_day), "__day").filter(F.col("__newer") < max_bytes)
+    within = F.sum("size").over(Window.partitionBy("__day").orderBy(F.desc("arrival"), "node", F.desc("gen")))
+    return placed.withColumn("__sum", F.col("__newer") + within).filter(F.col("__sum") <= max_bytes).drop("__day", "__all", "__newer", "__sum")

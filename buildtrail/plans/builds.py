@@ -43,7 +43,7 @@ QUERIES = {
     "definition_key": lambda s, d: lines(s, d).select("l_partkey", "l_suppkey", F.when(F.col("l_linenumber") > 3, F.col("l_linenumber")).alias("opt")).withColumn("key", x.definition_key("l_suppkey", "l_partkey", "opt")).agg(F.countDistinct("key").alias("keys"), F.countDistinct("l_partkey", "l_suppkey", F.coalesce("opt", F.lit(0))).alias("definitions")),
     "attempt_verdict": lambda s, d: t.trail(s, d).select("node", "gen", x.attempt_verdict("class", "disposition", F.col("gen") - 1).alias("verdict")),
     "label_node": lambda s, d: s.read.parquet(f"{d}/part.parquet").select("p_partkey", x.label_node(F.when(F.col("p_size") > 9, F.col("p_name")), F.concat(F.lit("build_"), F.sha2("p_name", 256))).alias("label")),
-    "pullable_tags": lambda s, d: refs.pullable_tags(s.read.parquet(f"{d}/orders.parquet").select(F.concat(F.when(F.col("o_orderstatus") == "O", "build-from:").otherwise("x:"), F.col("o_custkey")).alias("name")), s.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").cast("string").alias("k"))),
+    "pullable_tags": lambda s, d: refs.pullable_tags(s.read.parquet(f"{d}/orders.parquet").select(F.concat(F.when(F.col("o_orderstatus") == "O", "build-from:").otherwise("x:"), F.when(F.col("o_custkey") % 2 == 0, F.sha2(F.col("o_custkey").cast("string"), 256)).otherwise(F.col("o_custkey").cast("string"))).alias("name")), s.read.parquet(f"{d}/supplier.parquet").select(F.sha2(F.col("s_suppkey").cast("string"), 256).alias("k"))),
     "list_requests": lambda s, d: refs.list_requests(s.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("request"), F.col("o_orderdate").alias("created")), 50).select("request"),
     "diagnosis_json": lambda s, d: b.diagnosis_json(t.newest(s, d).filter("disposition <> 'done'"), ["gen", "class", "disposition"]),
 }
@@ -70,6 +70,6 @@ SQL = {
     "definition_key": "SELECT count(DISTINCT (l_partkey, l_suppkey, CASE WHEN l_linenumber > 3 THEN l_linenumber ELSE 0 END)) AS keys, keys AS definitions FROM lineitem",
     "attempt_verdict": f"WITH {t.TRAIL_SQL} SELECT node, gen, class || CASE WHEN disposition <> 'done' THEN ' (' || disposition || ')' ELSE '' END || CASE WHEN gen <> 1 THEN ' exit ' || (gen - 1) ELSE '' END AS verdict FROM walk",
     "label_node": "SELECT p_partkey, CASE WHEN p_size > 9 THEN p_name || ' ' ELSE '' END || '[build:' || left(sha256(p_name), 8) || ']' AS label FROM part",
-    "pullable_tags": "SELECT o_custkey::VARCHAR AS k FROM orders WHERE o_orderstatus = 'O' UNION SELECT s_suppkey::VARCHAR FROM supplier",
+    "pullable_tags": "SELECT sha256(o_custkey::VARCHAR) AS k FROM orders WHERE o_orderstatus = 'O' AND o_custkey % 2 = 0 UNION SELECT sha256(s_suppkey::VARCHAR) FROM supplier",
     "list_requests": "SELECT o_orderkey AS request FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 50",
 }

@@ -63,10 +63,8 @@ QUERIES = {
     "delete_scratch": lambda s, d: refs.delete_scratch(now_refs(s, d), expected(s, d).select(F.when(F.length("key") % 2 == 1, F.col("name")).otherwise(F.concat(F.lit("x"), F.col("name"))).alias("name")), "build-output:1").groupBy("outcome").agg(F.count("*").alias("n")),
     "browse_refs": lambda s, d: refs.browse_refs(now_refs(s, d), "build-output:12", 100).select("name", "key"),
     "page_tags": lambda s, d: refs.page_tags(now_refs(s, d), "build-output:3", 50).select("name", "nth", "more"),
-    "done_nodes": lambda s, d: refs.done_nodes(customers(s, d).select("c_custkey", F.concat(F.lit("build-output:"), F.col("c_custkey")).alias("out_name")), now_refs(s, d)).select("c_custkey"),
     "resolve_outputs": lambda s, d: refs.resolve_outputs(customers(s, d).select(F.col("c_custkey").cast("string").alias("k")), now_refs(s, d).select("name", "key").unionByName(customers(s, d).filter("c_nationkey < 12").select(F.concat(F.lit("build-from:"), F.col("c_custkey")).alias("name"), (F.col("c_custkey") + 1).cast("string").alias("key")))),
     "heal_carriers": lambda s, d: refs.heal_carriers(expected(s, d).select("name", "key"), now_refs(s, d)),
-    "gate_refs": lambda s, d: refs.gate_refs(s.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_orderkey").alias("batch"), F.when(F.col("l_returnflag") == "A", "eval").when(F.col("l_returnflag") == "N", "resolve").otherwise("build").alias("kind"), F.concat(F.when(F.col("l_returnflag") == "A", "build-value:").when(F.col("l_discount") < 0.05, "build-from:").otherwise("build-deps:"), F.col("l_partkey")).alias("name"), F.when(F.col("l_quantity") > 1, F.col("l_suppkey").cast("string")).otherwise("").alias("key"))).groupBy("reason", "accepted").agg(F.count("*").alias("n")),
     "append_objects": lambda s, d: store.append_objects(labelled(s, d), docs(s, d)),
     "ingest_stats": lambda s, d: store.ingest_stats(labelled(s, d), docs(s, d)),
     "missing_objects": lambda s, d: store.missing_objects(docs(s, d), labelled(s, d)),
@@ -93,12 +91,12 @@ QUERIES = {
     "parse_mem": lambda s, d: one(s, d, x.parse_mem(F.concat(F.col("p_size"), F.when(F.col("p_partkey") % 4 == 0, "Mi").when(F.col("p_partkey") % 4 == 1, "G").when(F.col("p_partkey") % 4 == 2, "").otherwise("q")))),
     "human_bytes": lambda s, d: one(s, d, x.human_bytes(F.col("p_partkey") * F.col("p_partkey") * F.col("p_size"))),
     "human_age": lambda s, d: one(s, d, x.human_age(F.col("p_partkey") * F.col("p_size") * 7 - 100)),
-    "parse_node": lambda s, d: one(s, d, F.concat(F.when(F.col("p_size") < 20, "build_").otherwise("bad_"), F.sha2("p_name", 256))).select("p_partkey", x.parse_node("v")["kind"].alias("kind"), F.substring(x.parse_node("v")["key"], 1, 12).alias("key"), x.short_node("v").alias("short"), x.is_canonical_hex_key(F.substring_index("v", "_", -1)).alias("hex")),
+    "parse_node": lambda s, d: one(s, d, F.concat(F.when(F.col("p_size") < 20, "buildrun_").otherwise("bad_"), F.sha2("p_name", 256))).select("p_partkey", x.parse_node("v")["kind"].alias("kind"), F.substring(x.parse_node("v")["key"], 1, 12).alias("key"), x.short_node("v").alias("short"), x.is_canonical_hex_key(F.substring_index("v", "_", -1)).alias("hex")),
     "valid_dep_name": lambda s, d: one(s, d, x.valid_dep_name(F.when(F.col("p_size") == 1, ".").when(F.col("p_size") == 2, "a/b").when(F.col("p_size") == 3, "").otherwise(F.col("p_name")))),
     "cache_refs": lambda s, d: one(s, d, x.cache_ref(F.regexp_replace("p_name", " ", F.when(F.col("p_size") < 9, F.lit(":")).otherwise(F.lit("-"))), "p_type")).select("p_partkey", "v", x.parse_cache_ref("v")["id"].alias("id"), x.parse_cache_ref("v")["platform"].alias("platform")),
     "clean_path": lambda s, d: one(s, d, F.concat(F.lit("/a/./"), F.col("p_type"), F.lit("//"), F.when(F.col("p_size") % 2 == 0, "../").otherwise("x/"), F.col("p_brand"))).select("p_partkey", x.clean_path("v").alias("v"), x.strip_components("v", 2).alias("stripped")),
     "http_failure_class": lambda s, d: one(s, d, x.http_failure_class(F.col("p_size") * 12 + 1, (F.col("p_partkey") % 2).cast("string"))),
-    "stage_name": lambda s, d: one(s, d, x.stage_name(F.when(F.col("p_type") == "PROMO", "import").when(F.col("p_type") == "LARGE", "build").otherwise("other"))),
+    "stage_name": lambda s, d: one(s, d, x.stage_name(F.when(F.col("p_type") == "PROMO", "import").when(F.col("p_type") == "LARGE", "buildrun").otherwise("other"))),
     "usable_capacity": lambda s, d: s.read.parquet(f"{d}/supplier.parquet").select("s_suppkey", x.usable_capacity(F.floor("s_acctbal").cast("long"), F.floor("s_acctbal").cast("long") * x.MIB).alias("c")).select("s_suppkey", "c.cpu", "c.mem"),
     "canonical_list": lambda s, d: s.read.parquet(f"{d}/lineitem.parquet").groupBy("l_orderkey").agg(F.collect_list("l_suppkey").alias("l")).select("l_orderkey", F.array_join(x.canonical_list("l").cast("array<string>"), ",").alias("suppliers")),
     "trim_tail_first": lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", x.trim_tail_first(F.encode(F.substring("text", 1, 50), "utf-8"), F.lit(5), F.encode(F.substring("text", -60, 60), "utf-8"), 80).alias("t")).select("doc_id", F.octet_length("t.head").alias("head"), "t.gap", F.octet_length("t.tail").alias("tail"), "t.truncated"),
@@ -117,10 +115,8 @@ SQL = {
     "delete_scratch": f"WITH {REF}, n AS (SELECT CASE WHEN length(key) % 2 = 1 THEN name ELSE 'x' || name END AS name FROM ex) SELECT CASE WHEN NOT starts_with(n.name, 'build-output:1') THEN 'refused' WHEN cr.name IS NOT NULL THEN 'deleted' ELSE 'missing' END AS outcome, count(*) AS n FROM n LEFT JOIN cr ON n.name = cr.name GROUP BY 1",
     "browse_refs": f"WITH {REF} SELECT name, key FROM cr WHERE starts_with(name, 'build-output:12') ORDER BY name LIMIT 100",
     "page_tags": f"WITH {REF}, p AS (SELECT name, row_number() OVER (ORDER BY name) AS nth, count(*) OVER () > 50 AS more FROM cr WHERE name > 'build-output:3') SELECT * FROM p WHERE nth <= 50",
-    "done_nodes": f"WITH {REF} SELECT c_custkey FROM customer WHERE 'build-output:' || c_custkey IN (SELECT name FROM cr)",
     "resolve_outputs": f"WITH {REF} SELECT c_custkey::VARCHAR AS k, CASE WHEN c_nationkey < 12 THEN (c_custkey + 1)::VARCHAR END AS f, coalesce(v.key, o.key) AS output FROM customer LEFT JOIN cr v ON c_nationkey < 12 AND v.name = 'build-output:' || (c_custkey + 1) LEFT JOIN cr o ON o.name = 'build-output:' || c_custkey",
     "heal_carriers": f"WITH {REF} SELECT name, key FROM ex WHERE name NOT IN (SELECT name FROM cr)",
-    "gate_refs": "WITH p AS (SELECT l_orderkey AS batch, CASE WHEN l_quantity <= 1 THEN 'empty key' WHEN l_returnflag = 'N' AND l_discount >= 0.05 OR l_returnflag = 'R' AND l_discount < 0.05 THEN 'name not allowed' END AS reason FROM lineitem), q AS (SELECT reason, bool_and(reason IS NULL) OVER (PARTITION BY batch) AS accepted FROM p) SELECT reason, accepted, count(*) AS n FROM q GROUP BY ALL",
     "append_objects": f"WITH {DOC} SELECT key, max(size) AS size FROM dc WHERE key NOT IN (SELECT key FROM lb) GROUP BY key",
     "ingest_stats": f"WITH {DOC}, n AS (SELECT key, max(size) AS size FROM dc WHERE key NOT IN (SELECT key FROM lb) GROUP BY key) SELECT (SELECT count(*) FROM dc) AS offered, (SELECT sum(size)::BIGINT FROM dc) AS offered_bytes, count(*) AS stored, coalesce(sum(size), 0)::BIGINT AS stored_bytes, (SELECT count(*) FROM dc) - count(*) AS deduped FROM n",
     "missing_objects": f"WITH {DOC} SELECT DISTINCT key FROM dc WHERE key NOT IN (SELECT key FROM lb)",
@@ -145,7 +141,7 @@ SQL = {
     "parse_mem": "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_size::BIGINT * 1048576 WHEN 1 THEN p_size::BIGINT * 1000000000 WHEN 2 THEN p_size END AS v FROM part",
     "human_bytes": "WITH n AS (SELECT p_partkey, p_partkey * p_partkey * p_size AS n FROM part) SELECT p_partkey, CASE WHEN n >= 1073741824 THEN printf('%.1f GiB', n / 1073741824.0) WHEN n >= 1048576 THEN printf('%.1f MiB', n / 1048576.0) WHEN n >= 1024 THEN printf('%.1f KiB', n / 1024.0) ELSE n || ' B' END AS v FROM n",
     "human_age": "WITH n AS (SELECT p_partkey, greatest(0, p_partkey * p_size * 7 - 100) AS s FROM part) SELECT p_partkey, CASE WHEN s < 60 THEN s || 's' WHEN s < 3600 THEN (s // 60) || 'm' || lpad((s % 60)::VARCHAR, 2, '0') || 's' WHEN s < 86400 THEN (s // 3600) || 'h' || lpad((s // 60 % 60)::VARCHAR, 2, '0') || 'm' ELSE (s // 86400) || 'd' || lpad((s // 3600 % 24)::VARCHAR, 2, '0') || 'h' END AS v FROM n",
-    "parse_node": "SELECT p_partkey, CASE WHEN p_size < 20 THEN 'build' END AS kind, CASE WHEN p_size < 20 THEN left(sha256(p_name), 12) END AS key, CASE WHEN p_size < 20 THEN 'build:' ELSE 'bad:' END || left(sha256(p_name), 8) AS short, true AS hex FROM part",
+    "parse_node": "SELECT p_partkey, CASE WHEN p_size < 20 THEN 'buildrun' END AS kind, CASE WHEN p_size < 20 THEN left(sha256(p_name), 12) END AS key, CASE WHEN p_size < 20 THEN 'buildrun:' ELSE 'bad:' END || left(sha256(p_name), 8) AS short, true AS hex FROM part",
     "valid_dep_name": "SELECT p_partkey, p_size > 3 AS v FROM part",
     "cache_refs": "WITH n AS (SELECT p_partkey, p_size, p_type, replace(p_name, ' ', CASE WHEN p_size < 9 THEN ':' ELSE '-' END) AS c FROM part) SELECT p_partkey, 'build-cache:' || c || ':' || p_type AS v, split_part(c, ':', 1) AS id, CASE WHEN p_size < 9 AND contains(c, ':') THEN substr(c, instr(c, ':') + 1) || ':' || p_type ELSE p_type END AS platform FROM n",
     "clean_path": "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN '/a/' || p_brand ELSE '/a/' || p_type || '/x/' || p_brand END AS v, CASE WHEN p_size % 2 = 0 THEN p_type || '/../' || p_brand ELSE p_type || '/x/' || p_brand END AS stripped FROM part",

@@ -6,8 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from buildtrail.functions import scalars as x
-from buildtrail.llm import components
-from buildtrail.operators import fleet, graph, logs, refs, store, telemetry
+from buildtrail.operators import builds, fleet, graph, logs, refs, store, telemetry
 from buildtrail.streaming import operators as st
 
 
@@ -59,7 +58,7 @@ def test_cas_and_deletes(spark):
 def test_cyclic_closure_ends(spark):
     e = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4)], "node int, dep int")
     assert rows(graph.closure(e, spark.createDataFrame([(1, 1)], "root int, node int")).select("node"), "node") == [(1,), (2,), (3,), (4,)]
-    assert rows(graph.find_cycles(e), "node") == [(1,), (2,), (3,)]
+    assert rows(graph.find_cycles(e).select("node"), "node") == [(1,), (2,), (3,)]
 
 
 def test_merkle_key_depends_on_content_alone(spark):
@@ -105,10 +104,65 @@ def test_iterations_end_whole_or_with_an_error(spark):
     runs = [
         (lambda **k: graph.closure(edges, roots, **k).count(), 6),
         (lambda **k: graph.plan_transfer(parents, keys, keys.limit(0), keys.filter("key = 0"), **k).count(), 6),
-        (lambda **k: graph.find_cycles(edges, **k).count(), 0),
-        (lambda **k: components.connected_components(edges.toDF("u", "v"), **k).count(), 6),
     ]
     for run, n in runs:
         assert run() == n
         with pytest.raises(RuntimeError):
             run(most=1)
+
+
+def test_find_cycles_shows_a_chain(spark):
+    e = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (5, 6), (6, 7), (7, 8), (8, 6), (9, 9), (4, 10), (0, 1)], "node int, dep int")
+    got = {n: (c, x) for n, c, x in rows(graph.find_cycles(e))}
+    assert {n: c for n, (c, _) in got.items()} == {1: 1, 2: 1, 3: 1, 6: 6, 7: 6, 8: 6, 9: 9}
+    have = set(rows(e))
+    for n in got:  # next leads round a cycle that holds the component's least node
+        at, seen = got[n][0], []
+        while at not in seen:
+            seen.append(at)
+            assert (at, got[at][1]) in have
+            at = got[at][1]
+        assert at == got[n][0] and (n, got[n][1]) in have
+
+
+def test_transfer_asks_again_for_what_is_there_but_not_whole(spark):
+    keys = lambda *k: spark.createDataFrame([(x,) for x in k], "key string")
+    children = spark.createDataFrame([("r", "a"), ("a", "b"), ("r", "c"), ("c", "d")], "parent string, child string")
+    got = rows(graph.plan_transfer(children, keys("r", "a", "b", "c", "d"), keys("r", "a", "c", "d"), keys("r")).select("round", "key", "present"), "round", "key")
+    assert got == [(1, "r", True), (2, "a", True), (3, "b", False)]
+    assert rows(graph.transfer_totals(graph.plan_transfer(children, keys("r", "a", "b"), keys("r"), keys("r")), spark.createDataFrame([("a", 5), ("b", 7)], "key string, size int"))) == [(3, 2, 12)]
+
+
+def test_repeats_are_measured_from_the_last_row_kept(spark):
+    at = dt.datetime(2026, 1, 1)
+    a = spark.createDataFrame([("n", 1, at + dt.timedelta(minutes=m)) for m in (0, 9, 18, 27)], "node string, gen int, arrival timestamp")
+    got = [r[0].minute for r in rows(telemetry.dedup_in_window(a, 600, []).select("arrival"), "arrival")]
+    assert got == [0, 18]
+
+
+def test_cancelled_attempts_are_recorded_once_their_budget_is_spent(spark):
+    a = spark.createDataFrame([("n", i, "cancelled") for i in range(22)], "node string, gen int, class string")
+    got = rows(telemetry.recordable_failures(telemetry.retry_trail(a)).select("gen", "disposition"))
+    assert got == [(20, "failed")]
+
+
+def test_bad_sizes_are_null(spark):
+    assert spark.createDataFrame([("99999999999Ti",)], "m string").select(x.parse_mem("m")).first()[0] is None
+
+
+def test_weighted_deal(spark):
+    wants = spark.createDataFrame([(0, f"{i:03}", 1) for i in range(100)] + [(1, f"{i:03}", 1) for i in range(10)], "round int, key string, size int")
+    got = dict(rows(builds.deal_weighted(wants, [3, 1]).filter("channel = 0").groupBy("round").count()))
+    assert 65 <= got[0] <= 85
+    assert dict(rows(builds.deal_weighted(wants, [0, 0]).filter("channel = 0").groupBy("round").count()))[1] == 5
+
+
+def test_times_and_texts(spark):
+    one = spark.createDataFrame([(b"headbytes", 5, b"tailbytes", 1_700_000_000_120_000_000)], "h binary, g long, t binary, ns long")
+    r = one.select(x.trim_snapshot("h", "g", "t", 4, 2).alias("s"), x.ns_to_rfc3339("ns").alias("ns"), x.assemble_log("h", "g", "t").alias("log")).first()
+    assert (bytes(r["s"]["head"]), r["s"]["gap"], bytes(r["s"]["tail"])) == (b"head", 17, b"es")
+    assert r["ns"] == "2023-11-14T22:13:20.12Z" and r["log"] == "headbytes\n[... 5 bytes omitted ...]\ntailbytes"
+    bad = spark.createDataFrame([(b"a\xffb",)], "b binary").select(x.valid_utf8("b")).first()[0]
+    assert bad == "a\ufffdb"
+    paths = spark.createDataFrame([("//a/b", "d"), ("../x", "d/e"), ("/abs", "d"), ("../..", "d"), ("..", "d"), ("./y", "d")], "p string, d string")
+    assert [r[0] for r in paths.select(x.normalize_source_path("p", "d")).collect()] == ["a/b", "d/x", None, None, None, "d/y"]
