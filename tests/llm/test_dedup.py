@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from buildtrail.llm import jaccard_join, line_dedup, substring_dedup, suffix_dedup
+from buildtrail.llm import components, jaccard_join, line_dedup, substring_dedup, suffix_dedup
 from buildtrail.llm.keys import LAST
 
 from . import brute
@@ -125,3 +125,10 @@ def test_empty_tables(spark):
     assert substring_dedup.remove_repeats(empty).count() == 0
     assert jaccard_join.classes(empty).count() == 0
     assert line_dedup.dedup_lines(empty).count() == 0
+
+
+def test_components_end_whole_or_with_an_error(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(5)], "u long, v long")
+    assert {tuple(r) for r in components.connected_components(edges).collect()} == {(i, 0) for i in range(6)}
+    with pytest.raises(RuntimeError):
+        components.connected_components(edges, most=1)
