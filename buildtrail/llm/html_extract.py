@@ -1,20 +1,23 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped to lines, one for each block element. A line's length counts what isn't boilerplate: text in
-navigation, forms, adverts and the like (by element, role, class or id) and lines that are
-mostly links count nothing. The lengths are summed over windows of ``WINDOW`` lines. A surge point is where a window's
-sum reaches the threshold, a dive point where it falls to nothing; the text between them is kept. Where
-a page names its article (article, main), only the lines in it are distributed.
+Markup is stripped to lines, one for each block element that holds text. A line weighs its length, or nothing where
+markup says that it isn't the article: text in navigation, forms, adverts and the like (by element, role, class or id),
+outside the article where the page names one (article, main), or mostly links. Weights are summed over sliding windows of
+``WINDOW`` lines. A surge point is where a window's sum reaches the threshold (any weight in a named article, ``SURGE``
+characters elsewhere), a dive point where it falls to nothing. What weighs between a surge and its dive is kept.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import LongType, StringType, StructType
 
 from buildtrail.ship import ship
 
@@ -29,18 +32,33 @@ ROOTS = frozenset("article main".split())
 ROLES = frozenset("navigation banner complementary contentinfo search form alert alertdialog dialog menu menubar toolbar".split())
 # Words of class names and ids that mark what isn't the article.
 NAMES = frozenset(
-    "ad ads advert adverts advertisement advertising adsense adbox banner banners breadcrumb breadcrumbs byline-share comment comments commentlist consent cookie cookies disclaimer disqus footer gdpr header login masthead menu menus modal nav navbar navigation newsletter notice notices notification overlay pager pagination paywall popup promo promoted promotion related recommend recommended recommendations replies reply respond search share sharing sidebar sidebars signup skip skyscraper social sponsor sponsored sponsors subscribe subscription tags teaser toolbar topbar widget widgets".split()
+    "ad ads advert adverts advertisement advertising adsense adbox banner banners breadcrumb breadcrumbs byline-share comment comments commentlist consent cookie cookies"
+    " disclaimer disqus footer gdpr header login masthead menu menus modal nav navbar navigation newsletter notice notices notification overlay pager pagination paywall"
+    " popup promo promoted promotion related recommend recommended recommendations replies reply respond search share sharing sidebar sidebars signup skip skyscraper"
+    " social sponsor sponsored sponsors subscribe subscription tags teaser toolbar topbar widget widgets".split()
 )
+# Names that mark such parts also in compounds, and what may stand beside them there.
+STRONG = frozenset("ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies footer menu modal nav navbar navigation newsletter popup promo related sidebar signup sponsor sponsored subscribe".split())
+PLACES = frozenset("area bar block bottom box container global inner left list page right section site slot top user wrapper".split())
 
+#: Quotes part a value only after "=" and where they are closed. Nothing is tried twice, so time is in proportion to the page.
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|iframe|svg)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-z][^\s/>]*)([^>]*)>|<[!?][^>]*(?:>|\Z)|</?[a-z][^<>]*\Z|</?\Z|</[^a-z][^>]*>",
+    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|iframe|svg)\b[^>]*+(?:>.*?(?:</\1\s*>|\Z)|\Z)"
+    r"|<(/?)([a-z][^\s/>]*+)((?>[^>\"'=]+|=\s*\"[^\"]*\"|=\s*'[^']*'|[\"'=])*+)(?:>|\Z)|<[!?][^>]*+(?:>|\Z)|</[^a-z>][^>]*+(?:>|\Z)|</?(?:>|\Z)",
     re.S | re.I,
 )
-ATTRIBUTE = re.compile(r"(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/]|\Z|\")", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'<>/=]++)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 SPACE = re.compile(r"\s+")
 
 
+def _marks(word: str) -> bool:
+    """Whether a class name or id marks boilerplate: one of NAMES, a compound of them, or a strong one with a place."""
+    if word in NAMES:
+        return True
+    parts = [p for p in re.split(r"[-_]+", word) if p]
+    return len(parts) > 1 and (NAMES.issuperset(parts) or not STRONG.isdisjoint(parts) and (NAMES | PLACES).issuperset(parts))
+
+
 def _is_boilerplate(name: str, attributes: str, in_root: bool) -> bool:
     if name in SKIPPED or name == "header" and not in_root:
         return True
@@ -52,7 +70,7 @@ def _is_boilerplate(name: str, attributes: str, in_root: bool) -> bool:
             return True
         if key == "role" and value in ROLES or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True
-        if key in ("class", "id") and not NAMES.isdisjoint(p for word in re.split(r"[\s]+", value) for p in {word, *re.split(r"[-_]+", word)}):
+        if key in ("class", "id") and any(_marks(word) for word in value.split()):
             return True
     return False
 
@@ -69,18 +87,62 @@ class Line:
         return SPACE.sub(" ", html.unescape("".join(self.parts))).strip()
 
 
+class Open:
+    """The open elements: (name, whether it is in boilerplate, whether it is in the article); a close that fits none costs no search."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, bool, bool]] = []
+        self.blocks: Counter[str] = Counter()
+        self.inline: list[Counter[str]] = [Counter()]  # names opened since each open block
+
+    def state(self) -> tuple[bool, bool]:
+        return self.stack[-1][1:] if self.stack else (False, False)
+
+    def push(self, name: str, skipped: bool, rooted: bool) -> None:
+        self.stack.append((name, skipped, rooted))
+        if name in BLOCKS:
+            self.blocks[name] += 1
+            self.inline.append(Counter())
+        else:
+            self.inline[-1][name] += 1
+
+    def pop(self) -> str:
+        name = self.stack.pop()[0]
+        if name in BLOCKS:
+            self.blocks[name] -= 1
+            self.inline.pop()
+        else:
+            self.inline[-1][name] -= 1
+        return name
+
+    def close(self, name: str) -> None:
+        if (self.blocks if name in BLOCKS else self.inline[-1])[name]:
+            while self.pop() != name:
+                pass
+
+    def close_like(self, name: str) -> None:
+        """p, li and their like end one of their own that is open right here."""
+        for depth in range(1, min(4, len(self.stack)) + 1):
+            if self.stack[-depth][0] == name:
+                for _ in range(depth):
+                    self.pop()
+                return
+            if self.stack[-depth][0] in BLOCKS:
+                return
+
+
 def lines_of(page: str) -> list[Line]:
-    """One line for each block of the page, in order; also empty ones, as they part surges."""
+    """One line for each block of the page that holds text, in order."""
     out: list[Line] = []
-    stack: list[tuple[str, bool, bool]] = []  # element, whether it is (in) boilerplate, whether it is in the article
+    open_ = Open()
     now = Line(False, False)
-    links = 0
-    at = 0
+    links = at = 0
 
     def turn() -> None:
         nonlocal now
-        out.append(now)
-        skipped, rooted = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+        if any(not p.isspace() for p in now.parts):
+            out.append(now)
+        skipped, rooted = open_.state()
         now = Line(rooted, skipped)
 
     def say(text: str) -> None:
@@ -92,83 +154,77 @@ def lines_of(page: str) -> list[Line]:
     for m in TOKEN.finditer(page):
         say(page[at : m.start()])
         at = m.end()
-        name = (m[3] or m[6] or "").lower()
+        name = (m[3] or "").lower()
         if not name:
             continue
-        closing = bool(m[2] if m[3] else m[5])
-        if name == "br" or name in ("td", "th"):
+        closing, attributes = bool(m[2]), m[4] or ""
+        if name in ("br", "td", "th"):
             now.parts.append(" ")
         if name == "a":
             links = 0 if closing else 1
         if closing:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if depth is not None and (name in BLOCKS or not any(x[0] in BLOCKS for x in stack[depth:])):
-                del stack[depth:]
+            open_.close(name)
             if name in BLOCKS:
                 turn()
             continue
-        attributes = m[4] if m[3] else m[7]
-        if name in VOID or (attributes or "").endswith("/") and name not in BLOCKS:
+        if name in VOID or attributes.endswith("/") and name not in BLOCKS:
             if name == "hr":
                 turn()
             continue
-        skipped, rooted = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+        skipped, rooted = open_.state()
         if name in ROOTS and not rooted:
-            comment = _is_boilerplate("div", attributes or "", False)
+            comment = _is_boilerplate("div", attributes, False)
             skipped, rooted = comment, not comment  # an article ends what was left open before it
         else:
-            if name in ("p", "li", "dt", "dd", "tr", "option") and stack:  # these close themselves
-                for i in range(len(stack) - 1, max(-1, len(stack) - 4), -1):
-                    if stack[i][0] == name:
-                        skipped, rooted = (stack[i - 1][1], stack[i - 1][2]) if i else (False, False)
-                        del stack[i:]
-                        break
-                    if stack[i][0] in BLOCKS:
-                        break
-            skipped = skipped or _is_boilerplate(name, attributes or "", rooted)
-        stack.append((name, skipped, rooted))
+            if name in ("p", "li", "dt", "dd", "tr", "option"):
+                open_.close_like(name)
+                skipped, rooted = open_.state()
+            skipped = skipped or _is_boilerplate(name, attributes, rooted)
+        open_.push(name, skipped, rooted)
         if name in BLOCKS:
             turn()
         elif skipped != now.skipped:  # an inline advert
-            if any(p.strip() for p in now.parts):
+            if any(not p.isspace() for p in now.parts):
                 turn()
             now.skipped = skipped
     say(page[at:])
-    out.append(now)
+    turn()
     return out
 
 
-def main_text(page: str | None, surge: int = SURGE, window: int = WINDOW) -> list[str]:
-    """The blocks between surge and dive points."""
-    if not page:
-        return []
-    lines = lines_of(page)
-    if any(x.rooted and not x.skipped and any(p.strip() for p in x.parts) for x in lines):
-        texts = [x.text() for x in lines if x.rooted and not x.skipped]
-        texts = [t for t in texts if t]  # what is cut out of an article is no dive
-    else:
-        texts = []
-        for x in lines:
-            text = "" if x.skipped else x.text()
-            texts.append("" if text and x.links > LINKS * len(text) else text)
-    sizes = [len(t) for t in texts]
-    sums = [sum(sizes[i : i + window]) for i in range(len(sizes))]
-    least = min(surge, max(sums, default=0))
-    kept: list[str] = []
+def surges(weights: list[int], least: list[int], window: int = WINDOW) -> list[tuple[int, int]]:
+    """(first, end) of the lines from each surge to its dive; lines that lead to a surge without a gap are part of it."""
+    n = len(weights)
+    total = [0, *accumulate(weights)]
+    sums = [total[min(n, i + window)] - total[i] for i in range(n)]
+    out: list[tuple[int, int]] = []
     i = 0
-    while i < len(sizes):
-        if not sizes[i] or sums[i] < least:
+    while i < n:
+        if not weights[i] or sums[i] < least[i]:
             i += 1
             continue
-        end = i
-        while end < len(sizes) and sums[end] > 0:
-            end += 1
-        start = i
-        while start and sizes[start - 1]:  # short lines that lead to the surge without a gap
+        start = end = i
+        while start and weights[start - 1]:
             start -= 1
-        kept += [t for t in texts[start:end] if t]
+        while end < n and sums[end]:
+            end += 1
+        out.append((start, end))
         i = end
-    return kept
+    return out
+
+
+def main_text(page: str | None, surge: int = SURGE, window: int = WINDOW) -> list[str]:
+    """The blocks between surge and dive points."""
+    lines = [(x, t) for x in lines_of(page or "") if (t := x.text())]
+    named = any(x.rooted and not x.skipped for x, _ in lines)
+
+    def weight(x: Line, text: str) -> int:
+        return 0 if x.skipped or (not x.rooted if named else x.links > LINKS * len(text)) else len(text)
+
+    weights = [weight(x, t) for x, t in lines]
+    most = max((sum(weights[i : i + window]) for i in range(len(weights))), default=0)
+    least = [1 if named else min(surge, most)] * len(weights)
+    return [lines[i][1] for a, b in surges(weights, least, window) for i in range(a, b) if weights[i]]
 
 
 def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text", joint: str = "\n\n") -> DataFrame:
@@ -185,8 +241,6 @@ def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text", jo
             texts = [joint.join(main_text(x.as_py())) for x in batch.column(len(others))]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(others)], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*others, text_col, "n_chars"])
 
-    from pyspark.sql.types import LongType, StringType, StructType
-
     schema = StructType([pages.schema[c] for c in others]).add(text_col, StringType()).add("n_chars", LongType())
     return picked.mapInArrow(run, schema)
 

@@ -220,3 +220,51 @@ def test_html(spark):
     assert got[0] == (1, want, len(want)) and got[1:4] == [(2, "", 0), (3, "", 0), (3, "", 0)]
     assert got[4][1] == ("long text here " * 9).strip()
     assert html_extract.extract(df.limit(0)).count() == 0
+
+
+def test_html_words_in_attributes_and_compounds():
+    page = '<article><p title="a hidden path">One.</p><div class="post-header"><h2>Two</h2></div><p id="social-history">Three.</p><ul class="tags-list"><li>Four</ul><div class="cookie-notice">No</div><div id="comments-list"><p>No</div><p>Five'
+    assert html_extract.main_text(page) == ["One.", "Two", "Three.", "Four", "Five"]
+    assert html_extract.main_text('<p>Long enough a text to be a surge of its own, as it has more than eighty characters in it.</p><div><div><div></div></div></div><p>The end.</p>')[-1] == "The end."
+    assert html_extract.main_text("<p>it's <span id=don't>" + "words " * 20) == ["it's " + ("words " * 20).strip()]
+
+
+def test_html_malformed_pages_take_linear_time():
+    import time
+
+    for page in ('<a b="' * 180_000, "<i>" * 150_000 + "</b>" * 150_000, "<b><div>" + "<i>" * 150_000 + "</b>" * 150_000, "<p title='" + "x>" * 500_000, "<!--" * 250_000, "<" * 1_000_000, "</ " * 300_000, "<script" * 150_000):
+        began = time.time()
+        html_extract.main_text(page)
+        assert time.time() - began < 4, page[:20]
+
+
+def test_html_surges_and_dives():
+    """By definition: a kept stretch begins where a window's sum reaches the threshold and ends where one has none."""
+    r = np.random.default_rng(8)
+    for _ in range(200):
+        w = [int(x) for x in r.integers(0, 60, 30) * (r.random(30) < 0.5)]
+        kept = {i for a, b in html_extract.surges(w, [80] * 30) for i in range(a, b) if w[i]}
+        sums = [sum(w[i : i + 3]) for i in range(30)]
+        want, on = set(), False
+        for i in range(30):
+            on = sums[i] > 0 and (on or bool(w[i]) and sums[i] >= 80)
+            want |= {i} if on and w[i] else set()
+        for i in range(29, 0, -1):
+            want |= {i - 1} if i in want and w[i - 1] else set()
+        assert kept == want
+
+
+def test_html_given_pages_by_a_parser_of_their_form():
+    import os
+    import re
+    from html import unescape
+
+    import pyarrow.parquet as pq
+
+    path = "/root/testdata/sf0.001/pages.parquet"
+    if not os.path.exists(path):
+        return
+    for page in pq.read_table(path, columns=["html"]).column(0).to_pylist():
+        body = re.search(r"<article>(.*)</article>", page, re.S)[1]
+        blocks = [re.sub(r"\s+", " ", unescape(re.sub(r"<[^>]*>", "", re.sub(r"<br>", " ", b)))).strip() for b in re.split(r"</?(?:p|h1)[^>]*>", body)]
+        assert html_extract.main_text(page) == [b for b in blocks if b]
