@@ -20,11 +20,13 @@ from pyspark.sql import functions as F
 
 from buildtrail.llm import textnp as tn
 from buildtrail.llm.keys import ident, keyed
+from buildtrail.llm.session import checkpointed
 from buildtrail.ship import ship
 
 PART, STRIDE, LEAST_WORDS, RANK, EXTRA = 48, 32, 5, 128, 16
 BLOCK = 1024  # parts
 LEAST_STRIDE, ROWS = 4, 1024
+RANGE = 1 << 18  # floats of the sketch in one piece
 SEPARATOR = np.array([not (48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128) for b in range(256)])
 
 
@@ -90,72 +92,97 @@ def _sum_rows(rows: np.ndarray, group: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def _texts(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    buf, offs = tn.flat(batch.column(column))
-    for i, j in tn.chunks(offs, tn.CHUNK // 2):
-        yield i, j, *doc_words(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+def known_words(texts: DataFrame, vocabulary: np.ndarray) -> DataFrame:
+    """texts (k, rank, text) -> (k, rank, words, at, term): each text's length in words, and places and terms of those in the vocabulary (binary, 32 bits each).
 
-
-def document_frequencies(texts: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, int]:
-    """In how many cells of 64 words each term is, and how many cells there are."""
+    Texts are split into words once; all that follows reads this.
+    """
     shared = texts.sparkSession.sparkContext.broadcast(vocabulary)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, cells = np.zeros(len(shared.value), np.int64), 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, h, wo in _texts(batch, 0):
-                cell, co = _cells(wo, 2 * STRIDE)
-                cells += int(co[-1])
+            buf, offs = tn.flat(batch.column(2))
+            for i, j in tn.chunks(offs):
+                h, wo = doc_words(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
                 known, term = lookup(shared.value, h)
-                pairs = np.unique(cell[known] * len(total) + term)
-                total += np.bincount(pairs % len(total), minlength=len(total))
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"term": pa.array(np.concatenate([at, [-1]]), pa.int64()), "n": pa.array(np.concatenate([total[at], [cells]]), pa.int64())})
+                at = (known - np.repeat(wo[:-1], np.diff(wo))[known]).astype(np.uint32)
+                cut = 4 * np.searchsorted(known, wo)
+                binary = lambda x: pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(cut.astype(np.int32).tobytes()), pa.py_buffer(x.astype(np.uint32).tobytes())])  # noqa: B023, E731
+                yield pa.RecordBatch.from_pydict({"k": batch.column(0).slice(i, j - i), "rank": batch.column(1).slice(i, j - i), "words": pa.array(np.diff(wo), pa.int64()), "at": binary(at), "term": binary(term)})
+
+    return texts.mapInArrow(run, "k long, rank long, words long, at binary, term binary")
+
+
+def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of ``known_words``, some texts at a time: first and end row, the texts' offsets in words, places (over all these texts) and terms of known words."""
+    words = np.concatenate([[0], np.cumsum(batch.column(2).to_numpy(zero_copy_only=False))])
+    (at, cut), (term, _) = tn.flat(batch.column(3)), tn.flat(batch.column(4))
+    at, term, cut = at.copy().view(np.uint32), term.copy().view(np.uint32), cut // 4
+    for i, j in tn.chunks(words, tn.CHUNK // 8):
+        wo = words[i : j + 1] - words[i]
+        here = slice(cut[i], cut[j])
+        yield i, j, wo, at[here] + np.repeat(wo[:-1], np.diff(cut[i : j + 1])), term[here].astype(np.int64)
 
-    rows = texts.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()  # a row a term
-    out = np.zeros(len(vocabulary), np.int64)
-    terms, n = rows["term"].to_numpy(), rows["n"].to_numpy()
-    out[terms[terms >= 0]] = n[terms >= 0]
-    return out, int(n[terms < 0].sum())
+
+def document_frequencies(known: DataFrame, terms: int) -> np.ndarray:
+    """In how many cells of 64 words each term is."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(terms, np.int64)
+        for batch in batches:
+            for _, _, wo, at, term in _chunks(batch):
+                cell, _ = _cells(wo, 2 * STRIDE)
+                pairs = np.unique(cell[at] * terms + term)
+                total += np.bincount(pairs % terms, minlength=terms)
+        found = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"term": pa.array(found, pa.int64()), "n": pa.array(total[found], pa.int64())})
+
+    rows = known.mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()  # a row a term
+    out = np.zeros(terms, np.int64)
+    out[rows["term"].to_numpy()] = rows["n"].to_numpy()
+    return out
 
 
 def _omega(terms: int, width: int) -> np.ndarray:
     return np.random.default_rng(3).standard_normal((terms, width), np.float32)
 
 
-def gram_sketch(texts: DataFrame, vocabulary: np.ndarray, idf: np.ndarray, width: int) -> np.ndarray:
-    """A'A Omega over all corpus passages (cells of 64 words), terms x width."""
-    spark = texts.sparkSession
-    shared = spark.sparkContext.broadcast((vocabulary, idf.astype(np.float32)))
+def gram_sketch(known: DataFrame, idf: np.ndarray, width: int) -> np.ndarray:
+    """A'A Omega over all corpus passages (cells of 64 words), terms x width. Tasks' shares are summed by ranges of terms."""
+    terms = len(idf)
+    shared = known.sparkSession.sparkContext.broadcast(idf.astype(np.float32))
+    rows = max(1, RANGE // width)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, weight = shared.value
-        omega = _omega(len(words), width)
-        total = np.zeros((len(words), width), np.float32)
-        name = 0
+        weight = shared.value
+        omega = _omega(terms, width)
+        total = np.zeros((terms, width), np.float32)
         for batch in batches:
-            for _, _, h, wo in _texts(batch, 0):
+            for _, _, wo, at, term in _chunks(batch):
                 cell, co = _cells(wo, 2 * STRIDE)
-                known, term = lookup(words, h)
-                cell = cell[known]
+                cell = cell[at]
                 if not len(term):
                     continue
-                name ^= int(h[0] & np.uint64(0xFFFF))
                 along = _sum_rows(omega[term] * weight[term, None], cell, int(co[-1]))
                 order = np.argsort(term, kind="stable")
-                total += _sum_rows(along[cell[order]] * weight[term[order], None], term[order], len(words))
-        yield pa.RecordBatch.from_pydict({"part": pa.array([name % 64], pa.int32()), "total": pa.array([total.tobytes()], pa.binary())})
-
-    def add(table: pa.Table) -> pa.Table:
-        total = np.zeros(len(vocabulary) * width, np.float32)
-        for x in table.column("total"):
-            total += np.frombuffer(x.as_buffer(), np.float32)
-        return pa.table({"part": pa.array([0], pa.int32()), "total": pa.array([total.tobytes()], pa.binary())})
-
-    step = texts.select("text").mapInArrow(sketch, "part int, total binary").groupBy("part").applyInArrow(add, "part int, total binary")
-    whole = step.groupBy("part").applyInArrow(add, "part int, total binary").first()  # terms x width floats
-    out = np.zeros((len(vocabulary), width))
-    return out if whole is None else out + np.frombuffer(whole["total"], np.float32).reshape(len(vocabulary), width)
+                total += _sum_rows(along[cell[order]] * weight[term[order], None], term[order], terms)
+        starts = range(0, terms, rows)
+        yield pa.RecordBatch.from_pydict({"start": pa.array(starts, pa.int32()), "total": pa.array([total[s : s + rows].tobytes() for s in starts], pa.binary())})
+
+    def add(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in tables:
+            for start, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                part = np.frombuffer(x.as_buffer(), np.float32)
+                sums[start] = sums[start] + part if start in sums else part.copy()
+        yield pa.RecordBatch.from_pydict({"start": pa.array(list(sums), pa.int32()), "total": pa.array([x.tobytes() for x in sums.values()], pa.binary())})
+
+    summed = known.mapInArrow(sketch, "start int, total binary").repartition(F.col("start")).mapInArrow(add, "start int, total binary")
+    out = np.zeros((terms, width))
+    for row in summed.toLocalIterator():  # terms x width floats in all
+        part = np.frombuffer(row["total"], np.float32).reshape(-1, width)
+        out[row["start"] : row["start"] + len(part)] += part
+    return out
 
 
 def latent_terms(sketch: np.ndarray, rank: int) -> np.ndarray:
@@ -194,12 +221,12 @@ def stride_of(n: int) -> int:
     return stride
 
 
-def _places(vocabulary: np.ndarray, parts: list[tuple[int, list[int]]]) -> tuple[np.ndarray, np.ndarray]:
+def _places(terms: int, parts: list[tuple[int, list[int]]]) -> tuple[np.ndarray, np.ndarray]:
     """The distinct terms of each part and how often each stands in it, filled up with the term after the last."""
-    places = np.full((len(parts), PART), len(vocabulary), np.int64)
+    places = np.full((len(parts), PART), terms, np.int64)
     times = np.zeros((len(parts), PART), np.uint8)
     for p, (_, w) in enumerate(parts):
-        term, n = np.unique(lookup(vocabulary, np.array(w, np.uint64))[1], return_counts=True)
+        term, n = np.unique(np.array(w, np.int64), return_counts=True)
         places[p, : len(term)], times[p, : len(term)] = term, n
     return places, times
 
@@ -267,12 +294,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
 def _search(texts: DataFrame, parts: list[Part], least_cosine: float, least_lcs: float, least_answer: float) -> DataFrame:
     vocabulary = np.unique(np.concatenate([p.words for p in parts]))
-    df, cells = document_frequencies(texts, vocabulary)
-    idf = np.log1p(cells / (1.0 + df))  # above 0 for every term: an item that many documents hold keeps its vector
+    known = checkpointed(known_words(texts, vocabulary))
+    cells = known.agg(F.sum(F.ceil(F.col("words") / (2 * STRIDE)))).first()[0] or 0
+    idf = np.log1p(cells / (1.0 + document_frequencies(known, len(vocabulary))))  # above 0 for every term: an item that many documents hold keeps its vector
     places = [lookup(vocabulary, p.words)[1] for p in parts]
     rank = min(rank_of(len(parts)), len(vocabulary))
     width = min(len(vocabulary), rank + EXTRA)
-    sketch = gram_sketch(texts, vocabulary, idf, width)
+    sketch = gram_sketch(known, idf, width)
     omega = _omega(len(vocabulary), width).astype(float)
     share = cells / len(parts)  # the benchmark's passages weigh as much as the corpus
     for at in places:
@@ -281,20 +309,19 @@ def _search(texts: DataFrame, parts: list[Part], least_cosine: float, least_lcs:
     vectors = np.array([latent[at].sum(0) for at in places])
     norm = np.linalg.norm(vectors, axis=1, keepdims=True)
     vectors = np.where(norm > 0, vectors / np.maximum(norm, 1e-12), 0).astype(np.float32)
-    shared = texts.sparkSession.sparkContext.broadcast((vocabulary, latent, vectors, [(p.item, p.words.tolist()) for p in parts]))
+    shared = texts.sparkSession.sparkContext.broadcast((latent, vectors, [(p.item, at.tolist()) for p, at in zip(parts, places, strict=True)]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, latent, vectors, parts = shared.value
+        latent, vectors, parts = shared.value
         whole = [masks(w) for _, w in parts]
         answers = [w[-max(1, len(w) // 3) :] for _, w in parts]
         answer_masks = [masks(w) for w in answers]
         least = np.array([least_lcs * len(w) for _, w in parts])
         strides = np.array([stride_of(len(w)) for _, w in parts])
-        places, times = _places(words, parts)
+        places, times = _places(len(latent), parts)
         for batch in batches:
             out: dict[str, list] = {"k": [], "rank": [], "item": [], "cosine": [], "lcs": []}
-            for i, j, h, wo in _texts(batch, 2):
-                known, term = lookup(words, h)
+            for i, _, wo, known, term in _chunks(batch):
                 if not len(known):
                     continue
                 doc = np.searchsorted(wo, known, "right") - 1
@@ -308,11 +335,12 @@ def _search(texts: DataFrame, parts: list[Part], least_cosine: float, least_lcs:
                 while True:
                     mine = np.flatnonzero(strides == stride)
                     if len(mine):
-                        for c, p, cosine in _candidates(sums, co, stride, vectors, mine, least_cosine, (known - wo[doc], doc, term), len(words), places, times, least):
+                        for c, p, cosine in _candidates(sums, co, stride, vectors, mine, least_cosine, (known - wo[doc], doc, term), len(latent), places, times, least):
                             d = int(np.searchsorted(co, c, "right")) - 1
                             start = int(wo[d]) + (c - int(co[d])) * stride
                             item, w = parts[p]
-                            near = h[max(int(wo[d]), start - stride // 2) : min(int(wo[d + 1]), start + 2 * stride + stride // 2)].tolist()
+                            low, high = np.searchsorted(known, [max(int(wo[d]), start - stride // 2), min(int(wo[d + 1]), start + 2 * stride + stride // 2)])
+                            near = term[low:high].tolist()
                             n = lcs_length(whole[p], len(w), near)
                             if n >= least_lcs * len(w) and lcs_length(answer_masks[p], len(answers[p]), near) >= least_answer * len(answers[p]):
                                 out["k"].append(batch.column(0)[i + d].as_py())
@@ -328,7 +356,7 @@ def _search(texts: DataFrame, parts: list[Part], least_cosine: float, least_lcs:
                     sums = _sum_rows(sums, np.repeat(co[:-1], n) + pair, int(co[-1]))
             yield pa.RecordBatch.from_pydict({c: pa.array(v, pa.int64() if c in ("k", "rank", "item") else pa.float64()) for c, v in out.items()})
 
-    return texts.mapInArrow(run, "k long, rank long, item long, cosine double, lcs double")
+    return known.mapInArrow(run, "k long, rank long, item long, cosine double, lcs double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,6 +14,7 @@ that a list of k can hold of it. The blocks of queries meet the blocks of rows p
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +33,12 @@ class Codebooks:
     def __init__(self, books: np.ndarray):
         self.books = books.astype(np.float32)
         self.norms = (self.books**2).sum(2)
-        flat = self.books.reshape(-1, books.shape[2])
-        self.cross = flat @ flat.T  # inner products between codewords, bounded by (books x words)^2
+
+    @cached_property
+    def cross(self) -> np.ndarray:
+        """Inner products between codewords, bounded by (books x words)^2; only encoding asks for them."""
+        flat = self.books.reshape(-1, self.books.shape[2])
+        return flat @ flat.T
 
     def encode(self, x: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
         """Codes of each row, by beam search over partial sums, and the squared norm of the sum."""
