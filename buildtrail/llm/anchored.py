@@ -18,9 +18,11 @@ from pyspark.sql import functions as F
 
 from buildtrail.llm import textnp as tn
 from buildtrail.llm.keys import ident
-from buildtrail.ship import ship, shuffle_partitions
+from buildtrail.llm.session import checkpointed
+from buildtrail.ship import ship
 
 NONE = np.uint32(0xFFFFFFFF)
+RUNS = 1 << 21  # in a shard, 16 bytes each
 
 
 class Runs:
@@ -75,6 +77,8 @@ def word_runs(hashes: np.ndarray, offs: np.ndarray, window: int, k: int) -> Runs
 
 def pack(shard: np.ndarray, columns: list[np.ndarray], shards: int) -> Iterator[tuple[int, bytes]]:
     """Rows of equal shard as one blob: their number, then column after column."""
+    if not len(shard):
+        return
     order = np.argsort(shard, kind="stable")
     ids, starts = np.unique(shard[order], return_index=True)
     columns = [c[order] for c in columns]
@@ -95,8 +99,13 @@ def unpack(blobs: Iterator[bytes], kinds: list[type]) -> list[np.ndarray]:
 KINDS = [np.uint32, np.int64, np.uint32]
 
 
-def repeated_runs(texts: DataFrame, runs: Callable[[np.ndarray, np.ndarray], Runs]) -> DataFrame:
-    """texts: (k long, text). Returns (k, ord int): the runs whose anchor occurs more than once.
+def shards_for(count: int, each: int) -> int:
+    """Shards of about ``each`` rows, so that a shard's size doesn't grow with the input."""
+    return max(32, -(-count // each))
+
+
+def repeated_runs(texts: DataFrame, runs: Callable[[np.ndarray, np.ndarray], Runs], unit: int) -> DataFrame:
+    """texts: (k long, text). Returns (k, ord int): the runs whose anchor occurs more than once; unit: bytes of text that make about one run.
 
     A few runs that don't repeat may be among them (keys are cut to 32 bits beside the shard); no
     repeated one is missing. A task sends an anchor that it has met several times only once, so
@@ -104,7 +113,8 @@ def repeated_runs(texts: DataFrame, runs: Callable[[np.ndarray, np.ndarray], Run
     """
     spark = texts.sparkSession
     ship(spark)
-    shards = 2 * max(32, shuffle_partitions(spark))
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = shards_for(size // unit, RUNS)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,15 +155,16 @@ def repeated_runs(texts: DataFrame, runs: Callable[[np.ndarray, np.ndarray], Run
     return sent.groupBy("shard").applyInArrow(meet, "k long, ord int")
 
 
-def candidates(whole: DataFrame, texts: DataFrame, later: DataFrame, runs: Callable[[np.ndarray, np.ndarray], Runs]) -> DataFrame:
-    """(k, rank, text, ords) of the texts with a repeated run, without those that ``later`` (k, rank) names.
+def candidates(whole: DataFrame, texts: DataFrame, later: DataFrame, runs: Callable[[np.ndarray, np.ndarray], Runs], unit: int) -> tuple[DataFrame, int]:
+    """(k, rank, text, ords) of the texts with a repeated run, without those that ``later`` (k, rank) names; and how many such runs there are.
 
     whole: ``texts`` dealt by k; every join here is by k alone, so that the texts are dealt once.
     """
-    some = repeated_runs(texts, runs).select("k", "ord", F.lit(None).cast("long").alias("later"))
+    found = checkpointed(repeated_runs(texts, runs, unit))
+    some = found.select("k", "ord", F.lit(None).cast("long").alias("later"))
     skip = later.select("k", F.lit(None).cast("int").alias("ord"), F.col("rank").alias("later"))
     flags = some.unionByName(skip).groupBy("k").agg(F.collect_list("ord").alias("ords"), F.collect_set("later").alias("later")).filter("size(ords) > 0")
-    return whole.join(flags, "k").filter("not array_contains(later, rank)").select("k", "rank", "text", "ords")
+    return whole.join(flags, "k").filter("not array_contains(later, rank)").select("k", "rank", "text", "ords"), found.count()
 
 
 def with_spans(whole: DataFrame, spans: DataFrame) -> DataFrame:

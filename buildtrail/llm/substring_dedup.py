@@ -22,45 +22,59 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from buildtrail.llm import textnp as tn
-from buildtrail.llm.anchored import candidates, pack, unpack, with_spans, word_runs
+from buildtrail.llm.anchored import candidates, pack, shards_for, unpack, with_spans, word_runs
 from buildtrail.llm.keys import copies, keyed
 from buildtrail.ship import ship, shuffle_partitions
 
 GRAM = 4
+SHARD = 1 << 15  # fragments of about 18 words
 
 
 class FMIndex:
-    """FM-index of several word sequences. Symbol 0 parts them; words are 1 to sigma."""
+    """FM-index of several word sequences for windows of ``window`` words. Symbol 0 parts the sequences; words are 1 to sigma.
 
-    def __init__(self, codes: np.ndarray, lengths: np.ndarray):
+    Of the text and its suffix array only this stays: the transform as a wavelet matrix of packed bits with block
+    counts, each suffix's sequence, and for each suffix where the suffixes with its first window - 1 words begin and end.
+    """
+
+    def __init__(self, codes: np.ndarray, lengths: np.ndarray, window: int):
         """codes: the words of all sequences (1..sigma) in a row; lengths: of each sequence."""
         n = len(codes) + len(lengths)
         text = np.zeros(n, np.int64)
         text[np.arange(len(codes)) + np.repeat(np.arange(len(lengths)), lengths)] = codes
-        self.text, self.sigma = text, int(codes.max(initial=0))
+        self.size, self.sigma = n, int(codes.max(initial=0))
         parts = np.flatnonzero(text == 0)
-        self.sequence = np.repeat(np.arange(len(lengths)), lengths + 1)
-        rank = text + len(parts)
-        rank[parts] = np.arange(len(parts))
-        self.ordered = rank  # parting symbols differ, so no two suffixes are equal
-        h = 1
+        ordered = text + len(parts)
+        ordered[parts] = np.arange(len(parts))  # parting symbols differ, so no two suffixes are equal
+        rank, h = ordered, 1
         while True:
             follow = np.zeros(n, np.int64)
             follow[: max(0, n - h)] = rank[h:] + 1
             key = rank * (n + self.sigma + 2) + follow
-            self.sa = np.argsort(key, kind="stable")
-            key = key[self.sa]
+            sa = np.argsort(key, kind="stable")
+            key = key[sa]
             new = np.empty(n, np.int64)
-            new[self.sa] = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
+            new[sa] = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
             rank = new
-            if rank[self.sa[-1]] == n - 1:
+            if rank[sa[-1]] == n - 1:
                 break
             h *= 2
-        bwt = text[self.sa - 1]
+        self.sequence = np.repeat(np.arange(len(lengths)), lengths + 1)[sa].astype(np.int32)
+        apart = np.zeros(n, bool)  # from the suffix before, within the words seen so far
+        apart[0] = True
+        at = np.arange(n, dtype=np.int32)
+        for j in range(window):
+            if j == window - 1:
+                last = np.concatenate([apart[1:], [True]])
+                self.low = np.maximum.accumulate(np.where(apart, at, 0)).astype(np.int32)
+                self.high = np.minimum.accumulate(np.where(last, at + 1, n)[::-1])[::-1].astype(np.int32)
+            symbol = ordered[np.minimum(sa + j, n - 1)]
+            apart[1:] |= symbol[1:] != symbol[:-1]
+        self.firsts = np.flatnonzero(apart).astype(np.int32)  # of the suffixes that start with one window
+        row = text[sa - 1]
         self.before = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=self.sigma + 1))])
         self.levels = max(1, self.sigma.bit_length())
         self.bits, self.blocks, self.zeros = [], [], []
-        row = bwt
         for level in range(self.levels - 1, -1, -1):
             bit = (row >> level) & 1
             padded = np.zeros((n // 64 + 1) * 64, np.uint8)
@@ -88,42 +102,51 @@ class FMIndex:
         both += np.concatenate([self.before[symbol]] * 2)
         return both[: len(low)], both[len(low) :]
 
-    def differ(self, depth: int) -> np.ndarray:
-        """Whether each suffix differs from the one before it within ``depth`` words."""
-        n = len(self.sa)
-        out = np.zeros(n, bool)
-        out[0] = True
-        for j in range(depth):
-            at = np.minimum(self.sa + j, n - 1)
-            sym = self.ordered[at]
-            out[1:] |= sym[1:] != sym[:-1]
-        return out
-
-
-def search(index: FMIndex, owner: np.ndarray, lengths: np.ndarray, window: int) -> np.ndarray:
-    """Least owner among all occurrences of every window of the indexed sequences, in their order."""
-    n = len(index.sa)
-    at = np.arange(n)
-    short = index.differ(window - 1)
-    long = index.differ(window)
-    low12 = np.maximum.accumulate(np.where(short, at, 0))
-    last = np.concatenate([short[1:], [True]])
-    high12 = np.minimum.accumulate(np.where(last, at + 1, n)[::-1])[::-1]
-    least = np.minimum.reduceat(owner[index.sequence[index.sa]], np.flatnonzero(long))
-    group = np.cumsum(long) - 1
+    def least(self, owner: np.ndarray) -> np.ndarray:
+        """The least owner of the suffixes that start with one window, for each such group."""
+        return np.minimum.reduceat(owner[self.sequence], self.firsts)
+
+
+def shorter(index: FMIndex, codes: np.ndarray, at: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The longest matches, of at most ``most`` words, that start at these places: intervals and lengths."""
+    low, high, length = np.zeros(len(at), np.int64), np.full(len(at), index.size), np.zeros(len(at), np.int64)
+    for d in range(int(most.max(initial=0)), 0, -1):
+        rows = np.flatnonzero((length == 0) & (most >= d))
+        a, b = np.zeros(len(rows), np.int64), np.full(len(rows), index.size)
+        for i in range(d - 1, -1, -1):
+            a, b = index.extend(a, b, codes[at[rows] + i])
+        found = a < b
+        low[rows[found]], high[rows[found]], length[rows[found]] = a[found], b[found], d
+    return low, high, length
+
+
+def search(index: FMIndex, owner: np.ndarray, codes: np.ndarray, lengths: np.ndarray, window: int) -> np.ndarray:
+    """Stream word sequences (coded as the index is) backwards through it: the least owner among all occurrences of each of their windows, in order.
+
+    A sequence's matching statistics end at the threshold: once ``window`` words match, the interval is reported and then
+    widened to its first window - 1 words. Windows that don't occur get the largest number.
+    """
+    least, none = index.least(owner), np.iinfo(owner.dtype).max
     windows = np.maximum(lengths - window + 1, 0)
-    first_window = np.cumsum(windows) - windows
-    end = np.cumsum(lengths + 1) - 1
-    out = np.empty(int(windows.sum()), owner.dtype)
+    first_window, begin = np.cumsum(windows) - windows, np.cumsum(lengths) - lengths
+    out = np.full(int(windows.sum()), none, owner.dtype)
     live = np.arange(len(lengths))
-    low, high = np.zeros(len(live), np.int64), np.full(len(live), n)
+    low, high = np.zeros(len(live), np.int64), np.full(len(live), index.size)
+    matched = np.zeros(len(live), np.int64)  # words
     for t in range(int(lengths.max(initial=0))):
         stay = lengths[live] > t
-        live, low, high = live[stay], low[stay], high[stay]
-        low, high = index.extend(low, high, index.text[end[live] - 1 - t])
-        if t >= window - 1:
-            out[first_window[live] + lengths[live] - 1 - t] = least[group[low]]
-            low, high = low12[low], high12[low]
+        live, low, high, matched = live[stay], low[stay], high[stay], matched[stay]
+        place = lengths[live] - 1 - t
+        low, high = index.extend(low, high, codes[begin[live] + place])
+        lost = np.flatnonzero(low >= high)
+        matched += 1
+        if len(lost):
+            low[lost], high[lost], matched[lost] = shorter(index, codes, begin[live[lost]] + place[lost], matched[lost] - 1)
+        full = matched == window
+        if full.any():
+            at = low[full]
+            out[first_window[live[full]] + place[full]] = least[np.searchsorted(index.firsts, at, "right") - 1]
+            low[full], high[full], matched[full] = index.low[at], index.high[at], window - 1
     return out
 
 
@@ -143,7 +166,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def _removed(docs: DataFrame, id_col: str, text_col: str, window: int, digest: bool) -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
-    shards = 2 * max(32, shuffle_partitions(spark))
     texts = keyed(docs, id_col, text_col)
     gram = min(GRAM, window)
 
@@ -153,7 +175,8 @@ def _removed(docs: DataFrame, id_col: str, text_col: str, window: int, digest: b
 
     later = copies(texts).filter("rank > first")
     whole = texts.repartition(shuffle_partitions(spark), "k")
-    some = candidates(whole, texts, later, runs)
+    some, n_runs = candidates(whole, texts, later, runs, 3 * (window - gram + 2))
+    shards = shards_for(n_runs, SHARD)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -193,7 +216,7 @@ def _removed(docs: DataFrame, id_col: str, text_col: str, window: int, digest: b
         lengths = n[pick]
         text = body[np.repeat(begin[pick], lengths) + tn.spread(lengths)]
         _, codes = np.unique(text, return_inverse=True)
-        least = search(FMIndex(codes + 1, lengths), owner, lengths, window)
+        least = search(FMIndex(codes + 1, lengths, window), owner, codes + 1, lengths, window)
         windows = lengths - window + 1
         w_begin = np.cumsum(windows) - windows
         many = windows[of]

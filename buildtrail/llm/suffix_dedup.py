@@ -23,11 +23,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from buildtrail.llm import textnp as tn
-from buildtrail.llm.anchored import byte_runs, candidates, pack, unpack, with_spans
+from buildtrail.llm.anchored import byte_runs, candidates, pack, shards_for, unpack, with_spans
 from buildtrail.llm.keys import copies, keyed
 from buildtrail.ship import ship, shuffle_partitions
 
 BATCH, BATCHES, FEW = 2048, 8, 5
+SHARD = 1 << 13  # fragments, about 3 KB each while they are compared
 
 
 class Fragments:
@@ -69,8 +70,16 @@ class Family:
             self._scan(batch, level)
         self.levels.append(batch)
         while len(self.levels) > 1 and len(self.levels[-2]) <= len(self.levels[-1]):
-            both = np.concatenate([self.levels.pop(-2), self.levels.pop()])
-            self.levels.append(both[np.argsort(self.f.forward[both], kind="stable")])
+            self.levels.append(self._merged(self.levels.pop(-2), self.levels.pop()))
+
+    def _merged(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Two arrays in suffix order as one, without sorting anew."""
+        out = np.empty(len(a) + len(b), np.int64)
+        of_b = np.searchsorted(self.f.forward[a], self.f.forward[b], "right") + np.arange(len(b))
+        of_a = np.ones(len(out), bool)
+        of_a[of_b] = False
+        out[of_b], out[of_a] = b, a
+        return out
 
     def _scan(self, batch: np.ndarray, level: np.ndarray) -> None:
         """Both in suffix order. Mark what fragments of equal anchor share."""
@@ -78,8 +87,7 @@ class Family:
         if len(level):
             both = np.intersect1d(key[batch], key[level])
             at = lambda rows: rows[np.isin(key[rows], both)]
-            rows = np.concatenate([at(batch), at(level)])
-            rows = rows[np.argsort(self.f.forward[rows], kind="stable")]
+            rows = self._merged(at(batch), at(level))
         else:
             rows = batch
         if not len(rows):
@@ -147,13 +155,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def _removed(docs: DataFrame, id_col: str, text_col: str, window: int, gram: int, digest: bool) -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
-    shards = 2 * max(32, shuffle_partitions(spark))
     gram = min(gram, window)
     reach = window - gram
     texts = keyed(docs, id_col, text_col)
     whole = texts.repartition(shuffle_partitions(spark), "k")
     copied = copies(texts)
-    some = candidates(whole, texts, copied.filter("rank > first"), lambda buf, offs: byte_runs(buf, offs, window, gram))
+    some, n_runs = candidates(whole, texts, copied.filter("rank > first"), lambda buf, offs: byte_runs(buf, offs, window, gram), reach // 2 + 1)
+    shards = shards_for(n_runs, SHARD)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,7 +51,7 @@ def test_suffix_arrays(spark, seed):
     same([(r[0], r[1], r[2], r[3], bytes(r[4])) for r in got], brute.repeated_bytes(rows, 40))
 
 
-def test_suffix_array_levels_of_one_anchor(spark, monkeypatch):
+def test_suffix_array_levels_of_one_anchor(spark):
     r = random.Random(4)
     core = "".join(r.choice("ab") for _ in range(60))
     rows = [(i, "".join(r.choice("cd") for _ in range(8)) + core + "".join(r.choice("cd") for _ in range(8))) for i in range(40)]
@@ -58,6 +59,67 @@ def test_suffix_array_levels_of_one_anchor(spark, monkeypatch):
     same([(x[0], x[1], x[2], x[3], bytes(x[4])) for x in got], brute.repeated_bytes(rows, 62))
 
 
+def test_suffix_array_family_in_small_batches():
+    """Batches of 3 and 7 make several levels and merges; each window that two fragments share is found, and no other."""
+    window, reach = 12, 8
+    for seed in range(30):
+        r = np.random.default_rng(seed)
+        n = int(r.integers(2, 40))
+        texts = [bytes(r.choice(list(b"ab"), window + reach)) for _ in range(n)]
+        before = r.integers(0, reach + 1, n)
+        key = r.integers(0, 3, n).astype(np.uint64)
+        after = np.zeros((n, window), np.uint8)
+        back = np.zeros((n, reach), np.uint8)
+        for i, (t, b) in enumerate(zip(texts, before, strict=True)):
+            a = np.frombuffer(t[b : b + window], np.uint8)
+            after[i, : len(a)] = a
+            back[i, :b] = np.frombuffer(t[:b][::-1], np.uint8)
+        n_after = np.array([len(t[b : b + window]) for t, b in zip(texts, before, strict=True)])
+        for batch in (3, 7):
+            family = suffix_dedup.Family(suffix_dedup.Fragments(key, after, n_after, back, before), window)
+            for s in range(0, n, batch):
+                family.add(np.arange(s, min(n, s + batch)))
+            sizes = [len(x) for x in family.levels]
+            assert sorted(np.concatenate(family.levels)) == list(range(n)) and sizes == sorted(sizes, reverse=True)
+            assert all(list(family.f.forward[x]) == sorted(family.f.forward[x]) for x in family.levels)
+            got = family.repeated()
+            for i in range(n):
+                for s in range(reach + 1):
+                    piece = lambda k: texts[k][before[k] - s : before[k] - s + window]  # noqa: B023, E731
+                    fits = lambda k: s <= before[k] and before[k] - s + window <= before[k] + n_after[k]  # noqa: B023, E731
+                    want = fits(i) and any(k != i and key[k] == key[i] and fits(k) and piece(k) == piece(i) for k in range(n))
+                    assert got[i, s] == want
+
+
+def test_texts_longer_than_a_chunk(spark):
+    r = np.random.default_rng(3)
+    long = "".join(r.choice(list("abcdefgh "), (1 << 20) + 5000))
+    rows = [(0, long), (1, long[(1 << 20) - 300 : (1 << 20) + 900] + "z"), (2, "y" + long[:700]), (3, None)]
+    got = suffix_dedup.remove_repeats(frame(spark, rows)).collect()
+    same([(x[0], x[1], x[2], x[3], bytes(x[4])) for x in got], brute.repeated_bytes(rows, 400))
+    same([tuple(x) for x in substring_dedup.remove_repeats(frame(spark, rows)).collect()], brute.repeated_words(rows, 13))
+    found = jaccard_join.classes(frame(spark, rows)).collect()
+    same([(x["rank"], x["n"], x["root"]["rank"]) for x in found], brute.jaccard_classes(rows))
+
+
+def test_fm_index_streams_what_it_doesn_t_hold():
+    r = np.random.default_rng(5)
+    for _ in range(20):
+        lengths = r.integers(0, 30, 12)
+        codes = r.integers(1, 5, int(lengths.sum()))
+        index = substring_dedup.FMIndex(codes, lengths, 4)
+        owner = r.permutation(12).astype(np.int64)
+        ask = r.integers(0, 30, 6)
+        words = r.integers(1, 5, int(ask.sum()))
+        cut = lambda c, n: [tuple(x) for x in np.split(c, np.cumsum(n)[:-1])]
+        least = {}
+        for o, t in zip(owner, cut(codes, lengths), strict=True):
+            for i in range(len(t) - 3):
+                least[t[i : i + 4]] = min(o, least.get(t[i : i + 4], 99))
+        want = [least.get(t[i : i + 4], np.iinfo(np.int64).max) for t in cut(words, ask) for i in range(len(t) - 3)]
+        assert list(substring_dedup.search(index, owner, words, ask, 4)) == want
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_fm_index(spark, seed):
     rows = corpus(seed)
