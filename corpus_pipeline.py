@@ -2,11 +2,14 @@
 
 Toxic documents go; repeated lines go, and documents of which no line is left; of each class of near
 duplicates the smallest id stays; documents with a benchmark passage go; the rest is packed.
+
+Null texts count as empty and stay, as long as they are no near copy (texts without words never are). Null ids come after all others.
+Fully repeated rows are one document: of near copies only one row stays. Any further columns pass through, whatever their
+names; an empty table gives an empty result. doc_id and text are needed, n_chars is counted anew where there is one.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -14,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from buildtrail.llm import decontaminate, jaccard_join, line_dedup, packing, toxicity
+from buildtrail.llm.session import shared_folder
 
 ORACLE_SQL = None  # packing and the learnt stages have no SQL; tests hold the stages against brute force
 
@@ -27,20 +31,27 @@ def _matching(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
     return wide.join(named, [work + "k", work + "rank"], how).select(*docs.columns)
 
 
+def _wide(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, row): all of a document's columns in row, so that none can clash with what an operator adds."""
+    return docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is at least one half go; none where the labels gave the model nothing to tell texts by."""
-    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    model = toxicity.fit(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     if not len(model.features):
         return docs
-    scored = toxicity.score(docs, model)
-    return scored.filter("score < 0.5").select(*docs.columns)
+    return toxicity.score(_wide(docs), model).filter("score < 0.5").select("row.*")
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go, and with them documents that had lines and have none left; n_chars is counted anew."""
-    kept = line_dedup.dedup_lines(docs).filter("n_removed = 0 or trim(text) <> ''")
-    changed = kept.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return changed.select(*docs.columns)
+    kept = line_dedup.dedup_lines(_wide(docs)).filter("n_removed = 0 or trim(text) <> ''")
+    row = F.col("row").withField("text", F.col("text").cast(docs.schema["text"].dataType))
+    if "n_chars" in docs.columns:
+        n = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("row.n_chars"))
+        row = row.withField("n_chars", n.cast(docs.schema["n_chars"].dataType))
+    return kept.select(row.alias("row")).select("row.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,9 +83,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply STAGES to the documents table; results between stages go to the shared checkpoint folder."""
-    context = spark.sparkContext
-    shared = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir() or tempfile.mkdtemp(prefix="buildtrail-pipeline-")
-    base = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{i}-{name}")
