@@ -14,7 +14,7 @@ def _print(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-BROADCAST_EDGES = 100_000  # about 100 bytes each
+BROADCAST_EDGES, FEW = 100_000, 8  # about 100 bytes each; so few edges stay in so many partitions
 
 
 def connected_components(edges: DataFrame, most: int | None = None) -> DataFrame:
@@ -25,14 +25,16 @@ def connected_components(edges: DataFrame, most: int | None = None) -> DataFrame
     now = checkpointed(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())  # v < u: the lesser node of an edge
     mark = _print(now)
     for i in count(1):
-        near = F.broadcast if mark[0] <= BROADCAST_EDGES else lambda df: df
+        small = mark[0] <= BROADCAST_EDGES
+        near = F.broadcast if small else lambda df: df
+        now = now.coalesce(FEW) if small else now
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = both.join(near(least), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(near(least), "u")
-        small = joined.select("u", F.col("m").alias("v")).unionByName(joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
-        now = checkpointed(small)
+        stars = joined.select("u", F.col("m").alias("v")).unionByName(joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
+        now = checkpointed(stars.coalesce(FEW) if small else stars)
         new = _print(now)
         if new == mark:
             break

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from buildtrail.llm import textnp as tn
-from buildtrail.llm.components import connected_components
+from buildtrail.llm.components import FEW, connected_components
 from buildtrail.llm.keys import LAST, ident, keyed
 from buildtrail.llm.session import checkpointed
 from buildtrail.ship import ship
@@ -294,6 +294,7 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
     parities = sets.filter("f = 0").select("node", "parity")
     few = parities.count() <= BROADCAST_SETS
     near = F.broadcast if few else lambda df: df
+    dealt = (lambda df: df.coalesce(FEW)) if few else (lambda df: df)  # pairs of a few sets need few tasks
     parities = near(parities)
     prefix = checkpointed(_prefixes(sets.select("node", "n", F.explode("part").alias("gram")), percent))
     x = parities.select(F.col("node").alias("a"), F.col("parity").alias("pa"))
@@ -302,13 +303,14 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
     links, found, before = None, None, 0
     while True:
         likely = _stars(_mixed(prefix, found), percent).join(x, "a").join(y, "b").filter(alike).select("a", "b", "na", "nb")
-        more = _linked(likely, sets, percent).select(F.col("a").alias("u"), F.col("b").alias("v"))
+        more = _linked(dealt(likely), sets, percent).select(F.col("a").alias("u"), F.col("b").alias("v"))
+        more = dealt(more)
         links = checkpointed(more if links is None else links.unionByName(more))
         total = links.count()
         if total - before <= before / 10:
             break
         before, found = total, near(connected_components(links))
-    rest = _linked(_across(_mixed(prefix, found), parities, percent), sets, percent)
+    rest = _linked(dealt(_across(_mixed(prefix, found), parities, percent)), sets, percent)
     return links.unionByName(rest.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
 
