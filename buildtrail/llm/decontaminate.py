@@ -118,7 +118,7 @@ def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.nd
     words = np.concatenate([[0], np.cumsum(batch.column(2).to_numpy(zero_copy_only=False))])
     (at, cut), (term, _) = tn.flat(batch.column(3)), tn.flat(batch.column(4))
     at, term, cut = at.copy().view(np.uint32), term.copy().view(np.uint32), cut // 4
-    for i, j in tn.chunks(words, tn.CHUNK // 8):
+    for i, j in tn.chunks(words, tn.CHUNK // 16):
         wo = words[i : j + 1] - words[i]
         here = slice(cut[i], cut[j])
         yield i, j, wo, at[here] + np.repeat(wo[:-1], np.diff(cut[i : j + 1])), term[here].astype(np.int64)
