@@ -1 +1 @@
-"""Readers, writers and table maintenance."""
+"""Readers and writers of the library's tables."""
