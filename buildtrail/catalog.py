@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from buildtrail.plans import builds, fleet, graph, sources, stages, store, telemetry, windows
+from buildtrail.plans import builds, fleet, graph, sources, stages, stateful, store, telemetry, windows
 
-MODULES = [telemetry, graph, fleet, store, windows, builds, stages, sources]
+MODULES = [telemetry, graph, fleet, store, windows, builds, stages, sources, stateful]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
