@@ -70,10 +70,11 @@ def tree_sizes(entries: DataFrame) -> DataFrame:
 
 
 def prune_tree(entries: DataFrame, keep: DataFrame) -> DataFrame:
-    """Entries at or below a path of keep (path)."""
+    """Entries at or below a path of keep (path), and the directories above those paths, where they are entries."""
     marks = keep.select(F.col("path").alias("__up")).distinct()
-    hit = entries.select("path", F.explode(ancestors(F.col("path"))).alias("__up")).join(marks, "__up", "left_semi").select("path").distinct()
-    return entries.join(hit, "path", "left_semi")
+    hit = entries.select("path", F.explode(ancestors(F.col("path"))).alias("__up")).join(marks, "__up", "left_semi").select("path")
+    above = hit.select(F.explode(ancestors(F.col("path"))).alias("path"))
+    return entries.join(above.distinct(), "path", "left_semi")
 
 
 def missing_keeps(entries: DataFrame, keep: DataFrame) -> DataFrame:

@@ -166,3 +166,11 @@ def test_times_and_texts(spark):
     assert bad == "a\ufffdb"
     paths = spark.createDataFrame([("//a/b", "d"), ("../x", "d/e"), ("/abs", "d"), ("../..", "d"), ("..", "d"), ("./y", "d")], "p string, d string")
     assert [r[0] for r in paths.select(x.normalize_source_path("p", "d")).collect()] == ["a/b", "d/x", None, None, None, "d/y"]
+
+
+def test_pruned_trees_keep_the_directories_above(spark):
+    entries = spark.createDataFrame([(p,) for p in ("a", "a/b", "a/b/c", "a/b/d/e", "a/x", "ab", "z")], "path string")
+    pruned = lambda *keep: {r[0] for r in store.prune_tree(entries, spark.createDataFrame([(k,) for k in keep], "path string")).collect()}
+    assert pruned("a/b/d", "a/b/d/e") == {"a", "a/b", "a/b/d/e"}
+    assert pruned("a/b") == {"a", "a/b", "a/b/c", "a/b/d/e"}
+    assert pruned("none/here") == set()
