@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from buildtrail.llm import chat_format, decontaminate, html_extract, jaccard_join, line_dedup, packing, sharding, substring_dedup, suffix_dedup, toxicity, vector_search
+from buildtrail.llm import chat_format, decontaminate, html_extract, jaccard_join, line_dedup, packing, sharding, spelling, substring_dedup, suffix_dedup, toxicity, vector_search
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_nnls_packing": packing.query,
         "op10_fm_substring_dedup": substring_dedup.query,
         "op12_stratified_shards": sharding.query,
+        "op13_bloom_spelling": spelling.query,
     }
 
 
@@ -30,4 +31,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_chat_examples": chat_format.SQL,
         "op6_line_dedup": line_dedup.SQL,
         "op12_stratified_shards": sharding.SQL,
+        "op13_bloom_spelling": spelling.SQL,
     }
