@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from buildtrail.llm import chat_format, decontaminate, html_extract, jaccard_join, line_dedup, packing, sharding, spelling, substring_dedup, suffix_dedup, toxicity, vector_search
+from buildtrail.llm import chat_format, decontaminate, html_extract, jaccard_join, line_dedup, packing, sharding, spelling, substring_dedup, suffix_dedup, toxicity, vector_search, whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_jaccard_join": jaccard_join.query,
         "op9_nnls_packing": packing.query,
         "op10_fm_substring_dedup": substring_dedup.query,
+        "op11_exact_whitening": whitening.query,
         "op12_stratified_shards": sharding.query,
         "op13_bloom_spelling": spelling.query,
     }
