@@ -98,26 +98,44 @@ def tree_delta(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.select("path", state.alias("state"))
 
 
-def merkle_keys(entries: DataFrame, fan: int = 4096) -> DataFrame:
-    """(path, digest) of all directories of entries (path, content_key), "" for the root, from the leaves up.
+EPOCH_NS = 315_532_800 * 10**9  # fixed value: the time of all entries of a normalised tree, 1980
 
-    A directory's digest is that of its sorted child lines. Large directories are first digested in ``fan`` groups by
-    name hash, so that no row holds all children.
+
+def merkle_trees(entries: DataFrame, normalize: bool = True) -> DataFrame:
+    """(tree, path, digest) of all directories of all trees, "" for the root, from the leaves up.
+
+    entries: (tree, path, kind, mode, content_key, target[, uid, gid, mtime]), kind "file", "dir" or "link"; a directory needs no row. A
+    directory's digest is that of the sorted lines of its children: name, kind, mode, uid, gid, mtime, content. Normalised, uid
+    and gid are 0 and mtime is EPOCH_NS, so that only content and modes count. Large directories are first digested in groups by the
+    start of the name's hash, so that no row holds all children. A tree without entries has no row.
     """
-    parent = lambda c: F.when(F.instr(c, "/") > 0, F.regexp_replace(c, "/[^/]*$", "")).otherwise(F.lit(""))
-    level = checkpointed(entries.select("path", F.col("content_key").alias("digest"), F.size(F.split("path", "/")).alias("depth")))
+    parent = F.when(F.instr("path", "/") > 0, F.regexp_replace("path", "/[^/]*$", "")).otherwise(F.lit(""))
+    meta = {"uid": F.lit(0), "gid": F.lit(0), "mtime": F.lit(EPOCH_NS)} if normalize else {c: F.col(c) if c in entries.columns else F.lit(0) for c in ("uid", "gid", "mtime")}
+    kind, mode = F.coalesce("kind", F.lit("dir")), F.coalesce(F.col("mode"), F.lit(0o555))
+    level = entries.select("tree", "path", kind.alias("kind"), F.concat_ws("\t", kind, mode.cast("string"), *[c.cast("string") for c in meta.values()]).alias("meta"), F.coalesce("content_key", "target", F.lit("")).alias("digest"))
+    level = checkpointed(level.withColumn("depth", F.size(F.split("path", "/"))))
+    made = F.concat_ws("\t", F.lit("dir"), F.lit("365"), F.lit("0"), F.lit("0"), F.lit(str(EPOCH_NS if normalize else 0)))
     top = level.agg(F.max("depth")).first()[0] or 0
-    out = None
-    waiting = level
-    ready = None
+    out, ready = None, None
     for depth in range(top, 0, -1):
-        now = waiting.filter(F.col("depth") == depth).select("path", "digest")
-        now = now if ready is None else now.unionByName(ready)
-        line = F.concat(F.substring_index("path", "/", -1), F.lit(":"), F.col("digest"))
-        groups = now.select(parent(F.col("path")).alias("dir"), line.alias("line")).groupBy("dir", F.pmod(F.xxhash64("line"), F.lit(fan)).alias("g")).agg(F.array_join(F.sort_array(F.collect_list("line")), "\n").alias("lines"))
-        ready = checkpointed(groups.groupBy("dir").agg(F.sha2(F.array_join(F.sort_array(F.collect_list(F.sha2("lines", 256))), "\n"), 256).alias("digest")).select(F.col("dir").alias("path"), "digest"))
+        now = level.filter(F.col("depth") == depth)
+        if ready is not None:  # digests of directories of this depth, with or without a row of their own
+            dirs = now.filter("kind = 'dir'").select("tree", "path", F.col("meta").alias("own"))
+            inner = ready.join(dirs, ["tree", "path"], "left").select("tree", "path", F.coalesce("own", made).alias("meta"), "digest")
+            now = now.join(ready.select("tree", "path"), ["tree", "path"], "left_anti").select("tree", "path", "meta", "digest").unionByName(inner)
+        line = F.concat_ws("\t", F.substring_index("path", "/", -1), "meta", "digest")
+        lines = now.select("tree", parent.alias("dir"), line.alias("line"), F.substring(F.sha2(F.substring_index("path", "/", -1), 256), 1, 3).alias("part"))
+        parts = lines.groupBy("tree", "dir", "part").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("line")), "\n"), 256).alias("digest"))
+        joined = parts.groupBy("tree", "dir").agg(F.sha2(F.array_join(F.sort_array(F.collect_list(F.concat("part", "digest"))), "\n"), 256).alias("digest"))
+        ready = checkpointed(joined.select("tree", F.col("dir").alias("path"), "digest"))
         out = ready if out is None else out.unionByName(ready)
-    return out if out is not None else entries.select("path", F.col("content_key").alias("digest")).limit(0)
+    return out if out is not None else entries.select("tree", "path", F.col("content_key").alias("digest")).limit(0)
+
+
+def merkle_keys(entries: DataFrame) -> DataFrame:
+    """(path, digest) of all directories of one tree of files (path, content_key)."""
+    one = entries.select(F.lit(0).alias("tree"), "path", F.lit("file").alias("kind"), F.lit(0o444).alias("mode"), "content_key", F.lit(None).cast("string").alias("target"))
+    return merkle_trees(one).drop("tree")
 
 
 def split_rounds(wants: DataFrame, most: int = 32768) -> DataFrame:

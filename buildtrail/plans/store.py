@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from buildtrail.functions import scalars as x
 from buildtrail.operators import logs, refs, store
+from buildtrail.plans.covers import merkle_sql
 
 
 def ref_log(s, d):
@@ -130,6 +131,7 @@ SQL = {
     "missing_keeps": f"WITH {ENT} SELECT path FROM hd WHERE path NOT IN (SELECT split_part(path, '/', 1) FROM en WHERE page_id % 2 = 0)",
     "overlay_tree": f"WITH {ENT} SELECT path, content_key, CASE WHEN page_id % 2 <> 0 THEN 'kept' WHEN page_id % 3 = 0 THEN 'added' ELSE 'replaced' END AS origin FROM en WHERE page_id % 2 = 0 OR page_id % 3 <> 0",
     "tree_delta": f"WITH {ENT} SELECT path, CASE WHEN page_id % 2 <> 0 THEN 'removed' WHEN page_id % 3 = 0 THEN 'added' WHEN page_id % 4 = 0 THEN 'changed' ELSE 'unchanged' END AS state FROM en WHERE page_id % 2 = 0 OR page_id % 3 <> 0",
+    "merkle_keys": f"WITH RECURSIVE {ENT}, me AS (SELECT 0::BIGINT AS tree, path, 'file' AS kind, 292 AS mode, content_key, NULL::VARCHAR AS target FROM en), {merkle_sql('me')} SELECT path, digest FROM mk WHERE path IS NOT NULL",
     "split_rounds": f"WITH {DOC}, k AS (SELECT DISTINCT key FROM dc) SELECT key, (row_number() OVER (ORDER BY key) - 1) // 100 AS round FROM k",
     "layer_sharing": "WITH i AS (SELECT l_orderkey, sha256(array_to_string(list_sort(list_distinct(list((l_suppkey % 4)::VARCHAR))), chr(10))) AS layer, sum(l_partkey)::BIGINT AS size FROM lineitem GROUP BY l_orderkey) SELECT layer, count(*) AS images, (sum(size) - max(size))::BIGINT AS saved FROM i GROUP BY layer",
     "log_view": f"WITH {CHK}, n AS (SELECT node, gen, sum(strlen(data))::BIGINT AS total, hex(encode(string_agg(data, '' ORDER BY seq, stream)))[-2:] AS b FROM ck WHERE (node, gen) IN (SELECT (node, max(gen)) FROM ck GROUP BY node) GROUP BY node, gen) SELECT node, gen, least(total, 100) AS head_bytes, greatest(0, total - 400) AS gap, greatest(0, least(300, total - 100)) AS tail_bytes, CASE WHEN total > 100 THEN b ELSE '' END AS last_byte FROM n",
