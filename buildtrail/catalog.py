@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from buildtrail.plans import builds, covers, fleet, graph, sources, stages, stateful, store, telemetry, windows
+from buildtrail.plans import builds, covers, fleet, graph, sources, stages, stateful, store, telemetry, timers, windows
 
-MODULES = [telemetry, graph, fleet, store, windows, builds, stages, sources, stateful, covers]
+MODULES = [telemetry, graph, fleet, store, windows, builds, stages, sources, stateful, covers, timers]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

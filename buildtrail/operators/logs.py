@@ -48,12 +48,37 @@ def retry_marks(chunks: DataFrame) -> DataFrame:
     return rows.withColumn("mark", prev.isNotNull() & (F.col("gen") > prev))
 
 
-def log_lines(chunks: DataFrame) -> DataFrame:
-    """(node, gen, stream, no, line): text chunks of a stream joined in order, split at newlines, carriage returns trimmed, a last partial line kept."""
-    whole = chunks.groupBy("node", "gen", "stream").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "data"))), lambda x: x["data"].cast("string")), "").alias("text"))
-    lines = whole.select("node", "gen", "stream", F.posexplode(F.split("text", "\n", -1)).alias("no", "line"))
-    last = F.max("no").over(Window.partitionBy("node", "gen", "stream"))
-    return lines.withColumn("__last", last).filter("no < __last or line <> ''").drop("__last").withColumn("line", F.regexp_replace("line", "\r+$", ""))
+def log_lines(chunks: DataFrame, prefix: str = "") -> DataFrame:
+    """(node, gen, stream, no, line): a stream's chunks split at newlines, in order of seq, lines put together across chunk borders.
+
+    Only the first and last piece of each chunk are gathered, by the number of their line; whole lines in between pass as they are, so
+    no row holds more than a line. Bytes are joined before they are read as text, closing carriage returns are trimmed, a last
+    partial line is kept, prefix stands before each line. Null data counts as empty.
+    """
+    keys = ["node", "gen", "stream"]
+    bytewise = F.decode(F.coalesce(F.col("data").cast("binary"), F.lit(b"")), "ISO-8859-1")  # a character a byte
+    rows = chunks.select(*keys, "seq", F.split(bytewise, "\n", -1).alias("p")).withColumn("n", (F.size("p") - 1).cast("long"))
+    own = Window.partitionBy(*keys)
+    rows = rows.withColumn("no", F.sum("n").over(own.orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).withColumn("all", F.sum("n").over(own))
+    inner = rows.filter("n > 1").select(*keys, "no", "all", F.posexplode(F.expr("slice(p, 2, size(p) - 2)")).alias("i", "line")).select(*keys, "all", (F.col("no") + F.col("i") + 1).alias("no"), "line")
+    ends = F.array(F.struct(F.col("no"), F.element_at("p", 1).alias("piece")), F.when(F.col("n") > 0, F.struct((F.col("no") + F.col("n")).alias("no"), F.element_at("p", -1).alias("piece"))))
+    border = rows.select(*keys, "all", "seq", F.explode(ends).alias("e")).filter("e is not null").select(*keys, "all", "seq", "e.*")
+    joined = border.groupBy(*keys, "all", "no").agg(F.expr("array_join(transform(array_sort(collect_list(struct(seq, piece))), x -> x.piece), '')").alias("line"))
+    text = F.encode("line", "ISO-8859-1").cast("string")
+    lines = inner.unionByName(joined).filter("no < all or line <> ''")
+    return lines.select(*keys, F.col("no").cast("int").alias("no"), F.concat(F.lit(prefix), F.regexp_replace(text, "\r+$", "")).alias("line"))
+
+
+def rechunk_bytes(chunks: DataFrame, size: int = 32 << 10) -> DataFrame:
+    """(node, gen, stream, offset, data): the same bytes in chunks of size, the last one of a stream shorter; empty streams have none."""
+    keys = ["node", "gen", "stream"]
+    data = F.coalesce(F.col("data").cast("binary"), F.lit(b""))
+    rows = chunks.select(*keys, "seq", data.alias("data")).withColumn("n", F.octet_length("data").cast("long"))
+    rows = rows.withColumn("at", F.sum("n").over(Window.partitionBy(*keys).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).filter("n > 0")
+    cut = rows.withColumn("bucket", F.explode(F.expr(f"sequence(at div {size}, (at + n - 1) div {size})"))).withColumn("low", F.expr(f"greatest(bucket * {size} - at, 0)"))
+    piece = F.expr(f"hex(substring(data, cast(low + 1 AS int), cast(least((bucket + 1) * {size} - at, n) - low AS int)))")  # as text, which joins in linear time
+    parts = cut.select(*keys, "bucket", (F.col("at") + F.col("low")).alias("at"), piece.alias("piece")).groupBy(*keys, "bucket").agg(F.array_sort(F.collect_list(F.struct("at", "piece"))).alias("p"))
+    return parts.select(*keys, (F.col("bucket") * size).alias("offset"), F.unhex(F.expr("array_join(transform(p, x -> x.piece), '')")).alias("data"))
 
 
 def rechunk(chunks: DataFrame, size: int) -> DataFrame:
