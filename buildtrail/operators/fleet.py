@@ -33,15 +33,28 @@ def classes_within(runners: DataFrame) -> DataFrame:
 
 
 def fit_runners(queued: DataFrame, runners: DataFrame) -> DataFrame:
-    """(platform, cpu_milli, mem_bytes, runner): the runner that each queued requirement fits with the least slack, ties to the smaller id.
+    """(platform, cpu_milli, mem_bytes, runner, fits): the runner that each queued requirement fits with the least slack, ties to the smaller id.
 
-    Jobs are grouped by requirement first, so runners meet requirements and not jobs.
+    Slack is compared by cpu, then memory; fits counts all runners that do. No pair of requirement and runner is made: cpu values are cut
+    into blocks of powers of two, a runner lies in one block of each size, and "at least c" is a few blocks. Within a
+    block, rows in falling order of memory carry the best runner and the number of runners so far. Rows and sorting are linear in
+    requirements and runners, times the bits of the largest cpu value. Nulls and negative values fit nothing.
     """
-    needs = queued.select("platform", "cpu_milli", "mem_bytes").distinct()
-    free = runners.select("platform", F.col("id").alias("runner"), "free_cpu", "free_mem")
-    fit = needs.join(free, "platform").filter((F.col("cpu_milli") <= F.col("free_cpu")) & (F.col("mem_bytes") <= F.col("free_mem")))
-    slack = F.struct(F.col("free_cpu") - F.col("cpu_milli"), F.col("free_mem") - F.col("mem_bytes"), F.col("runner"))
-    return fit.groupBy("platform", "cpu_milli", "mem_bytes").agg(F.min_by("runner", slack).alias("runner"), F.count("*").alias("fits"))
+    fine = "platform is not null and cpu >= 0 and mem >= 0"
+    needs = queued.selectExpr("platform", "cast(cpu_milli AS long) AS cpu", "cast(mem_bytes AS long) AS mem").filter(fine).distinct()
+    free = runners.selectExpr("platform", "id AS runner", "cast(free_cpu AS long) AS cpu", "cast(free_mem AS long) AS mem").filter(fine).filter("runner is not null")
+    top = needs.select("cpu").unionByName(free.select("cpu")).agg(F.max("cpu")).first()[0] or 0
+    bits = max(1, int(top).bit_length())
+    here = free.selectExpr("platform", "cpu", "mem", "runner", f"explode(transform(sequence(0, {bits - 1}), l -> struct(l AS level, shiftright(cpu, l) AS block))) AS b")
+    at_least = f"concat(array(struct(0 AS level, cpu AS block)), transform(filter(sequence(0, {bits - 1}), l -> shiftright(cpu, l) % 2 = 0), l -> struct(l AS level, shiftright(cpu, l) + 1 AS block)))"
+    ask = needs.selectExpr("platform", "cpu", "mem", f"explode({at_least}) AS b")
+    put = here.selectExpr("platform", "b.level", "b.block", "mem", "0 AS turn", "struct(cpu, mem, runner) AS has", "cast(null AS long) AS cpu")
+    want = ask.selectExpr("platform", "b.level", "b.block", "mem", "1 AS turn", "cpu").withColumn("has", F.lit(None).cast(put.schema["has"].dataType))
+    so_far = Window.partitionBy("platform", "level", "block").orderBy(F.desc("mem"), "turn").rowsBetween(Window.unboundedPreceding, 0)
+    met = put.unionByName(want).withColumn("best", F.min("has").over(so_far)).withColumn("fits", F.count("has").over(so_far)).filter("turn = 1 and best is not null")
+    found = met.groupBy("platform", "cpu", "mem").agg(F.min("best").alias("best"), F.sum("fits").alias("fits"))
+    kinds = queued.schema
+    return found.select("platform", F.col("cpu").cast(kinds["cpu_milli"].dataType).alias("cpu_milli"), F.col("mem").cast(kinds["mem_bytes"].dataType).alias("mem_bytes"), "best.runner", "fits")
 
 
 def fleet(hello: DataFrame, beats: DataFrame) -> DataFrame:

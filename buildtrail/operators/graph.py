@@ -12,25 +12,34 @@ from buildtrail.functions.scalars import ACTIVE, phase_rank
 from buildtrail.lineage import checkpointed
 
 
-FRONTS = 16
+FRONTS, HOPS = 16, 3
 
 
 def closure(edges: DataFrame, roots: DataFrame, most: int | None = None) -> DataFrame:
     """roots (root, node) -> (root, node): all that each root reaches, its own nodes included, each once. Ends on cycles too.
 
-    A round writes only what it found; found rows are written together once in ``FRONTS`` rounds. With ``most``, a
-    closure that isn't done after so many rounds is an error.
+    A round takes ``HOPS`` steps and writes only what it found; found rows are written together once in ``FRONTS`` rounds. With
+    ``most``, a closure that takes as many steps and isn't done is an error.
     """
     front = checkpointed(roots.select("root", "node").distinct())
     seen = [front]
-    for i in count(1):
-        front = front.join(edges, "node").select("root", F.col("dep").alias("node")).distinct()
-        front = checkpointed(front.join(reduce(DataFrame.unionByName, seen), ["root", "node"], "left_anti"))
-        if front.isEmpty():
+    for i in count():
+        steps = [front]
+        for _ in range(HOPS):
+            steps.append(steps[-1].join(edges, "node").select("root", F.col("dep").alias("node")).distinct())
+        found = reduce(DataFrame.unionByName, [x.withColumn("step", F.lit(n)) for n, x in enumerate(steps) if n])
+        found = found.groupBy("root", "node").agg(F.min("step").alias("step"))
+        found = checkpointed(found.join(reduce(DataFrame.unionByName, seen), ["root", "node"], "left_anti"))
+        far = found.agg(F.max("step")).first()[0]
+        if far is None:
             break
-        if i == most:
-            raise RuntimeError(f"the closure isn't done after {most} rounds")
-        seen = [checkpointed(reduce(DataFrame.unionByName, [*seen, front]))] if len(seen) == FRONTS else [*seen, front]
+        if most is not None and i * HOPS + far >= most:
+            raise RuntimeError(f"the closure isn't done after {most} steps")
+        new = found.select("root", "node")
+        seen = [checkpointed(reduce(DataFrame.unionByName, [*seen, new]))] if len(seen) == FRONTS else [*seen, new]
+        if far < HOPS:
+            break
+        front = found.filter(F.col("step") == HOPS).select("root", "node")  # what was found earlier has been gone on from
     return reduce(DataFrame.unionByName, seen)
 
 
@@ -48,6 +57,17 @@ def request_nodes(requests: DataFrame, edges: DataFrame) -> DataFrame:
     return requests.select("request", F.col("target").alias("root")).join(closure(edges, targets), "root").select("request", "node")
 
 
+def target_nodes(requests: DataFrame, edges: DataFrame) -> DataFrame:
+    """(request, node) as ``request_nodes``, with the target in place of the request: each target once, however many requests share it."""
+    targets = requests.select(F.col("target").alias("root"), F.col("target").alias("node")).distinct()
+    return closure(edges, targets).select(F.col("root").alias("request"), "node")
+
+
+def for_requests(requests: DataFrame, rows: DataFrame) -> DataFrame:
+    """What was worked out for each target (rows, request: the target) as rows of each request of that target."""
+    return requests.select("request", F.col("target").alias("_target")).join(rows.withColumnRenamed("request", "_target"), "_target").select(*rows.columns)
+
+
 def ready_nodes(nodes: DataFrame, edges: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     """Waiting nodes all of whose deps are done (or that have none).
 

@@ -41,8 +41,14 @@ def looped(spark, sf):
     return e.unionByName(e.filter("dep % 97 = 0").select(F.col("dep").alias("node"), F.col("node").alias("dep")))
 
 
+def by_target(spark, sf, f):
+    """f of the targets' nodes, worked out once a target and joined to its requests."""
+    r = requests(spark, sf)
+    return g.for_requests(r, f(g.target_nodes(r, edges(spark, sf))))
+
+
 def counts(spark, sf):
-    return g.request_counts(membership(spark, sf), nodes(spark, sf))
+    return by_target(spark, sf, lambda m: g.request_counts(m, nodes(spark, sf)))
 
 
 def children(spark, sf):
@@ -66,10 +72,10 @@ QUERIES = {
     "ready_wanted_nodes": lambda s, d: g.ready_nodes(nodes(s, d).withColumn("kind", F.when(F.col("consec_retry") == 1, "buildvalue").otherwise("pin")), edges(s, d), g.request_nodes(requests(s, d).filter("not cancelled"), edges(s, d))).select("node"),
     "interest_tags": lambda s, d: g.interest_tags(membership(s, d), requests(s, d)),
     "waiting_fs": lambda s, d: g.waiting_fs(s.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_orderkey").alias("f"), F.col("l_partkey").alias("kp"))),
-    "root_failures": lambda s, d: g.root_failures(membership(s, d), nodes(s, d)).select("request", "node", "phase"),
-    "first_failing": lambda s, d: g.first_failing(membership(s, d), nodes(s, d)).select("request", "node", "nth", "truncated"),
+    "root_failures": lambda s, d: by_target(s, d, lambda m: g.root_failures(m, nodes(s, d))).select("request", "node", "phase"),
+    "first_failing": lambda s, d: by_target(s, d, lambda m: g.first_failing(m, nodes(s, d))).select("request", "node", "nth", "truncated"),
     "problem_first": lambda s, d: g.problem_first(nodes(s, d)).select("node", "phase", "place", "nth", "in_phase"),
-    "board_rows": lambda s, d: g.board_rows(membership(s, d), nodes(s, d)).select("request", "node", "kind", "nth", "more"),
+    "board_rows": lambda s, d: by_target(s, d, lambda m: g.board_rows(m, nodes(s, d))).select("request", "node", "kind", "nth", "more"),
     "status_changes": lambda s, d: g.status_changes(s.read.parquet(f"{d}/orders.parquet"), "o_custkey", ["o_orderdate", "o_orderkey"], ["o_orderstatus"]).select("o_custkey", "o_orderkey", "o_orderstatus"),
     "incomplete_roots": lambda s, d: g.incomplete_roots(children(s, d), keys(s, d, "phase <> 'failed'"), keys(s, d, "true")),
     "plan_transfer": lambda s, d: g.plan_transfer(children(s, d), keys(s, d, "phase <> 'cancelled'"), keys(s, d, "phase in ('done', 'running')"), keys(s, d, "true")),
