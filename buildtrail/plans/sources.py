@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from buildtrail.functions import scalars as x
 from buildtrail.lineage import shared_folder
-from buildtrail.operators import logs
+from buildtrail.operators import logs, refs
 from buildtrail.plans import graph as g
 from buildtrail.plans import store as st
 from buildtrail.plans import telemetry as t
-from buildtrail.sources import tables
+from buildtrail.sources import stores, tables
 
 
 def fresh(spark: SparkSession) -> str:
@@ -37,6 +37,50 @@ def batches_back(s, d):
     return tables.read_events(s, path, "batches").select("emitter", "seq", "ts_ns", "type", "data")
 
 
+def bad_batches(s, d):
+    """Batches in which every seventh event has a text for a number, and every fifth line is cut off: what doesn't decode."""
+    path = fresh(s)
+    seq = F.when(F.col("seq") % 7 == 0, F.concat(F.lit("x"), F.col("seq"))).otherwise(F.col("seq").cast("string"))
+    item = F.concat(F.lit('{"emitter":"'), "emitter", F.lit('","seq":'), F.when(F.col("seq") % 7 == 0, F.concat(F.lit('"'), seq, F.lit('"'))).otherwise(seq), F.lit("}"))
+    lines = event_rows(s, d).groupBy("emitter", F.floor(F.col("seq") / 64).alias("b")).agg(F.array_join(F.array_sort(F.collect_list(item)), ",").alias("v"), F.count("*").alias("n"))
+    lines.select(F.concat(F.lit("["), "v", F.when((F.col("b") + F.length("emitter")) % 5 == 0, "").otherwise("]")).alias("value")).write.text(path)
+    events, bad = tables.read_event_batches(s, path)
+    return events.agg(F.count("*").alias("events"), F.sum("seq").alias("seqs")).crossJoin(bad.agg(F.count("*").alias("bad"), F.count_if(F.startswith("value", F.lit("["))).alias("lines")))
+
+
+def object_rows(s, d, keep):
+    return st.docs(s, d).filter(keep).groupBy("key").agg(F.max("size").alias("size"))
+
+
+def bucketed(s, d):
+    """A store of the even documents in a table of buckets; returns its name."""
+    name = f"store_{uuid.uuid4().hex}"
+    stores.create_store(object_rows(s, d, "doc_id % 2 = 0"), name, 8, fresh(s))
+    return name
+
+
+def store_grown(s, d):
+    name = bucketed(s, d)
+    for _ in range(2):  # the second time adds nothing
+        stores.append_to_store(s, name, st.docs(s, d).filter("doc_id % 3 = 0"))
+    return s.table(name)
+
+
+def store_missing(s, d):
+    return stores.missing_in_store(s, bucketed(s, d), st.docs(s, d))
+
+
+def snapshots(s, d):
+    """Refs through two versions on disk, with the names that the second doesn't delete for want of them."""
+    path = fresh(s)
+    current = st.now_refs(s, d)
+    stores.write_snapshot(current, path)
+    updates = st.expected(s, d).select(F.when(F.length("key") % 3 == 0, F.concat("name", F.lit("-new"))).otherwise(F.col("name")).alias("name"), "key", F.lit("1998-01-01").cast("timestamp").alias("created"), F.expr("length(key) % 2 = 0").alias("deleted"))
+    stores.write_snapshot(refs.upsert_refs(stores.read_snapshot(s, path), updates), path, 1)
+    kept = stores.read_snapshot(s, path).select("name", "key", F.lit("ref").alias("what"))
+    return kept.unionByName(refs.missing_deletes(stores.read_snapshot(s, path, 1), updates).select("name", "key", F.lit("missing").alias("what")))
+
+
 def results_back(s, d):
     path = fresh(s)
     a = t.attempts(s, d)
@@ -106,6 +150,10 @@ def trimmed(s, d):
 QUERIES = {
     "read_events": events_back,
     "read_event_batches": batches_back,
+    "undecodable_batches": bad_batches,
+    "append_to_store": store_grown,
+    "missing_in_store": store_missing,
+    "ref_snapshots": snapshots,
     "read_results": results_back,
     "read_failures": failures_back,
     "read_log_chunks": chunks_back,
@@ -118,7 +166,12 @@ QUERIES = {
 
 EV = f"WITH {t.EVENTS_SQL}"
 AGE = "CASE WHEN {0} < 60 THEN {0} || 's' WHEN {0} < 3600 THEN ({0} // 60) || 'm' || lpad(({0} % 60)::VARCHAR, 2, '0') || 's' WHEN {0} < 86400 THEN ({0} // 3600) || 'h' || lpad(({0} // 60 % 60)::VARCHAR, 2, '0') || 'm' ELSE ({0} // 86400) || 'd' || lpad(({0} // 3600 % 24)::VARCHAR, 2, '0') || 'h' END"
+OBJECTS = "ob AS (SELECT doc_id, sha256(text) AS key, strlen(text) AS size FROM documents)"
 SQL = {
+    "undecodable_batches": f"{EV}, ln AS (SELECT emitter, seq // 64 AS b, count(*) AS n, count(*) FILTER (WHERE seq % 7 = 0) AS wrong, coalesce(sum(seq) FILTER (WHERE seq % 7 <> 0), 0) AS s, (seq // 64 + length(emitter::VARCHAR)) % 5 = 0 AS cut FROM ev GROUP BY ALL) SELECT sum(CASE WHEN cut THEN 0 ELSE n - wrong END)::BIGINT AS events, sum(CASE WHEN cut THEN 0 ELSE s END)::BIGINT AS seqs, sum(CASE WHEN cut THEN 1 ELSE wrong END)::BIGINT AS bad, count(*) FILTER (WHERE cut) AS lines FROM ln",
+    "append_to_store": f"WITH {OBJECTS} SELECT key, max(size) AS size FROM ob WHERE doc_id % 2 = 0 OR doc_id % 3 = 0 GROUP BY key",
+    "missing_in_store": f"WITH {OBJECTS} SELECT DISTINCT key FROM ob WHERE key NOT IN (SELECT key FROM ob WHERE doc_id % 2 = 0)",
+    "ref_snapshots": f"WITH {st.REF}, up AS (SELECT CASE WHEN length(key) % 3 = 0 THEN name || '-new' ELSE name END AS name, key, TIMESTAMP '1998-01-01' AS created, length(key) % 2 = 0 AS deleted FROM ex), u AS (SELECT name, key, created, false AS deleted FROM cr UNION ALL SELECT * FROM up) SELECT name, key, 'ref' AS what FROM (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY name ORDER BY created DESC, key DESC) = 1) WHERE NOT deleted UNION ALL SELECT name, key, 'missing' FROM up WHERE deleted AND name NOT IN (SELECT name FROM cr)",
     "read_events": f"{EV} SELECT emitter::VARCHAR AS emitter, seq, epoch_us(ts) * 1000 AS ts_ns, type, node::VARCHAR AS node, props AS data, true AS no_runner FROM ev",
     "read_event_batches": f"{EV} SELECT emitter::VARCHAR AS emitter, seq, epoch_us(ts) * 1000 AS ts_ns, type, props AS data FROM ev",
     "read_results": f"WITH {t.ATTEMPTS_SQL} SELECT node::VARCHAR AS node, gen, runner::VARCHAR AS runner, class, trunc(cpu)::BIGINT AS cpu_ns, true AS no_rss FROM att",

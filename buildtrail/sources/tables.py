@@ -22,12 +22,24 @@ def read_table(spark: SparkSession, path: str, schema: str, fmt: str = "parquet"
     return reader.schema(schema).format(fmt).load(path)
 
 
+def read_event_batches(spark: SparkSession, path: str, stream: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Files of JSON lines, each an array of events whose data may be any object: the events, and what doesn't decode.
+
+    The second frame (value) holds whole lines that are no array, and single events with a field of a wrong type; the other events of
+    their line are in the first. Empty lines are neither.
+    """
+    lines = (spark.readStream if stream else spark.read).text(path).filter("trim(value) <> ''")
+    items = lines.withColumn("items", F.from_json("value", "array<string>"))
+    one = items.select(F.explode(F.coalesce("items", F.array("value"))).alias("raw"), F.col("items").isNull().alias("broken"))
+    read = F.from_json("raw", f"{EVENTS}, __bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__bad"})
+    parsed = one.withColumn("event", read)
+    bad = F.col("broken") | F.col("raw").isNull() | F.col("event").isNull() | F.col("event.__bad").isNotNull()
+    return parsed.filter(~bad).select(F.col("event").dropFields("__bad").alias("event")).select("event.*"), parsed.filter(bad).select(F.col("raw").alias("value"))
+
+
 def read_events(spark: SparkSession, path: str, fmt: str = "parquet", stream: bool = False) -> DataFrame:
-    """The event log. With fmt "batches", files of JSON lines, each an array of events, whose data may be any object."""
-    if fmt != "batches":
-        return read_table(spark, path, EVENTS, fmt, stream)
-    lines = (spark.readStream if stream else spark.read).text(path)
-    return lines.select(F.explode(F.from_json("value", f"array<struct<{', '.join(f'{n}:{t}' for n, t in (c.split(' ') for c in EVENTS.split(', ')))}>>")).alias("e")).select("e.*")
+    """The event log. With fmt "batches", the events of ``read_event_batches``, which also tells what didn't decode."""
+    return read_event_batches(spark, path, stream)[0] if fmt == "batches" else read_table(spark, path, EVENTS, fmt, stream)
 
 
 def read_results(spark: SparkSession, path: str, fmt: str = "parquet", stream: bool = False) -> DataFrame:
@@ -46,7 +58,7 @@ def read_tree(spark: SparkSession, path: str, manifest: DataFrame | None = None)
     """(path, content, size, mtime[, mode, uid, gid, link_target]) of all files under path; what only a manifest (path, ...) knows is joined."""
     root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).toUri().getPath().rstrip("/")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    inner = F.regexp_replace(F.col("path"), f"^[a-z0-9]+:/*{root}/", "")
+    inner = F.expr(f"substring(regexp_replace(path, '^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*(?=/))?', ''), {len(root) + 2})")
     tree = files.select(inner.alias("path"), "content", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
     return tree if manifest is None else tree.join(manifest, "path", "left")
 
