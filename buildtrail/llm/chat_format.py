@@ -7,7 +7,7 @@ assistant turn becomes an example of its own: the turns before it are context, i
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 OPEN, CLOSE, END = "<|", "|>", "<|end|>"
@@ -37,35 +37,32 @@ def conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "
     Rows go by turn (null first), then role and text; repeated rows are turns each. Null text or role: empty. Null conversation ids form one conversation.
     """
     role, text = F.coalesce(F.col(role_col).cast("string"), F.lit("")), F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    row = F.struct(F.col(turn_col).cast("long").alias("turn"), role.alias("role"), text.alias("text"))
-    grouped = turns.select(F.col(conv_col).alias("c"), row.alias("t")).groupBy("c").agg(F.sort_array(F.collect_list("t")).alias("ts"))
-    head = lambda t: F.concat(F.lit(OPEN), escape_role(t["role"]), F.lit(CLOSE))
-    parts = F.transform("ts", lambda t: F.struct(t["turn"].alias("turn"), t["role"].alias("role"), head(t).alias("head"), escape(t["text"]).alias("body")))
-    written = grouped.select("c", parts.alias("p"))
-    sizes = F.transform("p", lambda x: F.struct(x["turn"].alias("turn"), x["role"].alias("role"), F.length(x["head"]).alias("h"), F.length(x["body"]).alias("b")))
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<turn:bigint,role:string,start:int,size:int>>").alias("turns"))
-
-    def place(done: Column, x: Column) -> Column:
-        turn = F.struct(x["turn"].alias("turn"), x["role"].alias("role"), (done["at"] + x["h"]).alias("start"), x["b"].alias("size"))
-        return F.struct((done["at"] + x["h"] + x["b"] + len(END)).alias("at"), F.concat(done["turns"], F.array(turn)).alias("turns"))
-
-    spans = F.aggregate(sizes, empty, place, lambda x: x["turns"])
-    whole = F.array_join(F.transform("p", lambda x: F.concat(x["head"], x["body"], F.lit(END))), "")
-    return written.select(F.col("c").alias(conv_col), whole.alias("formatted"), spans.alias("turns"))
+    rows = turns.select(F.col(conv_col).alias("c"), F.col(turn_col).cast("long").alias("turn"), role.alias("role"), text.alias("text"))
+    head = F.concat(F.lit(OPEN), escape_role(F.col("role")), F.lit(CLOSE))
+    parts = rows.select("c", "turn", "role", "text", head.alias("head"), escape(F.col("text")).alias("body"))
+    # running sums over a conversation's rows, so that time is linear in its turns; every turn has a length, so starts sort them
+    size = (F.length("head") + F.length("body") + len(END)).cast("long")
+    before = Window.partitionBy("c").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, -1)
+    start = (F.coalesce(F.sum(size).over(before), F.lit(0)) + F.length("head")).cast("int")
+    row = F.struct(start.alias("start"), F.length("body").alias("size"), "turn", "role", F.concat("head", "body", F.lit(END)).alias("written"))
+    grouped = parts.select("c", row.alias("t")).groupBy("c").agg(F.sort_array(F.collect_list("t")).alias("p"))
+    spans = F.transform("p", lambda x: F.struct(x["turn"].alias("turn"), x["role"].alias("role"), x["start"].alias("start"), x["size"].alias("size")))
+    return grouped.select(F.col("c").alias(conv_col), F.array_join(F.transform("p", lambda x: x["written"]), "").alias("formatted"), spans.alias("turns"))
 
 
 def examples(formatted: DataFrame, conv_col: str = "conv_id", role: str = "assistant", with_text: bool = True) -> DataFrame:
-    """Explode ``conversations``: a row for each turn of ``role``: (conv_col, turn, example, loss_start, loss_size[, text]).
+    """Explode ``conversations``: a row for each turn of ``role``: (conv_col, turn, example, loss_start, loss_size, chars, reply[, text]).
 
-    The example is the conversation's formatted text up to the end of that turn, and loss_start and loss_size mark
-    the reply in it. Without text, an example stays a reference to the conversation's row (its first
-    ``chars`` code points), so long conversations aren't multiplied by their turns.
+    The example is the conversation's formatted text up to the end of that turn, its first ``chars`` code points; loss_start and
+    loss_size mark the reply in it, and reply is what they mark, still escaped. Without text, an example stays a reference to the
+    conversation's row, so long conversations aren't multiplied by their turns.
     """
-    turn = F.posexplode(F.filter("turns", lambda t: t["role"] == role)).alias("example", "t")
-    out = formatted.select(conv_col, "formatted", turn)
+    mine = F.filter("turns", lambda t: t["role"] == role)
+    cut = F.transform(mine, lambda t: F.struct(t["turn"].alias("turn"), t["start"].alias("start"), t["size"].alias("size"), F.col("formatted").substr(t["start"] + 1, t["size"]).alias("reply")))
+    out = formatted.select(conv_col, *(["formatted"] if with_text else []), F.posexplode(cut).alias("example", "t"))
     chars = F.col("t.start") + F.col("t.size") + len(END)
-    out = out.select(conv_col, F.col("t.turn").alias("turn"), "example", F.col("t.start").alias("loss_start"), F.col("t.size").alias("loss_size"), chars.alias("chars"), "formatted")
-    return out.withColumn("text", F.substring("formatted", F.lit(1), F.col("chars"))).drop("formatted") if with_text else out.drop("formatted")
+    text = [F.substring("formatted", F.lit(1), chars).alias("text")] if with_text else []
+    return out.select(conv_col, F.col("t.turn").alias("turn"), "example", F.col("t.start").alias("loss_start"), F.col("t.size").alias("loss_size"), chars.alias("chars"), F.col("t.reply").alias("reply"), *text)
 
 
 def read_turns(formatted: Column) -> Column:
@@ -84,10 +81,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(hard).alias("text"))
     formatted = conversations(turns.unionByName(extra))
-    replies = examples(formatted, with_text=True)
-    # the reply is read from each example's own text, through its mask
-    said = unescape(F.substring("text", F.col("loss_start") + 1, F.col("loss_size")))
-    loss = replies.select("conv_id", "example", said.alias("said"), F.length("text").alias("size")).groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("example", "said"))).alias("s"), F.sum("size").alias("example_chars"))
+    replies = examples(formatted, with_text=False)
+    loss = replies.select("conv_id", "example", unescape(F.col("reply")).alias("said"), "chars").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("example", "said"))).alias("s"), F.sum("chars").alias("example_chars"))
     loss = loss.select(F.col("conv_id").alias("of"), F.array_join(F.transform("s", lambda x: x["said"]), "").alias("loss"), "example_chars")
     back = read_turns(F.col("formatted"))
     digest = F.sha2(F.array_join(F.transform("back", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256)

@@ -26,7 +26,7 @@ WINDOW, SURGE, LINKS = 3, 80, 0.6
 # Element names of HTML.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody tfoot thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIPPED = frozenset("nav footer aside form head menu button select dialog object audio video canvas math datalist".split())
+SKIPPED = frozenset("nav footer aside form head menu button select dialog object audio video canvas datalist".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ROOTS = frozenset("article main".split())
 ROLES = frozenset("navigation banner complementary contentinfo search form alert alertdialog dialog menu menubar toolbar".split())
@@ -70,7 +70,7 @@ def _is_boilerplate(name: str, attributes: str, in_root: bool) -> bool:
             return True
         if key == "role" and value in ROLES or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True
-        if key in ("class", "id") and any(_marks(word) for word in value.split()):
+        if (key == "class" or key == "id" and name not in HEADINGS) and any(_marks(word) for word in value.split()):
             return True
     return False
 
@@ -94,11 +94,18 @@ class Open:
         self.stack: list[tuple[str, bool, bool]] = []
         self.blocks: Counter[str] = Counter()
         self.inline: list[Counter[str]] = [Counter()]  # names opened since each open block
+        self.aside: int | None = None  # place of the inline element that boilerplate began with, where it is one
 
     def state(self) -> tuple[bool, bool]:
         return self.stack[-1][1:] if self.stack else (False, False)
 
+    def in_aside(self) -> bool:
+        """Whether all here is an inline part in boilerplate, whose blocks don't end the line around it."""
+        return self.aside is not None and self.state()[0]
+
     def push(self, name: str, skipped: bool, rooted: bool) -> None:
+        if skipped and not self.state()[0] and name not in BLOCKS and self.aside is None:
+            self.aside = len(self.stack)
         self.stack.append((name, skipped, rooted))
         if name in BLOCKS:
             self.blocks[name] += 1
@@ -108,6 +115,8 @@ class Open:
 
     def pop(self) -> str:
         name = self.stack.pop()[0]
+        if self.aside is not None and len(self.stack) <= self.aside:
+            self.aside = None
         if name in BLOCKS:
             self.blocks[name] -= 1
             self.inline.pop()
@@ -146,7 +155,16 @@ def lines_of(page: str) -> list[Line]:
         now = Line(rooted, skipped)
 
     def say(text: str) -> None:
-        if text:
+        """Put text to the line. An inline part in boilerplate is left out of a line that isn't, and what follows it goes on in the same line."""
+        if not text:
+            return
+        skipped = open_.state()[0]
+        if skipped != now.skipped and not text.isspace():
+            if not any(not p.isspace() for p in now.parts):
+                now.skipped = skipped
+            elif not skipped:
+                turn()
+        if not skipped or now.skipped:
             now.parts.append(text)
             if links:
                 now.links += len(text.strip())
@@ -164,7 +182,7 @@ def lines_of(page: str) -> list[Line]:
             links = 0 if closing else 1
         if closing:
             open_.close(name)
-            if name in BLOCKS:
+            if name in BLOCKS and not open_.in_aside():
                 turn()
             continue
         if name in VOID or attributes.endswith("/") and name not in BLOCKS:
@@ -181,12 +199,8 @@ def lines_of(page: str) -> list[Line]:
                 skipped, rooted = open_.state()
             skipped = skipped or _is_boilerplate(name, attributes, rooted)
         open_.push(name, skipped, rooted)
-        if name in BLOCKS:
+        if name in BLOCKS and not open_.in_aside():
             turn()
-        elif skipped != now.skipped:  # an inline advert
-            if any(not p.isspace() for p in now.parts):
-                turn()
-            now.skipped = skipped
     say(page[at:])
     turn()
     return out

@@ -229,6 +229,15 @@ def test_html_words_in_attributes_and_compounds():
     assert html_extract.main_text("<p>it's <span id=don't>" + "words " * 20) == ["it's " + ("words " * 20).strip()]
 
 
+def test_html_inline_parts_in_boilerplate_leave_their_line_whole():
+    parts = ["<span class='ad'>Buy</span>", "<button>Buy</button>", "<select><option>1</option><option>2</option></select>", "<video>no</video>", "<a id='notice'>n</a>", "<b hidden>x</b>", "<span class=ad><div>a</div><div>b</div></span>"]
+    for part in parts:
+        for root in ("article", "div"):
+            assert html_extract.main_text(f"<{root}><p>Intro {part} rest of <i>the</i> paragraph.</p><p>{part}Next.</p></{root}>") == ["Intro rest of the paragraph.", "Next."], part
+    assert html_extract.main_text("<article><p>One <span class=ad>left open</p><p>two</p></article>") == ["One", "two"]
+    assert html_extract.main_text("<article><h2 id='search'>Search</h2><h2 id=related>Related work</h2><p>Let <math><mi>x</mi></math> be.</p></article>") == ["Search", "Related work", "Let x be."]
+
+
 def test_html_malformed_pages_take_linear_time():
     import time
 
@@ -268,3 +277,18 @@ def test_html_given_pages_by_a_parser_of_their_form():
         body = re.search(r"<article>(.*)</article>", page, re.S)[1]
         blocks = [re.sub(r"\s+", " ", unescape(re.sub(r"<[^>]*>", "", re.sub(r"<br>", " ", b)))).strip() for b in re.split(r"</?(?:p|h1)[^>]*>", body)]
         assert html_extract.main_text(page) == [b for b in blocks if b]
+
+
+def test_chat_long_conversation_takes_linear_time(spark):
+    import time
+
+    n = 20_000
+    turns = spark.range(n).selectExpr("1L AS conv_id", "id AS turn", "if(id % 2 = 0, 'user', 'assistant') AS role", "concat('turn ', id, ' <|end|> é') AS text").repartition(4)
+    began = time.time()
+    formatted = chat_format.conversations(turns)
+    row = formatted.first()
+    assert len(row["turns"]) == n and all(row["formatted"][t["start"] : t["start"] + t["size"]] == f"turn {i} <\\|end|> é" for i, t in enumerate(row["turns"]))
+    replies = chat_format.examples(formatted, with_text=False).orderBy("example").collect()
+    assert [r["reply"] for r in replies] == [f"turn {i} <\\|end|> é" for i in range(1, n, 2)]
+    assert [r["chars"] for r in replies] == [row["turns"][i]["start"] + row["turns"][i]["size"] + len(chat_format.END) for i in range(1, n, 2)]
+    assert time.time() - began < 60
