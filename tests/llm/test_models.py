@@ -118,6 +118,68 @@ def test_decontamination_of_a_hot_item(spark):
     assert {x["rank"] for x in found.filter("item = 0").collect()} == set(range(0, 300, 3))
 
 
+def test_decontamination_of_short_items(spark):
+    r = np.random.default_rng(21)
+    words = [f"w{i}" for i in range(60)]
+    items = [(i, list(r.choice(words, 1 + i % 4))) for i in range(40)] + [(90, ["only", "here"]), (91, ["only", "here"]), (92, list(r.choice(words, 20)))]
+    docs = [(i, list(r.choice(words, int(r.integers(0, 30))))) for i in range(80)] + [(100, ["and", "only", "here"]), (101, ["here", "only"])]
+    frames = spark.createDataFrame([(i, ", ".join(w)) for i, w in docs] + [(102, None)], "doc_id long, text string"), spark.createDataFrame([(i, " ".join(w).upper()) for i, w in items] + [(93, ""), (94, None)], "item_id long, text string")
+    found = decontaminate.leaks(*frames, least_words=1).collect()
+    want = {(d, i) for d, w in docs for i, p in items if len(p) < decontaminate.LEAST_WORDS and any(w[s : s + len(p)] == p for s in range(len(w) - len(p) + 1))}
+    assert {(x["rank"], x["item"]) for x in found if x["item"] != 92} == want and len(found) == len({(x["rank"], x["item"]) for x in found})
+    assert all(x["cosine"] == x["lcs"] == 1 for x in found if x["item"] != 92)
+    alone = decontaminate.leaks(frames[0], frames[1].filter("item_id < 90"), least_words=1).collect()  # no part of five words at all
+    assert {(x["rank"], x["item"]) for x in alone} == {(d, i) for d, i in want if i < 90}
+    assert {x["item"] for x in decontaminate.leaks(*frames).collect()} <= {92}
+
+
+def test_decontamination_of_long_texts(spark):
+    """A text of over 5 MB, with items across the borders of its pieces."""
+    r = np.random.default_rng(22)
+    words = np.array([f"word{i}" for i in range(3000)])
+    items = [(i, list(r.choice(words, (4, 6, 10, 20, 40)[i % 5]))) for i in range(25)]
+    text = list(r.choice(words, 22 * decontaminate.PIECE))
+    for i, w in items[:20]:
+        at = (i + 1) * decontaminate.PIECE - int(r.integers(0, len(w) + 90))
+        text[at : at + len(w)] = w
+    docs = spark.createDataFrame([(1, " ".join(text)), (2, " ".join(text[:500]))], "doc_id long, text string")
+    assert docs.selectExpr("max(length(text))").first()[0] > 5_000_000
+    found = decontaminate.leaks(docs, spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string"), least_words=1)
+    assert {(x["rank"], x["item"]) for x in found.collect()} == {(1, i) for i in range(20)}
+
+
+def test_decontamination_by_pieces_is_that_of_the_whole(spark, monkeypatch):
+    r = np.random.default_rng(23)
+    words = np.array([f"w{i}" for i in range(50)])
+    items = [(i, " ".join(r.choice(words, (2, 5, 8, 14, 40)[i % 5]))) for i in range(60)]
+    docs = []
+    for i in range(30):
+        w = list(r.choice(words, int(r.integers(0, 3000))))
+        for _ in range(len(w) // 60):
+            p, at = items[int(r.integers(0, 60))][1].split(), int(r.integers(0, len(w)))
+            w[at : at + len(p)] = p
+        docs.append((i, i, " ".join(w)))
+    parts = decontaminate.split_parts(items, 1)
+    vocabulary = np.unique(np.concatenate([p.words for p in parts]))
+    known = decontaminate.known_words(spark.createDataFrame(docs, "k long, rank long, text string"), vocabulary)
+    search = decontaminate.prepare(known, vocabulary, parts, 0.15, 0.7, 0.5)
+    batches = known.toArrow().to_batches()
+
+    def best():
+        out = {}
+        for b in search.run(batches):
+            for x in b.to_pylist():
+                key = x["rank"], x["item"]
+                out[key] = np.maximum(out.get(key, 0), [x["cosine"], x["lcs"]])
+        return out
+
+    whole = best()
+    monkeypatch.setattr(decontaminate, "PIECE", 64)
+    pieces = best()
+    assert whole.keys() == pieces.keys() and len(whole) > 100
+    assert all(np.allclose(whole[x], pieces[x], atol=1e-4) for x in whole)
+
+
 def test_decontamination_space_grows_with_the_benchmark():
     long = " ".join(f"w{i}" for i in range(48 * 2500))
     got = list(decontaminate.blocks([(1, "a b c d e f"), (2, long), (3, None), (4, "g h i j k")]))
