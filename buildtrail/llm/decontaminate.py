@@ -29,7 +29,7 @@ from buildtrail.ship import ship
 
 PART, STRIDE, LEAST_WORDS, RANK, EXTRA = 48, 32, 5, 128, 16
 BLOCK = 1024  # parts
-LEAST_STRIDE, ROWS = 4, 1024
+LEAST_STRIDE, ROWS, LARGE = 4, 1024, 64
 RANGE = 1 << 18  # floats of the sketch in one piece
 PIECE, OVERLAP = 1 << 15, 4 * STRIDE  # words; a passage with its surroundings is shorter than the overlap
 FLOATS = 1 << 22  # of latent rows held at once
@@ -89,12 +89,19 @@ def lookup(vocabulary: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return known, at[known]
 
 
-def _sum_rows(rows: np.ndarray, group: np.ndarray, n: int) -> np.ndarray:
-    """Sums of rows by their (ascending) group."""
-    out = np.zeros((n, rows.shape[1]), rows.dtype)
-    if len(group):
-        start = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-        out[group[start]] = np.add.reduceat(rows, start, axis=0)
+def _sum_rows(table: np.ndarray, index: np.ndarray, group: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the table's rows at ``index`` by their (ascending) group: whole rows are added, first ones first; large groups by themselves."""
+    out = np.zeros((n, table.shape[1]), table.dtype)
+    count = np.bincount(group, minlength=n)
+    start = np.cumsum(count) - count
+    for g in np.flatnonzero(count > LARGE):
+        for s in range(start[g], start[g] + count[g], ROWS):
+            out[g] += table[index[s : min(s + ROWS, start[g] + count[g])]].sum(0)
+    left, k = np.flatnonzero((count > 0) & (count <= LARGE)), 0
+    while len(left):
+        out[left] += table[index[start[left] + k]]
+        k += 1
+        left = left[count[left] > k]
     return out
 
 
@@ -172,7 +179,7 @@ def gram_sketch(known: DataFrame, idf: np.ndarray, width: int) -> np.ndarray:
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight = shared.value
-        omega = _omega(terms, width)
+        omega = _omega(terms, width) * weight[:, None]
         total = np.zeros((terms, width), np.float32)
         for batch in batches:
             for _, _, wo, at, term in _chunks(batch):
@@ -182,11 +189,12 @@ def gram_sketch(known: DataFrame, idf: np.ndarray, width: int) -> np.ndarray:
                 while s < len(term):  # some cells at a time
                     e = int(np.searchsorted(cell, cell[s] + held))
                     here, t = cell[s:e] - cell[s], term[s:e]
-                    along = _sum_rows(omega[t] * weight[t, None], here, int(here[-1]) + 1)
+                    along = _sum_rows(omega, t, here, int(here[-1]) + 1)
                     order = np.argsort(t, kind="stable")
-                    first = np.flatnonzero(np.diff(t[order], prepend=-1))
-                    total[t[order][first]] += np.add.reduceat(along[here[order]] * weight[t[order], None], first, axis=0)
+                    some, group = np.unique(t[order], return_inverse=True)
+                    total[some] += _sum_rows(along, here[order], group, len(some))
                     s = e
+        total *= weight[:, None]
         starts = range(0, terms, rows)
         yield pa.RecordBatch.from_pydict({"start": pa.array(starts, pa.int32()), "total": pa.array([total[s : s + rows].tobytes() for s in starts], pa.binary())})
 
@@ -399,7 +407,7 @@ class Search:
                 at = cell[known]
                 for s in range(0, len(term), 1 << 13):  # bounded rows at a time
                     part = at[s : s + (1 << 13)]
-                    sums[part[0] : part[-1] + 1] += _sum_rows(self.latent[term[s : s + (1 << 13)]], part - part[0], int(part[-1] - part[0]) + 1)
+                    sums[part[0] : part[-1] + 1] += _sum_rows(self.latent, term[s : s + (1 << 13)], part - part[0], int(part[-1] - part[0]) + 1)
                 while True:
                     mine = np.flatnonzero(strides == stride)
                     if len(mine):
@@ -419,7 +427,7 @@ class Search:
                     n = np.diff(co)
                     pair = tn.spread(n) // 2
                     stride, co = 2 * stride, np.concatenate([[0], np.cumsum(-(-n // 2))])
-                    sums = _sum_rows(sums, np.repeat(co[:-1], n) + pair, int(co[-1]))
+                    sums = _sum_rows(sums, np.arange(len(sums)), np.repeat(co[:-1], n) + pair, int(co[-1]))
             at = pa.array([r for r, _, _, _ in out], pa.int64())
             yield pa.RecordBatch.from_pydict({"k": batch.column(0).take(at), "rank": batch.column(1).take(at), "item": pa.array([x[1] for x in out], pa.int64()), "cosine": pa.array([x[2] for x in out], pa.float64()), "lcs": pa.array([x[3] for x in out], pa.float64())})
 
