@@ -50,6 +50,14 @@ def missing_aliases(shares: DataFrame, refs: DataFrame) -> DataFrame:
     return whole.select(F.explode(pair).alias("a")).select("a.*")
 
 
+def broken_aliases(shares: DataFrame, refs: DataFrame) -> DataFrame:
+    """(f, kp, no_output, no_deps): shares without an output of their own whose kp lacks its output, its deps or both, so that no alias can be written."""
+    has = lambda prefix, c: refs.filter(F.col("name").startswith(prefix)).select(F.substring("name", len(prefix) + 1, 1 << 20).alias(c)).distinct()
+    lost = shares.join(has("build-output:", "f"), "f", "left_anti")
+    out = lost.join(has("build-output:", "kp").withColumn("__o", F.lit(True)), "kp", "left").join(has("build-deps:", "kp").withColumn("__d", F.lit(True)), "kp", "left")
+    return out.select("f", "kp", F.col("__o").isNull().alias("no_output"), F.col("__d").isNull().alias("no_deps")).filter("no_output or no_deps")
+
+
 def requirement(defaults: DataFrame, pinned: DataFrame, asked: DataFrame) -> DataFrame:
     """Element-wise greatest of a node's default, pinned and asked capacity: each (node, cpu, mem), asked any number of rows."""
     top = asked.groupBy("node").agg(F.max("cpu").alias("c2"), F.max("mem").alias("m2"))
@@ -64,6 +72,18 @@ def cas_summary(events: DataFrame) -> DataFrame:
     return out.withColumn("ratio", F.round(F.try_divide("deduped_bytes", "bytes"), 6))
 
 
+def cas_reports(reports: DataFrame) -> DataFrame:
+    """Reports of attempts by node and day: what was stored, found present and pushed, and the share of objects that were present.
+
+    reports (node, day, stored_bytes, stored_objects, stored_deduped, pushed, pushed_bytes, pushed_objects, push_total_objects); the push
+    columns are NULL where no attempt pushed, and reports without a push add nothing to them. total_objects are those stored and those present.
+    """
+    pushed = [F.sum(F.when(F.col("pushed"), F.col(c))).alias(c) for c in ("pushed_bytes", "pushed_objects", "push_total_objects")]
+    out = reports.groupBy("node", "day").agg(*[F.sum(c).alias(c) for c in ("stored_bytes", "stored_objects", "stored_deduped")], F.count_if("pushed").alias("pushes"), *pushed)
+    total = F.col("stored_objects") + F.col("stored_deduped")
+    return out.withColumn("total_objects", total).withColumn("dedup_ratio", F.round(F.try_divide("stored_deduped", total), 6))
+
+
 def transfer_stats(pushes: DataFrame) -> DataFrame:
     """Offered and moved objects and bytes of each ref and MB (10^6) a second; pushes (ref, bytes, moved, seconds)."""
     moved = F.col("moved")
@@ -77,6 +97,18 @@ def cache_stats(events: DataFrame) -> DataFrame:
     return events.groupBy("cache").agg(F.count("*").alias("n"), F.round(F.avg(F.col("cold").cast("double")), 6).alias("cold_rate"), *counts)
 
 
+def cache_stages(events: DataFrame) -> DataFrame:
+    """Per cache, its seeds and its finalisations apart: number, ms, bytes and files; the share of cold seeds, finalisations by result.
+
+    events (cache, stage, ms, bytes, files, cold, result); cold belongs to ``seeded``, result to ``finalized``; other stages count nowhere.
+    """
+    of = lambda stage: F.col("stage") == stage
+    sums = [F.sum(F.when(of(stage), F.col(c)).otherwise(0)).alias(f"{stage}_{c}") for stage in ("seeded", "finalized") for c in ("ms", "bytes", "files")]
+    results = [F.count_if(of("finalized") & (F.col("result") == r)).alias(r) for r in ("updated", "unchanged", "empty")]
+    cold = F.round(F.avg(F.when(of("seeded"), F.col("cold").cast("double"))), 6).alias("cold_rate")
+    return events.groupBy("cache").agg(F.count_if(of("seeded")).alias("seeds"), F.count_if(of("finalized")).alias("finals"), cold, *sums, *results)
+
+
 def store_stats(refs: DataFrame, requests: DataFrame, nodes: DataFrame, files: DataFrame) -> DataFrame:
     """One row: counts of refs, requests, nodes and the bytes of files."""
     count = lambda d, c: d.agg(F.count("*").alias(c))

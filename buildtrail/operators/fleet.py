@@ -73,6 +73,31 @@ def ledger(holds: DataFrame, runners: DataFrame) -> DataFrame:
     return out.select("id", F.greatest(F.lit(0), F.col("capacity") - F.coalesce("used_cpu", F.lit(0))).alias("free_cpu"), F.coalesce("in_flight", F.lit(0)).alias("in_flight"))
 
 
+def ledger_of_jobs(holds: DataFrame, runners: DataFrame, prefix: str = "job/") -> DataFrame:
+    """(id, free_cpu, free_mem, in_flight, slots): what all holds (runner, name, cpu_milli, mem_bytes) leave of a runner (id, cpu_milli, mem_bytes), 0 at least.
+
+    in_flight counts the holds of jobs, by the prefix of their names; slots counts all, reservations included.
+    """
+    held = holds.groupBy(F.col("runner").alias("id")).agg(F.sum("cpu_milli").alias("__c"), F.sum("mem_bytes").alias("__m"), F.count_if(F.col("name").startswith(prefix)).alias("__n"), F.count("*").alias("__s"))
+    out = runners.join(held, "id", "left")
+    free = lambda have, used: F.greatest(F.lit(0), F.col(have) - F.coalesce(used, F.lit(0)))
+    return out.select("id", free("cpu_milli", "__c").alias("free_cpu"), free("mem_bytes", "__m").alias("free_mem"), F.coalesce("__n", F.lit(0)).alias("in_flight"), F.coalesce("__s", F.lit(0)).alias("slots"))
+
+
+def peak_usage(holds: DataFrame) -> DataFrame:
+    """Most slots, cpu and memory held at once by each runner, each with the first time it was; holds end before others begin at the same time.
+
+    Changes are summed by runner and time before the running sums, so repeated times don't widen the window's rows.
+    """
+    change = lambda at, sign: F.struct(F.col(at).alias("at"), F.lit(sign).alias("slots"), (sign * F.col("cpu_milli")).alias("cpu_milli"), (sign * F.col("mem_bytes")).alias("mem_bytes"))
+    steps = holds.select("runner", F.explode(F.array(change("since", 1), change("until", -1))).alias("s")).select("runner", "s.*")
+    kinds = ("slots", "cpu_milli", "mem_bytes")
+    at = steps.groupBy("runner", "at").agg(*[F.sum(c).alias(c) for c in kinds])
+    w = Window.partitionBy("runner").orderBy("at")
+    at = at.select("runner", "at", *[F.sum(c).over(w).alias(c) for c in kinds])
+    return at.groupBy("runner").agg(*[F.max(c).alias(c) for c in kinds], *[F.min_by("at", F.struct(-F.col(c), "at")).alias(f"{c}_at") for c in kinds])
+
+
 def peak_concurrency(holds: DataFrame) -> DataFrame:
     """Most slots and cpu held at once by each runner; holds end before others begin at the same time."""
     steps = holds.select("runner", F.explode(F.array(F.struct(F.col("since").alias("at"), F.lit(1).alias("n"), F.col("cpu_milli").alias("cpu")), F.struct(F.col("until").alias("at"), F.lit(-1).alias("n"), (-F.col("cpu_milli")).alias("cpu")))).alias("s")).select("runner", "s.*")

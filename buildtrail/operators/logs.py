@@ -39,6 +39,14 @@ def cap_output(chunks: DataFrame, cap: int) -> DataFrame:
     return out.filter(F.col("offset") < cap)
 
 
+def truncation_marks(chunks: DataFrame, cap: int) -> DataFrame:
+    """(node, gen, stream, seq, cap, written): one row for each stream of over cap bytes, at the chunk that crossed it; written is all that was written to it."""
+    w = Window.partitionBy("node", "gen", "stream").orderBy("seq")
+    rows = chunks.withColumn("__end", F.sum(F.octet_length("data")).over(w))
+    out = rows.groupBy("node", "gen", "stream").agg(F.min(F.when(F.col("__end") > cap, F.col("seq"))).alias("seq"), F.max("__end").alias("written"))
+    return out.filter("seq is not null").select("node", "gen", "stream", "seq", F.lit(cap).cast("long").alias("cap"), "written")
+
+
 def retry_marks(chunks: DataFrame) -> DataFrame:
     """Where a newer gen's first chunk comes after older ones in arrival order (seq); chunks of older gens are left out."""
     w = Window.partitionBy("node").orderBy("seq", "stream")

@@ -57,6 +57,13 @@ def sweep_blobs(blobs: DataFrame, now: Column, days: int) -> DataFrame:
     return blobs.filter(old).agg(F.count("*").alias("removed"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
 
 
+def expired_blobs(blobs: DataFrame, now: Column, days: int) -> DataFrame:
+    """Blobs (name, last_read, size) that a sweep removes: not read for ``days``, or left under a temporary name (tmp-) for over an hour."""
+    us = lambda c: F.unix_micros(c.cast("timestamp"))
+    age = us(now) - us(F.col("last_read"))
+    return blobs.filter((age > days * 86_400_000_000) | (F.col("name").startswith("tmp-") & (age > 3_600_000_000)))
+
+
 def ancestors(path: Column) -> Column:
     """The path and all directories above it, without the root."""
     parts = F.split(path, "/")
@@ -182,6 +189,10 @@ def chunk_content(blobs: DataFrame, least: int = 32 << 10, normal: int = 128 <<
 
 
 def layer_sharing(images: DataFrame) -> DataFrame:
-    """images (image, deps array, size) -> a row a layer: identity of its distinct sorted deps, images that share it, bytes saved."""
-    ident = F.sha2(F.array_join(F.array_sort(F.array_distinct("deps")), "\n"), 256)
+    """images (image, deps array, size) -> a row a layer: identity of its distinct sorted deps, images that share it, bytes saved.
+
+    With a column shell, what it names is part of the layer: NULL is an image without one.
+    """
+    deps = F.array_join(F.array_sort(F.array_distinct("deps")), "\n")
+    ident = F.sha2(F.concat_ws("\n\n", deps, "shell") if "shell" in images.columns else deps, 256)
     return images.withColumn("layer", ident).groupBy("layer").agg(F.count("*").alias("images"), (F.sum("size") - F.max("size")).alias("saved"))

@@ -26,6 +26,57 @@ def events_of(events: DataFrame, types: list[str]) -> DataFrame:
     return events.filter(F.col("type").isin(*types))
 
 
+# The data fields of each type of event.
+EVENT_FIELDS = {
+    "request.node": "label string, platform string",
+    "request.failed": "status string, err string",
+    "node.offered": "claim string",
+    "node.done": "cached boolean",
+    "node.failed": "class string, exit int, phase string, stderr string",
+    "node.declined": "reason string, fetcher string, platform string",
+    "node.named": "name string",
+    "node.queued": "reason string, cpu_milli long, mem_bytes long, runner string, free_cpu_milli long, free_mem_bytes long, running array<string>",
+    "node.cancelled": "reason string",
+    "node.offer-dropped": "claim string",
+    "exec.started": "kind string, requests array<string>",
+    "exec.phase": "phase string",
+    "exec.progress": "phase string, objects long, bytes long, total long",
+    "exec.output": "stream string, phase string, chunk binary, offset long",
+    "exec.output-truncated": "stream string, cap long, written long",
+    "exec.finished": "outcome string, exit int",
+    "exec.cache": "cache string, stage string, ms long, bytes long, files long, cold boolean, result string",
+    "exec.heartbeat": "phase string, cpu_ms long, mem_bytes long, mem_peak_bytes long",
+    "exec.cas": "stored_bytes long, stored_objects long, stored_deduped long, pushed_bytes long, pushed_objects long, push_total_objects long",
+    "emitter.dropped": "count long",
+}
+FAMILIES = {"server": ("request.", "node."), "exec": ("exec.",), "meta": ("emitter.",)}
+
+
+def family(kind: Column) -> Column:
+    """server, exec or meta by the type's first part; NULL for others."""
+    out = F.lit(None).cast("string")
+    for name, heads in FAMILIES.items():
+        for head in heads:
+            out = F.when(kind.startswith(head), name).otherwise(out)
+    return out
+
+
+def typed_events(events: DataFrame, kind: str, data: str = "data") -> DataFrame:
+    """Events of one type, with a typed column for each field of its data (JSON text) in place of it.
+
+    Absent fields are NULL, as are those of other kinds than they should be; a field called as a column of events gets the type's name before it.
+    """
+    rest = [c for c in events.columns if c != data]
+    rows = events.filter(F.col("type") == kind)
+    fields = EVENT_FIELDS.get(kind)
+    if fields is None:
+        return rows.select(*rest)
+    parsed = rows.withColumn(data, F.from_json(F.col(data), fields, {"mode": "PERMISSIVE"}))
+    taken = {c.lower() for c in rest}
+    names = parsed.schema[data].dataType.names
+    return parsed.select(*rest, *[F.col(data)[n].alias(f"{kind}.{n}" if n.lower() in taken else n) for n in names])
+
+
 def latest_status(df: DataFrame, key: str, order: list[str], values: list[str]) -> DataFrame:
     """The last row's values for each key."""
     return df.groupBy(key).agg(F.max_by(F.struct(*values), F.struct(*order)).alias("s")).select(key, "s.*")

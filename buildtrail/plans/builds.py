@@ -24,6 +24,22 @@ def inputs(s, d):
     return lines(s, d).select(F.col("l_orderkey").alias("build"), F.col("l_partkey").alias("input")).distinct()
 
 
+def reports(s, d):
+    push = F.col("l_suppkey") % 3 > 0
+    pushed = lambda c: F.when(push, F.col(c).cast("long"))
+    return lines(s, d).select(
+        F.col("l_suppkey").alias("node"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("day"), F.col("l_partkey").cast("long").alias("stored_bytes"), F.col("l_linenumber").cast("long").alias("stored_objects"),
+        F.when(F.col("l_returnflag") == "N", F.col("l_quantity").cast("long")).otherwise(0).alias("stored_deduped"), (push & (F.col("l_linestatus") == "O")).alias("pushed"),
+        pushed("l_partkey").alias("pushed_bytes"), pushed("l_linenumber").alias("pushed_objects"), pushed("l_quantity").alias("push_total_objects"),
+    )
+
+
+def stages(s, d):
+    stage = F.when(F.col("l_linenumber") % 3 == 0, "seeded").when(F.col("l_linenumber") % 3 == 1, "finalized").otherwise("other")
+    result = F.when(F.col("l_returnflag") == "A", "updated").when(F.col("l_returnflag") == "N", "unchanged").otherwise("empty")
+    return lines(s, d).select(F.col("l_partkey").alias("cache"), stage.alias("stage"), F.col("l_quantity").cast("long").alias("ms"), F.col("l_orderkey").cast("long").alias("bytes"), F.col("l_suppkey").cast("long").alias("files"), (F.col("l_linestatus") == "O").alias("cold"), result.alias("result"))
+
+
 QUERIES = {
     "validate_caches": lambda s, d: b.validate_caches(caches(s, d)).select("build", "id", "path", "reason"),
     "runtime_deps_not_in_inputs": lambda s, d: b.runtime_deps_not_in_inputs(lines(s, d).filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("build"), (F.col("l_suppkey") % 8).alias("name")).distinct(), lines(s, d).filter("l_returnflag <> 'R'").select(F.col("l_orderkey").alias("build"), (F.col("l_suppkey") % 8).alias("name")).distinct()),
@@ -32,6 +48,8 @@ QUERIES = {
     "cas_summary": lambda s, d: b.cas_summary(lines(s, d).select(F.col("l_suppkey").alias("node"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("day"), F.col("l_partkey").alias("bytes"), (F.col("l_returnflag") == "N").alias("present"))),
     "transfer_stats": lambda s, d: b.transfer_stats(lines(s, d).select(F.col("l_orderkey").alias("ref"), (F.col("l_partkey") * 1000).alias("bytes"), (F.col("l_returnflag") != "N").alias("moved"), F.col("l_quantity").alias("seconds"))),
     "cache_stats": lambda s, d: b.cache_stats(lines(s, d).select(F.col("l_partkey").alias("cache"), (F.col("l_linestatus") == "O").alias("cold"), F.when(F.col("l_returnflag") == "A", "updated").when(F.col("l_returnflag") == "N", "unchanged").otherwise("empty").alias("result"))),
+    "cas_reports": lambda s, d: b.cas_reports(reports(s, d)),
+    "cache_stages": lambda s, d: b.cache_stages(stages(s, d)),
     "store_stats": lambda s, d: b.store_stats(s.read.parquet(f"{d}/customer.parquet"), s.read.parquet(f"{d}/orders.parquet"), g.nodes(s, d), s.read.parquet(f"{d}/documents.parquet").select(F.octet_length("text").cast("long").alias("size"))),
     "first_error": lambda s, d: b.first_error(g.membership(s, d), s.read.parquet(f"{d}/part.parquet").select("p_partkey", F.col("p_name").alias("error")).join(g.nodes(s, d), F.col("p_partkey") == F.col("node")).select("node", "phase", "error"), s.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("request"), F.when(F.col("o_orderstatus") == "F", F.col("o_orderpriority")).alias("fail_reason"))),
     "memo_hits": lambda s, d: b.memo_hits(lines(s, d).select(F.col("l_orderkey").alias("f"), F.concat_ws("-", "l_partkey", "l_suppkey").alias("kp"))),
@@ -59,6 +77,13 @@ SQL = {
     "cas_summary": "SELECT l_suppkey AS node, strftime(l_shipdate, '%Y-%m-%d') AS day, count(*) AS objects, count(*) FILTER (WHERE l_returnflag = 'N') AS deduped, sum(l_partkey)::BIGINT AS bytes, coalesce(sum(l_partkey) FILTER (WHERE l_returnflag = 'N'), 0)::BIGINT AS deduped_bytes, CASE WHEN sum(l_partkey) > 0 THEN round(coalesce(sum(l_partkey) FILTER (WHERE l_returnflag = 'N'), 0) / sum(l_partkey)::DOUBLE, 6) END AS ratio FROM lineitem GROUP BY 1, 2",
     "transfer_stats": "SELECT l_orderkey AS ref, count(*) AS offered, count(*) FILTER (WHERE l_returnflag <> 'N') AS moved, coalesce(sum(l_partkey * 1000) FILTER (WHERE l_returnflag <> 'N'), 0)::BIGINT AS bytes, round(coalesce(sum(l_partkey * 1000) FILTER (WHERE l_returnflag <> 'N'), 0)::DOUBLE / 1e6 / sum(l_quantity), 6) AS mb_s FROM lineitem GROUP BY 1",
     "cache_stats": "SELECT l_partkey AS cache, count(*) AS n, round(avg(CASE WHEN l_linestatus = 'O' THEN 1.0 ELSE 0.0 END), 6) AS cold_rate, count(*) FILTER (WHERE l_returnflag = 'A') AS updated, count(*) FILTER (WHERE l_returnflag = 'N') AS unchanged, count(*) FILTER (WHERE l_returnflag = 'R') AS empty FROM lineitem GROUP BY 1",
+    "cas_reports": """WITH r AS (SELECT l_suppkey AS node, strftime(l_shipdate, '%Y-%m-%d') AS day, l_partkey, l_linenumber, l_quantity::BIGINT AS q, CASE WHEN l_returnflag = 'N' THEN l_quantity::BIGINT ELSE 0 END AS dd, l_suppkey % 3 > 0 AND l_linestatus = 'O' AS pushed FROM lineitem)
+SELECT node, day, sum(l_partkey)::BIGINT AS stored_bytes, sum(l_linenumber)::BIGINT AS stored_objects, sum(dd)::BIGINT AS stored_deduped, count(*) FILTER (WHERE pushed) AS pushes, sum(l_partkey) FILTER (WHERE pushed)::BIGINT AS pushed_bytes, sum(l_linenumber) FILTER (WHERE pushed)::BIGINT AS pushed_objects, sum(q) FILTER (WHERE pushed)::BIGINT AS push_total_objects,
+sum(l_linenumber + dd)::BIGINT AS total_objects, round(sum(dd) / sum(l_linenumber + dd)::DOUBLE, 6) AS dedup_ratio FROM r GROUP BY node, day""",
+    "cache_stages": """WITH r AS (SELECT *, l_linenumber % 3 = 0 AS se, l_linenumber % 3 = 1 AS fi, l_quantity::BIGINT AS q FROM lineitem)
+SELECT l_partkey AS cache, count(*) FILTER (WHERE se) AS seeds, count(*) FILTER (WHERE fi) AS finals, round(avg(CASE WHEN l_linestatus = 'O' THEN 1.0 ELSE 0.0 END) FILTER (WHERE se), 6) AS cold_rate,
+coalesce(sum(q) FILTER (WHERE se), 0)::BIGINT AS seeded_ms, coalesce(sum(l_orderkey) FILTER (WHERE se), 0)::BIGINT AS seeded_bytes, coalesce(sum(l_suppkey) FILTER (WHERE se), 0)::BIGINT AS seeded_files, coalesce(sum(q) FILTER (WHERE fi), 0)::BIGINT AS finalized_ms, coalesce(sum(l_orderkey) FILTER (WHERE fi), 0)::BIGINT AS finalized_bytes, coalesce(sum(l_suppkey) FILTER (WHERE fi), 0)::BIGINT AS finalized_files,
+count(*) FILTER (WHERE fi AND l_returnflag = 'A') AS updated, count(*) FILTER (WHERE fi AND l_returnflag = 'N') AS unchanged, count(*) FILTER (WHERE fi AND l_returnflag = 'R') AS empty FROM r GROUP BY l_partkey""",
     "store_stats": "SELECT (SELECT count(*) FROM customer) AS refs, (SELECT count(*) FROM orders) AS requests, (SELECT count(*) FROM part) AS nodes, (SELECT sum(strlen(text))::BIGINT FROM documents) AS bytes",
     "first_error": f"WITH {g.BASE}, {P}, e AS (SELECT request, arg_min(p_name, mem.node) AS e FROM mem JOIN pt ON mem.node = pt.node WHERE pt.phase = 'failed' GROUP BY request) SELECT o_orderkey AS request, coalesce(e, CASE WHEN o_orderstatus = 'F' THEN o_orderpriority END) AS error FROM orders LEFT JOIN e ON request = o_orderkey",
     "memo_hits": "SELECT l_partkey || '-' || l_suppkey AS kp, count(DISTINCT l_orderkey) AS fs, min(l_orderkey) AS first_f, count(DISTINCT l_orderkey) - 1 AS saved FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_orderkey) > 1",

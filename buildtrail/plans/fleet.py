@@ -21,6 +21,11 @@ def holds(s, d):
     return s.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_suppkey").alias("runner"), (F.col("l_quantity") * 10).cast("long").alias("cpu_milli"), F.col("l_shipdate").alias("since"), (F.col("l_shipdate") + F.expr("make_dt_interval(cast(l_quantity as int))")).alias("until"))
 
 
+def named_holds(s, d):
+    more = s.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_suppkey").alias("runner"), F.concat(F.when(F.col("l_returnflag") == "R", "lane/").otherwise("job/"), F.col("l_orderkey")).alias("name"), (F.col("l_quantity") * 10).cast("long").alias("cpu_milli"), (F.col("l_partkey") * MIB).cast("long").alias("mem_bytes"), F.col("l_shipdate").cast("timestamp_ntz").alias("since"))
+    return more.withColumn("until", F.col("since") + F.expr("make_dt_interval(cast(cpu_milli / 10 as int))"))
+
+
 def seen(s, d):
     return s.read.parquet(f"{d}/events.parquet").select((F.col("user_id") % 25).alias("platform"), F.col("user_id").alias("id"), F.col("ts").alias("seen"), "event_type", "value", "event_id")
 
@@ -32,6 +37,8 @@ QUERIES = {
     "fleet": lambda s, d: f.fleet(seen(s, d).filter("event_type = 'signup'").select("id", "platform", F.col("value").alias("cpu"), "seen"), seen(s, d).filter("event_type = 'click'").select("id", F.col("value").alias("free_cpu"), "seen")),
     "ledger": lambda s, d: f.ledger(holds(s, d), runners(s, d).withColumn("capacity", F.col("cpu_milli") * 30)),
     "peak_concurrency": lambda s, d: f.peak_concurrency(holds(s, d)),
+    "ledger_of_jobs": lambda s, d: f.ledger_of_jobs(named_holds(s, d), runners(s, d).withColumn("cpu_milli", F.col("cpu_milli") * 30)),
+    "peak_usage": lambda s, d: f.peak_usage(named_holds(s, d)),
     "runnerless_gaps": lambda s, d: f.runnerless_gaps(seen(s, d), 900, 3600),
     "liveness_gate": lambda s, d: f.liveness_gate(seen(s, d).filter("event_type = 'purchase'").select(F.col("event_id").alias("request"), "platform", F.col("seen").alias("asked")), seen(s, d).filter("event_type <> 'purchase'").select("platform", "seen"), 3600).select("request", "platform"),
 }
@@ -42,7 +49,13 @@ L = "ld(ord, rung, c, g) AS (VALUES (0, 'c0.2-m1', 200, 1), (1, 'c1-m1', 1000, 1
 H = "hd AS (SELECT l_suppkey AS runner, (l_quantity * 10)::BIGINT AS cpu_milli, l_shipdate AS since, l_shipdate + to_days(l_quantity::INTEGER) AS until FROM lineitem)"
 S = "sn AS (SELECT user_id % 25 AS platform, user_id AS id, ts AS seen, event_type, value, event_id FROM events)"
 
+N = "nh AS (SELECT l_suppkey AS runner, CASE WHEN l_returnflag = 'R' THEN 'lane/' ELSE 'job/' END || l_orderkey AS name, (l_quantity * 10)::BIGINT AS cpu_milli, l_partkey::BIGINT * 1048576 AS mem_bytes, l_shipdate::TIMESTAMP AS since, l_shipdate::TIMESTAMP + to_days(l_quantity::INTEGER) AS until FROM lineitem)"
+
 SQL = {
+    "ledger_of_jobs": f"WITH {N}, {R}, u AS (SELECT runner, sum(cpu_milli) AS c, sum(mem_bytes) AS m, count(*) FILTER (WHERE name LIKE 'job/%') AS n, count(*) AS sl FROM nh GROUP BY runner) SELECT id, greatest(0, cpu_milli * 30 - coalesce(c, 0))::BIGINT AS free_cpu, greatest(0, mem_bytes - coalesce(m, 0))::BIGINT AS free_mem, coalesce(n, 0) AS in_flight, coalesce(sl, 0) AS slots FROM rn LEFT JOIN u ON id = runner",
+    "peak_usage": f"""WITH {N}, x AS (SELECT runner, since AS tm, 1 AS n, cpu_milli AS c, mem_bytes AS m FROM nh UNION ALL SELECT runner, until, -1, -cpu_milli, -mem_bytes FROM nh), y AS (SELECT runner, tm, sum(n) AS n, sum(c) AS c, sum(m) AS m FROM x GROUP BY runner, tm),
+z AS (SELECT runner, tm, sum(n) OVER w AS n, sum(c) OVER w AS c, sum(m) OVER w AS m FROM y WINDOW w AS (PARTITION BY runner ORDER BY tm)), t AS (SELECT runner, max(n) AS n, max(c) AS c, max(m) AS m FROM z GROUP BY runner)
+SELECT t.runner, t.n::BIGINT AS slots, t.c::BIGINT AS cpu_milli, t.m::BIGINT AS mem_bytes, min(tm) FILTER (WHERE z.n = t.n) AS slots_at, min(tm) FILTER (WHERE z.c = t.c) AS cpu_milli_at, min(tm) FILTER (WHERE z.m = t.m) AS mem_bytes_at FROM t JOIN z ON z.runner = t.runner GROUP BY ALL""",
     "round_to_class": f"WITH {J}, {L} SELECT node, coalesce(arg_min(rung, ord) FILTER (WHERE rung IS NOT NULL), 'c4-m16') AS rung, count(rung) = 0 AS capped FROM jb LEFT JOIN ld ON cpu_milli <= c AND mem_bytes <= g::BIGINT * 1073741824 GROUP BY node",
     "classes_within": f"WITH {R}, {L} SELECT id, count(rung) AS rungs, arg_max(rung, ord) AS size FROM rn LEFT JOIN ld ON c <= cpu_milli AND g::BIGINT * 1073741824 <= mem_bytes GROUP BY id",
     "fit_runners": f"WITH {J}, {R}, x AS (SELECT DISTINCT j.platform, j.cpu_milli, j.mem_bytes, r.id AS runner, r.cpu_milli - j.cpu_milli AS a, r.mem_bytes - j.mem_bytes AS b FROM jb j JOIN rn r ON j.platform = r.platform AND j.cpu_milli <= r.cpu_milli AND j.mem_bytes <= r.mem_bytes) SELECT platform, cpu_milli, mem_bytes, arg_min(runner, (a, b, runner)) AS runner, count(*) AS fits FROM x GROUP BY platform, cpu_milli, mem_bytes",

@@ -130,6 +130,7 @@ QUERIES = {
     "fold_builds": lambda s, d: b.fold_builds(stage_nodes(s, d), stage_edges(s, d)),
     "flatten_labelled_tree": tree_rows,
     "seed_missing": lambda s, d: r.seed_missing(s.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").cast("string").alias("name"), F.substring("text", 1, 9).alias("key"), F.col("text").alias("content")), s.read.parquet(f"{d}/documents.parquet").filter("n_chars % 2 = 0").select(F.concat(F.lit("seeded:"), "doc_id", F.lit(":"), F.substring(F.sha2("text", 256), 1, 16)).alias("name"))),
+    "broken_aliases": lambda s, d: b.broken_aliases(parts(s, d).select(key(F.col("p_partkey")).alias("f"), key(F.col("p_partkey") + 1).alias("kp")), stage_refs(s, d).withColumn("name", F.regexp_replace("name", "^build-output-deps:", "build-deps:"))),
     "missing_aliases": lambda s, d: b.missing_aliases(parts(s, d).select(key(F.col("p_partkey")).alias("f"), key(F.col("p_partkey") + 1).alias("kp")), stage_refs(s, d).withColumn("name", F.regexp_replace("name", "^build-output-deps:", "build-deps:"))),
     "oversized_generated": lambda s, d: b.oversized_generated(s.read.parquet(f"{d}/conversations.parquet").groupBy(F.col("conv_id").alias("key")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("turn").cast("string"), F.encode("text", "utf-8")))).alias("generated")), 2000),
     "deal_weighted": lambda s, d: b.deal_weighted(s.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_suppkey").alias("round"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("key"), F.col("l_partkey").alias("size")), [3, 1]).groupBy("round").agg(F.sum(F.when(F.col("channel") == 0, F.col("size"))).alias("first"), F.sum(F.when(F.col("channel") == 1, F.col("size"))).alias("second")),
@@ -194,6 +195,8 @@ SQL = {
         CASE i WHEN 0 THEN node WHEN 1 THEN bad.l WHEN 3 THEN run.l ELSE br.l END AS log_node, CASE WHEN i IN (0, 2) AND phase = 'failed' THEN 'e' || n WHEN i = 1 THEN bad.x END AS error, coalesce(children, []) AS children FROM z""",
     "flatten_labelled_tree": f"WITH {g.BASE}, f AS (WITH RECURSIVE c AS (SELECT node, 0 AS depth, p_name || chr(1) || node AS place, p_size FROM nd JOIN part ON p_partkey = node WHERE node NOT IN (SELECT dep FROM ed) UNION ALL SELECT ed.dep, depth + 1, place || '/' || p_name || chr(1) || ed.dep, part.p_size FROM c JOIN ed ON c.node = ed.node JOIN part ON p_partkey = ed.dep WHERE c.p_size <= 44) SELECT * FROM c) SELECT node, depth, place FROM f",
     "seed_missing": "WITH n AS (SELECT doc_id::VARCHAR AS name, left(text, 9) AS key, 'seeded:' || doc_id || ':' || left(sha256(text), 16) AS m FROM documents WHERE n_chars % 2 <> 0) SELECT name, key FROM n UNION ALL SELECT m, key FROM n",
+    "broken_aliases": f"""WITH {BASE}, nm AS MATERIALIZED (SELECT DISTINCT name FROM sr), m AS (SELECT sha256('k' || p_partkey) AS f, sha256('k' || (p_partkey + 1)) AS kp FROM part)
+SELECT f, kp, o.name IS NULL AS no_output, d.name IS NULL AS no_deps FROM m LEFT JOIN nm o ON o.name = 'build-output:' || kp LEFT JOIN nm d ON d.name = 'build-output-deps:' || kp WHERE 'build-output:' || f NOT IN (SELECT name FROM nm) AND (o.name IS NULL OR d.name IS NULL)""",
     "missing_aliases": f"""WITH {BASE}, m AS (SELECT sha256('k' || p_partkey) AS f, o.key AS o, d.key AS d FROM part JOIN sr o ON o.name = 'build-output:' || sha256('k' || (p_partkey + 1)) JOIN sr d ON d.name = 'build-output-deps:' || sha256('k' || (p_partkey + 1)) WHERE 'build-output:' || sha256('k' || p_partkey) NOT IN (SELECT name FROM sr))
       SELECT 1 AS ord, 'build-deps:' || f AS name, d AS key FROM m UNION ALL SELECT 2, 'build-output:' || f, o FROM m""",
     "oversized_generated": "SELECT conv_id AS key, coalesce(sum(strlen(text)), 0)::BIGINT AS bytes FROM conversations GROUP BY conv_id HAVING sum(strlen(text)) > 2000",

@@ -82,6 +82,9 @@ QUERIES = {
     "merkle_keys": lambda s, d: store.merkle_keys(entries(s, d)),
     "split_rounds": lambda s, d: store.split_rounds(docs(s, d), 100),
     "chunk_content": lambda s, d: store.chunk_content(s.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("key"), F.encode("text", "utf-8").alias("content")), 256, 1024, 4096).select("key", "offset", "length", F.sha2("chunk", 256).alias("digest")),
+    "expired_blobs": lambda s, d: store.expired_blobs(s.read.parquet(f"{d}/orders.parquet").select("o_orderkey", F.concat(F.when(F.col("o_orderstatus") == "P", "tmp-").otherwise("sha256-"), F.col("o_custkey")).alias("name"), F.col("o_orderdate").alias("last_read"), F.col("o_orderkey").alias("size")), F.lit("1998-01-01 00:00:00").cast("timestamp"), 365).select("o_orderkey", "name"),
+    "layer_sharing_with_shell": lambda s, d: store.layer_sharing(s.read.parquet(f"{d}/lineitem.parquet").groupBy(F.col("l_orderkey").alias("image")).agg(F.collect_list((F.col("l_suppkey") % 4).cast("string")).alias("deps"), F.sum("l_partkey").alias("size")).withColumn("shell", F.when(F.col("image") % 3 > 0, F.concat(F.lit("sh"), F.col("image") % 3)))),
+    "truncation_marks": lambda s, d: logs.truncation_marks(chunks(s, d), 500),
     "layer_sharing": lambda s, d: store.layer_sharing(s.read.parquet(f"{d}/lineitem.parquet").groupBy(F.col("l_orderkey").alias("image")).agg(F.collect_list((F.col("l_suppkey") % 4).cast("string")).alias("deps"), F.sum("l_partkey").alias("size"))),
     "log_view": lambda s, d: logs.log_view(chunks(s, d), 100, 300).select("node", "gen", F.octet_length("head").alias("head_bytes"), "gap", F.octet_length("tail").alias("tail_bytes"), F.hex(F.substring("tail", -1, 1)).alias("last_byte")),
     "cap_output": lambda s, d: logs.cap_output(chunks(s, d), 500).select("node", "gen", "stream", "seq", "offset", F.octet_length("data").alias("bytes"), "truncated"),
@@ -133,6 +136,9 @@ SQL = {
     "tree_delta": f"WITH {ENT} SELECT path, CASE WHEN page_id % 2 <> 0 THEN 'removed' WHEN page_id % 3 = 0 THEN 'added' WHEN page_id % 4 = 0 THEN 'changed' ELSE 'unchanged' END AS state FROM en WHERE page_id % 2 = 0 OR page_id % 3 <> 0",
     "merkle_keys": f"WITH RECURSIVE {ENT}, me AS (SELECT 0::BIGINT AS tree, path, 'file' AS kind, 292 AS mode, content_key, NULL::VARCHAR AS target FROM en), {merkle_sql('me')} SELECT path, digest FROM mk WHERE path IS NOT NULL",
     "split_rounds": f"WITH {DOC}, k AS (SELECT DISTINCT key FROM dc) SELECT key, (row_number() OVER (ORDER BY key) - 1) // 100 AS round FROM k",
+    "expired_blobs": "SELECT o_orderkey, n AS name FROM (SELECT *, CASE WHEN o_orderstatus = 'P' THEN 'tmp-' ELSE 'sha256-' END || o_custkey AS n, epoch(TIMESTAMP '1998-01-01') - epoch(o_orderdate) AS age FROM orders) WHERE age > 365 * 86400 OR (n LIKE 'tmp-%' AND age > 3600)",
+    "layer_sharing_with_shell": "WITH i AS (SELECT l_orderkey, sha256(concat_ws(chr(10) || chr(10), array_to_string(list_sort(list_distinct(list((l_suppkey % 4)::VARCHAR))), chr(10)), CASE WHEN l_orderkey % 3 > 0 THEN 'sh' || (l_orderkey % 3) END)) AS layer, sum(l_partkey)::BIGINT AS size FROM lineitem GROUP BY l_orderkey) SELECT layer, count(*) AS images, (sum(size) - max(size))::BIGINT AS saved FROM i GROUP BY layer",
+    "truncation_marks": f"WITH {CHK}, o AS (SELECT *, sum(strlen(data)) OVER (PARTITION BY node, gen, stream ORDER BY seq)::BIGINT AS e FROM ck) SELECT node, gen, stream, min(seq) FILTER (WHERE e > 500) AS seq, 500::BIGINT AS cap, max(e) AS written FROM o GROUP BY node, gen, stream HAVING max(e) > 500",
     "layer_sharing": "WITH i AS (SELECT l_orderkey, sha256(array_to_string(list_sort(list_distinct(list((l_suppkey % 4)::VARCHAR))), chr(10))) AS layer, sum(l_partkey)::BIGINT AS size FROM lineitem GROUP BY l_orderkey) SELECT layer, count(*) AS images, (sum(size) - max(size))::BIGINT AS saved FROM i GROUP BY layer",
     "log_view": f"WITH {CHK}, n AS (SELECT node, gen, sum(strlen(data))::BIGINT AS total, hex(encode(string_agg(data, '' ORDER BY seq, stream)))[-2:] AS b FROM ck WHERE (node, gen) IN (SELECT (node, max(gen)) FROM ck GROUP BY node) GROUP BY node, gen) SELECT node, gen, least(total, 100) AS head_bytes, greatest(0, total - 400) AS gap, greatest(0, least(300, total - 100)) AS tail_bytes, CASE WHEN total > 100 THEN b ELSE '' END AS last_byte FROM n",
     "cap_output": f"WITH {CHK}, o AS (SELECT *, coalesce(sum(strlen(data)) OVER (PARTITION BY node, gen, stream ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off FROM ck) SELECT node, gen, stream, seq, off AS \"offset\", least(strlen(data), 500 - off) AS bytes, strlen(data) > 500 - off AS truncated FROM o WHERE off < 500",

@@ -19,6 +19,12 @@ def events(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/events.parquet").select((F.col("user_id") % 10).alias("emitter"), F.col("user_id").alias("boot"), F.col("event_id").alias("seq"), F.col("user_id").alias("node"), "ts", "value", "props", kind.alias("type"))
 
 
+def beats(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.get_json_object("props", "$.k").cast("long")
+    data = F.to_json(F.struct(F.concat(F.lit("p"), F.col("node") % 4).alias("phase"), F.floor("value").cast("long").alias("cpu_ms"), F.when(k % 3 > 0, k).alias("mem_bytes"), F.when(k % 2 > 0, k * 2).alias("mem_peak_bytes")))
+    return events(spark, sf).select("node", "seq", "type", F.when(F.col("seq") % 11 > 0, data).alias("data"))
+
+
 def all_attempts(spark: SparkSession, sf: str) -> DataFrame:
     kind = F.when(F.col("l_returnflag") == "N", "ok").when(F.col("l_returnflag") == "R", "retryable").when(F.col("l_linestatus") == "O", "control").when(F.col("l_tax") < 0.03, "cancelled").otherwise("hard")
     return spark.read.parquet(f"{sf}/lineitem.parquet").select(F.col("l_orderkey").alias("node"), F.col("l_linenumber").alias("gen"), F.col("l_suppkey").alias("runner"), F.col("l_partkey").alias("part"), kind.alias("class"), F.col("l_extendedprice").alias("wall"), F.col("l_quantity").alias("cpu"), F.col("l_shipdate").alias("arrival"), F.col("l_returnflag").alias("kind"))
@@ -66,6 +72,8 @@ QUERIES = {
     "dedup_events": lambda s, d: t.dedup_first(events(s, d), ["emitter", "boot", "seq"], [F.col("ts")]).select("emitter", "boot", "seq", "type"),
     "dedup_attempts": lambda s, d: attempts(s, d).select("node", "gen", "runner", "class", "wall"),
     "dedup_in_window": lambda s, d: t.dedup_in_window(all_attempts(s, d), 900 * 86400, ["part", "runner", "wall"]).select("node", "gen", "part", "runner"),
+    "event_families": lambda s, d: events(s, d).groupBy("node", t.family(F.col("type")).alias("family")).agg(F.count("*").alias("n"), F.max("seq").alias("last")),
+    "typed_heartbeats": lambda s, d: t.typed_events(beats(s, d), "exec.heartbeat").select("node", "seq", "phase", "cpu_ms", "mem_bytes", "mem_peak_bytes"),
     "events_of_family": lambda s, d: t.events_of(events(s, d), ["exec.started", "exec.finished"]).select("node", "seq", "type", F.get_json_object("props", "$.k").cast("long").alias("k")),
     "latest_status": lambda s, d: t.latest_status(events(s, d), "node", ["ts", "seq"], ["type", "seq"]),
     "sequence_gaps": lambda s, d: t.sequence_gaps(events(s, d)),
@@ -120,6 +128,9 @@ SQL = {
       nx AS (SELECT a.node, a.gen, a.i, min(b.i) AS nxt FROM o a JOIN o b ON a.node = b.node AND a.gen = b.gen AND epoch(b.arrival) - epoch(a.arrival) > 900 * 86400 GROUP BY ALL),
       kp AS (WITH RECURSIVE k AS (SELECT node, gen, i FROM o WHERE i = 1 UNION ALL SELECT k.node, k.gen, nx.nxt FROM k JOIN nx ON k.node = nx.node AND k.gen = nx.gen AND k.i = nx.i) SELECT * FROM k)
       SELECT o.node, o.gen, o.part, o.runner FROM o JOIN kp ON o.node = kp.node AND o.gen = kp.gen AND o.i = kp.i""",
+    "event_families": f"WITH {EVENTS_SQL} SELECT node, CASE WHEN type LIKE 'exec.%' THEN 'exec' WHEN type LIKE 'node.%' OR type LIKE 'request.%' THEN 'server' WHEN type LIKE 'emitter.%' THEN 'meta' END AS family, count(*) AS n, max(seq) AS last FROM ev GROUP BY 1, 2",
+    "typed_heartbeats": f"""WITH {EVENTS_SQL}, h AS (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, seq % 11 > 0 AS there FROM ev WHERE type = 'exec.heartbeat')
+SELECT node, seq, CASE WHEN there THEN 'p' || (node % 4) END AS phase, CASE WHEN there THEN floor(value)::BIGINT END AS cpu_ms, CASE WHEN there AND k % 3 > 0 THEN k END AS mem_bytes, CASE WHEN there AND k % 2 > 0 THEN k * 2 END AS mem_peak_bytes FROM h""",
     "events_of_family": f"WITH {EVENTS_SQL} SELECT node, seq, type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM ev WHERE type IN ('exec.started', 'exec.finished')",
     "latest_status": f"WITH {EVENTS_SQL} SELECT node, type, seq FROM ev QUALIFY row_number() OVER (PARTITION BY node ORDER BY ts DESC, seq DESC) = 1",
     "sequence_gaps": f"WITH {EVENTS_SQL} SELECT emitter, boot, p + 1 AS gap_from, seq - 1 AS gap_to, seq - p - 1 AS missing FROM (SELECT *, lag(seq) OVER (PARTITION BY emitter, boot ORDER BY seq) AS p FROM ev) WHERE seq > p + 1",
