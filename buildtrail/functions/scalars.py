@@ -280,6 +280,41 @@ def f_tree_ref(key: Column | str) -> Column:
     return F.concat(F.lit("f-tree/"), col(key))
 
 
+def pin_cover_ref(key: Column | str, version: int = 2) -> Column:
+    """The name that binds a key to its cover under a version of the closure's rules."""
+    return F.concat(F.lit(f"pin-cover/{version}:"), col(key))
+
+
+def parse_pin_cover_ref(c: Column | str) -> Column:
+    """{version, key} of such a name, NULL for other texts."""
+    pattern = r"^pin-cover/(\d+):(.+)$"
+    part = lambda i: F.regexp_extract(col(c), pattern, i)
+    return F.when(col(c).rlike(pattern), F.struct(part(1).cast("int").alias("version"), part(2).alias("key")))
+
+
+def platform_token(platform: Column | str) -> Column:
+    return F.replace(col(platform), F.lit("/"), F.lit("-"))
+
+
+def jobs_subject(platform: Column | str, rung: Column | str) -> Column:
+    """The subject of the queue of one platform and rung."""
+    return F.concat(F.lit("jobs."), platform_token(platform), F.lit("."), col(rung))
+
+
+def node_subject(root: str, node: Column | str) -> Column:
+    """The subject of a node's results, failures or logs."""
+    return F.concat(F.lit(f"{root}."), col(node))
+
+
+def heartbeat_subject(runner: Column | str) -> Column:
+    return F.concat(F.lit("runners."), col(runner), F.lit(".hb"))
+
+
+def lane_name(platform: Column | str, rung: Column | str) -> Column:
+    """The name under which all runners of a platform and rung take work: dots would part a name, so they become underscores."""
+    return F.concat(F.lit("wq-"), platform_token(platform), F.lit("-"), F.replace(col(rung), F.lit("."), F.lit("_")))
+
+
 def message_id(kind: str, node: Column | str, gen: Column | str) -> Column:
     """The id by which replays of a job or result are known: job-<node>-<gen>."""
     return F.concat(F.lit(f"{kind}-"), col(node), F.lit("-"), col(gen).cast("string"))

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from buildtrail.functions.scalars import CHAIN, KINDS, STAGES
+from buildtrail.functions.scalars import CHAIN, KINDS, STAGES, ns_to_rfc3339, valid_utf8
 from buildtrail.lineage import checkpointed
 from buildtrail.operators.refs import by_kind
 
@@ -171,6 +171,19 @@ def diagnosis_json(attempts: DataFrame, fields: list[str]) -> DataFrame:
     return attempts.groupBy("node").agg(listed.alias("attempts")).select("node", F.to_json(F.struct("node", "attempts")).alias("report"))
 
 
+def diagnosis_report(attempts: DataFrame, fields: list[str], times: tuple[str, ...] = (), logs: tuple[str, ...] = ()) -> DataFrame:
+    """As ``diagnosis_json``, with times (ns) as RFC3339 text and logs (binary) as valid UTF-8; empty texts, empty logs and times of 0 are left out."""
+    rows = attempts
+    for c in times:
+        rows = rows.withColumn(c, F.when(F.col(c) != 0, ns_to_rfc3339(c)))
+    for c in logs:
+        rows = rows.withColumn(c, valid_utf8(c))
+    for c in [*fields, *logs]:
+        if dict(rows.dtypes)[c] == "string":
+            rows = rows.withColumn(c, F.nullif(F.col(c), F.lit("")))
+    return diagnosis_json(rows, [*fields, *times, *logs])
+
+
 def node_kind(c: Column) -> Column:
     return F.when(F.substring_index(c, "_", 1).isin(*KINDS), F.substring_index(c, "_", 1))
 

@@ -216,11 +216,14 @@ def attempts_join(jobs: DataFrame, results: DataFrame, failures: DataFrame | Non
     return out.withColumn("state", state).join(f, ["node", "gen"], "full").withColumn("recorded", F.coalesce("recorded", F.lit(False)))
 
 
-def attempt_timing(attempts: DataFrame) -> DataFrame:
-    """queued_s and ran_s only where their ends are in order; elapsed_s from start, else enqueue, never negative."""
+def attempt_timing(attempts: DataFrame, now: Column | None = None) -> DataFrame:
+    """queued_us and ran_us only where their ends are in order; elapsed_us from start, else enqueue, to the end, else to now, never negative.
+
+    Attempts with neither start nor enqueue took 0, as do those that still run where no now is given.
+    """
     span = lambda a, b: micros(b) - micros(a)
     begin = F.coalesce("started", "enqueued")
-    return attempts.withColumn("queued_us", F.when(F.col("started") > F.col("enqueued"), span("enqueued", "started"))).withColumn("ran_us", F.when(F.col("finished") > F.col("started"), span("started", "finished"))).withColumn("elapsed_us", F.greatest(F.lit(0), micros("finished") - micros(begin)))
+    return attempts.withColumn("queued_us", F.when(F.col("started") > F.col("enqueued"), span("enqueued", "started"))).withColumn("ran_us", F.when(F.col("finished") > F.col("started"), span("started", "finished"))).withColumn("elapsed_us", F.greatest(F.lit(0), (micros("finished") if now is None else F.coalesce(micros("finished"), micros(now))) - micros(begin)))
 
 
 def apply_retention(failures: DataFrame, newest, days: int = 7, per_node: int = 8, max_bytes: int | None = None) -> DataFrame:

@@ -24,6 +24,11 @@ def inputs(s, d):
     return lines(s, d).select(F.col("l_orderkey").alias("build"), F.col("l_partkey").alias("input")).distinct()
 
 
+def diagnosed(s, d):
+    raw = F.concat(F.encode("text", "utf-8"), F.when(F.col("turn") % 2 == 0, F.unhex(F.lit("FF"))).otherwise(F.lit(b"")))
+    return s.read.parquet(f"{d}/conversations.parquet").select(F.col("conv_id").alias("node"), F.col("turn").alias("gen"), F.when(F.col("role") == "user", "").otherwise(F.col("role")).alias("class"), (F.col("turn").cast("long") * 1_500_000_000).alias("at"), F.when(F.col("turn") % 3 > 0, raw).otherwise(F.lit(b"")).alias("log"))
+
+
 def reports(s, d):
     push = F.col("l_suppkey") % 3 > 0
     pushed = lambda c: F.when(push, F.col(c).cast("long"))
@@ -63,6 +68,8 @@ QUERIES = {
     "label_node": lambda s, d: s.read.parquet(f"{d}/part.parquet").select("p_partkey", x.label_node(F.when(F.col("p_size") > 9, F.col("p_name")), F.concat(F.lit("build_"), F.sha2("p_name", 256))).alias("label")),
     "pullable_tags": lambda s, d: refs.pullable_tags(s.read.parquet(f"{d}/orders.parquet").select(F.concat(F.when(F.col("o_orderstatus") == "O", "build-from:").otherwise("x:"), F.when(F.col("o_custkey") % 2 == 0, F.sha2(F.col("o_custkey").cast("string"), 256)).otherwise(F.col("o_custkey").cast("string"))).alias("name")), s.read.parquet(f"{d}/supplier.parquet").select(F.sha2(F.col("s_suppkey").cast("string"), 256).alias("k"))),
     "list_requests": lambda s, d: refs.list_requests(s.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("request"), F.col("o_orderdate").alias("created")), 50).select("request"),
+    "diagnosis_report": lambda s, d: b.diagnosis_report(diagnosed(s, d), ["class"], ("at",), ("log",)).select("node", *[F.get_json_object("report", f"$.attempts[0].{c}").alias(c) for c in ("class", "at", "log")], F.get_json_object("report", "$.attempts[1].log").alias("second")),
+    "lane_names": lambda s, d: s.read.parquet(f"{d}/part.parquet").select("p_partkey", x.jobs_subject(F.col("p_type"), F.col("p_brand")).alias("subject"), x.lane_name(F.concat(F.lit("linux/"), "p_type"), F.concat(F.lit("c0."), F.col("p_size"))).alias("lane"), x.node_subject("failures", F.col("p_name")).alias("failures"), x.heartbeat_subject(F.col("p_partkey").cast("string")).alias("beats"), x.pin_cover_ref(F.col("p_name")).alias("ref"), x.parse_pin_cover_ref(x.pin_cover_ref(F.col("p_name"), 7))["version"].alias("version"), x.parse_pin_cover_ref(F.col("p_name"))["key"].alias("none")),
     "diagnosis_json": lambda s, d: b.diagnosis_json(t.newest(s, d).filter("disposition <> 'done'"), ["gen", "class", "disposition"]),
 }
 
@@ -77,6 +84,10 @@ SQL = {
     "cas_summary": "SELECT l_suppkey AS node, strftime(l_shipdate, '%Y-%m-%d') AS day, count(*) AS objects, count(*) FILTER (WHERE l_returnflag = 'N') AS deduped, sum(l_partkey)::BIGINT AS bytes, coalesce(sum(l_partkey) FILTER (WHERE l_returnflag = 'N'), 0)::BIGINT AS deduped_bytes, CASE WHEN sum(l_partkey) > 0 THEN round(coalesce(sum(l_partkey) FILTER (WHERE l_returnflag = 'N'), 0) / sum(l_partkey)::DOUBLE, 6) END AS ratio FROM lineitem GROUP BY 1, 2",
     "transfer_stats": "SELECT l_orderkey AS ref, count(*) AS offered, count(*) FILTER (WHERE l_returnflag <> 'N') AS moved, coalesce(sum(l_partkey * 1000) FILTER (WHERE l_returnflag <> 'N'), 0)::BIGINT AS bytes, round(coalesce(sum(l_partkey * 1000) FILTER (WHERE l_returnflag <> 'N'), 0)::DOUBLE / 1e6 / sum(l_quantity), 6) AS mb_s FROM lineitem GROUP BY 1",
     "cache_stats": "SELECT l_partkey AS cache, count(*) AS n, round(avg(CASE WHEN l_linestatus = 'O' THEN 1.0 ELSE 0.0 END), 6) AS cold_rate, count(*) FILTER (WHERE l_returnflag = 'A') AS updated, count(*) FILTER (WHERE l_returnflag = 'N') AS unchanged, count(*) FILTER (WHERE l_returnflag = 'R') AS empty FROM lineitem GROUP BY 1",
+    "lane_names": "SELECT p_partkey, 'jobs.' || replace(p_type, '/', '-') || '.' || p_brand AS subject, 'wq-linux-' || replace(p_type, '/', '-') || '-c0_' || p_size AS lane, 'failures.' || p_name AS failures, 'runners.' || p_partkey || '.hb' AS beats, 'pin-cover/2:' || p_name AS ref, 7 AS version, NULL::VARCHAR AS none FROM part",
+    "diagnosis_report": """WITH c AS (SELECT conv_id AS node, nullif(CASE WHEN role = 'user' THEN '' ELSE role END, '') AS class, CASE WHEN turn > 0 THEN '1970-01-01T00:00:' || lpad((turn * 3 // 2)::VARCHAR, 2, '0') || CASE WHEN turn % 2 = 1 THEN '.5Z' ELSE 'Z' END END AS tm,
+CASE WHEN turn % 3 > 0 THEN nullif(text || CASE WHEN turn % 2 = 0 THEN chr(65533) ELSE '' END, '') END AS log, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations)
+SELECT node, max(class) FILTER (WHERE n = 1) AS class, max(tm) FILTER (WHERE n = 1) AS at, max(log) FILTER (WHERE n = 1) AS log, max(log) FILTER (WHERE n = 2) AS second FROM c GROUP BY node""",
     "cas_reports": """WITH r AS (SELECT l_suppkey AS node, strftime(l_shipdate, '%Y-%m-%d') AS day, l_partkey, l_linenumber, l_quantity::BIGINT AS q, CASE WHEN l_returnflag = 'N' THEN l_quantity::BIGINT ELSE 0 END AS dd, l_suppkey % 3 > 0 AND l_linestatus = 'O' AS pushed FROM lineitem)
 SELECT node, day, sum(l_partkey)::BIGINT AS stored_bytes, sum(l_linenumber)::BIGINT AS stored_objects, sum(dd)::BIGINT AS stored_deduped, count(*) FILTER (WHERE pushed) AS pushes, sum(l_partkey) FILTER (WHERE pushed)::BIGINT AS pushed_bytes, sum(l_linenumber) FILTER (WHERE pushed)::BIGINT AS pushed_objects, sum(q) FILTER (WHERE pushed)::BIGINT AS push_total_objects,
 sum(l_linenumber + dd)::BIGINT AS total_objects, round(sum(dd) / sum(l_linenumber + dd)::DOUBLE, 6) AS dedup_ratio FROM r GROUP BY node, day""",

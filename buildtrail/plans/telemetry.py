@@ -52,6 +52,12 @@ def job_table(spark, sf):
     return spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderkey").alias("node"), (F.col("o_custkey") % 7 + 1).cast("int").alias("gen"), F.col("o_orderdate").alias("enqueued"))
 
 
+def running(spark, sf):
+    """Attempts of which a third still run and a quarter haven't begun."""
+    n = F.col("node") + F.col("gen")
+    return spans(spark, sf).withColumn("finished", F.when(n % 3 > 0, F.col("finished"))).withColumn("started", F.when(n % 4 > 0, F.col("started")))
+
+
 def spans(spark, sf):
     j = job_table(spark, sf)
     a = attempts(spark, sf).select("node", "gen", "arrival", (F.col("arrival") + F.expr("make_dt_interval(0, 0, 0, cpu)")).alias("finished"))
@@ -91,6 +97,7 @@ QUERIES = {
     "phase_durations_by_attempt": lambda s, d: t.phase_durations(runs(s, d), ("node", "runner", "attempt")),
     "events_to_attempts_by_runner": lambda s, d: t.events_to_attempts(on_runner(s, d), ("node", "runner")).select("node", "runner", "seq", "type", "attempt"),
     "retention_by_bytes": lambda s, d: t.apply_retention(attempts(s, d).withColumn("size", F.col("part")), F.lit("1998-12-01 00:00:00").cast("timestamp"), 2600, 3, 1_000_000).select("node", "gen"),
+    "attempt_timing_now": lambda s, d: t.attempt_timing(running(s, d), F.lit("1995-06-01 12:00:00").cast("timestamp")).select("node", "gen", "queued_us", "ran_us", "elapsed_us"),
     "attempt_timing": lambda s, d: t.attempt_timing(spans(s, d)).select("node", "gen", "queued_us", "ran_us", "elapsed_us"),
     "apply_retention": lambda s, d: t.apply_retention(attempts(s, d).crossJoin(F.broadcast(attempts(s, d).agg(F.max("arrival").alias("top")))), F.col("top"), 400, 2).select("node", "gen"),
     "reported_drops": lambda s, d: events(s, d).filter("type = 'node.failed'").groupBy("emitter", "boot").agg(F.sum(F.get_json_object("props", "$.k").cast("long")).alias("lost")),
@@ -154,6 +161,8 @@ SELECT node, seq, CASE WHEN there THEN 'p' || (node % 4) END AS phase, CASE WHEN
     "phase_durations_by_attempt": f"WITH {RUNS_SQL} SELECT node, runner, attempt, type, sum(epoch_us(coalesce(u, ts)) - epoch_us(ts))::BIGINT AS micros, count(*) AS times FROM (SELECT *, lead(ts) OVER (PARTITION BY node, runner, attempt ORDER BY ts, seq) AS u FROM rn WHERE attempt IS NOT NULL) GROUP BY ALL",
     "retention_by_bytes": f"""WITH {ATTEMPTS_SQL}, k AS (SELECT * FROM att WHERE epoch(arrival) > epoch(TIMESTAMP '1998-12-01') - 2600 * 86400 QUALIFY row_number() OVER (PARTITION BY node ORDER BY arrival DESC, gen DESC) <= 3)
       SELECT node, gen FROM (SELECT *, sum(part) OVER (ORDER BY arrival DESC, node, gen DESC ROWS UNBOUNDED PRECEDING) AS upto FROM k) WHERE upto <= 1000000""",
+    "attempt_timing_now": f"""WITH {ATTEMPTS_SQL}, {JOBS_SQL}, r AS (SELECT a.node, a.gen, epoch_us(enqueued) AS q, CASE WHEN (a.node + a.gen) % 4 > 0 THEN epoch_us(arrival) END AS b, CASE WHEN (a.node + a.gen) % 3 > 0 THEN epoch_us(arrival) + CAST(cpu * 1000000 AS BIGINT) END AS e FROM att a JOIN job j ON a.node = j.node AND a.gen = j.gen)
+      SELECT node, gen, CASE WHEN b > q THEN b - q END AS queued_us, CASE WHEN e > b THEN e - b END AS ran_us, greatest(0, coalesce(e, epoch_us(TIMESTAMP '1995-06-01 12:00:00')) - coalesce(b, q)) AS elapsed_us FROM r""",
     "attempt_timing": f"""WITH {ATTEMPTS_SQL}, {JOBS_SQL} SELECT a.node, a.gen, CASE WHEN arrival > enqueued THEN epoch_us(arrival) - epoch_us(enqueued) END AS queued_us,
       CASE WHEN cpu > 0 THEN CAST(cpu * 1000000 AS BIGINT) END AS ran_us, greatest(0, CAST(cpu * 1000000 AS BIGINT)) AS elapsed_us FROM att a JOIN job j ON a.node = j.node AND a.gen = j.gen""",
     "apply_retention": f"WITH {ATTEMPTS_SQL} SELECT node, gen FROM att WHERE epoch(arrival) > (SELECT max(epoch(arrival)) FROM att) - 400 * 86400 QUALIFY row_number() OVER (PARTITION BY node ORDER BY arrival DESC, gen DESC) <= 2",
