@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from buildtrail.functions.scalars import ACTIVE, phase_rank
 from buildtrail.lineage import checkpointed
+from buildtrail.operators.ranks import ranked, runs_of
 
 
 FRONTS, HOPS = 16, 3
@@ -139,9 +140,10 @@ def graph_roots(edges: DataFrame, names: DataFrame | None = None) -> DataFrame:
 
 
 def orphaned_by_cancel(requests: DataFrame, edges: DataFrame, cancelled: str = "cancelled") -> DataFrame:
-    """Nodes that only cancelled requests want."""
-    wanted = request_nodes(requests, edges).join(requests.select("request", cancelled), "request").groupBy("node").agg(F.bool_and(cancelled).alias("gone"))
-    return wanted.filter("gone").select("node")
+    """Nodes that only cancelled requests want: two walks of the graph, whatever the number of requests. A null is a request that lives."""
+    wanted = requests.groupBy("target").agg(F.bool_and(cancelled).alias("gone"))
+    walk = lambda which: closure(edges, wanted.filter(which).select(F.lit(0).alias("root"), F.col("target").alias("node"))).select("node")
+    return walk("gone").join(walk("not gone or gone is null"), "node", "left_anti")
 
 
 def request_counts(membership: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -169,11 +171,22 @@ def interest_tags(membership: DataFrame, requests: DataFrame | None = None) -> D
     return live.groupBy("node").agg(F.sort_array(F.collect_set("request")).alias("requests"))
 
 
+def interest_runs(membership: DataFrame, requests: DataFrame | None = None, most: int = 1000) -> DataFrame:
+    """(node, run, requests): as ``interest_tags``, with at most ``most`` ids a row: a root's ids are dealt over rows and tasks."""
+    live = membership if requests is None else membership.join(requests.filter(~F.col("cancelled")).select("request"), "request", "left_semi")
+    return runs_of(live, "node", "request", "requests", most)
+
+
 def waiting_fs(shares: DataFrame) -> DataFrame:
     """shares (f, kp) -> (kp, fs): the sorted f keys that wait on each shared run."""
     return shares.groupBy("kp").agg(F.sort_array(F.collect_set("f")).alias("fs"))
 
 
+def waiting_runs(shares: DataFrame, most: int = 1000) -> DataFrame:
+    """shares (f, kp) -> (kp, run, fs): as ``waiting_fs``, with at most ``most`` keys a row."""
+    return runs_of(shares, "kp", "f", "fs", most)
+
+
 def root_failures(membership: DataFrame, nodes: DataFrame) -> DataFrame:
     """Per request its failed nodes; if none, those with a retry counter above 0."""
     rows = membership.join(nodes.select("node", "phase", "consec_retry"), "node").filter((F.col("phase") == "failed") | ((F.col("consec_retry") > 0) & (F.col("phase") != "failed-upstream")))
@@ -194,9 +207,7 @@ def problem_first(nodes: DataFrame) -> DataFrame:
 
     Unknown phases come last, by name.
     """
-    group = Window.partitionBy("phase")
-    out = nodes.withColumn("place", phase_rank("phase")).withColumn("nth", F.row_number().over(group.orderBy("node"))).withColumn("in_phase", F.count("*").over(group))
-    return out.orderBy("place", "phase", "node")
+    return ranked(nodes.withColumn("place", phase_rank("phase")), ["place", "phase"], ["node"], "nth", "in_phase").orderBy("place", "phase", "node")
 
 
 def board_rows(membership: DataFrame, nodes: DataFrame, run_cap: int = 8, fail_cap: int = 4) -> DataFrame:
@@ -217,11 +228,16 @@ def status_changes(snapshots: DataFrame, key: str, order: list[str], values: lis
 
 
 def incomplete_roots(children: DataFrame, objects: DataFrame, roots: DataFrame) -> DataFrame:
-    """(root, missing, example): roots whose closure over children (parent, child) lacks objects (key)."""
-    edges = children.select(F.col("parent").alias("node"), F.col("child").alias("dep"))
-    reach = closure(edges, roots.select(F.col("key").alias("root"), F.col("key").alias("node")))
-    lost = reach.join(objects.select(F.col("key").alias("node")), "node", "left_anti")
-    return lost.groupBy("root").agg(F.count("*").alias("missing"), F.min("node").alias("example"))
+    """(root, missing, example): roots whose closure over children (parent, child) lacks objects (key).
+
+    Walks up from what is lacking: a complete subtree costs nothing, and pairs are of a lost key and what is above it.
+    """
+    roots = roots.select(F.col("key").alias("node")).distinct()
+    asked = children.select(F.col("child").alias("node")).unionByName(roots).distinct()
+    lost = checkpointed(asked.join(objects.select(F.col("key").alias("node")), "node", "left_anti"))
+    up = children.select(F.col("child").alias("node"), F.col("parent").alias("dep"))
+    above = closure(up, lost.select(F.col("node").alias("root"), "node")).join(roots, "node", "left_semi")
+    return above.groupBy(F.col("node").alias("root")).agg(F.count("*").alias("missing"), F.min("root").alias("example"))
 
 
 def complete_keys(children: DataFrame, store: DataFrame) -> DataFrame:

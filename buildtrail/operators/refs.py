@@ -103,7 +103,7 @@ def gate_refs(proposals: DataFrame, caches: DataFrame) -> DataFrame:
 
     A kind may publish its own output under its own node_key, a buildrun also its deps and declared caches (caches: build, id) on its
     placement platform, the kinds before it build-from-tree:<f> whose value is f itself, a buildfrom only the f of its own batch's
-    build-from ref. A buildvalue may publish nothing.
+    build-from ref, which must be a key. A buildvalue may publish nothing.
     """
     p = proposals.withColumn("__id", parse_cache_ref("name")["id"]).withColumn("__plat", parse_cache_ref("name")["platform"])
     declared = caches.select(F.col("build").alias("node_key"), F.col("id").alias("__id"), F.lit(True).alias("__declared")).distinct()
@@ -118,7 +118,8 @@ def gate_refs(proposals: DataFrame, caches: DataFrame) -> DataFrame:
     own = F.concat(by_kind(F.col("kind"), OUTPUTS), F.lit(":"), F.col("node_key"))
     more = F.when(F.col("kind") == "buildrun", F.concat(F.lit("build-output-deps:"), F.col("node_key")))
     other = F.when(~F.coalesce(F.col("name") == own, F.lit(False)) & ~F.coalesce(F.col("name") == more, F.lit(False)), "not permitted")
-    reason = F.when(family == "build-cache", cache).when(family == "build-from-tree", tree).otherwise(other)
+    no_key = (F.col("kind") == "buildfrom") & (F.col("name") == own) & ~F.coalesce(is_canonical_hex_key(F.lower("key")), F.lit(False))
+    reason = F.when(no_key, "bad key value").when(family == "build-cache", cache).when(family == "build-from-tree", tree).otherwise(other)
     out = p.withColumn("__f", reported).withColumn("reason", reason).drop("__id", "__plat", "__declared", "__f")
     return out.withColumn("accepted", F.bool_and(F.col("reason").isNull()).over(batch))
 

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from buildtrail.functions.scalars import backoff_ms
+from buildtrail.ship import ship
 
 
 def micros(c: Column | str) -> Column:
@@ -125,24 +127,50 @@ def dedup_attempts(attempts: DataFrame, order: list[str]) -> DataFrame:
     return dedup_first(attempts, ["node", "gen"], [F.col("arrival"), *map(F.col, order)])
 
 
+def kept_in_window(key: np.ndarray, at: np.ndarray, width: int, held: tuple[int, int] | None) -> tuple[np.ndarray, tuple[int, int] | None]:
+    """Which rows of (key, at), sorted, are no repeat within ``width`` of the last row kept; held: key and time of the last kept before, then after.
+
+    A row after a gap of more than ``width`` stays, whatever was kept before. Only runs without such a gap, longer than ``width``, are
+    stepped through, from kept row to kept row.
+    """
+    if not len(key):
+        return np.zeros(0, bool), held
+    stay = np.ones(len(key), bool)
+    stay[1:] = (key[1:] != key[:-1]) | (at[1:] - at[:-1] > width)
+    starts = np.flatnonzero(stay)
+    ends = np.append(starts[1:], len(key))
+    long = at[ends - 1] - at[starts] > width
+    last = at[starts].copy()
+    if held is not None and held[0] == key[0]:
+        stay[0] = at[0] - held[1] > width
+        last[0] = at[0] if stay[0] else held[1]
+        long[0] = True
+    for low, high, t in zip(starts[long].tolist(), ends[long].tolist(), last[long].tolist(), strict=True):
+        i = low + int(np.searchsorted(at[low:high], t + width, "right"))
+        while i < high:
+            stay[i], t = True, int(at[i])
+            i += max(1, int(np.searchsorted(at[i:high], t + width, "right")))
+    mine = np.flatnonzero(stay & (key == key[-1]))
+    return stay, (int(key[-1]), int(at[mine[-1]])) if len(mine) else held
+
+
 def dedup_in_window(attempts: DataFrame, seconds: int, order: list[str]) -> DataFrame:
     """The rows of (node, gen) that are no repeat: the first, then each that comes more than ``seconds`` after the last row kept.
 
     Whether a row stays depends on the last one kept, so a key's rows are passed in order, a batch at a time, with one number as state.
+    Rows without an arrival come first and are one instant.
     """
     columns = attempts.columns
-    sorted_ = attempts.withColumn("__us", micros("arrival")).withColumn("__k", F.xxhash64("node", "gen"))
+    ship(attempts.sparkSession)
+    sorted_ = attempts.withColumn("__us", F.coalesce(micros("arrival"), F.lit(-(1 << 61)))).withColumn("__k", F.xxhash64("node", "gen"))
     sorted_ = sorted_.repartition(F.col("node"), F.col("gen")).sortWithinPartitions("node", "gen", "arrival", *order)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, last = None, 0
+        held = None
         for batch in batches:
-            stay = []
-            for k, at in zip(batch.column(batch.num_columns - 1).to_pylist(), batch.column(batch.num_columns - 2).to_pylist(), strict=True):
-                stays = k != key or at - last > seconds * 1_000_000
-                key, last = k, at if stays else last
-                stay.append(stays)
-            yield batch.filter(pa.array(stay, pa.bool_()))
+            key, at = (batch.column(batch.num_columns - i).to_numpy(zero_copy_only=False) for i in (1, 2))
+            stay, held = kept_in_window(key, at, seconds * 1_000_000, held)
+            yield batch.filter(pa.array(stay))
 
     return sorted_.mapInArrow(keep, sorted_.schema).select(*columns)
 

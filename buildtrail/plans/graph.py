@@ -26,10 +26,10 @@ def requests(spark: SparkSession, sf: str) -> DataFrame:
     return o.select(F.col("o_orderkey").alias("request"), (F.col("o_orderkey") % F.col("n")).alias("target"), (F.col("o_orderstatus") == "P").alias("cancelled"))
 
 
-def dear_requests(spark, sf):
-    """Requests of a large price; those that aren't open are cancelled."""
-    o = spark.read.parquet(f"{sf}/orders.parquet").filter("o_totalprice > 490000").select(F.col("o_orderkey").alias("request"), (F.col("o_orderstatus") != "O").alias("cancelled"))
-    return o.join(requests(spark, sf).select("request", "target"), "request")
+def priced_requests(spark, sf):
+    """All requests; those for a target of a size above 3 are cancelled."""
+    target = spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_partkey").alias("target"), (F.col("p_size") > 3).alias("cancelled"))
+    return requests(spark, sf).select("request", "target").join(target, "target")
 
 
 def membership(spark, sf):
@@ -66,12 +66,14 @@ QUERIES = {
     "ready_nodes": lambda s, d: g.ready_nodes(nodes(s, d), edges(s, d)).select("node"),
     "find_cycles": lambda s, d: g.find_cycles(looped(s, d)),
     "graph_roots": lambda s, d: g.graph_roots(edges(s, d), nodes(s, d)),
-    "orphaned_by_cancel": lambda s, d: g.orphaned_by_cancel(dear_requests(s, d), edges(s, d)),
+    "orphaned_by_cancel": lambda s, d: g.orphaned_by_cancel(priced_requests(s, d), edges(s, d)),
     "request_counts": counts,
     "request_phase": lambda s, d: g.request_phase(s.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("request"), F.when(F.col("o_orderpriority") == "1-URGENT", "no runner").alias("fail_reason")).join(requests(s, d), "request"), counts(s, d), nodes(s, d)),
     "ready_wanted_nodes": lambda s, d: g.ready_nodes(nodes(s, d).withColumn("kind", F.when(F.col("consec_retry") == 1, "buildvalue").otherwise("pin")), edges(s, d), g.request_nodes(requests(s, d).filter("not cancelled"), edges(s, d))).select("node"),
     "interest_tags": lambda s, d: g.interest_tags(membership(s, d), requests(s, d)),
     "waiting_fs": lambda s, d: g.waiting_fs(s.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_orderkey").alias("f"), F.col("l_partkey").alias("kp"))),
+    "interest_runs": lambda s, d: g.interest_runs(membership(s, d), requests(s, d), 10),
+    "waiting_runs": lambda s, d: g.waiting_runs(s.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_orderkey").alias("f"), F.col("l_partkey").alias("kp")), 7),
     "root_failures": lambda s, d: by_target(s, d, lambda m: g.root_failures(m, nodes(s, d))).select("request", "node", "phase"),
     "first_failing": lambda s, d: by_target(s, d, lambda m: g.first_failing(m, nodes(s, d))).select("request", "node", "nth", "truncated"),
     "problem_first": lambda s, d: g.problem_first(nodes(s, d)).select("node", "phase", "place", "nth", "in_phase"),
@@ -105,11 +107,13 @@ SQL = {
       bk AS (WITH RECURSIVE b AS (SELECT component AS c, node, 0 AS far FROM scc WHERE node = component UNION SELECT b.c, e.node, far + 1 FROM b JOIN lp e ON e.dep = b.node JOIN scc s ON s.node = e.node AND s.component = b.c WHERE far < 12) SELECT c, node, min(far) AS far FROM b GROUP BY ALL)
       SELECT s.node, s.component, arg_min(e.dep, (far, e.dep)) AS next FROM scc s JOIN lp e ON e.node = s.node JOIN bk ON bk.c = s.component AND bk.node = e.dep GROUP BY ALL""",
     "graph_roots": f"WITH {BASE} SELECT node FROM nd WHERE node NOT IN (SELECT dep FROM ed)",
-    "orphaned_by_cancel": f"WITH {BASE} SELECT node FROM mem JOIN rq USING (request) JOIN orders ON o_orderkey = request WHERE o_totalprice > 490000 GROUP BY node HAVING bool_and(o_orderstatus <> 'O')",
+    "orphaned_by_cancel": f"WITH {BASE} SELECT node FROM mem JOIN rq USING (request) JOIN part ON p_partkey = target GROUP BY node HAVING bool_and(p_size > 3)",
     "request_counts": f"WITH {BASE} SELECT * FROM cnt",
     "request_phase": f"WITH {BASE}, p AS (SELECT request, CASE WHEN cancelled THEN 'cancelled' WHEN o_orderpriority = '1-URGENT' THEN 'failed' WHEN nd.phase = 'done' THEN 'done' WHEN failed > 0 THEN 'failed' ELSE 'running' END AS phase FROM rq JOIN orders ON o_orderkey = request LEFT JOIN cnt USING (request) LEFT JOIN nd ON nd.node = target) SELECT request, phase, phase <> 'running' AS terminal FROM p",
     "interest_tags": f"WITH {BASE} SELECT node, list_sort(list(DISTINCT request)) AS requests FROM mem JOIN rq USING (request) WHERE NOT cancelled GROUP BY node",
     "waiting_fs": "SELECT l_partkey AS kp, list_sort(list(DISTINCT l_orderkey)) AS fs FROM lineitem GROUP BY 1",
+    "interest_runs": f"WITH {BASE}, x AS (SELECT node, request, (row_number() OVER (PARTITION BY node ORDER BY request) - 1) // 10 AS run FROM mem JOIN rq USING (request) WHERE NOT cancelled) SELECT node, run, list(request ORDER BY request) AS requests FROM x GROUP BY node, run",
+    "waiting_runs": "WITH u AS (SELECT DISTINCT l_partkey AS kp, l_orderkey AS f FROM lineitem), x AS (SELECT *, (row_number() OVER (PARTITION BY kp ORDER BY f) - 1) // 7 AS run FROM u) SELECT kp, run, list(f ORDER BY f) AS fs FROM x GROUP BY kp, run",
     "ready_wanted_nodes": f"WITH {BASE} SELECT node FROM nd WHERE phase = 'waiting' AND consec_retry <> 1 AND node IN (SELECT node FROM mem JOIN rq USING (request) WHERE NOT cancelled) AND NOT EXISTS (SELECT 1 FROM ed JOIN nd x ON ed.dep = x.node WHERE ed.node = nd.node AND x.phase <> 'done')",
     "root_failures": f"WITH {BASE}, x AS (SELECT request, node, phase, max(CASE WHEN phase = 'failed' THEN 1 ELSE 0 END) OVER (PARTITION BY request) AS f FROM mem JOIN nd USING (node)) SELECT x.request, x.node, x.phase FROM x JOIN nd USING (node) WHERE (f = 1 AND x.phase = 'failed') OR (f = 0 AND consec_retry > 0)",
     "first_failing": f"WITH {BASE} SELECT request, node, row_number() OVER (PARTITION BY request ORDER BY node) AS nth, count(*) OVER (PARTITION BY request) > 4 AS truncated FROM mem JOIN nd USING (node) WHERE phase = 'failed' QUALIFY nth <= 4",

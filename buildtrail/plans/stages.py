@@ -141,7 +141,7 @@ sn AS (SELECT n, kind || '_' || sha256('k' || n) AS node, kind, sha256('k' || n)
   ['waiting', 'queued', 'running', 'publishing', 'done', 'done', 'failed', 'failed-upstream', 'cancelled', 'done'][(p_size * 3 + n + length(kind) * 7) % 10 + 1] AS phase, n * 10 + length(kind) AS elapsed_ms, 'r' || (n % 7) AS runner, n % 6 = 1 AS cached FROM st),
 se AS (SELECT a.node, b.node AS dep FROM sn a JOIN sn b ON a.n = b.n AND a.kind = 'buildvalue' AND b.kind NOT IN ('buildvalue', 'import')
   UNION ALL SELECT a.node, b.node FROM sn a JOIN sn b ON b.kind IN ('buildvalue', 'import') AND b.n = CASE a.kind WHEN 'buildfrom' THEN 2 * a.n + 1 WHEN 'buildrun' THEN 2 * a.n + 2 WHEN 'buildvalue' THEN a.n + 5 END),
-sr AS (SELECT 'build-from:' || sha256('k' || p_partkey) AS name, sha256('k' || (p_partkey + 1)) AS key FROM part WHERE p_size > 10
+sr AS MATERIALIZED (SELECT 'build-from:' || sha256('k' || p_partkey) AS name, sha256('k' || (p_partkey + 1)) AS key FROM part WHERE p_size > 10
   UNION ALL SELECT 'build-output:' || sha256('k' || p_partkey), sha256('k' || (p_partkey * 2)) FROM part WHERE p_size > 20
   UNION ALL SELECT 'build-output-deps:' || sha256('k' || p_partkey), sha256('k' || (p_partkey * 3)) FROM part WHERE p_size > 25
   UNION ALL SELECT 'import-output:' || sha256('k' || p_partkey), sha256('k' || (p_partkey * 5)) FROM part WHERE p_size < 15

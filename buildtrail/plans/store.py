@@ -103,7 +103,7 @@ QUERIES = {
     "stage_name": lambda s, d: one(s, d, x.stage_name(F.when(F.col("p_type") == "PROMO", "import").when(F.col("p_type") == "LARGE", "buildrun").otherwise("other"))),
     "usable_capacity": lambda s, d: s.read.parquet(f"{d}/supplier.parquet").select("s_suppkey", x.usable_capacity(F.floor("s_acctbal").cast("long"), F.floor("s_acctbal").cast("long") * x.MIB).alias("c")).select("s_suppkey", "c.cpu", "c.mem"),
     "canonical_list": lambda s, d: s.read.parquet(f"{d}/lineitem.parquet").groupBy("l_orderkey").agg(F.collect_list("l_suppkey").alias("l")).select("l_orderkey", F.array_join(x.canonical_list("l").cast("array<string>"), ",").alias("suppliers")),
-    "trim_tail_first": lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", x.trim_tail_first(F.encode(F.substring("text", 1, 50), "utf-8"), F.lit(5), F.encode(F.substring("text", -60, 60), "utf-8"), 80).alias("t")).select("doc_id", F.octet_length("t.head").alias("head"), "t.gap", F.octet_length("t.tail").alias("tail"), "t.truncated"),
+    "trim_tail_first": lambda s, d: s.read.parquet(f"{d}/documents.parquet").withColumn("third", F.floor(F.length("text") / 3).cast("int")).select("doc_id", x.trim_tail_first(F.encode(F.expr("left(text, third)"), "utf-8"), F.lit(5), F.encode(F.expr("substring(text, third + 1)"), "utf-8"), 200).alias("t")).select("doc_id", F.octet_length("t.head").alias("head"), "t.gap", F.octet_length("t.tail").alias("tail"), "t.truncated"),
     "trim_tail_first_whole": lambda s, d: s.read.parquet(f"{d}/documents.parquet").withColumn("half", F.floor(F.length("text") / 2).cast("int")).select("doc_id", x.trim_tail_first(F.encode(F.expr("left(text, half)"), "utf-8"), F.lit(5), F.encode(F.expr("substring(text, half + 1)"), "utf-8"), 80).alias("t")).select("doc_id", F.octet_length("t.head").alias("head"), "t.gap", F.octet_length("t.tail").alias("tail"), "t.truncated"),
 }
 
@@ -157,6 +157,6 @@ SQL = {
     "stage_name": "SELECT p_partkey, CASE p_type WHEN 'PROMO' THEN 'fetch' WHEN 'LARGE' THEN 'build' END AS v FROM part",
     "usable_capacity": "WITH s AS (SELECT s_suppkey, floor(s_acctbal)::BIGINT AS c FROM supplier) SELECT s_suppkey, greatest(c - greatest(500, floor(c * 10 / 100)::BIGINT), 1000) AS cpu, greatest(c * 1048576 - greatest(536870912, floor(c * 1048576 * 10 / 100)::BIGINT), 2147483648) AS mem FROM s",
     "canonical_list": "SELECT l_orderkey, array_to_string(list_sort(list_distinct(list(l_suppkey))), ',') AS suppliers FROM lineitem GROUP BY l_orderkey",
-    "trim_tail_first": "WITH d AS (SELECT doc_id, strlen(left(text, 50)) AS h, strlen(right(text, 60)) AS t FROM documents) SELECT doc_id, CASE WHEN h + t > 80 THEN least(h, 80 - least(t, 80)) ELSE h END AS head, 5 + greatest(0, h + t - 80) AS gap, least(t, 80) AS tail, h + t > 80 AS truncated FROM d",
+    "trim_tail_first": "WITH d AS (SELECT doc_id, strlen(left(text, length(text) // 3)) AS h, strlen(substring(text, length(text) // 3 + 1)) AS t FROM documents) SELECT doc_id, CASE WHEN h + t > 200 THEN least(h, 200 - least(t, 200)) ELSE h END AS head, 5 + greatest(0, h + t - 200) AS gap, least(t, 200) AS tail, h + t > 200 AS truncated FROM d",
     "trim_tail_first_whole": "WITH d AS (SELECT doc_id, strlen(left(text, length(text) // 2)) AS h, strlen(substring(text, length(text) // 2 + 1)) AS t FROM documents) SELECT doc_id, CASE WHEN h + t > 80 THEN least(h, 80 - least(t, 80)) ELSE h END AS head, 5 + greatest(0, h + t - 80) AS gap, least(t, 80) AS tail, h + t > 80 AS truncated FROM d",
 }
