@@ -1,26 +1,5 @@
-"""Lineage cuts in the folder that all executors share."""
+"""Lineage cuts for iterative operators: those of the library."""
 
-from __future__ import annotations
+from buildtrail.lineage import checkpointed, shared_folder
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, else the context's own. In local mode alone, where there is neither, a temporary one."""
-    context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if named:
-        return named.rstrip("/")
-    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return tempfile.mkdtemp(prefix="buildtrail-checkpoint-")
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder now and go on from there."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+__all__ = ["checkpointed", "shared_folder"]

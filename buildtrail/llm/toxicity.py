@@ -1,12 +1,15 @@
 """Toxic passages by maximum-scoring segments.
 
-A token's score is the log-odds of its most telling feature (the word or one of its prefixes) between toxic and
-clean training texts under a symmetric Dirichlet prior, less a constant; unknown tokens score minus
-that constant. A linear-time scan finds all maximal scoring segments of a text. Their scores are calibrated
+A token's score is the log-odds of its most specific telling feature (the word, else its longest prefix with a known rate) between
+toxic and clean training texts, less a constant. Words and prefixes of each length are distributions of their own, each under a
+Dirichlet prior over its vocabulary that has the texts' own shares and the weight of ``PRIOR`` times their tokens; features of toxic
+and of clean texts tell alike. Unknown tokens score minus that
+constant. A linear-time scan finds all maximal scoring segments of a text. Their scores are calibrated
 by extreme-value statistics: lambda solves E[exp(lambda s)] = 1 over tokens of clean texts, and K is the
 maximum-likelihood value for the best segments of clean texts, so a segment of score S is met
 K N exp(-lambda S) times by chance in N tokens. A text's statistics are its best segment's and the sum of
-all significant segments' normalised scores; a logistic curve fitted on the training texts makes them a score.
+all significant segments' normalised scores; a logistic curve makes them a score. Calibration and curve are fitted on scores that each
+training text gets from the other texts' odds (``FOLDS`` parts by hash of text), so that no text is judged by odds it gave.
 
 Only labelled texts of a bounded sample (``most`` rows, in hash order) are learned from.
 """
@@ -18,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,7 +30,7 @@ from buildtrail.llm.session import checkpointed
 from buildtrail.ship import ship
 
 PREFIXES = (4, 5, 6, 7, 8)
-PRIOR, SHIFT, LEAST_Z, LEAST_TEXTS, MOST_OF_A_TEXT = 2.0, 1.5, 3.0, 3, 20
+PRIOR, SHIFT, LEAST_Z, FOLDS = 0.1, 1.5, 3.0, 5
 SEPARATOR = np.array([not (65 <= b <= 90 or 97 <= b <= 122 or b >= 128) for b in range(256)])
 
 
@@ -86,7 +90,10 @@ class Model:
         if not len(self.features):
             return np.full(len(features), -SHIFT)
         at = np.minimum(np.searchsorted(self.features, features), len(self.features) - 1)
-        return np.where(self.features[at] == features, self.log_odds[at], 0.0).max(1) - SHIFT
+        known = self.features[at] == features
+        best = np.where(known[:, 0], 0, known.shape[1] - 1 - np.argmax(known[:, ::-1], axis=1))  # the word, else its longest known prefix
+        rows = np.arange(len(features))
+        return np.where(known[rows, best], self.log_odds[at[rows, best]], 0.0) - SHIFT
 
     def segments(self, buf: np.ndarray, offs: np.ndarray) -> Iterator[tuple[int, np.ndarray, list[tuple[int, int, float]]]]:
         """For each text: its number of tokens, its token scores, its maximal segments (first byte, end byte, score)."""
@@ -114,69 +121,97 @@ class Model:
 
 
 def training_texts(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most: int) -> DataFrame:
-    """(text, y) of at most ``most`` labelled ids outside the held-out fold; equal texts with one label once."""
+    """(text, y, part) of at most ``most`` labelled ids outside the held-out fold; equal texts with one label once, and in one part."""
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).filter(fold(id_col) != 0)
     chosen = known.groupBy(F.col(id_col).alias("id")).agg((F.max(label_col) > 0).cast("int").alias("y")).orderBy(F.xxhash64("id"), "id").limit(most)
     joined = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "id")  # most rows at most
-    return joined.withColumn("h", F.xxhash64("text")).dropDuplicates(["h", "y"]).select("text", "y")
+    return joined.withColumn("h", F.xxhash64("text")).dropDuplicates(["h", "y"]).select("text", "y", F.pmod("h", F.lit(FOLDS)).cast("int").alias("part"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = 20_000) -> Model:
-    """Learn a Model. Null labels and ids are left out; without texts of both labels every score is 0.5 or the labels' share."""
-    spark = docs.sparkSession
-    ship(spark)
-    texts = checkpointed(training_texts(docs, labels, id_col, text_col, label_col, most))
+def _counts(texts: DataFrame) -> DataFrame:
+    """(f, kind, sums: for each part n1, n0, d1, d0): tokens and texts of both labels that hold each feature; f = 0: all texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, offs = tn.flat(batch.column(0))
-            y = batch.column(1).to_numpy(zero_copy_only=False)
+            y, part = (batch.column(c).to_numpy(zero_copy_only=False) for c in (1, 2))
             for i, j in tn.chunks(offs):
                 _, _, wo, _, features, of = tokens(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
                 doc = np.repeat(np.arange(j - i), np.diff(wo))
                 pairs, times = np.unique(doc * (len(features) + 1) + of, return_counts=True)
                 doc, of = pairs // (len(features) + 1), pairs % (len(features) + 1)
                 f, d, n = features[of].ravel(), np.repeat(doc, features.shape[1]), np.repeat(times, features.shape[1])
-                f, d, n = f[f > 0], d[f > 0], n[f > 0]
+                kind = np.tile(np.arange(features.shape[1]), len(doc))
+                f, d, n, kind = f[f > 0], d[f > 0], n[f > 0], kind[f > 0]
                 order = np.lexsort((d, f))
-                f, d, n = f[order], d[order], n[order]
+                f, d, n, kind = f[order], d[order], n[order], kind[order]
                 if not len(f):
                     continue
                 new = np.flatnonzero(np.concatenate([[True], (f[1:] != f[:-1]) | (d[1:] != d[:-1])]))
-                f, d, n = f[new], d[new], np.minimum(np.add.reduceat(n, new), MOST_OF_A_TEXT)
-                size = np.diff(wo)
-                f, d, n = np.concatenate([f, np.zeros(j - i, np.uint64)]), np.concatenate([d, np.arange(j - i)]), np.concatenate([n, size])
-                yield pa.RecordBatch.from_pydict({"f": pa.array(f.view(np.int64)), "y": pa.array(y[i:j][d].astype(np.int32)), "n": pa.array(n.astype(np.int64))})
-
-    toxic = F.col("y") == 1
-    counted = texts.mapInArrow(count, "f long, y int, n long").groupBy("f").agg(F.sum(F.when(toxic, F.col("n")).otherwise(0)).alias("n1"), F.sum(F.when(~toxic, F.col("n")).otherwise(0)).alias("n0"), F.count_if(toxic).alias("d1"), F.count_if(~toxic).alias("d0"))
-    counted = checkpointed(counted.filter((F.col("f") == 0) | (F.col("d1") >= LEAST_TEXTS)))
-    whole = counted.filter("f = 0").first()
-    share = 0.5 if whole is None else whole["d1"] / max(1, whole["d1"] + whole["d0"])
+                f, d, n, kind = f[new], d[new], np.add.reduceat(n, new), kind[new]
+                f, d, n, kind = np.concatenate([f, np.zeros(j - i, np.uint64)]), np.concatenate([d, np.arange(j - i)]), np.concatenate([n, np.diff(wo)]), np.concatenate([kind, np.full(j - i, -1)])
+                yield pa.RecordBatch.from_pydict({"f": pa.array(f.view(np.int64)), "kind": pa.array(kind.astype(np.int32)), "y": pa.array(y[i:j][d].astype(np.int32)), "part": pa.array(part[i:j][d].astype(np.int32)), "n": pa.array(n.astype(np.int64))})
+
+    sums = []
+    for k in range(FOLDS):
+        mine, toxic = F.col("part") == k, F.col("y") == 1
+        of = lambda which, what: F.sum(F.when(which, what).otherwise(0))
+        sums.append(F.struct(of(mine & toxic, F.col("n")).alias("n1"), of(mine & ~toxic, F.col("n")).alias("n0"), F.count_if(mine & toxic).alias("d1"), F.count_if(mine & ~toxic).alias("d0")))
+    return texts.mapInArrow(count, "f long, kind int, y int, part int, n long").groupBy("f", "kind").agg(F.array(*sums).alias("sums"))
+
+
+def _odds(counted: DataFrame) -> list[Model]:
+    """For each part the odds of all other texts, then those of all texts: of a bounded sample, of which only telling features are sent."""
+    sets = []
+    for k in range(FOLDS + 1):
+        total = lambda c: sum((F.col("sums")[i][c] for i in range(FOLDS) if i != k), F.lit(0))  # noqa: E731, B023
+        sets.append(F.struct(F.lit(k).alias("without"), *(total(c).alias(c) for c in ("n1", "n0", "d1", "d0"))))
+    each = counted.filter("f <> 0").select("f", "kind", F.explode(F.array(*sets)).alias("c")).select("f", "kind", "c.*").filter("d1 + d0 > 0")
+    whole = each.groupBy("without", "kind").agg(F.sum("n1").alias("m1"), F.sum("n0").alias("m0"))  # a row a part and kind
+    prior, priors = PRIOR * (F.col("n1") + F.col("n0")), PRIOR * (F.col("m1") + F.col("m0"))  # the latter is the former's sum over the vocabulary
+    side = lambda n: F.log((F.col(f"n{n}") + prior) / (F.col(f"m{n}") + priors))
+    texts = PRIOR * (F.col("d1") + F.col("d0"))
+    z = F.col("odds") / F.sqrt(1 / (F.col("d1") + texts) + 1 / (F.col("d0") + texts))  # by texts, as words come in bursts
+    telling = each.join(F.broadcast(whole), ["without", "kind"]).filter("m1 > 0 and m0 > 0").withColumn("odds", side(1) - side(0)).filter(F.abs(z) > LEAST_Z)
+    rows = telling.select("without", "f", "odds").toPandas()
+    models = []
+    for k in range(FOLDS + 1):
+        mine = rows[rows["without"] == k]
+        features = mine["f"].to_numpy(np.int64).view(np.uint64)
+        order = np.argsort(features)
+        models.append(Model(features[order], mine["odds"].to_numpy(float)[order]))
+    return models
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = 20_000) -> Model:
+    """Learn a Model. Null labels and ids are left out; without texts of both labels every score is 0.5 or the labels' share."""
+    spark = docs.sparkSession
+    ship(spark)
+    texts = checkpointed(training_texts(docs, labels, id_col, text_col, label_col, most))
+    counted = checkpointed(_counts(texts))
+    sums = counted.filter("f = 0").first()
+    toxic, clean = (0, 0) if sums is None else (sum(x[c] for x in sums["sums"]) for c in ("d1", "d0"))
+    share = toxic / (toxic + clean) if toxic + clean else 0.5
     base = float(np.log(max(share, 1e-6) / max(1 - share, 1e-6)))
-    model = Model(np.zeros(0, np.uint64), np.zeros(0), weights=(base, 0.0, 0.0))
-    if whole is None or not whole["d1"] or not whole["d0"]:
-        return model
-    odds = F.log((F.col("n1") + PRIOR) / (whole["n1"] + PRIOR)) - F.log((F.col("n0") + PRIOR) / (whole["n0"] + PRIOR))
-    z = F.col("odds") / F.sqrt(1 / (F.col("d1") + 1) + 1 / (F.col("d0") + 1))
-    telling = counted.filter("f <> 0").withColumn("odds", odds).filter((z > LEAST_Z) & (F.col("odds") > 1)).select("f", "odds").toPandas()  # features of a bounded sample
-    features = telling["f"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(features)
-    model = Model(features[order], telling["odds"].to_numpy(float)[order])
-    shared = spark.sparkContext.broadcast(model)
+    if not toxic or not clean:
+        return Model(np.zeros(0, np.uint64), np.zeros(0), weights=(base, 0.0, 0.0))
+    *others, model = _odds(counted)
+    shared = spark.sparkContext.broadcast(others)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            buf, offs = tn.flat(batch.column(0))
-            for i, j in tn.chunks(offs):
-                sizes, seg, values, times = [], [], [], []
-                for n, scores, found in shared.value.segments(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i]):
-                    sizes.append(n)
-                    seg.append([s for _, _, s in found])
-                    v, c = np.unique(np.round(scores, 1), return_counts=True)
-                    values.append(v)
-                    times.append(c)
-                yield pa.RecordBatch.from_pydict({"y": batch.column(1).slice(i, j - i), "n": pa.array(sizes, pa.int64()), "scores": pa.array(seg, pa.list_(pa.float64())), "value": pa.array(values, pa.list_(pa.float64())), "times": pa.array(times, pa.list_(pa.int64()))})
+        for whole in batches:
+            for k in range(FOLDS):
+                batch = whole.filter(pc.equal(whole.column(2), k))
+                buf, offs = tn.flat(batch.column(0))
+                for i, j in tn.chunks(offs):
+                    sizes, seg, values, times = [], [], [], []
+                    for n, scores, found in shared.value[k].segments(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i]):
+                        sizes.append(n)
+                        seg.append([s for _, _, s in found])
+                        v, c = np.unique(np.round(scores, 1), return_counts=True)
+                        values.append(v)
+                        times.append(c)
+                    yield pa.RecordBatch.from_pydict({"y": batch.column(1).slice(i, j - i), "n": pa.array(sizes, pa.int64()), "scores": pa.array(seg, pa.list_(pa.float64())), "value": pa.array(values, pa.list_(pa.float64())), "times": pa.array(times, pa.list_(pa.int64()))})
 
     scanned = checkpointed(texts.mapInArrow(scan, "y int, n long, scores array<double>, value array<double>, times array<long>"))
     background = scanned.filter("y = 0").select(F.explode(F.arrays_zip("value", "times")).alias("x")).groupBy("x.value").agg(F.sum("x.times").alias("times")).orderBy("value").toPandas()  # scores in tenths
@@ -184,10 +219,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     value, weight = background["value"].to_numpy(float), background["times"].to_numpy(float)
     model.rate = _rate(value, weight / weight.sum()) if len(value) and weight.sum() else 1.0
     best = [max(s, default=0.0) for s in per_text["scores"].map(list)]
-    clean = [(n, b) for y, n, b in zip(per_text["y"], per_text["n"], best, strict=True) if y == 0 and b > 0]
-    if clean:
-        n, b = (np.array(x, float) for x in zip(*clean, strict=True))
-        model.k = len(clean) / float((n * np.exp(-model.rate * b)).sum())
+    clean_best = [(n, b) for y, n, b in zip(per_text["y"], per_text["n"], best, strict=True) if y == 0 and b > 0]
+    if clean_best:
+        n, b = (np.array(x, float) for x in zip(*clean_best, strict=True))
+        model.k = len(clean_best) / float((n * np.exp(-model.rate * b)).sum())
     x = np.array([model.statistics(n, list(s)) for n, s in zip(per_text["n"], per_text["scores"], strict=True)])
     model.weights = _logistic(x, per_text["y"].to_numpy(float))
     return model

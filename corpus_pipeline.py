@@ -39,7 +39,7 @@ def _wide(docs: DataFrame) -> DataFrame:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is at least one half go; none where the labels gave the model nothing to tell texts by."""
     model = toxicity.fit(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    if not len(model.features):
+    if not (model.log_odds > toxicity.SHIFT).any():
         return docs
     return toxicity.score(_wide(docs), model).filter("score < 0.5").select("row.*")
 

@@ -35,6 +35,51 @@ def test_toxicity_held_out(spark):
     assert passages and all(any(w in p for w in TOXIC) for p in passages)
 
 
+def test_toxicity_odds_by_definition(spark):
+    """Informative Dirichlet odds of words and prefixes, recounted plainly, for all texts and without each part."""
+    rows = texts(5, 200)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    training = toxicity.training_texts(docs, labels, "doc_id", "text", "toxic", 1000)
+    models = toxicity._odds(toxicity._counts(training))
+    got = training.collect()
+    assert len(models) == toxicity.FOLDS + 1 and {x["part"] for x in got} == set(range(toxicity.FOLDS))
+    for k in (0, 3, toxicity.FOLDS):
+        n, m, d, v = {}, {}, {}, {}
+        for x in got:
+            if x["part"] == k:
+                continue
+            words = x["text"].lower().split()
+            for kind in (0, *toxicity.PREFIXES):
+                mine = [w[:kind] if kind else w for w in words if len(w) > kind]
+                for w in mine:
+                    n[kind, w, x["y"]] = n.get((kind, w, x["y"]), 0) + 1
+                    m[kind, x["y"]] = m.get((kind, x["y"]), 0) + 1
+                for w in set(mine):
+                    d[kind, w, x["y"]] = d.get((kind, w, x["y"]), 0) + 1
+                    v[kind, w] = True
+        want = []
+        for kind, w in v:
+            c = toxicity.PRIOR
+            a, p = c * (n.get((kind, w, 1), 0) + n.get((kind, w, 0), 0)), c * (m.get((kind, 1), 0) + m.get((kind, 0), 0))
+            odds = np.log((n.get((kind, w, 1), 0) + a) / (m[kind, 1] + p)) - np.log((n.get((kind, w, 0), 0) + a) / (m[kind, 0] + p))
+            d1, d0 = d.get((kind, w, 1), 0), d.get((kind, w, 0), 0)
+            if abs(odds) / np.sqrt(1 / (d1 + c * (d1 + d0)) + 1 / (d0 + c * (d1 + d0))) > toxicity.LEAST_Z:
+                want.append(odds)
+        assert len(want) and np.allclose(sorted(models[k].log_odds), sorted(want))
+
+
+def test_toxicity_takes_the_word_before_its_prefixes():
+    buf, offs = np.frombuffer(b"trashcan trashy tree", np.uint8), np.array([0, 20])
+    _, _, _, _, features, of = toxicity.tokens(buf, offs)
+    can, trashy, tree = features[of]
+    assert can[2] == trashy[2] > 0  # the prefix trash
+    known = np.array([can[0], can[2]], np.uint64)
+    order = np.argsort(known)
+    model = toxicity.Model(known[order], np.array([-2.0, 5.0])[order])
+    assert (model.token_scores(features)[of] + toxicity.SHIFT).tolist() == [-2.0, 5.0, 0.0]
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     model = toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))
