@@ -30,7 +30,7 @@ from buildtrail.llm.session import checkpointed
 from buildtrail.ship import ship
 
 PREFIXES = (4, 5, 6, 7, 8)
-PRIOR, SHIFT, LEAST_Z, FOLDS = 0.1, 1.5, 3.0, 5
+PRIOR, SHIFT, LEAST_Z, FOLDS = 0.02, 1.5, 3.0, 5
 SEPARATOR = np.array([not (65 <= b <= 90 or 97 <= b <= 122 or b >= 128) for b in range(256)])
 
 
@@ -166,13 +166,15 @@ def _odds(counted: DataFrame) -> list[Model]:
     for k in range(FOLDS + 1):
         total = lambda c: sum((F.col("sums")[i][c] for i in range(FOLDS) if i != k), F.lit(0))  # noqa: E731, B023
         sets.append(F.struct(F.lit(k).alias("without"), *(total(c).alias(c) for c in ("n1", "n0", "d1", "d0"))))
-    each = counted.filter("f <> 0").select("f", "kind", F.explode(F.array(*sets)).alias("c")).select("f", "kind", "c.*").filter("d1 + d0 > 0")
+    each = counted.select("f", "kind", F.explode(F.array(*sets)).alias("c")).select("f", "kind", "c.*").filter("d1 + d0 > 0")
+    all_texts = each.filter("f = 0").select("without", F.col("d1").alias("t1"), F.col("d0").alias("t0"))  # a row a part
+    each = each.filter("f <> 0")
     whole = each.groupBy("without", "kind").agg(F.sum("n1").alias("m1"), F.sum("n0").alias("m0"))  # a row a part and kind
     prior, priors = PRIOR * (F.col("n1") + F.col("n0")), PRIOR * (F.col("m1") + F.col("m0"))  # the latter is the former's sum over the vocabulary
     side = lambda n: F.log((F.col(f"n{n}") + prior) / (F.col(f"m{n}") + priors))
-    texts = PRIOR * (F.col("d1") + F.col("d0"))
-    z = F.col("odds") / F.sqrt(1 / (F.col("d1") + texts) + 1 / (F.col("d0") + texts))  # by texts, as words come in bursts
-    telling = each.join(F.broadcast(whole), ["without", "kind"]).filter("m1 > 0 and m0 > 0").withColumn("odds", side(1) - side(0)).filter(F.abs(z) > LEAST_Z)
+    share = lambda n: F.log((F.col(f"d{n}") + 0.5) / (F.col(f"t{n}") - F.col(f"d{n}") + 0.5))
+    z = (share(1) - share(0)) / F.sqrt(1 / (F.col("d1") + 0.5) + 1 / (F.col("d0") + 0.5))  # by texts that hold it, as words come in bursts
+    telling = each.join(F.broadcast(whole), ["without", "kind"]).join(F.broadcast(all_texts), "without").filter("m1 > 0 and m0 > 0").withColumn("odds", side(1) - side(0)).filter(F.abs(z) > LEAST_Z)
     rows = telling.select("without", "f", "odds").toPandas()
     models = []
     for k in range(FOLDS + 1):

@@ -64,7 +64,9 @@ def test_toxicity_odds_by_definition(spark):
             a, p = c * (n.get((kind, w, 1), 0) + n.get((kind, w, 0), 0)), c * (m.get((kind, 1), 0) + m.get((kind, 0), 0))
             odds = np.log((n.get((kind, w, 1), 0) + a) / (m[kind, 1] + p)) - np.log((n.get((kind, w, 0), 0) + a) / (m[kind, 0] + p))
             d1, d0 = d.get((kind, w, 1), 0), d.get((kind, w, 0), 0)
-            if abs(odds) / np.sqrt(1 / (d1 + c * (d1 + d0)) + 1 / (d0 + c * (d1 + d0))) > toxicity.LEAST_Z:
+            t = [sum(x["y"] == y and x["part"] != k for x in got) for y in (0, 1)]
+            z = np.log((d1 + 0.5) / (t[1] - d1 + 0.5)) - np.log((d0 + 0.5) / (t[0] - d0 + 0.5))
+            if abs(z) / np.sqrt(1 / (d1 + 0.5) + 1 / (d0 + 0.5)) > toxicity.LEAST_Z:
                 want.append(odds)
         assert len(want) and np.allclose(sorted(models[k].log_odds), sorted(want))
 
