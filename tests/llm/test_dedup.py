@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import numpy as np
@@ -51,6 +52,22 @@ def test_suffix_arrays(spark, seed):
     same([(r[0], r[1], r[2], r[3], bytes(r[4])) for r in got], brute.repeated_bytes(rows, 40))
 
 
+def test_suffix_query_of_planted_passages(spark, tmp_path):
+    """Passages of over 50 words: from 400 bytes on they go from every document, the first as well; a shorter one and the rest stay."""
+    r = random.Random(6)
+    say = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    long, short = say(60)[:399] + "x", say(60)[:398] + "y"
+    around = lambda i, passage: f"{say(20)}{i}{passage}{chr(65 + i)}{say(20)}"
+    rows = [(i, around(i, long)) for i in range(3)] + [(i, around(i, short)) for i in range(3, 6)]
+    rows += [(6, say(90)), (7, f"{say(9)}é{long}é{say(9)}{long}"), (8, None)]
+    assert len(long.split()) > 50 < len(short.split())
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [tuple(x) for x in suffix_dedup.query(spark, str(tmp_path)).collect()]
+    same(got, [(*x[:4], hashlib.sha256(x[4]).hexdigest()) for x in brute.repeated_bytes(rows, 400)])
+    assert {i: (removed, spans) for i, _, removed, spans, _ in got} == {i: (400, 1) for i in range(3)} | {7: (800, 2)} | {i: (0, 0) for i in (3, 4, 5, 6, 8)}
+    assert all(n_bytes == len((dict(rows)[i] or "").encode()) for i, n_bytes, *_ in got)
+
+
 def test_suffix_array_levels_of_one_anchor(spark):
     r = random.Random(4)
     core = "".join(r.choice("ab") for _ in range(60))
