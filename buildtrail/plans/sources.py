@@ -120,13 +120,13 @@ def orders(s, d):
 
 def scalar_texts(s, d):
     n = F.col("o_orderkey").cast("long")
-    ns = n * 1_234_567_891 * 1000 + F.col("o_custkey")
+    ns = n.cast("decimal(20,0)") * F.lit(1_234_567_891_000).cast("decimal(14,0)") + F.col("o_custkey")  # beyond a long from 7.5 million orders on
     path = F.element_at(F.array(F.lit("//top/a"), F.lit("../b"), F.lit("/abs"), F.lit("../../.."), F.lit("c/./d")), (n % 5 + 1).cast("int"))
     named = F.array(F.struct(F.concat(F.lit("n"), n % 3).alias("name"), n.alias("v")), F.struct(F.lit("n1").alias("name"), (n + 1).alias("v")), F.struct(F.lit("a").alias("name"), (n + 2).alias("v")))
     id_ = x.message_id("job", F.col("o_custkey").cast("string"), n)
     return orders(s, d).select(
         "o_orderkey",
-        x.format_bytes(n * n * 1000).alias("decimal"),
+        x.format_bytes(n * n * 1000, "T").alias("decimal"),
         x.ns_to_rfc3339(ns).alias("time"),
         x.normalize_source_path(path, F.lit("d/e")).alias("path"),
         F.array_join(F.transform(x.canonical_by_name(named), lambda a: F.concat(a["name"], F.lit("="), a["v"])), ",").alias("named"),
