@@ -50,3 +50,7 @@ def test_texts_of_large_keys(spark, tmp_path):
 def test_bytes_of_large_keys(spark, tmp_path):
     got, want = both(spark, "human_bytes", shifted(tmp_path, "part", p_partkey=1_199_000))
     assert got == want
+
+
+def test_labels_are_not_broadcast(spark):
+    no_broadcast(catalog.queries()["apply_labels"](spark, SF))
