@@ -54,3 +54,7 @@ def test_bytes_of_large_keys(spark, tmp_path):
 
 def test_labels_are_not_broadcast(spark):
     no_broadcast(catalog.queries()["apply_labels"](spark, SF))
+
+
+def test_builds_are_not_broadcast(spark):
+    no_broadcast(catalog.queries()["fold_builds"](spark, SF))
