@@ -58,3 +58,7 @@ def test_labels_are_not_broadcast(spark):
 
 def test_builds_are_not_broadcast(spark):
     no_broadcast(catalog.queries()["fold_builds"](spark, SF))
+
+
+def test_pulled_refs_are_not_broadcast(spark):
+    no_broadcast(catalog.queries()["pull_refs"](spark, SF))
