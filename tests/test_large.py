@@ -62,3 +62,7 @@ def test_builds_are_not_broadcast(spark):
 
 def test_pulled_refs_are_not_broadcast(spark):
     no_broadcast(catalog.queries()["pull_refs"](spark, SF))
+
+
+def test_images_are_not_broadcast(spark):
+    no_broadcast(catalog.queries()["resolve_images"](spark, SF))
