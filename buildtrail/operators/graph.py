@@ -20,17 +20,18 @@ def closure(edges: DataFrame, roots: DataFrame, most: int | None = None) -> Data
     """roots (root, node) -> (root, node): all that each root reaches, its own nodes included, each once. Ends on cycles too.
 
     A round takes ``HOPS`` steps and writes only what it found; found rows are written together once in ``FRONTS`` rounds. With
-    ``most``, a closure that takes as many steps and isn't done is an error.
+    ``most``, a closure that takes as many steps and isn't done is an error. Joins are merged, here and in transfers: rows of one short
+    column are taken for less than they are, and would pass whole through the driver.
     """
     front = checkpointed(roots.select("root", "node").distinct())
     seen = [front]
     for i in count():
         steps = [front]
         for _ in range(HOPS):
-            steps.append(steps[-1].join(edges, "node").select("root", F.col("dep").alias("node")).distinct())
+            steps.append(steps[-1].join(edges.hint("merge"), "node").select("root", F.col("dep").alias("node")).distinct())
         found = reduce(DataFrame.unionByName, [x.withColumn("step", F.lit(n)) for n, x in enumerate(steps) if n])
         found = found.groupBy("root", "node").agg(F.min("step").alias("step"))
-        found = checkpointed(found.join(reduce(DataFrame.unionByName, seen), ["root", "node"], "left_anti"))
+        found = checkpointed(found.join(reduce(DataFrame.unionByName, seen).hint("merge"), ["root", "node"], "left_anti"))
         far = found.agg(F.max("step")).first()[0]
         if far is None:
             break
@@ -134,7 +135,7 @@ def graph_roots(edges: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """Nodes that no node depends on; where there are none at all, as on a pure cycle, the first by name. names (node) adds nodes without edges."""
     nodes = edges.select("node").union(edges.select("dep"))
     nodes = (nodes if names is None else nodes.union(names.select("node"))).distinct()
-    roots = nodes.join(edges.select(F.col("dep").alias("node")), "node", "left_anti")
+    roots = nodes.join(edges.select(F.col("dep").alias("node")).hint("merge"), "node", "left_anti")
     first = nodes.agg(F.min("node").alias("node")).join(roots.limit(1).agg(F.count("*").alias("n")), F.col("n") == 0).select("node")
     return roots.unionByName(first.filter("node is not null"))
 
@@ -242,11 +243,11 @@ def incomplete_roots(children: DataFrame, objects: DataFrame, roots: DataFrame)
 
 def complete_keys(children: DataFrame, store: DataFrame) -> DataFrame:
     """The keys of store whose whole closure over children (parent, child) is in store: presence alone proves nothing about children."""
-    inner = children.join(store.select(F.col("key").alias("parent")), "parent", "left_semi")
-    lacking = inner.join(store.select(F.col("key").alias("child")), "child", "left_anti").select(F.col("parent").alias("node")).distinct()
+    inner = children.join(store.select(F.col("key").alias("parent")).hint("merge"), "parent", "left_semi")
+    lacking = inner.join(store.select(F.col("key").alias("child")).hint("merge"), "child", "left_anti").select(F.col("parent").alias("node")).distinct()
     up = inner.select(F.col("child").alias("node"), F.col("parent").alias("dep"))
     broken = closure(up, lacking.select(F.lit(0).alias("root"), "node")).select(F.col("node").alias("key"))
-    return store.select("key").distinct().join(broken, "key", "left_anti")
+    return store.select("key").distinct().join(broken.hint("merge"), "key", "left_anti")
 
 
 def plan_transfer(children: DataFrame, src: DataFrame, dst: DataFrame, roots: DataFrame, most: int | None = None) -> DataFrame:
@@ -258,23 +259,23 @@ def plan_transfer(children: DataFrame, src: DataFrame, dst: DataFrame, roots: Da
     front = roots.select("key").distinct()
     seen: DataFrame | None = None
     for i in count(1):
-        front = front.join(whole, "key", "left_anti").join(src.select("key"), "key", "left_semi")
-        front = checkpointed(front if seen is None else front.join(seen.select("key"), "key", "left_anti"))
+        front = front.join(whole.hint("merge"), "key", "left_anti").join(src.select("key").hint("merge"), "key", "left_semi")
+        front = checkpointed(front if seen is None else front.join(seen.select("key").hint("merge"), "key", "left_anti"))
         if front.isEmpty():
             break
         if i - 1 == most:
             raise RuntimeError(f"the transfer isn't done after {most} rounds")
         now = front.withColumn("round", F.lit(i))
         seen = now if seen is None else checkpointed(seen.unionByName(now))
-        front = front.join(children.select(F.col("parent").alias("key"), "child"), "key").select(F.col("child").alias("key")).distinct()
+        front = front.join(children.select(F.col("parent").alias("key"), "child").hint("merge"), "key").select(F.col("child").alias("key")).distinct()
     if seen is None:
         seen = front.withColumn("round", F.lit(0))
     have = dst.select("key").distinct().withColumn("present", F.lit(True))
-    return seen.join(have, "key", "left").withColumn("present", F.coalesce("present", F.lit(False)))
+    return seen.join(have.hint("merge"), "key", "left").withColumn("present", F.coalesce("present", F.lit(False)))
 
 
 def transfer_totals(plan: DataFrame, objects: DataFrame) -> DataFrame:
     """One row: rounds, objects and bytes that a plan moves; objects (key, size)."""
-    new = plan.join(objects, "key", "left")
+    new = plan.join(objects.hint("merge"), "key", "left")
     moved = ~F.col("present")
     return new.agg(F.max("round").alias("rounds"), F.count_if(moved).alias("objects"), F.coalesce(F.sum(F.when(moved, F.col("size"))), F.lit(0)).alias("bytes"))

@@ -17,7 +17,7 @@ def nodes(spark: SparkSession, sf: str) -> DataFrame:
 def edges(spark: SparkSession, sf: str) -> DataFrame:
     n = spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_partkey").alias("node"))
     deps = n.select("node", F.explode(F.array(2 * F.col("node") + 1, 2 * F.col("node") + 2)).alias("dep"))
-    return deps.join(n.select(F.col("node").alias("dep")), "dep", "left_semi").select("node", "dep")
+    return deps.join(n.select(F.col("node").alias("dep")).hint("merge"), "dep", "left_semi").select("node", "dep")
 
 
 def requests(spark: SparkSession, sf: str) -> DataFrame:

@@ -66,3 +66,19 @@ def test_pulled_refs_are_not_broadcast(spark):
 
 def test_images_are_not_broadcast(spark):
     no_broadcast(catalog.queries()["resolve_images"](spark, SF))
+
+
+@pytest.fixture
+def plans(monkeypatch):
+    """The plans of all that the iterative operators write, to the end of the test."""
+    from buildtrail.operators import builds, graph
+
+    seen = []
+    for module in (builds, graph):
+        monkeypatch.setattr(module, "checkpointed", lambda df, f=module.checkpointed: (seen.append(df._jdf.queryExecution().executedPlan().toString()), f(df))[1])
+    return seen
+
+
+def test_transfers_are_not_broadcast(spark, plans):
+    catalog.queries()["plan_transfer_whole"](spark, SF)
+    assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastHashJoin" in p for p in plans)
