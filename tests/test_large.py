@@ -82,3 +82,7 @@ def plans(monkeypatch):
 def test_transfers_are_not_broadcast(spark, plans):
     catalog.queries()["plan_transfer_whole"](spark, SF)
     assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastHashJoin" in p for p in plans)
+
+
+def test_totals_are_not_broadcast(spark):
+    no_broadcast(catalog.queries()["transfer_totals"](spark, SF))
