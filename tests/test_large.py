@@ -86,3 +86,8 @@ def test_transfers_are_not_broadcast(spark, plans):
 
 def test_totals_are_not_broadcast(spark):
     no_broadcast(catalog.queries()["transfer_totals"](spark, SF))
+
+
+def test_tree_rows_are_not_broadcast(spark, plans):
+    catalog.queries()["flatten_labelled_tree"](spark, SF)
+    assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastHashJoin" in p for p in plans)
