@@ -91,3 +91,8 @@ def test_totals_are_not_broadcast(spark):
 def test_tree_rows_are_not_broadcast(spark, plans):
     catalog.queries()["flatten_labelled_tree"](spark, SF)
     assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastHashJoin" in p for p in plans)
+
+
+def test_paths_are_not_broadcast(spark, plans):
+    catalog.queries()["flatten_tree"](spark, SF)
+    assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastHashJoin" in p for p in plans)
